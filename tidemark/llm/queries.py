@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tidemark.llm import mixing, sharding
+from tidemark.llm import mixing, packing, sharding
 
 
 def queries() -> dict:
     return {
+        "op5_best_fit_packing": packing.query,
         "op6_source_mixing": mixing.query,
         "op8_lookup_sharding": sharding.query,
     }
