@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tidemark.llm import mixing, packing, quality, sharding
+from tidemark.llm import mixing, packing, pii, quality, sharding
 
 
 def queries() -> dict:
     return {
+        "op1_skip_chain_pii": pii.query,
         "op3_weak_supervision": quality.query,
         "op5_best_fit_packing": packing.query,
         "op6_source_mixing": mixing.query,
