@@ -18,7 +18,7 @@ WORD_CLASS = r"[^\x20\x09-\x0D]+"
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: Texts are worked on in slices of about so many bytes, so that memory does not follow the batch size.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: A null doc_id sorts after every other.
 NO_ID = (1 << 63) - 1
 

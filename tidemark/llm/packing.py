@@ -26,7 +26,7 @@ CAPACITY = 4096
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
 #: Words whose ids a Python worker remembers, and the rounds of multiplicative weights.
-CACHE_WORDS, ROUNDS, RATE = 1_500_000, 8, 0.5
+CACHE_WORDS, ROUNDS, RATE = 250_000, 8, 0.5
 #: Pieces that one group of the ranking holds on average.
 RANK_GROUP = 50_000
 
@@ -50,7 +50,7 @@ class _Words:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[bytes, np.ndarray] = {}
+        self.known: dict[bytes, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -71,9 +71,9 @@ class _Words:
                 rest += run
                 continue
             for p, a, b in zip(run, np.concatenate([[0], ends[:-1]]), ends):
-                self.known[p] = ids[a:b]
+                self.known[p] = ids[a:b].tobytes()
         for p, e in zip(rest, self.tokenizer.encode_batch_fast([p.decode() for p in rest], add_special_tokens=False)):
-            self.known[p] = np.array(e.ids, np.uint32)
+            self.known[p] = np.array(e.ids, np.uint32).tobytes()
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, bounds): the ids of all rows, and where each row's begin.
@@ -99,12 +99,13 @@ class _Words:
             held = len(self.known) <= CACHE_WORDS
             self.learn(fresh if held else parts)
         ids = [self.known[p] for p in parts]
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        store, at = np.concatenate(ids), np.concatenate([[0], np.cumsum(lengths)[:-1]])
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        store, at = np.frombuffer(b"".join(ids), np.uint32), np.concatenate([[0], np.cumsum(lengths)[:-1]])
         each = lengths[inverse]
         ends_out = np.cumsum(each)
         total = int(ends_out[-1])
-        places = np.arange(total) + np.repeat(at[inverse] - (ends_out - each), each)
+        places = np.repeat(at[inverse] - (ends_out - each), each)
+        places += np.arange(total)
         row = np.searchsorted(starts, bounds)
         return store[places], np.concatenate([[0], ends_out])[row]
 
