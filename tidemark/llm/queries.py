@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tidemark.llm import mixing, packing, pii, quality, sharding
+from tidemark.llm import mixing, packing, pii, quality, sharding, suffix_dedup
 
 
 def queries() -> dict:
     return {
         "op1_skip_chain_pii": pii.query,
+        "op2_suffix_dedup": suffix_dedup.query,
         "op3_weak_supervision": quality.query,
         "op5_best_fit_packing": packing.query,
         "op6_source_mixing": mixing.query,
