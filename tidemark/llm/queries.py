@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import mixing, packing, pii, quality, sharding, suffix_dedup
+from tidemark.llm import mixing, packing, pii, quality, sharding, suffix_dedup, window_dedup
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_skip_chain_pii": pii.query,
         "op2_suffix_dedup": suffix_dedup.query,
         "op3_weak_supervision": quality.query,
+        "op4_super_kmer_dedup": window_dedup.query,
         "op5_best_fit_packing": packing.query,
         "op6_source_mixing": mixing.query,
         "op8_lookup_sharding": sharding.query,
