@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import mixing, packing, pii, quality, sharding, suffix_dedup, vectors, window_dedup
+from tidemark.llm import jaccard, mixing, packing, pii, quality, sharding, suffix_dedup, vectors, window_dedup
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_best_fit_packing": packing.query,
         "op6_source_mixing": mixing.query,
         "op8_lookup_sharding": sharding.query,
+        "op9_grouped_prefix_join": jaccard.query,
         "op10_quantised_vectors": vectors.query,
     }
 

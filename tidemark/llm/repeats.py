@@ -53,11 +53,14 @@ def runs(values: np.ndarray, bounds: np.ndarray, span: int, gram: int) -> tuple[
     return hashes[anchor[new].astype(np.int64)].view(np.int64), row, first - bounds[row], count
 
 
-def _combined(key: np.ndarray, owner: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
+def _combined(key: np.ndarray, owner: np.ndarray, times: np.ndarray, distinct: bool = False) -> pa.RecordBatch:
     """One row per (key, owner) of what a task has gathered; state 2 is known to be repeated and has an earlier owner
     here, 1 is known to be repeated, 0 is yet to be seen."""
     order = np.lexsort((owner, key))
     key, owner, times = key[order], owner[order], times[order]
+    if distinct and len(key):
+        new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])]))
+        key, owner, times = key[new], owner[new], times[new]
     first = np.concatenate([[True], key[1:] != key[:-1]])
     alone = first & np.concatenate([first[1:], [True]])
     state = np.where(first, np.where(alone & (times < 2), 0, 1), 2).astype(np.int8)
@@ -67,22 +70,23 @@ def _combined(key: np.ndarray, owner: np.ndarray, times: np.ndarray) -> pa.Recor
     return pa.RecordBatch.from_arrays([pa.array(key), pa.array(owner), pa.array(times.astype(np.int32)), pa.array(state)], names=["h", "owner", "n", "state"])
 
 
-def gathered(parts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    """Combine (key, owner, times) arrays of a task, some millions at once."""
+def gathered(parts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], distinct: bool = False) -> Iterator[pa.RecordBatch]:
+    """Combine (key, owner, times) arrays of a task, a million or so at once. distinct: one owner with a key in several
+    rows has it once, else each row counts."""
     held: list[tuple] = []
     for part in parts:
         held.append(part)
         if sum(len(x[0]) for x in held) >= GATHER:
-            yield _combined(*(np.concatenate(x) for x in zip(*held)))
+            yield _combined(*(np.concatenate(x) for x in zip(*held)), distinct)
             held = []
     if held and sum(len(x[0]) for x in held):
-        yield _combined(*(np.concatenate(x) for x in zip(*held)))
+        yield _combined(*(np.concatenate(x) for x in zip(*held)), distinct)
 
 
 SCHEMA = "h long, owner long, n int, state byte"
 
 
-def repeated(rows: DataFrame) -> DataFrame:
+def repeated(rows: DataFrame, distinct: bool = False) -> DataFrame:
     """(h, owner, n, later) of all keys that occur more than once in rows of SCHEMA from gathered().
 
     One shuffle and no hot task: of the rows of a key that a task has gathered, those with the smallest owner meet the
@@ -98,6 +102,11 @@ def repeated(rows: DataFrame) -> DataFrame:
         h, owner, n, state = (t.column(i).to_numpy() for i in range(4))
         order = np.lexsort((owner, h))
         h, owner, n, state = h[order], owner[order], n[order], state[order]
+        if distinct:
+            order = np.lexsort((-state, owner, h))
+            h, owner, n, state = h[order], owner[order], n[order], state[order]
+            new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])]))
+            h, owner, n, state = h[new], owner[new], n[new], state[new]
         meets = state < 2
         k, o, s = h[meets], owner[meets], state[meets]
         first = np.concatenate([[True], k[1:] != k[:-1]]) if len(k) else np.zeros(0, bool)
