@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import jaccard, mixing, packing, pii, quality, sharding, suffix_dedup, vectors, window_dedup
+from tidemark.llm import cotraining, jaccard, mixing, packing, pii, quality, sharding, suffix_dedup, vectors, window_dedup
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_super_kmer_dedup": window_dedup.query,
         "op5_best_fit_packing": packing.query,
         "op6_source_mixing": mixing.query,
+        "op7_cotraining": cotraining.query,
         "op8_lookup_sharding": sharding.query,
         "op9_grouped_prefix_join": jaccard.query,
         "op10_quantised_vectors": vectors.query,
