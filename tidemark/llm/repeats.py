@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import gram_hash, map_arrow, shuffle_partitions, slide_min
 
 #: Rows that a task gathers before it combines them, and what a key's runs may number to be compared in one place.
-GATHER, MOST_RUNS = 1_500_000, 250
+GATHER, MOST_RUNS = 1_500_000, 2000
 
 
 def runs(values: np.ndarray, bounds: np.ndarray, span: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -131,3 +131,13 @@ def lists(found: DataFrame) -> DataFrame:
         F.collect_list(F.when(F.col("runs") <= MOST_RUNS, F.col("h"))).alias("few"),
         F.collect_list(F.when(F.col("runs") > MOST_RUNS, F.col("h"))).alias("many"),
     )
+
+
+def collapsed(h: np.ndarray, segs: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(code, rep, several): code of each string, equal strings having equal codes; the first row with each code; and
+    the codes in buckets of several different strings, which alone can share windows without being equal. (Windows of
+    one run have different places of the minimiser, so that no string repeats a window of its own.)"""
+    code = segs.dictionary_encode().indices.to_numpy()
+    _, rep = np.unique(code, return_index=True)
+    bucket, where = np.unique(h[rep], return_inverse=True)
+    return code, rep, np.flatnonzero(np.bincount(where, minlength=len(bucket))[where] > 1)

@@ -160,36 +160,52 @@ def _bucketed(segments: DataFrame, length: int) -> DataFrame:
     """(key, start, stop, later): runs of window starts that occur more than once; later if they have an earlier match."""
 
     def sort(t: pa.Table) -> pa.RecordBatch | None:
-        raw, bounds = text_buffer(t.column("seg"))
-        n = len(bounds) - 1
         first = t.column("first").to_numpy()
+        code, rep, sorted_ = repeats.collapsed(t.column("h").to_numpy(), t.column("seg").combine_chunks())
+        size = np.diff(text_buffer(t.column("seg"))[1]) - length + 1
+        copy = rep[code] != np.arange(len(code))
+        shared = np.zeros(len(rep), bool)
+        shared[code[copy]] = True
+        # strings that stand in several places are repeated as they are: later copies whole, their first place too
+        rows, starts, stops, later = [np.flatnonzero(copy)], [first[copy]], [(first + size)[copy]], [np.ones(int(copy.sum()), bool)]
+        plain = rep[shared]
+        rows, starts, stops, later = rows + [plain], starts + [first[plain]], stops + [(first + size)[plain]], later + [np.zeros(len(plain), bool)]
+        if len(sorted_):
+            at, start, stop, late = ordered(t.column("seg").combine_chunks().take(pa.array(rep[sorted_])))
+            at = rep[sorted_[at]]
+            rows, starts, stops, later = rows + [at], starts + [start + first[at]], stops + [stop + first[at]], later + [late]
+        row = np.concatenate(rows)
+        if not len(row):
+            return None
+        arrays = [pa.array(np.concatenate(x)) for x in (starts, stops, later)]
+        return pa.RecordBatch.from_arrays([t.column("key").combine_chunks().take(pa.array(row)), *arrays], names=["key", "start", "stop", "later"])
+
+    def ordered(segs: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(string, start, stop, later): repeated window starts among different strings, from their suffix array."""
+        raw, bounds = text_buffer(segs)
         rank = suffix_ranks(raw, length)
         bad = np.zeros(len(raw) + 1, np.int32)
         bad[bounds[1:] - length + 1] += 1
         bad[bounds[1:]] -= 1
         at = np.flatnonzero(np.cumsum(bad[:-1])[: len(rank)] == 0)
-        # suffix order; equal strings by place, so that neighbours in a tie are the nearest earlier and later matches
+        # suffix order; equal strings by place
         order = at[np.lexsort((at, rank[at]))]
         r = rank[order]
         tie = np.concatenate([[False], r[1:] == r[:-1]])
+        repeated = tie | np.concatenate([tie[1:], [False]])
+        # the rest of the order has no match of this length; of these, the longest previous factor reaches `length`
+        # where the nearest smaller position before shares the string
+        order, r = order[repeated], r[repeated]
         previous, _ = smaller_neighbours(order)
-        # the longest previous factor reaches `length` if the smaller position before, in this order, shares the string
-        later = tie & (previous >= 0) & (r[previous] == r)
-        repeated = later | np.concatenate([tie[1:], [False]])
+        late = (previous >= 0) & (r[previous] == r)
         state = np.zeros(len(raw), np.int8)
-        state[order[repeated]] = 1
-        state[order[later]] = 2
+        state[order] = np.where(late, 2, 1)
         hit = np.flatnonzero(state)
-        if not len(hit):
-            return None
         row = np.searchsorted(bounds, hit, side="right") - 1
-        new = np.flatnonzero(np.concatenate([[True], (hit[1:] != hit[:-1] + 1) | (row[1:] != row[:-1]) | (state[hit[1:]] != state[hit[:-1]])]))
+        new = np.flatnonzero(np.concatenate([[True], (hit[1:] != hit[:-1] + 1) | (row[1:] != row[:-1]) | (state[hit[1:]] != state[hit[:-1]])])[: len(hit)])
         size = np.diff(np.concatenate([new, [len(hit)]]))
-        start = hit[new] - bounds[row[new]] + first[row[new]]
-        return pa.RecordBatch.from_arrays(
-            [t.column("key").combine_chunks().take(pa.array(row[new])) if isinstance(t.column("key"), pa.ChunkedArray) else t.column("key").take(pa.array(row[new])), pa.array(start), pa.array(start + size), pa.array(state[hit[new]] == 2)],
-            names=["key", "start", "stop", "later"],
-        )
+        start = hit[new] - bounds[row[new]]
+        return row[new], start, start + size, state[hit[new]] == 2
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
