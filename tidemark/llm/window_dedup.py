@@ -93,30 +93,51 @@ def _bucketed(packed: DataFrame, window: int) -> DataFrame:
     """(key, start, stop): runs of window starts whose words also start in a smaller doc_id."""
 
     def sort(t: pa.Table) -> pa.RecordBatch | None:
-        raw, bounds = text_buffer(t.column("seg"))
+        owner, first = t.column("first_id").to_numpy(), t.column("first").to_numpy()
+        segs = t.column("seg").combine_chunks()
+        code, rep, several = repeats.collapsed(t.column("h").to_numpy(), segs)
+        least = np.full(len(rep), NO_ID)
+        np.minimum.at(least, code, owner)
+        # an equal string in a smaller document: all its windows are there
+        copy = np.flatnonzero(owner > least[code])
+        raw, bounds = text_buffer(segs)
+        spaces = np.concatenate([[0], np.cumsum(raw == 32)])
+        windows = spaces[bounds[1:]] - spaces[bounds[:-1]] - window + 1
+        rows, starts, stops = [copy], [first[copy]], [(first + windows)[copy]]
+        if len(several):
+            at, start, stop = ordered(segs.take(pa.array(rep[several])), least[several])
+            # these hold for the rows of that string with its smallest doc_id
+            mine = np.flatnonzero(owner == least[code])
+            mine = mine[np.argsort(code[mine], kind="stable")]
+            low = np.searchsorted(code[mine], several[at], side="left")
+            many = np.searchsorted(code[mine], several[at], side="right") - low
+            row = mine[np.arange(many.sum()) + np.repeat(low - (np.cumsum(many) - many), many)] if len(at) else np.zeros(0, np.int64)
+            rows, starts, stops = rows + [row], starts + [np.repeat(start, many) + first[row]], stops + [np.repeat(stop, many) + first[row]]
+        row = np.concatenate(rows)
+        if not len(row):
+            return None
+        return pa.RecordBatch.from_arrays([t.column("key").combine_chunks().take(pa.array(row)), *(pa.array(np.concatenate(x)) for x in (starts, stops))], names=["key", "start", "stop"])
+
+    def ordered(segs: pa.Array, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(string, start, stop): windows of different strings that also stand in one with a smaller owner."""
+        raw, bounds = text_buffer(segs)
         space = np.flatnonzero(raw == 32)
-        solid = raw[raw != 32]
         offsets = np.concatenate([[0], space - np.arange(len(space))]).astype(np.int32)
-        words = pa.Array.from_buffers(pa.binary(), len(space), [None, pa.py_buffer(offsets), pa.py_buffer(solid)])
-        numbers = words.dictionary_encode().indices.to_numpy()
-        rank = window_ranks(numbers, window)
+        words = pa.Array.from_buffers(pa.binary(), len(space), [None, pa.py_buffer(offsets), pa.py_buffer(raw[raw != 32])])
+        rank = window_ranks(words.dictionary_encode().indices.to_numpy(), window)
         edge = np.searchsorted(space, bounds)  # words before each string
         row = np.repeat(np.arange(len(bounds) - 1), np.diff(edge))[: len(rank)]
         at = np.flatnonzero(np.arange(len(rank)) + window <= edge[row + 1])
-        owner = t.column("first_id").to_numpy()[row[at]]
-        order = np.lexsort((owner, rank[at]))
-        r, o = rank[at][order], owner[order]
+        order = np.lexsort((owner[row[at]], rank[at]))
+        r, o = rank[at][order], owner[row[at]][order]
         new = np.concatenate([[True], r[1:] != r[:-1]])
         least = o[np.maximum.accumulate(np.where(new, np.arange(len(r)), 0))]
         hit = np.sort(at[order[o > least]])
-        if not len(hit):
-            return None
         row = row[hit]
-        cut = np.flatnonzero(np.concatenate([[True], (hit[1:] != hit[:-1] + 1) | (row[1:] != row[:-1])]))
+        cut = np.flatnonzero(np.concatenate([[True], (hit[1:] != hit[:-1] + 1) | (row[1:] != row[:-1])])[: len(hit)])
         size = np.diff(np.concatenate([cut, [len(hit)]]))
-        start = hit[cut] - edge[row[cut]] + t.column("first").to_numpy()[row[cut]]
-        key = t.column("key").combine_chunks().take(pa.array(row[cut]))
-        return pa.RecordBatch.from_arrays([key, pa.array(start), pa.array(start + size)], names=["key", "start", "stop"])
+        start = hit[cut] - edge[row[cut]]
+        return row[cut], start, start + size
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
