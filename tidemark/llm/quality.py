@@ -159,7 +159,9 @@ def keep_good(docs: DataFrame) -> DataFrame:
     whole = docs.withColumn("__row", F.struct(*columns)).select("__row", F.col("text"))
     voted = measured(whole, "__row").withColumns(rules)
     base_failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    return voted.where(~base_failed & (posterior(good, accuracy) >= KEEP_AT)).select("__row.*")
+    kept = ~base_failed & (posterior(good, accuracy) >= KEEP_AT)
+    # a generator, as a filter would be pushed below the statistics, which then are computed once for each use
+    return voted.select("__row", F.explode(F.when(kept, F.array(F.lit(1))))).select("__row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
