@@ -10,6 +10,8 @@ first, best fit. Pieces find their places by their rank within their length.
 
 from __future__ import annotations
 
+import functools
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -46,6 +48,7 @@ class _Words:
     """Token ids of the parts of texts, each part encoded once."""
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; more threads only take memory
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -110,6 +113,12 @@ class _Words:
         return store[places], np.concatenate([[0], ends_out])[row]
 
 
+@functools.cache
+def _words(path: str) -> _Words:
+    """One tokenizer and one memory of words for all tasks of a Python worker."""
+    return _Words(path)
+
+
 def tokenised(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """Pieces of all documents: (doc_id, piece, start, length, ids_crc32[, ids]).
 
@@ -120,7 +129,7 @@ def tokenised(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bo
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words(path)
+        words = _words(path)
         for batch in batches:
             for part in slices(batch, "text"):
                 ids, bounds = words.encode(part.column(1))
