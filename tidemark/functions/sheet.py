@@ -49,7 +49,10 @@ class Sheet:
     def roll(self, f: str, x: str, n: int, before: int = 0) -> str:
         """f of the n values of x that end `before` rows back; NULL unless all n are known."""
         frame = self.over(n - 1 + before, before)
-        return self.let(f"{f}_{x}_{n}" + (f"_b{before}" if before else ""), f"CASE WHEN count({x}) {frame} = {n} THEN {f}({x}) {frame} END")
+        value = f"{f}({x}) {frame}"
+        if f.startswith("stddev"):  # of a window of equal values, but for rounding
+            value = f"CASE WHEN {value} < 1e-9 THEN 0e0 ELSE {value} END"
+        return self.let(f"{f}_{x}_{n}" + (f"_b{before}" if before else ""), f"CASE WHEN count({x}) {frame} = {n} THEN {value} END")
 
     def pair(self, f: str, y: str, x: str, n: int) -> str:
         """f(y, x), such as corr or regr_slope, of n rows in which both are known."""
@@ -109,5 +112,5 @@ class Sheet:
             if names := [n for n in layer if n in needed]:
                 steps.append(f"layer{k} AS (SELECT *, {', '.join(f'{ansi(self.text[n])} AS {n}' for n in names)} FROM {last})")
                 last = f"layer{k}"
-        columns = ", ".join([*keep, *(n if rounded is None else f"round({n}, {rounded}) + 0 AS {n}" for n in self.outs)])
+        columns = ", ".join([*keep, *(n if rounded is None else f"CASE WHEN abs({n}) < 1e9 THEN round({n}, {rounded}) ELSE round({n}, 0) END + 0 AS {n}" for n in self.outs)])
         return ", ".join(steps) + f" SELECT {columns} FROM {last}"

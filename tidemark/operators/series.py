@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from tidemark.functions.sheet import Sheet
 
 #: Rows of a chunk without its halo, and minutes of the blocks that rows are counted in.
-CHUNK, BLOCK = 20_000, 1440
+CHUNK, BLOCK = 10_000, 1440
 
 
 def indexed(bars: DataFrame) -> DataFrame:

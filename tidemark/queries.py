@@ -34,7 +34,8 @@ def query(name: str, sql: str | None = None):
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles rounded, and -0 made 0, so that results of two engines can be held against each other."""
-    return df.select(*[(F.round(c, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    near = lambda c: F.when(F.abs(c) < 1e9, F.round(c, digits)).otherwise(F.round(c, 0)) + F.lit(0.0)
+    return df.select(*[near(c).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 def _r(*names: str) -> str:
@@ -564,21 +565,21 @@ def _two(sql: str) -> str:
 
 @query(
     "proto_selector",
-    _two("""SELECT cycle_id, policy, policy_index, selector_total_episode_count, selector_active_fold_count, selector_failed_constraints, round(selector_total_net_pl_bps, 4) + 0 AS selector_total_net_pl_bps,
-    round(selector_worst_fold_net_pl_bps, 4) + 0 AS selector_worst_fold_net_pl_bps, round(selector_median_fold_net_pl_bps, 4) + 0 AS selector_median_fold_net_pl_bps, round(selector_raw_score, 4) + 0 AS selector_raw_score, round(robust_score, 4) + 0 AS robust_score FROM candidates"""),
+    _two("""SELECT cycle_id, policy, policy_index, selector_total_episode_count, selector_active_fold_count, selector_failed_constraints, round(selector_total_net_pl_bps, 5) + 0 AS selector_total_net_pl_bps,
+    round(selector_worst_fold_net_pl_bps, 5) + 0 AS selector_worst_fold_net_pl_bps, round(selector_median_fold_net_pl_bps, 5) + 0 AS selector_median_fold_net_pl_bps, round(selector_raw_score, 5) + 0 AS selector_raw_score, round(robust_score, 5) + 0 AS robust_score FROM candidates"""),
 )
 def _selector(spark, sf):
-    return rounded(_candidates(spark, sf), 4)
+    return rounded(_candidates(spark, sf), 5)
 
 
-@query("proto_chosen", _two("SELECT cycle_id, arg_max(policy, robust_score) AS policy, round(max(robust_score), 4) + 0 AS robust_score FROM candidates GROUP BY cycle_id"))
+@query("proto_chosen", _two("SELECT cycle_id, arg_max(policy, robust_score) AS policy, round(max(robust_score), 5) + 0 AS robust_score FROM candidates GROUP BY cycle_id"))
 def _chosen(spark, sf):
-    return rounded(research.chosen(_candidates(spark, sf)), 4)
+    return rounded(research.chosen(_candidates(spark, sf)), 5)
 
 
-@query("proto_lofo_deltas", _two("SELECT cycle_id, policy, family, round(robust_score, 4) + 0 AS robust_score, round(full_score, 4) + 0 AS full_score, round(delta, 4) + 0 AS delta FROM deltas"))
+@query("proto_lofo_deltas", _two("SELECT cycle_id, policy, family, round(robust_score, 5) + 0 AS robust_score, round(full_score, 5) + 0 AS full_score, round(delta, 5) + 0 AS delta FROM deltas"))
 def _deltas(spark, sf):
-    return rounded(research.ablation_deltas(_candidates(spark, sf)), 4)
+    return rounded(research.ablation_deltas(_candidates(spark, sf)), 5)
 
 
 @query("proto_combined_drop", _two("SELECT cycle_id, string_agg(family, ',' ORDER BY delta DESC, family) AS drop_families, count(*) AS drop_family_count FROM deltas WHERE delta > 0 GROUP BY cycle_id"))
