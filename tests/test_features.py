@@ -86,7 +86,7 @@ def test_no_look_ahead_and_scale(spark):
 
 
 def test_closed_bars(spark):
-    pdf = walk(60, gaps=True)
+    pdf = walk(120, gaps=True)
     bars = spark.createDataFrame(pdf)
     closed = resampled(bars, 15)
     seen = last_closed(bars.select("symbol", "minute"), closed, 15, ["close"]).toPandas().set_index("minute")["close"]

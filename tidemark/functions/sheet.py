@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 
 _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
+_BACK = re.compile(r"BETWEEN (\d+) PRECEDING|lag\(\w+, (\d+)\)")
 
 
 @dataclass
@@ -24,7 +25,7 @@ class Sheet:
     level: dict[str, int] = field(default_factory=dict)
     text: dict[str, str] = field(default_factory=dict)
     outs: dict[str, str] = field(default_factory=dict)
-    reach: int = 0
+    look: dict[str, int] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         self.level |= dict.fromkeys(self.base, 0)
@@ -34,6 +35,8 @@ class Sheet:
         if name not in self.level:
             self.level[name] = 1 + max([self.level[n] for n in set(_NAME.findall(sql)) if n in self.level], default=0)
             self.text[name] = sql
+            own = max([int(a or b) for a, b in _BACK.findall(sql)], default=0)
+            self.look[name] = own + max([self.look.get(n, 0) for n in set(_NAME.findall(sql)) if n in self.look], default=0)
         return name
 
     def out(self, name: str, sql: str) -> None:
@@ -43,7 +46,6 @@ class Sheet:
         self.outs[name] = self.let(name, sql)
 
     def over(self, before: int, to: int) -> str:
-        self.reach = max(self.reach, before)
         return f"OVER (@ORDER ROWS BETWEEN {before} PRECEDING AND {'CURRENT ROW' if to == 0 else f'{to} PRECEDING'})"
 
     def roll(self, f: str, x: str, n: int, before: int = 0) -> str:
@@ -68,7 +70,6 @@ class Sheet:
         return self.let(f"since_{f}_{x}_{n}", f"CASE WHEN count({x}) {frame} = {n} THEN cast(idx {'+' if f == 'max' else '-'} {got} AS double) END")
 
     def lag(self, x: str, k: int = 1) -> str:
-        self.reach = max(self.reach, k)
         return self.let(f"lag_{x}_{k}", f"lag({x}, {k}) OVER (@ORDER)")
 
     def layers(self) -> list[list[str]]:
@@ -76,8 +77,8 @@ class Sheet:
         return [[n for n in self.text if self.level[n] == k] for k in range(1, top + 1)]
 
     def depth(self) -> int:
-        """Rows of context that the deepest chain of windows may need."""
-        return self.reach * max(1, len(self.layers()) - 1)
+        """Rows before a row that its values may depend on, through windows of windows."""
+        return max([self.look[n] for n in self.outs], default=0)
 
     def _needed(self) -> set[str]:
         needed, todo = set(), list(self.outs)

@@ -42,7 +42,7 @@ def manifest(families: tuple[str, ...], columns: list[str]) -> list[FeatureSpec]
     for f in families:
         if f in FAMILIES:
             sheet = sheet_of(f)
-            out += [FeatureSpec(c, f, sheet.reach + 1) for c in sheet.outs if c in left]
+            out += [FeatureSpec(c, f, sheet.look[c] + 1) for c in sheet.outs if c in left]
         else:
             prefix = {"anchored_timeframe_candle": "atc_", "anchored_timeframe_candle_lite": "atcl_", "anchored_timeframe_indicators": "ati_"}[f]
             for c in left:
