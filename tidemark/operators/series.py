@@ -65,14 +65,14 @@ def resampled(bars: DataFrame, minutes: int) -> DataFrame:
     return out.withColumn("close_minute", (F.col("bucket") + 1) * minutes)
 
 
-def last_closed(bars: DataFrame, closed: DataFrame, minutes: int, columns: list[str]) -> DataFrame:
+def last_closed(bars: DataFrame, closed: DataFrame, minutes: int, columns: list[str], minutes_of: DataFrame | None = None) -> DataFrame:
     """bars with `columns` of the last bar of `closed` that had closed by the row's minute.
 
     A row lies in one period; the last closed one is the period before it among those that have a row of `closed`, so
     that an equi-join on periods does, after a look at the neighbour in the short series. The whole row is taken over,
-    NULLs included.
+    NULLs included. minutes_of is a cheaper table with the same (symbol, minute), if bars is itself computed at length.
     """
-    periods = bars.select("symbol", F.floor(F.col("minute") / minutes).cast("long").alias("bucket")).distinct()
+    periods = (bars if minutes_of is None else minutes_of).select("symbol", F.floor(F.col("minute") / minutes).cast("long").alias("bucket")).distinct()
     short = periods.join(closed.select("symbol", "bucket", F.struct(*columns).alias("__row")), ["symbol", "bucket"], "left")
     before = Window.partitionBy("symbol").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     short = short.withColumn("__row", F.last("__row", ignorenulls=True).over(before))

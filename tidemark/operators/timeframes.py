@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -120,50 +122,59 @@ def candle_sql(bars: str, tfs: tuple[int, ...], levels: tuple[int, ...], sheet_o
     return ", ".join(ctes) + f" SELECT {first}.symbol, {first}.minute, {', '.join(selects)} FROM {first} {rest}"
 
 
-def _indicator_sheet(tf: int) -> Sheet:
+def _indicator_sheet() -> Sheet:
     s = Sheet((*_BASE, "ema10", "ema20", "ema50", "macd", "macd_signal"))
-    p = f"ati_{tf}m_"
     for n in (10, 20, 50):
-        s.out(f"{p}ema{n}_dist_bps", bps("close", f"ema{n}"))
-        s.out(f"{p}ema{n}_slope_bps", bps(f"ema{n}", s.lag(f"ema{n}")))
-    s.out(f"{p}ema10_vs_ema20_bps", bps("ema10", "ema20"))
-    s.out(f"{p}ema20_vs_ema50_bps", bps("ema20", "ema50"))
+        s.out(f"ema{n}_dist_bps", bps("close", f"ema{n}"))
+        s.out(f"ema{n}_slope_bps", bps(f"ema{n}", s.lag(f"ema{n}")))
+    s.out("ema10_vs_ema20_bps", bps("ema10", "ema20"))
+    s.out("ema20_vs_ema50_bps", bps("ema20", "ema50"))
     before = s.lag("close")
     s.let("true_range", f"greatest(high - low, abs(high - {before}), abs(low - {before}))")
     atr = s.roll("avg", "true_range", 14)
-    s.out(f"{p}atr14_bps", f"({div(atr, 'close')}) * 1e4")
-    s.out(f"{p}range_over_atr14", div("high - low", atr))
+    s.out("atr14_bps", f"({div(atr, 'close')}) * 1e4")
+    s.out("range_over_atr14", div("high - low", atr))
     s.let("gain", f"CASE WHEN close > {before} THEN close - {before} WHEN {before} IS NOT NULL THEN 0e0 END")
     s.let("loss", f"CASE WHEN close < {before} THEN {before} - close WHEN {before} IS NOT NULL THEN 0e0 END")
     up, down = s.roll("avg", "gain", 14), s.roll("avg", "loss", 14)
-    s.out(f"{p}rsi14", f"CASE WHEN {up} = 0 AND {down} = 0 THEN 5e1 WHEN {down} = 0 THEN 1e2 WHEN {up} = 0 THEN 0e0 ELSE 1e2 - 1e2 / (1e0 + {up} / {down}) END")
-    s.out(f"{p}rsi14_centered", f"({p}rsi14 - 5e1) / 5e1")
+    s.out("rsi14", f"CASE WHEN {up} = 0 AND {down} = 0 THEN 5e1 WHEN {down} = 0 THEN 1e2 WHEN {up} = 0 THEN 0e0 ELSE 1e2 - 1e2 / (1e0 + {up} / {down}) END")
+    s.out("rsi14_centered", "(rsi14 - 5e1) / 5e1")
     mid, std = s.roll("avg", "close", 20), s.roll("stddev_pop", "close", 20)
-    s.out(f"{p}bb20_z", div(f"close - {mid}", std))
-    s.out(f"{p}bb20_width_bps", f"CASE WHEN {std} <> 0 THEN ({div(f'4e0 * {std}', 'close')}) * 1e4 END")
-    s.out(f"{p}bb20_position", div(f"close - ({mid} - 2e0 * {std})", f"4e0 * {std}"))
-    s.out(f"{p}macd_bps", f"({div('macd', 'close')}) * 1e4")
-    s.out(f"{p}macd_signal_bps", f"({div('macd_signal', 'close')}) * 1e4")
-    s.out(f"{p}macd_hist_bps", f"({div('macd - macd_signal', 'close')}) * 1e4")
+    s.out("bb20_z", div(f"close - {mid}", std))
+    s.out("bb20_width_bps", f"CASE WHEN {std} <> 0 THEN ({div(f'4e0 * {std}', 'close')}) * 1e4 END")
+    s.out("bb20_position", div(f"close - ({mid} - 2e0 * {std})", f"4e0 * {std}"))
+    s.out("macd_bps", f"({div('macd', 'close')}) * 1e4")
+    s.out("macd_signal_bps", f"({div('macd_signal', 'close')}) * 1e4")
+    s.out("macd_hist_bps", f"({div('macd - macd_signal', 'close')}) * 1e4")
     return s
 
 
-def indicators(bars: DataFrame, tf: int) -> DataFrame:
-    """Moving averages, ATR, RSI, Bollinger bands and MACD of the last closed bar of `tf` minutes."""
-    closed = indexed(resampled(bars, tf).withColumn("minute", F.col("bucket"))).drop("bucket", "close_minute")
-    means = ewm(closed, "close", {"ema10": 10, "ema20": 20, "ema50": 50, "fast": 12, "slow": 26})
+def indicators(bars: DataFrame, *tfs: int) -> DataFrame:
+    """Moving averages, ATR, RSI, Bollinger bands and MACD of the last closed bar of each timeframe.
+
+    The closed bars of all timeframes are series of one table, so that numbering, means and windows run once.
+    """
+    parts = [
+        resampled(bars, tf).select(F.concat_ws("|", "symbol", F.lit(tf)).alias("symbol"), F.col("bucket").alias("minute"), *OHLCV) for tf in tfs
+    ]
+    # what is read more than once is kept: rows are closed bars, a fraction of the minutes but for the one-minute series
+    closed = indexed(reduce(DataFrame.unionByName, parts)).persist()
+    means = ewm(closed, "close", {"ema10": 10, "ema20": 20, "ema50": 50, "fast": 12, "slow": 26}).persist()
     macd = means.where("fast IS NOT NULL AND slow IS NOT NULL").select("symbol", (F.col("idx") - 25).alias("idx"), (F.col("fast") - F.col("slow")).alias("macd"))
     signal = ewm(macd, "macd", {"macd_signal": 9}).withColumn("idx", F.col("idx") + 25)
-    whole = means.join(signal, ["symbol", "idx"], "left")
-    sheet = _indicator_sheet(tf)
-    values = with_sheet(whole.drop("idx", "fast", "slow"), sheet, ("symbol", "minute"))
-    seen = last_closed(bars.select("symbol", "minute"), values.withColumnRenamed("minute", "bucket"), tf, list(sheet.outs))
-    return seen
+    whole = means.join(signal, ["symbol", "idx"], "left").drop("idx", "fast", "slow")
+    sheet = _indicator_sheet()
+    values = with_sheet(whole, sheet, ("symbol", "minute")).persist()  # read once for each timeframe
+    out = bars.select("symbol", "minute")
+    for tf in tfs:
+        names = [f"ati_{tf}m_{c}" for c in sheet.outs]
+        own = values.where(F.col("symbol").endswith(f"|{tf}")).select(
+            F.regexp_replace("symbol", "[|][0-9]+$", "").alias("symbol"),
+            F.col("minute").alias("bucket"), *[F.col(c).alias(n) for c, n in zip(sheet.outs, names)],
+        )
+        out = last_closed(out, own, tf, names, bars)
+    return out
 
 
 def anchored_timeframe_indicators(bars: DataFrame) -> DataFrame:
-    out = None
-    for tf in TIMEFRAMES:
-        part = indicators(bars, tf)
-        out = part if out is None else out.join(part, ["symbol", "minute"])
-    return out
+    return indicators(bars, *TIMEFRAMES)

@@ -180,9 +180,16 @@ def _matrix(spark, sf):
     return matrix.build(dense_bars(spark, sf), SETS["v3b"])
 
 
-@query("agg_null_rates")
+_RATED = sheet_of("return_path", "volatility")
+
+
+@query(
+    "agg_null_rates",
+    f"WITH {DENSE_SQL}, f AS (WITH {_RATED.sql('bars', ('symbol', 'minute'))}) "
+    + " UNION ALL ".join(f"SELECT '{c}' AS feature, round(avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END), 6) + 0 AS null_rate FROM f" for c in _RATED.outs),
+)
 def _null_rates(spark, sf):
-    return matrix.null_rates(with_sheet(dense_bars(spark, sf), sheet_of("return_path", "volatility")))
+    return rounded(matrix.null_rates(with_sheet(dense_bars(spark, sf), sheet_of("return_path", "volatility"))))
 
 
 # --- labels -------------------------------------------------------------------------------------------------------
@@ -414,11 +421,11 @@ def _episodes(spark, sf, threshold: float = 20.0) -> DataFrame:
     return simulate.fixed_hold_episodes(simulate.fixed_hold(rows, HOLD, COOLDOWN), HOLD)
 
 
-def _sim_sql(threshold: float, name: str) -> str:
+def _sim_sql(threshold: float | str, name: str, source: str = "scored") -> str:
     """The greedy picks of each fold: the next candidate at least hold + 1 + cooldown minutes after the last."""
     return f"""cand_{name} AS (SELECT s.fold, s.minute, s.score, e.open AS p, x.open AS x,
       (SELECT max(high) FROM bars h WHERE h.minute BETWEEN s.minute + 1 AND s.minute + {HOLD + 1}) AS up, (SELECT min(low) FROM bars h WHERE h.minute BETWEEN s.minute + 1 AND s.minute + {HOLD + 1}) AS down
-      FROM scored s JOIN bars e ON e.minute = s.minute + 1 JOIN bars x ON x.minute = s.minute + {HOLD + 1} WHERE s.score > {threshold}),
+      FROM {source} s JOIN bars e ON e.minute = s.minute + 1 JOIN bars x ON x.minute = s.minute + {HOLD + 1} WHERE s.score > {threshold}),
     pick_{name}(fold, minute) AS (SELECT fold, min(minute) FROM cand_{name} GROUP BY fold
       UNION ALL SELECT p.fold, (SELECT min(c.minute) FROM cand_{name} c WHERE c.fold = p.fold AND c.minute >= p.minute + {1 + HOLD + COOLDOWN}) FROM pick_{name} p WHERE p.minute IS NOT NULL),
     eps_{name} AS (SELECT c.*, ln(x / p) * 1e4 AS gross FROM cand_{name} c JOIN pick_{name} k ON k.fold = c.fold AND k.minute = c.minute)"""
@@ -587,17 +594,27 @@ def _combined(spark, sf):
     return research.combined_drops(research.ablation_deltas(_candidates(spark, sf))).withColumn("drop_families", F.array_join("drop_families", ","))
 
 
-@query("grid_sweep")
+_GRID = f"""{_SCORED}, grid AS (SELECT unnest(range(0, 180, 5)) AS t), tagged AS (SELECT 'thr_' || t || '|' || fold AS fold, minute, score, CAST(t AS DOUBLE) AS thr FROM scored, grid WHERE score > t),
+  every_fold AS (SELECT DISTINCT 'thr_' || t || '|' || fold AS fold FROM scored, grid), {_sim_sql("s.thr", "a", "tagged")}"""
+
+
+@query("grid_sweep", _recursive(_wrap("SELECT split_part(fold, '|', 1) AS params, split_part(fold, '|', 2) AS fold, * EXCLUDE (fold) FROM (" + _METRIC_SQL.replace("(SELECT DISTINCT fold FROM scored)", "every_fold") + ")", ("params", "fold", "episode_count"), _METRIC_NAMES, _GRID)))
 def _sweep(spark, sf):
     bars, scored, _ = _scored(spark, sf)
     grid = spark.createDataFrame([(f"thr_{t}", float(t)) for t in range(0, 180, 5)], "params string, threshold double")
-    return research.sweep(scored.where("fold IS NOT NULL"), simulate.path_stats(bars, HOLD), grid, HOLD, COOLDOWN)
+    out = research.sweep(scored.where("fold IS NOT NULL"), simulate.path_stats(bars, HOLD), grid, HOLD, COOLDOWN)
+    return rounded(out.select("params", "fold", "episode_count", *_METRIC_NAMES))
+
+
+_REPLAY = f"""{_SCORED}, {_HISTORY}, thr AS (SELECT fold, greatest(quantile_cont(score, 0.95), 0e0) AS thr FROM past GROUP BY fold HAVING count(score) >= 100),
+  ruled AS (SELECT scored.*, thr FROM scored JOIN thr ON thr.fold = scored.fold), {_sim_sql("s.thr", "a", "ruled")}"""
 
 
-@query("proto_replay")
+@query("proto_replay", _recursive(_wrap(_EPISODE_SQL, ("fold", "episode_id", "entry_minute", "exit_exec_minute"), _EPISODE_NAMES, _REPLAY)))
 def _replay(spark, sf):
     bars, scored, m = _scored(spark, sf)
-    return research.replay(scored.where("fold IS NOT NULL"), _past(scored, m), simulate.path_stats(bars, HOLD), 0.95, 0.0, 100, HOLD, COOLDOWN)
+    out = research.replay(scored.where("fold IS NOT NULL"), _past(scored, m), simulate.path_stats(bars, HOLD), 0.95, 0.0, 100, HOLD, COOLDOWN)
+    return rounded(out.select("fold", "episode_id", "entry_minute", "exit_exec_minute", *_EPISODE_NAMES))
 
 
 @query("topk_recent_rows", _wrap("SELECT fold, minute, score FROM (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY minute DESC) AS k FROM scored) WHERE k <= 100", ("fold", "minute"), ["score"]))
@@ -619,9 +636,16 @@ def _oof(spark, sf):
     return models.out_of_fold(df, models.feature_columns(df, ("minute", "target")), "target", m, 60, trees=5, depth=3)
 
 
-@query("stream_closed_bars")
+@query(
+    "stream_closed_bars",
+    """SELECT CAST(floor(epoch(ts) / 3600) AS BIGINT) * 60 AS start_minute, CAST(floor(epoch(ts) / 3600) AS BIGINT) * 60 + 60 AS end_minute, round(arg_min(value, (ts, event_id)), 6) + 0 AS open, round(max(value), 6) + 0 AS high,
+    round(min(value), 6) + 0 AS low, round(arg_max(value, (ts, event_id)), 6) + 0 AS close, CAST(count(*) AS DOUBLE) AS volume FROM events GROUP BY floor(epoch(ts) / 3600)""",
+)
 def _stream(spark, sf):
+    """The plan of the stream over the table as a batch."""
     from tidemark.streaming.bars import closed_bars
 
     e = spark.read.parquet(f"{sf}/events.parquet")
-    return closed_bars(e.withColumn("ts", F.col("ts").cast("timestamp")).select("ts", "event_id", "value"), 60)
+    out = closed_bars(e.withColumn("ts", F.col("ts").cast("timestamp")).select("ts", "event_id", "value"), 60)
+    minute = lambda c: F.floor(F.unix_timestamp(c) / 60).cast("long")
+    return rounded(out.select(minute("start").alias("start_minute"), minute("end").alias("end_minute"), *_BARS))
