@@ -102,7 +102,8 @@ class Sheet:
         return df.select(*keep, *self.outs)
 
     def sql(self, source: str, keep: tuple[str, ...], rounded: int | None = 6) -> str:
-        """The same as a query over a relation `source`, outputs rounded."""
+        """The same as a query over a relation `source`, outputs rounded. A tiny number keeps shares such as 1/128, which
+        end in a 5 at the next digit, from being rounded by their last bit."""
 
         def ansi(sql: str) -> str:
             return re.sub(r"@PAIR\(([^,]+), ([^)]+)\)", r"struct_pack(a := \1, b := \2)", sql).replace("@ORDER", self.sql_order)
@@ -113,5 +114,5 @@ class Sheet:
             if names := [n for n in layer if n in needed]:
                 steps.append(f"layer{k} AS (SELECT *, {', '.join(f'{ansi(self.text[n])} AS {n}' for n in names)} FROM {last})")
                 last = f"layer{k}"
-        columns = ", ".join([*keep, *(n if rounded is None else f"CASE WHEN abs({n}) < 1e9 THEN round({n}, {rounded}) ELSE round({n}, 0) END + 0 AS {n}" for n in self.outs)])
+        columns = ", ".join([*keep, *(n if rounded is None else f"CASE WHEN abs({n}) < 1e3 THEN round({n} + 1e-9, {rounded}) WHEN abs({n}) < 1e9 THEN round({n} + 1e-9, 2) ELSE round({n}, 0) END + 0 AS {n}" for n in self.outs)])
         return ", ".join(steps) + f" SELECT {columns} FROM {last}"

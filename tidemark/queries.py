@@ -32,9 +32,10 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+def rounded(df: DataFrame, digits: int = 6, nudge: float = 0.0) -> DataFrame:
     """Doubles rounded, and -0 made 0, so that results of two engines can be held against each other."""
-    near = lambda c: F.when(F.abs(c) < 1e9, F.round(c, digits)).otherwise(F.round(c, 0)) + F.lit(0.0)
+    small = 1e3 if nudge else 1e9  # features: large ones to fewer digits, so that their last bits do not tell
+    near = lambda c: F.when(F.abs(c) < small, F.round(F.col(c) + nudge, digits)).when(F.abs(c) < 1e9, F.round(F.col(c) + nudge, 2)).otherwise(F.round(c, 0)) + F.lit(0.0)
     return df.select(*[near(c).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
@@ -129,7 +130,7 @@ def _missing(spark, sf):
 
 # --- features -----------------------------------------------------------------------------------------------------
 def _family(spark, sf, name):
-    return rounded(with_sheet(dense_bars(spark, sf), sheet_of(name)))
+    return rounded(with_sheet(dense_bars(spark, sf), sheet_of(name)), nudge=1e-9)
 
 
 def _with(sql: str) -> str:
@@ -144,7 +145,7 @@ for _name in FAMILIES:
 
 
 def _timeframe(spark, sf, name):
-    return rounded(matrix.TIMEFRAME_FAMILIES[name](dense_bars(spark, sf)))
+    return rounded(matrix.TIMEFRAME_FAMILIES[name](dense_bars(spark, sf)), nudge=1e-9)
 
 
 for _name in matrix.TIMEFRAME_FAMILIES:
