@@ -153,6 +153,34 @@ def test_jaccard_keeps_one(spark):
     assert {72, 73, 74} <= {r["doc_id"] for r in rows}
 
 
+def brute_roots(rows, shingle, percent):
+    """Component number of each row, None for rows without words."""
+    sets, root = [], list(range(len(rows)))
+    for _, t in rows:
+        w = WORD.findall((t or "").lower())
+        sets.append({tuple(w[k : k + shingle]) for k in range(max(1, len(w) - shingle + 1))} if w else set())
+    for a in range(len(rows)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]) > 0 and root[a] != root[b]:
+                root = [root[b] if r == root[a] else r for r in root]
+    return [r if s else None for r, s in zip(root, sets)]
+
+
+def test_jaccard_keeps_one_of_each_component(spark):
+    rng = random.Random(11)
+    text = lambda n=40: " ".join(f"v{rng.randrange(900)}" for _ in range(n))
+    near = text(120)
+    rows = [(None, text()) for _ in range(6)] + [(5, text()), (5, text()), (5, text())]
+    rows += [(None, near), (None, near + " end"), (8, near + " stop"), (9, near), (8, text()), rows[0], rows[6]]
+    rows += [(None, None), (None, None), (None, " "), (5, ""), (5, "")]
+    got = jaccard.keep_one(docs(spark, rows)).collect()
+    roots = brute_roots(rows, 4, 85)
+    of = {t: r for (_, t), r in zip(rows, roots)}
+    assert Counter(of[r["text"]] for r in got if of[r["text"]] is not None) == Counter(set(roots) - {None})
+    assert sum(of[r["text"]] is None for r in got) == 5
+    assert [r["doc_id"] for r in got if of[r["text"]] == of[near]] == [8]
+
+
 # --- quality --------------------------------------------------------------------------------------------------------
 def test_quality_statistics(spark):
     rows = corpus() + [(90, "a b c a b c x"), (91, "l one\nl one\n\nl two $# a|b")]

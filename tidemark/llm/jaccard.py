@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import repeats
-from tidemark.llm.common import components, distinct_texts, gram_hash, map_arrow, materialise, padded, shuffle_partitions, slices, stream_groups, table, word_hashes, words_of
+from tidemark.llm.common import NO_ID, WORD_CLASS, components, distinct_texts, gram_hash, map_arrow, materialise, padded, shuffle_partitions, slices, stream_groups, table, word_hashes, words_of
 
 #: Words of a shingle, and the least similarity in hundredths.
 SHINGLE, PERCENT = 4, 85
@@ -220,6 +220,19 @@ def linked(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray
         label = low
 
 
+def _linked_texts(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, per, named): (doc_id, key) of each document; (class, key, n) of each text, a class being a component's
+    smallest set hash; (class, least, key) of each class of texts with words: its smallest doc_id and the text there."""
+    rows, texts = distinct_texts(docs, "jaccard_texts")
+    sets = materialise(_described(texts, shingle), "jaccard_sets")
+    chosen = materialise(candidates(texts, sets.where("n > 0"), shingle, percent), "jaccard_chosen")
+    joined = components(verified(texts, sets, chosen, shingle, percent), "jaccard_links")
+    per = sets.join(joined.withColumnRenamed("node", "owner"), "owner", "left").select("key", "n", F.coalesce("component", "owner").alias("class"))
+    firsts = texts.select("key", "first_id")
+    least = per.where("n > 0").join(firsts, "key").groupBy("class").agg(F.min(F.struct("first_id", "key")).alias("least"))
+    return rows, per, least.select("class", F.col("least.first_id").alias("least"), F.col("least.key").alias("key"))
+
+
 def classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, key) of each document.
 
@@ -227,33 +240,27 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
     sets have a Jaccard similarity of percent / 100 or more. A text of fewer words than a shingle has one element, all
     its words; null, empty and white texts have none and link with nothing. A null doc_id is never the smallest unless
     all of its component are null. Rows with equal texts are one document here. An empty table gives no rows.
+    component_id names a component, but does not tell components apart where ids are null or repeated.
     """
-    rows, texts = distinct_texts(docs, "jaccard_texts")
-    sets = materialise(_described(texts, shingle), "jaccard_sets")
-    chosen = materialise(candidates(texts, sets.where("n > 0"), shingle, percent), "jaccard_chosen")
-    joined = components(verified(texts, sets, chosen, shingle, percent), "jaccard_links")
-    per = sets.join(joined.withColumnRenamed("node", "owner"), "owner", "left").select("key", "n", F.coalesce("component", "owner").alias("class"))
-    firsts = texts.select("key", "first_id")
-    named = per.where("n > 0").join(firsts, "key").groupBy("class").agg(F.min("first_id").alias("least"))
-    per = per.join(named, "class", "left")
+    rows, per, named = _linked_texts(docs, shingle, percent)
+    per = per.join(named.select("class", "least"), "class", "left")
     out = rows.join(per, "key")
-    least = F.when(F.col("least") < (1 << 63) - 1, F.col("least")).otherwise(F.col("doc_id"))
+    least = F.when(F.col("least") < NO_ID, F.col("least")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(least).alias("component_id"), "key")
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """docs without all but one document of each component, with the columns of docs: the one with the smallest doc_id
-    stays. Documents without words stay. Of rows with that doc_id in one component, one stays."""
-    found = classes(docs, shingle, percent)
-    mine = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    # one text of each kept document; of several under one doc_id in one component, the smallest key
-    kept = mine.groupBy("doc_id", "component_id", F.when(F.col("n_shingles") == 0, F.col("key")).alias("empty")).agg(F.min("key").alias("key"))
+    stays, null ids last, and of several texts under that id the one with the smallest key. Components are told apart
+    by their sets, so that null and repeated ids lose none. Documents without words all stay."""
+    _, _, named = _linked_texts(docs, shingle, percent)
     columns = docs.columns
-    key = F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
-    keyed = docs.withColumn("__key", key).withColumn("__id", F.col("doc_id").cast("long"))
-    chosen = kept.select(F.col("doc_id").alias("__kept_id"), F.col("key").alias("__kept_key")).distinct()
-    joined = keyed.join(chosen, (F.col("__key") == F.col("__kept_key")) & F.col("__id").eqNullSafe(F.col("__kept_id")), "left_semi")
-    return joined.dropDuplicates(["__key", "__id"]).select(*[F.col(f"`{c}`") for c in columns])
+    text = F.coalesce(F.col("text"), F.lit(""))
+    wordy = text.rlike(WORD_CLASS)
+    keyed = docs.where(wordy).withColumn("__key", F.unhex(F.md5(text.cast("binary")))).withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
+    chosen = named.select(F.col("least").alias("__id"), F.col("key").alias("__key"))
+    one = keyed.join(chosen, ["__key", "__id"], "left_semi").dropDuplicates(["__key", "__id"])
+    return one.select(*[F.col(f"`{c}`") for c in columns]).union(docs.where(~wordy))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
