@@ -234,6 +234,24 @@ def test_pii_field_adds_repeats(spark):
     assert masked[100]["text"] == "<CARD> <CARD>" and masked[100]["n_chars"] == 13 and masked[102]["text"] is None
 
 
+def test_pii_match_reaches_all_repeats(spark):
+    number, alike = "4539148803436467", "4024000063436467"  # the last seven digits are the same
+    far = f"card {number} end. " + " ".join(f"word {number if k < 29 else alike} 7 then" for k in range(30))  # the pattern takes the 7 too, and fails
+    rows = [(i, f"the card {number} of it") for i in range(30)] + [(100, far)]
+    got = {r["doc_id"]: r for r in pii.find(docs(spark, rows)).collect()}
+    assert [s["kind"] for s in got[100]["base"]] == ["card"]
+    assert [(s["kind"], s["start"], s["end"]) for s in got[100]["spans"]] == [("card", *m.span()) for m in re.finditer("[0-9]{16}", far)]
+    assert len(got[100]["spans"]) == 31
+
+
+def test_pii_documents_do_not_touch():
+    texts = ["card 4539148803436467 ok", " ".join(["4539148803436467 7 and"] * 40), "no number", " ".join(f"{k} {k % 3}" for k in range(200)), "", "a@b.example.com a@b.example.com"]
+    known = [(b := pii.base_spans(t), pii.tokens_of(t, b)) for t in texts]
+    rng = np.random.default_rng(2)
+    field = pii.Field(rng.integers(0, 9, (pii.SHAPES, pii.LABELS)), rng.integers(0, 50, (pii.LABELS, pii.LABELS)), rng.integers(0, 50, (pii.LABELS, pii.LABELS)))
+    assert pii.spans_of(known, field) == [pii.spans_of([d], field)[0] for d in known]
+
+
 # --- mixing -------------------------------------------------------------------------------------------------------------
 def test_mixing_targets(spark):
     sizes = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 100), (None, 50)], "source string, size long")

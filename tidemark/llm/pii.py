@@ -5,6 +5,13 @@ potentials, neighbours share chain potentials, and tokens of one document that r
 normal form, or the same last seven digits) share skip potentials, however far apart. Tokens inside pattern matches
 are strong evidence; loopy sum-product passing spreads it, so that a number that is a card or phone in one place is
 found where the patterns miss it. Potentials are estimated piecewise from counts over the whole corpus.
+
+Like tokens meet in hubs, one per normal form and one per last seven digits. Of each a token hears as much as in a
+chain of like tokens, two of the others, each through a skip potential: first those inside pattern matches, which speak
+with the mean of their weights, then the rest, with theirs; hubs of digits speak for the other forms only. A token's
+weights are all it knows but for one of the messages heard, which in a chain would come from the listener. So neither
+distance nor number of the repeats weakens a match, and two like tokens hear each other as along an edge. Passing ends,
+document by document, when the messages stand still.
 """
 
 from __future__ import annotations
@@ -30,8 +37,10 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 
-#: Shapes are told apart by so many hash values; the strength of a pattern match; rounds and damping of the passing.
-SHAPES, EVIDENCE, ROUNDS, DAMPING = 4096, 8.0, 12, 0.4
+#: Shapes are told apart by so many hash values; the strength of a pattern match; damping of the passing.
+SHAPES, EVIDENCE, DAMPING = 4096, 8.0, 0.4
+#: Messages that change by less stand still; a document whose messages never do is left after so many rounds.
+STILL, MOST_ROUNDS = 1e-6, 1000
 #: A token is taken if its label other than "none" has this probability.
 TAKE_AT = 0.6
 LABELS = len(KINDS) + 1
@@ -135,7 +144,8 @@ def tokens_of(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, i
 
 
 def _edges(tokens: list[tuple]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Chain edges between neighbours, and skip edges from each token to the last one like it: as many as tokens, not pairs."""
+    """Chain edges between neighbours, and pairs of each token and the last one like it, from which skip potentials are
+    counted: as many as tokens."""
     chain = [(i - 1, i) for i, t in enumerate(tokens) if t[6]]
     skip, seen = [], {}
     for i, t in enumerate(tokens):
@@ -146,6 +156,25 @@ def _edges(tokens: list[tuple]) -> tuple[list[tuple[int, int]], list[tuple[int,
     return chain, sorted(set(skip))
 
 
+def _hubs(tokens: list[tuple]) -> list[tuple[int, int]]:
+    """Numbers of the hubs of each token, of its form and of its last seven digits, from 0; without seven digits, the
+    second is again for the form. Tokens of one form have the same digits."""
+    numbers: dict[tuple[str, str], int] = {}
+    return [tuple(numbers.setdefault(k, len(numbers)) for k in (("form", t[4]), ("digits", t[5]) if t[5] else ("form", t[4]))) for t in tokens]
+
+
+def _through(x: np.ndarray, pair: np.ndarray) -> np.ndarray:
+    """Messages of log weights x through pair potentials; the largest value of each is 0."""
+    out = x[:, :, None] + pair
+    top = out.max(1)
+    new = np.log(np.exp(out - top[:, None, :]).sum(1)) + top
+    return new - new.max(1, keepdims=True)
+
+
+def _sums(at: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
+    return np.stack([np.bincount(at, x[:, l], n) for l in range(x.shape[1])], 1)
+
+
 class Field:
     """Potentials of the field, from counts of (shape, label) and of label pairs along chain and skip edges."""
 
@@ -162,48 +191,87 @@ class Field:
         apart = counts.sum(1)[:, None] * counts.sum(0)[None, :] / total
         return np.clip(np.log((counts + 1) / (apart + 1)), -3, 3)
 
-    def beliefs(self, shapes: np.ndarray, labels: np.ndarray, chain: np.ndarray, skip: np.ndarray) -> np.ndarray:
-        """Label probabilities of each token by loopy sum-product; edges are pairs of token numbers."""
+    def beliefs(self, shapes: np.ndarray, labels: np.ndarray, chain: np.ndarray, hub: np.ndarray, document: np.ndarray) -> np.ndarray:
+        """Label probabilities of each token by loopy sum-product; chain has pairs of token numbers, hub the numbers
+        of each token's two hubs, document that of its document. What a document gets does not depend on the others."""
         unary = self.unary[shapes].copy()
-        known = np.flatnonzero(labels)
+        known = labels > 0
         unary[known, labels[known]] += EVIDENCE
-        pairs = np.concatenate([chain, skip]).reshape(-1, 2)
-        if len(pairs):
-            pair = np.concatenate([np.broadcast_to(self.chain, (len(chain), LABELS, LABELS)), np.broadcast_to(self.skip, (len(skip), LABELS, LABELS))])
-            tail, head = np.concatenate([pairs[:, 0], pairs[:, 1]]), np.concatenate([pairs[:, 1], pairs[:, 0]])
-            pair = np.concatenate([pair, pair.transpose(0, 2, 1)])
-            back = np.concatenate([np.arange(len(pairs)) + len(pairs), np.arange(len(pairs))])
-            message = np.zeros((len(tail), LABELS))
-            for _ in range(ROUNDS):
-                belief = unary + np.stack([np.bincount(head, message[:, l], len(unary)) for l in range(LABELS)], 1)
-                out = (belief[tail] - message[back])[:, :, None] + pair
-                top = out.max(1)
-                new = np.log(np.exp(out - top[:, None, :]).sum(1)) + top
-                new -= new.max(1, keepdims=True)
-                message = DAMPING * message + (1 - DAMPING) * new
-            unary = unary + np.stack([np.bincount(head, message[:, l], len(unary)) for l in range(LABELS)], 1)
-        unary -= unary.max(1, keepdims=True)
-        p = np.exp(unary)
+        final = np.zeros_like(unary)
+        at = np.arange(len(unary))
+        tail, head = np.concatenate([chain[:, 0], chain[:, 1]]), np.concatenate([chain[:, 1], chain[:, 0]])
+        along = np.repeat([True, False], len(chain))
+        back = (np.arange(len(tail)) + len(chain)) % max(len(tail), 1)
+        message, told = np.zeros((len(tail), LABELS)), np.zeros_like(unary)
+        for _ in range(MOST_ROUNDS):
+            n = len(at)
+            own = unary + _sums(head, message, n)
+            new_told = DAMPING * told + (1 - DAMPING) * self._told(own, told, known, hub)
+            out = (own + told)[tail] - message[back]
+            new = np.where(along[:, None], _through(out, self.chain), _through(out, self.chain.T))
+            new = DAMPING * message + (1 - DAMPING) * new
+            moved = np.abs(new_told - told).max(1) >= STILL
+            moved[head[np.abs(new - message).max(1) >= STILL]] = True
+            message, told = new, new_told
+            busy = np.zeros(int(document.max(initial=-1)) + 1, bool)
+            busy[document[moved]] = True
+            stay = busy[document]
+            if not stay.all():  # documents whose messages stand still leave
+                final[at[~stay]] = (unary + told + _sums(head, message, n))[~stay]
+                number, kept = np.cumsum(stay) - 1, stay[head]
+                place = np.cumsum(kept) - 1
+                tail, head, along, back, message = number[tail[kept]], number[head[kept]], along[kept], place[back[kept]], message[kept]
+                at, unary, known, told, document = at[stay], unary[stay], known[stay], told[stay], document[stay]
+                hub = np.unique(hub[stay], return_inverse=True)[1].reshape(-1, 2)
+            if not len(at):
+                break
+        final[at] = unary + told + _sums(head, message, len(at))
+        final -= final.max(1, keepdims=True)
+        p = np.exp(final)
         return p / p.sum(1, keepdims=True)
 
+    def _told(self, own: np.ndarray, told: np.ndarray, known: np.ndarray, hub: np.ndarray) -> np.ndarray:
+        """What each token hears from its hubs, told being what it heard last."""
+        hubs = int(hub.max(initial=-1)) + 1
+        like = [np.bincount(h, minlength=hubs)[h] for h in hub.T]
+        times = np.minimum(like[0] - 1, 2) + np.minimum(like[1] - like[0], 2)
+        own = own + told * (1 - 1 / np.maximum(times, 1))[:, None]
+        own -= own.max(1, keepdims=True)
+        heard, room = np.zeros_like(own), np.full((len(own), 2), 2)
+        for kind in (known, ~known):
+            x = own[kind]
+            counts = [np.bincount(h[kind], minlength=hubs)[h] for h in hub.T]
+            totals = [_sums(h[kind], x, hubs)[h] for h in hub.T]
+            others = ((counts[0] - kind, totals[0] - np.where(kind[:, None], own, 0)), (counts[1] - counts[0], totals[1] - totals[0]))
+            for k, (count, total) in enumerate(others):
+                times = np.minimum(count, room[:, k])
+                room[:, k] -= times
+                some = np.flatnonzero(times)
+                heard[some] += times[some, None] * _through(total[some] / count[some, None], self.skip)
+        return heard
+
 
 def _network(documents: list[list[tuple]]) -> tuple[np.ndarray, ...]:
-    shapes, labels, chain, skip, at = [], [], [], [], 0
+    """(shapes, labels, chain, like pairs, hubs, documents) of all tokens."""
+    shapes, labels, chain, skip, hub, at, hubs = [], [], [], [], [], 0, 0
     for tokens in documents:
         c, s = _edges(tokens)
         chain += [(at + a, at + b) for a, b in c]
         skip += [(at + a, at + b) for a, b in s]
         shapes += [t[3] for t in tokens]
         labels += [t[2] for t in tokens]
+        hub += [(hubs + f, hubs + d) for f, d in _hubs(tokens)]
         at += len(tokens)
+        hubs += 2 * len(tokens)
     pairs = [np.array(x, np.int64).reshape(-1, 2) for x in (chain, skip)]
-    return np.array(shapes, np.int64), np.array(labels, np.int64), *pairs
+    document = np.repeat(np.arange(len(documents)), [len(t) for t in documents])
+    return np.array(shapes, np.int64), np.array(labels, np.int64), *pairs, np.array(hub, np.int64).reshape(-1, 2), document
 
 
 def spans_of(documents: list[tuple[list, list]], field: Field) -> list[list[tuple[str, int, int]]]:
     """All spans of each (base spans, tokens): the base ones, and those that the field adds outside of them."""
-    shapes, labels, chain, skip = _network([t for _, t in documents])
-    p = field.beliefs(shapes, labels, chain, skip) if len(shapes) else np.zeros((0, LABELS))
+    shapes, labels, chain, _, hub, document = _network([t for _, t in documents])
+    p = field.beliefs(shapes, labels, chain, hub, document) if len(shapes) else np.zeros((0, LABELS))
     best = p[:, 1:].argmax(1) + 1 if len(p) else np.zeros(0, np.int64)
     sure = p[np.arange(len(p)), best] >= TAKE_AT if len(p) else np.zeros(0, bool)
     out, at = [], 0
@@ -224,7 +292,7 @@ def spans_of(documents: list[tuple[list, list]], field: Field) -> list[list[tupl
 
 def _count(documents: list[list[tuple]]) -> list[tuple[int, int]]:
     """Counts by number: shapes first, then chain pairs, then skip pairs."""
-    shapes, labels, chain, skip = _network(documents)
+    shapes, labels, chain, skip, _, _ = _network(documents)
     keys = [shapes * LABELS + labels]
     for k, pairs in enumerate((chain, skip)):
         keys.append(SHAPES * LABELS + k * LABELS**2 + labels[pairs[:, 0]] * LABELS + labels[pairs[:, 1]])
