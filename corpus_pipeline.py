@@ -20,8 +20,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of similar documents stays."""
-    return jaccard.keep_one(docs)
+    """One document of each component of similar documents stays: five-word shingles, similarity 0.8 or more."""
+    return jaccard.keep_one(docs, shingle=5, percent=80)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

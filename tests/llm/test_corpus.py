@@ -181,6 +181,27 @@ def test_jaccard_keeps_one_of_each_component(spark):
     assert [r["doc_id"] for r in got if of[r["text"]] == of[near]] == [8]
 
 
+def test_near_duplicate_stage(spark):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    words = lambda n: [f"u{rng.randrange(5000)}" for _ in range(n)]
+    rows = []
+    for k in range(8):
+        base = words(200)
+        # added words around 196 / 245 = 0.8, the least similarity that links
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(base + words(46 + k)))]
+    for k in range(6):
+        base = words(200)
+        edited = [f"x{i}" if i % 40 == 20 and i < 40 * k else w for i, w in enumerate(base)]
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(edited))]
+    rows += [(len(rows) + i, t) for i, t in enumerate(["one two three four", "One two three four", "one two three five", None, ""])]
+    roots = brute_roots(rows, 5, 80)
+    assert len(set(brute_roots(rows, 4, 85))) > len(set(roots))
+    want = {min(i for (i, _), r in zip(rows, roots) if r == root) for root in set(roots) - {None}} | {i for (i, _), r in zip(rows, roots) if r is None}
+    assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs(spark, rows), "").collect()} == want
+
+
 # --- quality --------------------------------------------------------------------------------------------------------
 def test_quality_statistics(spark):
     rows = corpus() + [(90, "a b c a b c x"), (91, "l one\nl one\n\nl two $# a|b")]

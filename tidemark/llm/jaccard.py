@@ -135,6 +135,8 @@ def candidates(texts: DataFrame, sets: DataFrame, shingle: int, percent: int) ->
     leaders = posted.groupBy("h", "band").agg(F.min("grp").alias("leader"))
     edges = posted.join(leaders, ["h", "band"]).where("grp <> leader").select(F.col("grp").alias("a"), F.col("leader").alias("b")).distinct()
     cluster = components(edges, "jaccard_candidates").withColumnRenamed("node", "grp")
+    # components() leaves out the smallest node itself
+    cluster = cluster.union(cluster.select(F.col("component").alias("grp"), "component")).distinct()
     whole = groups.select("grp", "members").join(cluster, "grp", "left").where("component IS NOT NULL OR members > 1")
     return grouped.select("owner", "grp").join(whole, "grp").select("owner", F.coalesce("component", "grp").alias("cluster"))
 
