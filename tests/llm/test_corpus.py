@@ -78,10 +78,44 @@ def test_suffix_dedup_keeps_first(spark, monkeypatch, most):
 
 def test_previous_factors():
     rng = random.Random(4)
-    for text in ("banana", "aaaaaaa", "", "x", "".join(rng.choice("ab") for _ in range(60))):
+    for text, most in (("banana", 3), ("aaaaaaaaaaaaaa", 9), ("x", 1), ("".join(rng.choice("ab") for _ in range(300)), 19), ("".join(rng.choice("ab") for _ in range(200)), 8)):
         data = text.encode()
-        want = [max([0, *(next((n for n in range(min(9, len(data) - i), 0, -1) if data[i : i + n] == data[j : j + n]), 0) for j in range(i))]) for i in range(len(data))]
-        assert suffix_dedup.previous_factors(data, 9).tolist() == want
+        at = range(len(data) - most + 1)
+        want = [max([0, *(next((n for n in range(most, 0, -1) if data[i : i + n] == data[j : j + n]), 0) for j in range(i))]) for i in at]
+        factor, before, after = suffix_dedup.previous_factors(suffix_dedup.rank_tables(np.frombuffer(data, np.uint8), most), np.array(at))
+        assert factor.tolist() == want
+        for i, n in enumerate(want):  # one of the two neighbours is where the factor stands earlier
+            assert not n or any(0 <= j < i and data[i : i + n] == data[j : j + n] for j in (before[i], after[i]))
+
+
+def thue_morse(n=1024):
+    """Two words that polynomial hashes modulo 2**64 take for one."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_word_hashes_tell_words_apart():
+    a, b = thue_morse()
+    words = [a, b, "x", "y", "xy", "yx", "a" * 8, "a" * 9, "a" * 16, "12345678abcdefgh", "abcdefgh12345678", *(chr(97 + i) * (i + 1) for i in range(1, 26))]
+    raw = np.frombuffer(" ".join([*words, *words]).encode(), np.uint8)
+    starts, ends = common.words_of(raw)
+    h = common.word_hashes(raw, starts, ends)
+    assert (h[: len(words)] == h[len(words) :]).all() and len(set(h.tolist())) == len(words)
+
+
+def test_minimisers_do_not_depend_on_the_slice():
+    rng = np.random.default_rng(3)
+    window = rng.integers(0, 3, 30).astype(np.uint8)
+    seen = set()
+    for size in (30, 300, 70_000):
+        values = rng.integers(0, 3, size).astype(np.uint8)
+        values[size - 30 :] = window
+        h, row, first, windows = repeats.runs(values, np.array([0, size]), 30, 6)
+        seen.add((h[-1], len(window)))
+    assert len(seen) == 1
+    values = rng.integers(0, 40, 500).astype(np.uint64)
+    for w in (1, 2, 3, 7, 8, 13):
+        assert common.slide_argmin(values, w).tolist() == [i + int(values[i : i + w].argmin()) for i in range(500 - w + 1)]
 
 
 # --- word windows -----------------------------------------------------------------------------------------------------

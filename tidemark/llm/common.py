@@ -24,22 +24,39 @@ NO_ID = (1 << 63) - 1
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a local one only where the session names none (tests)."""
+    """The folder all executors share, spark.checkpoint.dir; a local one only where executors are threads (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + os.path.join(tempfile.gettempdir(), "tidemark-shared")
     return folder.rstrip("/")
 
 
+#: Folders and tables that this process has written to the shared folder, for release().
+_written: list[tuple[str, str | None]] = []
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: the lineage ends there and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
+    _written.append((path, None))
     return spark.read.schema(schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Drop what operators have written to the shared folder so far: call it when their results stand elsewhere."""
+    while _written:
+        path, name = _written.pop()
+        if name:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -107,15 +124,21 @@ def gram_hash(values: np.ndarray, k: int) -> np.ndarray:
         level *= 2
 
 
-def slide_min(values: np.ndarray, w: int) -> np.ndarray:
-    """Minimum of each run of w values."""
-    if len(values) < w:
-        return values[:0]
-    have, level = values, 1
+def slide_argmin(values: np.ndarray, w: int) -> np.ndarray:
+    """Place of the least of each run of w values; of equal ones, the first."""
+    n = len(values) - w + 1
+    if n <= 0:
+        return np.zeros(0, np.int32)
+    least, at, level = values, np.arange(len(values), dtype=np.int32), 1
+
+    def joined(shift: int, m: int) -> tuple[np.ndarray, np.ndarray]:
+        here, there = least[:m], least[shift : shift + m]
+        return np.minimum(here, there), np.where(here <= there, at[:m], at[shift : shift + m])
+
     while level * 2 <= w:
-        have = np.minimum(have[:-level], have[level:])
+        least, at = joined(level, len(least) - level)
         level *= 2
-    return have if level == w else np.minimum(have[: len(values) - w + 1], have[w - level : w - level + len(values) - w + 1])
+    return at if level == w else joined(w - level, n)[1]
 
 
 def words_of(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -142,35 +165,42 @@ def padded(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, bounds + np.arange(rows + 1)
 
 
-_ODD = 0x9E3779B97F4A7C15 | 1
-_ODD_INVERSE = pow(_ODD, -1, 1 << 64)
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.ones(max(n, 1), np.uint64)
-    have, step = 1, base
-    while have < n:
-        take = min(have, n - have)
-        out[have : have + take] = out[:take] * np.uint64(step)
-        have += take
-        step = (step * step) & ((1 << 64) - 1)
-    return out
-
-
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each word, from prefix sums over the buffer; equal words have equal hashes."""
+    """64-bit hash of each word. Its pieces of eight bytes are mixed with their places, so that no sum of them is a
+    polynomial of the bytes, then added, and mixed again with the length."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    n = len(raw)
-    terms = (raw.astype(np.uint64) + np.uint64(0x1F3D5B79)) * _powers(_ODD, n)
-    terms ^= np.uint64(0)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(terms, out=sums[1:])
-    out = (sums[ends] - sums[starts]) * _powers(_ODD_INVERSE, n)[starts]
-    out += (ends - starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407)
+    size = ends - starts
+    pieces = (size + 7) >> 3
+    first = np.cumsum(pieces) - pieces
+    place = np.arange(int(pieces.sum())) - np.repeat(first, pieces)
+    left = np.repeat(size, pieces) - 8 * place
+    eight = np.ndarray(len(raw) + 1, "<u8", np.concatenate([raw, np.zeros(8, np.uint8)]).tobytes(), strides=(1,))
+    value = eight[np.repeat(starts, pieces) + 8 * place].astype(np.uint64)
+    value &= np.uint64((1 << 64) - 1) >> (8 * (8 - np.minimum(left, 8))).astype(np.uint64)
+    value ^= mix((place + 1).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+    out = np.add.reduceat(mix(value), first)
+    out += size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     return mix(out)
 
 
+def substrings(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
+    """The byte strings raw[start : start + size]."""
+    stop = np.cumsum(size)
+    places = np.arange(int(stop[-1]) if len(stop) else 0) + np.repeat(start - (stop - size), size)
+    offsets = np.concatenate([np.zeros(1, np.int64), stop]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(raw[places])])
+
+
+def cuts(size: np.ndarray, most: int) -> Iterator[slice]:
+    """Slices of rows whose sizes have a sum of about `most`; a larger row stands alone."""
+    stop, at = np.cumsum(size), 0
+    while at < len(size):
+        end = max(at + 1, int(np.searchsorted(stop, stop[at] - size[at] + most, side="right")))
+        yield slice(at, end)
+        at = end
+
+
 def stream_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """Batches sorted by key, recut so that no key's rows are split; a table may hold many keys."""
     held: list[pa.RecordBatch] = []
@@ -216,6 +246,7 @@ def distinct_texts(docs: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
         F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("first_id"),
     )
     at = f"{name}_{uuid.uuid4().hex}"
+    _written.append((f"{shared_dir(spark)}/{at}", at))
     (
         texts.write.format("parquet")
         .option("compression", "zstd")

@@ -2,47 +2,50 @@
 
 A position's longest previous factor is the longest string from there that also starts earlier. In suffix order the
 best earlier match is at the nearest neighbour above or below with a smaller position. A corpus is too large for one
-suffix array, so that minimisers bring together only suffixes that can share `LENGTH` bytes; each bucket of runs then
-gets its suffix array by rank doubling, with previous and next smaller positions, and a position is a later copy if its
-longest previous factor reaches LENGTH. The first occurrence is the one that has such later ones, but no earlier.
+suffix array, so that minimisers bring together only suffixes that can share `LENGTH` bytes. Each bucket of runs gets
+its suffix order by rank doubling, the previous and next smaller positions in it, and from these the factor lengths and
+where each factor stands earlier. A position whose factor reaches LENGTH is a later copy; one that is the source of such
+a factor is the first of its copies, unless it has such a factor itself.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import repeats
-from tidemark.llm.common import distinct_texts, gram_hash, map_arrow, materialise, shuffle_partitions, slices, stream_groups, table, text_buffer
+from tidemark.llm.common import cuts, distinct_texts, gram_hash, map_arrow, materialise, shuffle_partitions, slices, stream_groups, substrings, table, text_buffer
 
 #: Strings of so many bytes are looked for; minimisers are grams of GRAM bytes.
 LENGTH, GRAM = 200, 48
 #: Bytes of runs whose suffixes are sorted together.
 SORT_BYTES = 2 << 20
+#: Bytes of strings in one batch, and the least common length at which factors are looked for.
+CHUNK, LEAST_FACTOR = 8 << 20, 64
 
 
-def suffix_ranks(data: np.ndarray, length: int) -> np.ndarray:
-    """Rank of each position's string of `length` bytes, equal strings having equal ranks.
-
-    Rank doubling: up to eight bytes are one number; then pairs of ranks are sorted, the last pair overlapping.
+def rank_tables(data: np.ndarray, length: int) -> list[tuple[int, np.ndarray]]:
+    """(size, rank) for 1, 8, 16, 32 ... and `length` bytes: the rank of each position's string of that size, equal
+    strings having equal ranks. Up to eight bytes are one number; then pairs of ranks are sorted, the last overlapping.
     """
-    n, have = len(data), 1
+    n, have, out = len(data), 1, [(1, data)]
     rank = data.astype(np.uint64)
     while have * 2 <= min(length, 8):
         rank = (rank[: n - 2 * have + 1] << np.uint64(8 * have)) | rank[have : n - have + 1]
         have *= 2
-    rank = np.unique(rank, return_inverse=True)[1].astype(np.uint64)
-    while have < length:
+    while True:
+        rank = np.unique(rank, return_inverse=True)[1].astype(np.uint64)
+        out.append((have, rank.astype(np.int32)))
+        if have == length:
+            return out
         step = min(have, length - have)
         m = n - have - step + 1
-        rank = np.unique(rank[:m] * np.uint64(n + 1) + rank[step : step + m], return_inverse=True)[1].astype(np.uint64)
+        rank = rank[:m] * np.uint64(n + 1) + rank[step : step + m]
         have += step
-    return rank.astype(np.int64)
 
 
 def smaller_neighbours(position: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -60,40 +63,36 @@ def smaller_neighbours(position: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return previous - 1, following - 1
 
 
-def previous_factors(data: bytes, most: int) -> np.ndarray:
-    """Longest previous factor of each position of data, up to `most` bytes; the string may run past its earlier
-    match's start. Suffixes are padded with zero numbers that no byte has."""
-    n = len(data)
-    if not n:
-        return np.zeros(0, np.int64)
-    values = np.concatenate([np.frombuffer(data, np.uint8).astype(np.int64) + 1, np.zeros(most, np.int64)])
-    have, rank, tables = 1, values, [(1, values)]
-    while have < most:
-        step = min(have, most - have)
-        m = len(values) - have - step + 1
-        _, rank = np.unique(rank[:m] * (len(values) + 300) + rank[step : step + m], return_inverse=True)
-        have += step
-        tables.append((have, rank))
-    order = np.lexsort((np.arange(n), rank[:n]))
-    previous, following = smaller_neighbours(order)
-
-    def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(a), np.int64)
-        for size, r in tables[::-1]:
-            fits = (out + size <= most) & (a + out < n) & (b + out < n)
-            i, j = np.minimum(a + out, len(r) - 1), np.minimum(b + out, len(r) - 1)
-            out += np.where(fits & (r[i] == r[j]), size, 0)
-        # ties between the two overlapping last tables leave less than the smallest gap; finish byte by byte
-        while len(more := np.flatnonzero((out < most) & (a + out < n) & (b + out < n) & (values[np.minimum(a + out, n)] == values[np.minimum(b + out, n)]))):
-            out[more] += 1
-        return out
-
-    best = np.zeros(n, np.int64)
-    for near in (previous, following):
-        some = (near >= 0) & (near < n)
-        size = common(order[some], order[near[some]])
-        best[order[some]] = np.maximum(best[order[some]], size)
-    return np.minimum(best, n - np.arange(n))
+def previous_factors(tables: list[tuple[int, np.ndarray]], at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(factor, before, after) of the ascending positions `at`, all of which have as many bytes as the last table's
+    size: the length of the longest previous factor among them, up to that size, and the two positions that can be its
+    source, the nearest smaller ones in suffix order; -1 where there is none."""
+    most, rank = tables[-1]
+    order = at[np.lexsort((at, rank[at]))]
+    factor, sources = np.zeros(len(order), np.int64), []
+    for near in smaller_neighbours(order):
+        some = (near >= 0) & (near < len(order))
+        source = np.full(len(order), -1)
+        source[some] = order[near[some]]
+        factor[some] = np.maximum(factor[some], _common(tables, order[some], source[some], most))
+        sources.append(source)
+    back = np.argsort(order)
+    return factor[back], sources[0][back], sources[1][back]
+
+
+def _common(tables: list[tuple[int, np.ndarray]], a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """Common bytes of the strings of `most` bytes at a and at b: ranks tell whether those of a table's size are equal,
+    tried from the largest down, and single bytes at the end."""
+    out = np.where(tables[-1][1][a] == tables[-1][1][b], most, 0)
+    part = np.flatnonzero(out == 0)
+    x, y, have = a[part], b[part], np.zeros(len(part), np.int64)
+    sizes = tables[-2:0:-1] + tables[:1] * 7
+    for size, rank in sizes:
+        fits = (have + size < most) & (x + have < len(rank)) & (y + have < len(rank))
+        i, j = np.minimum(x + have, len(rank) - 1), np.minimum(y + have, len(rank) - 1)
+        have += np.where(fits & (rank[i] == rank[j]), size, 0)
+    out[part] = have
+    return out
 
 
 def _anchors(texts: DataFrame, length: int) -> DataFrame:
@@ -106,39 +105,47 @@ def _anchors(texts: DataFrame, length: int) -> DataFrame:
                 pair, times = np.unique(np.stack([row, h]), axis=1, return_counts=True) if len(h) else (np.zeros((2, 0), np.int64), np.zeros(0, np.int64))
                 yield pair[1], owner[pair[0]], times
 
-    return map_arrow(texts.select("first_id", "text"), lambda b: repeats.gathered(parts(b)), repeats.SCHEMA)
+    return map_arrow(texts.select(text_number(), "text"), lambda b: repeats.gathered(parts(b)), repeats.SCHEMA)
+
 
+def text_number() -> Column:
+    """A number of each text, as a short form of its key."""
+    return F.xxhash64("key").alias("owner")
 
-def _by_text(texts: DataFrame, found: DataFrame) -> DataFrame:
-    """Rows of `found` by owner, brought to the texts by key: only ids and keys are joined, no text moves."""
-    ids = texts.select("key", F.col("first_id").alias("owner"))
-    return texts.join(found.join(ids, "owner").drop("owner"), "key")
+
+def by_key(texts: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of `found` by owner with the texts' keys instead: only numbers and keys are joined, no text moves."""
+    return found.join(texts.select("key", text_number()), "owner").drop("owner")
 
 
 def _segments(texts: DataFrame, found: DataFrame, length: int) -> DataFrame:
-    """Runs with a repeated minimiser, as strings: (h, key, first, seg)."""
+    """Runs with a repeated minimiser, as strings: (h, key, first_id, first, seg)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                raw, bounds = text_buffer(part.column(1))
-                h, row, first, windows = repeats.runs(raw, bounds, length, GRAM)
-                few = part.column(2)
-                wanted = few.flatten().to_numpy()
-                owner = np.repeat(np.arange(part.num_rows), np.diff(few.offsets.to_numpy()))
-                mine = _member(h, row, wanted, owner)
-                h, row, first, windows = h[mine], row[mine], first[mine], windows[mine]
-                at = bounds[row] + first
+                raw, h, row, first, windows = _chosen_runs(part, length)
                 size = windows + length - 1
-                ends = np.cumsum(size)
-                if not len(size):
-                    continue
-                places = np.arange(int(ends[-1])) + np.repeat(at - (ends - size), size)
-                seg = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32)), pa.py_buffer(raw[places])])
-                yield pa.RecordBatch.from_arrays([pa.array(h), part.column(0).take(pa.array(row)), pa.array(first), seg], names=["h", "key", "first", "seg"])
+                at = text_buffer(part.column(2))[1][row] + first
+                for c in cuts(size, CHUNK):
+                    who = pa.array(row[c])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(h[c]), part.column(0).take(who), part.column(1).take(who), pa.array(first[c]), substrings(raw, at[c], size[c])], names=["h", "key", "first_id", "first", "seg"]
+                    )
 
-    chosen = _by_text(texts, found.where(F.size("few") > 0).select("owner", "few")).select("key", "text", "few")
-    return map_arrow(chosen, work, "h long, key binary, first long, seg binary")
+    few = by_key(texts, found.where(F.size("few") > 0).select("owner", "few"))
+    chosen = texts.join(few, "key").select("key", "first_id", "text", "few")
+    return map_arrow(chosen, work, "h long, key binary, first_id long, first long, seg binary")
+
+
+def _chosen_runs(part: pa.RecordBatch, length: int) -> tuple[np.ndarray, ...]:
+    """(raw, h, row, first, windows): runs of (…, text, list) whose minimiser is in the row's list."""
+    raw, bounds = text_buffer(part.column(2))
+    h, row, first, windows = repeats.runs(raw, bounds, length, GRAM)
+    wanted = part.column(3)
+    owner = np.repeat(np.arange(part.num_rows), np.diff(wanted.offsets.to_numpy()))
+    mine = _member(h, row, wanted.flatten().to_numpy(), owner)
+    return raw, h[mine], row[mine], first[mine], windows[mine]
 
 
 def _member(h: np.ndarray, row: np.ndarray, wanted: np.ndarray, owner: np.ndarray) -> np.ndarray:
@@ -157,7 +164,8 @@ def _member(h: np.ndarray, row: np.ndarray, wanted: np.ndarray, owner: np.ndarra
 
 
 def _bucketed(segments: DataFrame, length: int) -> DataFrame:
-    """(key, start, stop, later): runs of window starts that occur more than once; later if they have an earlier match."""
+    """(key, start, stop, later): runs of window starts that occur more than once; later if they have an earlier match:
+    in a text with a smaller first_id (then key), or before in the same one."""
 
     def sort(t: pa.Table) -> pa.RecordBatch | None:
         first = t.column("first").to_numpy()
@@ -171,8 +179,9 @@ def _bucketed(segments: DataFrame, length: int) -> DataFrame:
         plain = rep[shared]
         rows, starts, stops, later = rows + [plain], starts + [first[plain]], stops + [(first + size)[plain]], later + [np.zeros(len(plain), bool)]
         if len(sorted_):
-            at, start, stop, late = ordered(t.column("seg").combine_chunks().take(pa.array(rep[sorted_])))
-            at = rep[sorted_[at]]
+            rest = np.sort(rep[sorted_])  # earlier texts first, so that smaller positions are earlier
+            at, start, stop, late = factored(t.column("seg").combine_chunks().take(pa.array(rest)), length)
+            at = rest[at]
             rows, starts, stops, later = rows + [at], starts + [start + first[at]], stops + [stop + first[at]], later + [late]
         row = np.concatenate(rows)
         if not len(row):
@@ -180,33 +189,6 @@ def _bucketed(segments: DataFrame, length: int) -> DataFrame:
         arrays = [pa.array(np.concatenate(x)) for x in (starts, stops, later)]
         return pa.RecordBatch.from_arrays([t.column("key").combine_chunks().take(pa.array(row)), *arrays], names=["key", "start", "stop", "later"])
 
-    def ordered(segs: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(string, start, stop, later): repeated window starts among different strings, from their suffix array."""
-        raw, bounds = text_buffer(segs)
-        rank = suffix_ranks(raw, length)
-        bad = np.zeros(len(raw) + 1, np.int32)
-        bad[bounds[1:] - length + 1] += 1
-        bad[bounds[1:]] -= 1
-        at = np.flatnonzero(np.cumsum(bad[:-1])[: len(rank)] == 0)
-        # suffix order; equal strings by place
-        order = at[np.lexsort((at, rank[at]))]
-        r = rank[order]
-        tie = np.concatenate([[False], r[1:] == r[:-1]])
-        repeated = tie | np.concatenate([tie[1:], [False]])
-        # the rest of the order has no match of this length; of these, the longest previous factor reaches `length`
-        # where the nearest smaller position before shares the string
-        order, r = order[repeated], r[repeated]
-        previous, _ = smaller_neighbours(order)
-        late = (previous >= 0) & (r[previous] == r)
-        state = np.zeros(len(raw), np.int8)
-        state[order] = np.where(late, 2, 1)
-        hit = np.flatnonzero(state)
-        row = np.searchsorted(bounds, hit, side="right") - 1
-        new = np.flatnonzero(np.concatenate([[True], (hit[1:] != hit[:-1] + 1) | (row[1:] != row[:-1]) | (state[hit[1:]] != state[hit[:-1]])])[: len(hit)])
-        size = np.diff(np.concatenate([new, [len(hit)]]))
-        start = hit[new] - bounds[row[new]]
-        return row[new], start, start + size, state[hit[new]] == 2
-
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
         for t in stream_groups(batches, "h"):
@@ -218,33 +200,61 @@ def _bucketed(segments: DataFrame, length: int) -> DataFrame:
         if held and (out := sort(pa.concat_tables(held).combine_chunks())) is not None:
             yield out
 
-    dealt = segments.repartition(shuffle_partitions(segments.sparkSession), "h").sortWithinPartitions("h", "key", "first")
+    dealt = segments.repartition(shuffle_partitions(segments.sparkSession), "h").sortWithinPartitions("h", "first_id", "key", "first")
     return map_arrow(dealt, work, "key binary, start long, stop long, later boolean")
 
 
+def factored(segs: pa.Array, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(string, start, stop, later): runs of starts in different strings, the earliest first, whose longest previous
+    factor reaches `length` (later) or that are the source of such a factor."""
+    raw, bounds = text_buffer(segs)
+    tables = rank_tables(raw, length)
+    bad = np.zeros(len(raw) + 1, np.int32)
+    bad[bounds[1:] - length + 1] += 1
+    bad[bounds[1:]] -= 1
+    at = np.flatnonzero(np.cumsum(bad[:-1])[: len(tables[-1][1])] == 0)
+    # of starts that share less than this with any other, no factor is long enough to matter
+    rank = next(r for size, r in tables if size >= min(LEAST_FACTOR, length))[at]
+    at = at[np.bincount(rank)[rank] > 1]
+    factor, *sources = previous_factors(tables, at)
+    last = tables[-1][1]
+    state = np.zeros(len(raw), np.int8)
+    late = factor >= length
+    for source in sources:
+        from_ = source[late]
+        from_ = from_[(from_ >= 0) & (last[from_] == last[at[late]])]
+        state[from_] = 1
+    state[at[late]] = 2
+    hit = np.flatnonzero(state)
+    row = np.searchsorted(bounds, hit, side="right") - 1
+    new = np.flatnonzero(np.concatenate([[True], (hit[1:] != hit[:-1] + 1) | (row[1:] != row[:-1]) | (state[hit[1:]] != state[hit[:-1]])])[: len(hit)])
+    size = np.diff(np.concatenate([new, [len(hit)]]))
+    start = hit[new] - bounds[row[new]]
+    return row[new], start, start + size, state[hit[new]] == 2
+
+
 def _hot_windows(texts: DataFrame, found: DataFrame, length: int) -> DataFrame:
-    """(key, windows): hashes of the repeated windows of runs whose minimiser is too common for one bucket."""
-    hot = found.where(F.size("many") > 0).select("owner", "many")
+    """(key, start, stop, later) of the runs whose minimiser is too common for one bucket: each window is a string."""
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             for part in slices(batch, "text"):
-                raw, bounds = text_buffer(part.column(1))
-                h, row, first, windows = repeats.runs(raw, bounds, length, GRAM)
-                many = part.column(2)
-                mine = _member(h, row, many.flatten().to_numpy(), np.repeat(np.arange(part.num_rows), np.diff(many.offsets.to_numpy())))
-                row, first, windows = row[mine], first[mine], windows[mine]
-                ends = np.cumsum(windows)
-                if not len(ends):
+                raw, _, row, first, windows = _chosen_runs(part, length)
+                if not len(row):
                     continue
-                at = np.arange(int(ends[-1])) + np.repeat(bounds[row] + first - (ends - windows), windows)
-                string = gram_hash(raw, length)[at].view(np.int64)
-                pair, times = np.unique(np.stack([np.repeat(row, windows), string]), axis=1, return_counts=True)
-                yield pair[1], part.column(0).to_numpy()[pair[0]], times
+                whole, bounds = gram_hash(raw, length).view(np.int64), text_buffer(part.column(2))[1]
+                owner, rank = part.column(0).to_numpy(), part.column(1).to_numpy()
+                for c in cuts(windows * length, CHUNK):
+                    stop = np.cumsum(windows[c])
+                    of = np.repeat(row[c], windows[c])
+                    place = np.arange(int(stop[-1])) + np.repeat(first[c] - (stop - windows[c]), windows[c])
+                    at = bounds[of] + place
+                    yield whole[at], owner[of], rank[of], place, substrings(raw, at, np.full(len(at), length))
 
-    chosen = _by_text(texts, hot).select("first_id", "text", "many")
-    rows = map_arrow(chosen, lambda b: repeats.gathered(parts(b)), repeats.SCHEMA)
-    return repeats.repeated(rows).groupBy("owner").agg(F.collect_set("h").alias("windows"), F.collect_set(F.when(~F.col("later"), F.col("h"))).alias("firsts"))
+    hot = by_key(texts, found.where(F.size("many") > 0).select("owner", "many"))
+    chosen = texts.join(hot, "key").select(text_number(), "first_id", "text", "many")
+    rows = map_arrow(chosen, lambda b: repeats.string_rows(parts(b), False), repeats.STRINGS)
+    return by_key(texts, repeats.repeated_strings(rows, False)).select("key", "start", "stop", "later")
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, keep_first: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -254,14 +264,14 @@ def dedup(docs: DataFrame, length: int = LENGTH, keep_first: bool = True) -> tup
     Texts are UTF-8 bytes, null is empty, and no match crosses documents. A byte is removed if a string of `length`
     bytes that covers it also starts anywhere else; with keep_first, only if it starts earlier: in a text with a
     smaller doc_id, or before in this one. spans are the maximal removed runs (start, stop). Rows with equal texts are
-    copies of each other. An empty table gives no rows; other columns are not looked at.
+    copies of each other. An empty table gives no rows; other columns are not looked at. A text is worked on by one task
+    at a time, in memory of some 30 times its size; its strings travel in batches of CHUNK bytes.
     """
     rows, texts = distinct_texts(docs, "suffix_texts")
     found = materialise(repeats.lists(repeats.repeated(_anchors(texts, length))), "suffix_lists")
-    spans = _bucketed(_segments(texts, found, length), length).groupBy("key").agg(F.collect_list(F.struct("start", "stop", "later")).alias("found"))
-    ids = texts.select("key", F.col("first_id").alias("owner"))
-    hot = _hot_windows(texts, found, length).join(ids, "owner").drop("owner")
-    cut = texts.join(spans, "key", "left").join(hot, "key", "left")
+    spans = _bucketed(_segments(texts, found, length), length).unionByName(_hot_windows(texts, found, length))
+    spans = spans.groupBy("key").agg(F.collect_list(F.struct("start", "stop", "later")).alias("found"))
+    cut = texts.join(spans, "key", "left")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -269,45 +279,34 @@ def dedup(docs: DataFrame, length: int = LENGTH, keep_first: bool = True) -> tup
                 yield _cut(part, length, keep_first)
 
     return_schema = "key binary, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,stop:long>>, kept binary"
-    return rows, map_arrow(cut.select("key", "text", "copies", "found", "windows", "firsts"), work, return_schema)
+    return rows, map_arrow(cut.select("key", "text", "copies", "found"), work, return_schema)
 
 
 def _cut(part: pa.RecordBatch, length: int, keep_first: bool) -> pa.RecordBatch:
     columns = {n: part.column(i) for i, n in enumerate(part.schema.names)}
     out: dict[str, list] = {n: [] for n in ("n_bytes", "n_removed", "n_spans", "spans", "kept")}
-    copies = columns["copies"].to_pylist()
+    copies, found = columns["copies"].to_pylist(), columns["found"]
+    ends = found.offsets.to_numpy()
+    start, stop, later = (found.values.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+    raw, bounds = text_buffer(columns["text"])
     for i in range(part.num_rows):
-        data = columns["text"][i].as_buffer().to_pybytes()
-        starts = np.zeros(max(0, len(data) - length + 1) + 1, np.int32)
-        if len(starts) > 1:
-            if copies[i] > 1 and not keep_first:
-                starts[0] += 1
-                starts[-1] -= 1
-            for x in columns["found"][i].as_py() or []:
-                if x["later"] or not keep_first:
-                    starts[x["start"]] += 1
-                    starts[x["stop"]] -= 1
-        hit = np.cumsum(starts[:-1]) > 0
-        if hot := columns["windows"][i].as_py():
-            window = gram_hash(np.frombuffer(data, np.uint8), length).view(np.int64)
-            again = np.isin(window, hot)
-            if keep_first:  # in the text that has it first, all but its first place there
-                _, first = np.unique(window, return_index=True)
-                own = np.zeros(len(window), bool)
-                own[first] = True
-                again &= ~(own & np.isin(window, columns["firsts"][i].as_py() or []))
-            hit |= again
-        covered = np.zeros(len(data) + 1, np.int32)
-        at = np.flatnonzero(hit)
-        np.add.at(covered, at, 1)
-        np.add.at(covered, at + length, -1)
-        gone = np.cumsum(covered[:-1]) > 0
+        own = raw[bounds[i] : bounds[i + 1]]
+        n = len(own)
+        # where more removed strings begin than end, counted from the first byte on
+        change = np.zeros(n + 1, np.int32)
+        if n >= length and copies[i] > 1 and not keep_first:
+            change[[0, n]] += (1, -1)
+        mine = slice(ends[i], ends[i + 1]) if found[i].is_valid else slice(0, 0)
+        some = later[mine] | (not keep_first)
+        np.add.at(change, start[mine][some], 1)
+        np.add.at(change, stop[mine][some] + length - 1, -1)
+        gone = np.cumsum(change[:n]) > 0
         edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
-        out["n_bytes"].append(len(data))
+        out["n_bytes"].append(n)
         out["n_removed"].append(int(gone.sum()))
         out["n_spans"].append(len(edge) // 2)
         out["spans"].append([{"start": int(a), "stop": int(b)} for a, b in edge.reshape(-1, 2)])
-        out["kept"].append(np.frombuffer(data, np.uint8)[~gone].tobytes() if len(edge) else data)
+        out["kept"].append(own[~gone].tobytes())
     kinds = [pa.int64()] * 3 + [pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])), pa.binary()]
     return pa.RecordBatch.from_arrays([columns["key"], *(pa.array(v, k) for v, k in zip(out.values(), kinds))], names=["key", *out])
 

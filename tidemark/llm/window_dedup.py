@@ -16,13 +16,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import repeats
-from tidemark.llm.common import NO_ID, distinct_texts, gram_hash, map_arrow, materialise, padded, shuffle_partitions, slices, stream_groups, table, text_buffer, word_hashes, words_of
-from tidemark.llm.suffix_dedup import _by_text, _member
+from tidemark.llm.common import NO_ID, cuts, distinct_texts, gram_hash, map_arrow, materialise, padded, shuffle_partitions, slices, stream_groups, substrings, table, text_buffer, word_hashes, words_of
+from tidemark.llm.suffix_dedup import _member, by_key, text_number
 
 #: Words of a window, and of the grams that minimisers are.
 WINDOW, GRAM = 13, 4
 #: Bytes of packed strings whose windows are sorted together.
 SORT_BYTES = 2 << 20
+#: Bytes of packed strings in one batch.
+CHUNK = 8 << 20
 
 
 def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -45,7 +47,28 @@ def _anchors(texts: DataFrame, window: int) -> DataFrame:
                 new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])]))
                 yield h[new], part.column(0).to_numpy()[row[new]], np.diff(np.concatenate([new, [len(h)]]))
 
-    return map_arrow(texts.select("first_id", "text"), lambda b: repeats.gathered(parts(b)), repeats.SCHEMA)
+    return map_arrow(texts.select(text_number(), "text"), lambda b: repeats.gathered(parts(b)), repeats.SCHEMA)
+
+
+def _super_kmers(part: pa.RecordBatch, window: int) -> Iterator[tuple]:
+    """(h, row, first, windows, words, buffer, stop): super-k-mers of (…, text, list) rows whose minimiser is in the row's
+    list, some at once; words has the numbers of their words one after the other, which end at stop in buffer, each with
+    a space behind it."""
+    buffer, starts, ends, hashes, bounds = _words(part.column(2))
+    h, row, first, windows = repeats.runs(hashes, bounds, window, GRAM)
+    wanted = part.column(3)
+    mine = _member(h, row, wanted.flatten().to_numpy(), np.repeat(np.arange(part.num_rows), np.diff(wanted.offsets.to_numpy())))
+    h, row, first, windows = h[mine], row[mine], first[mine], windows[mine]
+    at, size = bounds[row] + first, windows + window - 1
+    upto = np.concatenate([np.zeros(1, np.int64), np.cumsum(ends - starts + 1)])
+    for c in cuts(upto[at + size] - upto[at], CHUNK):
+        to = np.cumsum(size[c])
+        word = np.arange(int(to[-1])) + np.repeat(at[c] - (to - size[c]), size[c])
+        width = ends[word] - starts[word] + 1
+        stop = np.cumsum(width)
+        data = buffer[np.arange(int(stop[-1])) + np.repeat(starts[word] - (stop - width), width)]
+        data[stop - 1] = 32
+        yield h[c], row[c], first[c], windows[c], hashes[word], data, stop
 
 
 def _packed(texts: DataFrame, found: DataFrame, window: int) -> DataFrame:
@@ -54,27 +77,14 @@ def _packed(texts: DataFrame, found: DataFrame, window: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                buffer, starts, ends, hashes, bounds = _words(part.column(2))
-                h, row, first, windows = repeats.runs(hashes, bounds, window, GRAM)
-                few = part.column(3)
-                mine = _member(h, row, few.flatten().to_numpy(), np.repeat(np.arange(part.num_rows), np.diff(few.offsets.to_numpy())))
-                h, row, first, windows = h[mine], row[mine], first[mine], windows[mine]
-                if not len(h):
-                    continue
-                size = windows + window - 1
-                stop = np.cumsum(size)
-                word = np.arange(int(stop[-1])) + np.repeat(bounds[row] + first - (stop - size), size)
-                width = ends[word] - starts[word] + 1
-                to = np.cumsum(width)
-                place = np.arange(int(to[-1])) + np.repeat(starts[word] - (to - width), width)
-                data = buffer[place]
-                data[to - 1] = 32
-                offsets = np.concatenate([[0], to[stop - 1]]).astype(np.int32)
-                seg = pa.Array.from_buffers(pa.binary(), len(h), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
-                who = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(h), part.column(0).take(who), part.column(1).take(who), pa.array(first), seg], names=["h", "key", "first_id", "first", "seg"])
-
-    chosen = _by_text(texts, found.where(F.size("few") > 0).select("owner", "few")).select("key", "first_id", "text", "few")
+                for h, row, first, windows, _, data, stop in _super_kmers(part, window):
+                    offsets = np.concatenate([[0], stop[np.cumsum(windows + window - 1) - 1]]).astype(np.int32)
+                    seg = pa.Array.from_buffers(pa.binary(), len(h), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+                    who = pa.array(row)
+                    yield pa.RecordBatch.from_arrays([pa.array(h), part.column(0).take(who), part.column(1).take(who), pa.array(first), seg], names=["h", "key", "first_id", "first", "seg"])
+
+    few = by_key(texts, found.where(F.size("few") > 0).select("owner", "few"))
+    chosen = texts.join(few, "key").select("key", "first_id", "text", "few")
     return map_arrow(chosen, work, "h long, key binary, first_id long, first long, seg binary")
 
 
@@ -155,45 +165,45 @@ def _bucketed(packed: DataFrame, window: int) -> DataFrame:
 
 
 def _hot_windows(texts: DataFrame, found: DataFrame, window: int) -> DataFrame:
-    """(owner, windows): hashes of windows that start in a smaller doc_id, of minimisers too common for one bucket."""
+    """(key, start, stop) of windows that also start in a smaller doc_id, of minimisers too common for one bucket: each
+    window is a packed string of its own."""
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             for part in slices(batch, "text"):
-                _, _, _, hashes, bounds = _words(part.column(1))
-                h, row, first, windows = repeats.runs(hashes, bounds, window, GRAM)
-                many = part.column(2)
-                mine = _member(h, row, many.flatten().to_numpy(), np.repeat(np.arange(part.num_rows), np.diff(many.offsets.to_numpy())))
-                row, first, windows = row[mine], first[mine], windows[mine]
-                if not len(row):
-                    continue
-                ends = np.cumsum(windows)
-                at = np.arange(int(ends[-1])) + np.repeat(bounds[row] + first - (ends - windows), windows)
-                pair, times = np.unique(np.stack([np.repeat(row, windows), gram_hash(hashes, window)[at].view(np.int64)]), axis=1, return_counts=True)
-                yield pair[1], part.column(0).to_numpy()[pair[0]], times
-
-    hot = _by_text(texts, found.where(F.size("many") > 0).select("owner", "many")).select("first_id", "text", "many")
-    rows = map_arrow(hot, lambda b: repeats.gathered(parts(b)), repeats.SCHEMA)
-    return repeats.repeated(rows).where("later").groupBy("owner").agg(F.collect_set("h").alias("windows"))
+                owner, rank = part.column(0).to_numpy(), part.column(1).to_numpy()
+                for _, row, first, windows, hashes, data, stop in _super_kmers(part, window):
+                    size = windows + window - 1
+                    of = np.repeat(np.arange(len(row)), windows)
+                    place = np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)
+                    word = np.repeat(np.cumsum(size) - size, windows) + place
+                    begin = np.concatenate([[0], stop])
+                    width = begin[word + window] - 1 - begin[word]
+                    whole = gram_hash(hashes, window).view(np.int64)[word]
+                    for c in cuts(width, CHUNK):
+                        yield whole[c], owner[row[of[c]]], rank[row[of[c]]], (first[of] + place)[c], substrings(data, begin[word[c]], width[c])
+
+    hot = by_key(texts, found.where(F.size("many") > 0).select("owner", "many"))
+    chosen = texts.join(hot, "key").select(text_number(), "first_id", "text", "many")
+    rows = map_arrow(chosen, lambda b: repeats.string_rows(parts(b), True), repeats.STRINGS)
+    return by_key(texts, repeats.repeated_strings(rows, True).where("later")).select("key", "start", "stop")
 
 
 def _cut(part: pa.RecordBatch, window: int) -> pa.RecordBatch:
     column = {n: part.column(i) for i, n in enumerate(part.schema.names)}
-    buffer, starts, ends, hashes, bounds = _words(column["text"])
+    buffer, starts, ends, _, bounds = _words(column["text"])
     data = buffer.tobytes()
+    to = column["found"].offsets.to_numpy()
+    start, stop = (column["found"].values.field(k).to_numpy() for k in range(2))
     count, removed, kept = [], [], []
     for i in range(part.num_rows):
         a, b = int(bounds[i]), int(bounds[i + 1])
         n = b - a
         change = np.zeros(n + window + 1, np.int32)
-        for x in column["found"][i].as_py() or []:
-            # each window start covers itself and the words after it
-            change[x["start"]] += 1
-            change[x["stop"] + window - 1] -= 1
-        if hot := column["windows"][i].as_py():
-            at = np.flatnonzero(np.isin(gram_hash(hashes[a:b], window).view(np.int64), hot))
-            np.add.at(change, at, 1)
-            np.add.at(change, at + window, -1)
+        mine = slice(to[i], to[i + 1]) if column["found"][i].is_valid else slice(0, 0)
+        # each window start covers itself and the words after it
+        np.add.at(change, start[mine], 1)
+        np.add.at(change, stop[mine] + window - 1, -1)
         gone = np.cumsum(change[:n]) > 0
         left = np.flatnonzero(~gone) + a
         count.append(n)
@@ -211,14 +221,14 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
 
     A word is removed if a window of `window` words that covers it also starts in a document with a smaller doc_id.
     In a copy of a text under a larger doc_id every window does. A null text has no words; a null doc_id is larger than
-    any other; documents with equal ids are not smaller than each other. An empty table gives no rows.
+    any other; documents with equal ids are not smaller than each other. An empty table gives no rows; other columns are
+    not looked at. A text, and a word, may be of any length; a text is worked on by one task at a time.
     """
     rows, texts = distinct_texts(docs, "window_texts")
     found = materialise(repeats.lists(repeats.repeated(_anchors(texts, window))), "window_lists")
-    spans = _bucketed(_packed(texts, found, window), window).groupBy("key").agg(F.collect_list(F.struct("start", "stop")).alias("found"))
-    ids = texts.select("key", F.col("first_id").alias("owner"))
-    hot = _hot_windows(texts, found, window).join(ids, "owner").drop("owner")
-    joined = texts.join(spans, "key", "left").join(hot, "key", "left").select("key", "first_id", "text", "found", "windows")
+    spans = _bucketed(_packed(texts, found, window), window).unionByName(_hot_windows(texts, found, window))
+    spans = spans.groupBy("key").agg(F.collect_list(F.struct("start", "stop")).alias("found"))
+    joined = texts.join(spans, "key", "left").select("key", "first_id", "text", "found")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
