@@ -16,8 +16,8 @@ from tidemark.llm.common import WORD_CLASS, materialise, table
 WEIGHTS = (5, 2, 1)
 #: No document is taken more often than this.
 MOST_PASSES = 3
-#: Bits of the hash that one level of histograms tells apart, and the number of levels (63 bits in all).
-BITS, LEVELS = 9, 7
+#: Bits of the hash that one level of histograms tells apart, and the number of levels (64 bits, of which the first is 0).
+BITS, LEVELS = 16, 4
 #: Up to so many sources the thresholds are broadcast; beyond, they are joined by shuffle.
 BROADCAST_SOURCES = 50_000
 
@@ -63,55 +63,41 @@ def thresholds(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     Level by level: buckets of the current hash range that end within the budget are taken, the one in which the budget
     ends is refined. At the last level a bucket is one hash value; it is taken if that comes nearer to the target.
     """
-    shift = BITS * LEVELS
-    state = targets.select(
-        "source",
-        F.least(F.floor(F.try_divide(F.col("target"), F.col("source_size"))), F.lit(MOST_PASSES)).cast("long").alias("passes"),
-        F.col("target"),
-        F.col("source_size"),
-    ).select(
-        "source",
-        F.coalesce("passes", F.lit(0)).alias("passes"),
-        (F.col("target") - F.coalesce("passes", F.lit(0)) * F.col("source_size")).alias("left"),
-        F.lit(0).cast("long").alias("low"),
-    )
+    whole = F.coalesce(F.least(F.floor(F.try_divide(F.col("target"), F.col("source_size"))), F.lit(MOST_PASSES)).cast("long"), F.lit(0))
+    state = targets.select("source", whole.alias("passes"), (F.col("target") - whole * F.col("source_size")).alias("left"), F.lit(0).cast("long").alias("low"))
     for level in range(LEVELS):
-        shift -= BITS
-        last = level == LEVELS - 1
-        state = materialise(state, "mix_state")
-        inside = sizes.join(state, sizes["source"].eqNullSafe(state["source"])).where(
-            F.shiftright(sizes["h"], shift + BITS) == F.shiftright(state["low"], shift + BITS)
-        )
+        shift = BITS * (LEVELS - 1 - level)
+        inside = sizes.join(state, sizes["source"].eqNullSafe(state["source"]))
+        if level:
+            inside = inside.where(F.shiftright(sizes["h"], shift + BITS) == F.shiftright(state["low"], shift + BITS))
         histogram = inside.groupBy(
             sizes["source"].alias("source"), F.shiftright(sizes["h"], shift).alias("bucket")
         ).agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n"), F.first("left").alias("left"))
         run = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-        run_up = histogram.withColumn("upto", F.sum("words").over(run))
         # the first bucket that would go over the budget
-        over = run_up.where(F.col("upto") > F.col("left")).groupBy("source").agg(
+        over = histogram.withColumn("upto", F.sum("words").over(run)).where(F.col("upto") > F.col("left")).groupBy("source").agg(
             F.min(F.struct("bucket", "upto", "words", "n")).alias("b")
         )
-        over = over.select(F.col("source").alias("s"), "b.*")
-        joined = state.join(over, state["source"].eqNullSafe(over["s"]), "left")
-        nearer = F.col("upto") - F.col("left") < F.col("left") - (F.col("upto") - F.col("words"))
-        state = joined.select(
-            "source",
-            "passes",
-            F.when(F.col("bucket").isNull(), F.col("left")).otherwise(F.col("left") - (F.col("upto") - F.col("words"))).alias("left"),
-            F.when(F.col("bucket").isNull(), F.lit(-1))  # all that is left fits
-            .when(F.lit(last), F.shiftleft(F.col("bucket"), shift) + F.when(nearer, 1).otherwise(0))
-            .otherwise(F.shiftleft(F.col("bucket"), shift))
-            .cast("long")
-            .alias("next"),
-            F.col("low"),
-            F.shiftleft(F.shiftright(F.col("low"), shift + BITS) + 1, shift + BITS).alias("end"),
-            F.coalesce(F.col("n"), F.lit(0)).alias("n"),
+        joined = state.join(over.select(F.col("source").alias("s"), "b.*"), F.col("source").eqNullSafe(F.col("s")), "left")
+        before = F.col("upto") - F.col("words")
+        nearer = F.col("upto") - F.col("left") < F.col("left") - before
+        # without such a bucket all that is left fits: the range to its end is taken
+        end = F.shiftleft(F.shiftright(F.col("low"), shift + BITS) + 1, shift + BITS) if level else F.lit((1 << 63) - 1)
+        end = F.when(end < 0, F.lit((1 << 63) - 1)).otherwise(end)
+        start = F.shiftleft(F.col("bucket"), shift) + (F.when(nearer, 1).otherwise(0) if not shift else F.lit(0))
+        state = materialise(
+            joined.select(
+                "source",
+                "passes",
+                (F.col("left") - F.coalesce(before, F.lit(0))).alias("left"),
+                F.when(F.col("bucket").isNull(), end).otherwise(start).cast("long").alias("low"),
+                F.coalesce(F.col("n"), F.lit(0)).alias("n"),
+            ),
+            "mix_state",
         )
-        state = state.withColumn("low", F.when(F.col("next") < 0, F.when(F.col("end") < 0, F.lit((1 << 63) - 1)).otherwise(F.col("end"))).otherwise(F.col("next"))).drop("next", "end")
-        if last:
+        if not shift:
             break
-        state = materialise(state, "mix_state")
-        if not state.where("n > 1").limit(1).count():
+        if state.where("n > 1").isEmpty():
             # no boundary bucket has more than one document left: decide those, without finer histograms
             only = sizes.join(state.where("n = 1"), sizes["source"].eqNullSafe(state["source"]))
             only = only.where(F.shiftright(sizes["h"], shift) == F.shiftright(state["low"], shift)).select(

@@ -92,47 +92,61 @@ def votes() -> dict[str, Column]:
     }
 
 
-def estimate(voted: DataFrame, rules: list[str], name: str) -> tuple[float, dict[str, tuple[float, float]]]:
+def estimate(voted: DataFrame, rules: list[str]) -> tuple[float, dict[str, tuple[float, float]]]:
     """(share of good documents, accuracies of each rule) by expectation-maximisation.
 
     A rule has two accuracies: how often it votes good on good documents, and bad on bad ones, when it votes at all.
-    Documents with the same votes count together, so that a round works on 3**len(rules) rows at most, and only the
-    new estimates, one row, come to the driver.
+    Documents with the same votes count together, by Spark; the rounds need these counts alone, 3**len(rules) at most,
+    whatever the corpus.
     """
-    patterns = materialise(voted.groupBy(*rules).agg(F.count(F.lit(1)).cast("double").alias("n")), name).coalesce(1).persist()
+    patterns = [(tuple(row[r] for r in rules), float(row["n"])) for row in voted.groupBy(*rules).agg(F.count(F.lit(1)).alias("n")).collect()]
+    patterns.sort()
     good, accuracy = PRIOR_GOOD, {r: (PRIOR_ON_GOOD, PRIOR_ON_BAD) for r in rules}
+    total = sum(n for _, n in patterns)
     for _ in range(ROUNDS):
-        p = posterior(good, accuracy)
-        sums = [F.sum(F.col("n") * p), F.sum("n")]
-        for r in rules:
-            vote = F.col(r)
-            sums += [
-                F.sum(F.when(vote == 1, F.col("n") * p).otherwise(0.0)),
-                F.sum(F.when(vote != 0, F.col("n") * p).otherwise(0.0)),
-                F.sum(F.when(vote == -1, F.col("n") * (1 - p)).otherwise(0.0)),
-                F.sum(F.when(vote != 0, F.col("n") * (1 - p)).otherwise(0.0)),
-            ]
-        row = [x or 0.0 for x in patterns.agg(*sums).first()]
-        good = (row[0] + PRIOR_GOOD * PRIOR_COUNT) / (row[1] + PRIOR_COUNT)
-        for k, r in enumerate(rules):
-            up, seen_good, down, seen_bad = row[2 + 4 * k : 6 + 4 * k]
+        weights = _weights(good, accuracy)
+        sums = {r: [0.0] * 4 for r in rules}  # good votes and all votes of good documents; bad and all of bad ones
+        all_good = 0.0
+        for votes_, n in patterns:
+            logit = weights[None] + sum(weights[r][v] for r, v in zip(rules, votes_))
+            p = n / (1 + math.exp(-logit))
+            all_good += p
+            for r, v in zip(rules, votes_):
+                if v:
+                    sums[r][0] += p * (v > 0)
+                    sums[r][1] += p
+                    sums[r][2] += (n - p) * (v < 0)
+                    sums[r][3] += n - p
+        good = (all_good + PRIOR_GOOD * PRIOR_COUNT) / (total + PRIOR_COUNT)
+        for r, (up, seen_good, down, seen_bad) in sums.items():
             on_good = (up + PRIOR_ON_GOOD * PRIOR_COUNT) / (seen_good + PRIOR_COUNT)
             on_bad = (down + PRIOR_ON_BAD * PRIOR_COUNT) / (seen_bad + PRIOR_COUNT)
             on_good = min(max(on_good, LEAST_ON_GOOD), MOST_ACCURACY)
             accuracy[r] = (on_good, min(max(on_bad, 1 - on_good), MOST_ACCURACY))
-    patterns.unpersist()
     return good, accuracy
 
 
+def _weights(good: float, accuracy: dict[str, tuple[float, float]]) -> dict:
+    """Log odds of good quality: before any vote (None), and what each rule's votes add."""
+    out: dict = {None: math.log(good / (1 - good))}
+    for r, (on_good, on_bad) in accuracy.items():
+        out[r] = {1: math.log(on_good / (1 - on_bad)), -1: math.log((1 - on_good) / on_bad), 0: 0.0}
+    return out
+
+
 def posterior(good: float, accuracy: dict[str, tuple[float, float]]) -> Column:
     """Probability of good quality, given the votes (naive Bayes with the estimated accuracies)."""
-    logit = F.lit(math.log(good / (1 - good)))
-    for r, (on_good, on_bad) in accuracy.items():
-        up, down = math.log(on_good / (1 - on_bad)), math.log((1 - on_good) / on_bad)
-        logit = logit + F.when(F.col(r) == 1, up).when(F.col(r) == -1, down).otherwise(0.0)
+    weights = _weights(good, accuracy)
+    logit = F.lit(weights.pop(None))
+    for r, w in weights.items():
+        logit = logit + F.when(F.col(r) == 1, w[1]).when(F.col(r) == -1, w[-1]).otherwise(0.0)
     return 1 / (1 + F.exp(-logit))
 
 
+def _base_failed() -> Column:
+    return (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
+
+
 def judge(docs: DataFrame, *columns: str) -> DataFrame:
     """doc_id, further columns, the statistics, base_failed, p_good and kept of each document.
 
@@ -143,25 +157,24 @@ def judge(docs: DataFrame, *columns: str) -> DataFrame:
     stats = materialise(measured(docs, *columns), "quality_stats")
     rules = votes()
     voted = stats.withColumns(rules)
-    good, accuracy = estimate(voted, list(rules), "quality_patterns")
-    base_failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    out = voted.withColumn("base_failed", base_failed).withColumn("p_good", posterior(good, accuracy))
+    good, accuracy = estimate(voted, list(rules))
+    out = voted.withColumn("base_failed", _base_failed()).withColumn("p_good", posterior(good, accuracy))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= KEEP_AT))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that are kept, with the columns of docs. The verdict is recomputed from the text with the
-    estimated accuracies, so that no text is moved."""
-    stats = materialise(measured(docs, "doc_id"), "quality_stats")
-    rules = votes()
-    good, accuracy = estimate(stats.withColumns(rules), list(rules), "quality_patterns")
+    """The documents that are kept, with the columns of docs.
+
+    Texts are measured once: documents go to the shared folder with their votes, and are read from there when the
+    accuracies are known. Null texts count as empty and fail; repeated rows are judged one by one; an empty table gives
+    no rows; columns of docs may have any names."""
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    whole = docs.withColumn("__row", F.struct(*columns)).select("__row", F.col("text"))
-    voted = measured(whole, "__row").withColumns(rules)
-    base_failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    kept = ~base_failed & (posterior(good, accuracy) >= KEEP_AT)
-    # a generator, as a filter would be pushed below the statistics, which then are computed once for each use
-    return voted.select("__row", F.explode(F.when(kept, F.array(F.lit(1))))).select("__row.*")
+    whole = docs.select(F.struct(*columns).alias("__row"), F.col("text"))
+    rules = votes()
+    voted = measured(whole, "__row").select("__row", _base_failed().alias("__failed"), *[v.cast("byte").alias(r) for r, v in rules.items()])
+    voted = materialise(voted, "quality_votes")
+    good, accuracy = estimate(voted, list(rules))
+    return voted.where(~F.col("__failed") & (posterior(good, accuracy) >= KEEP_AT)).select("__row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
