@@ -29,9 +29,17 @@ def corpus(seed=0):
             copy[rng.randrange(len(copy))] = f"edit{rng.random()}"
         rows.append((50 + i, " ".join(copy)))
     rows += [(70, rows[3][1]), (71, rows[3][1]), (2, rows[3][1]), (72, None), (73, ""), (74, " \n\t "), (None, shared), (75, "a" * 700), (76, "one two"), (77, "ONE two"), (78, text(4000)), (79, text(5) + "\x0b" + text(5))]
+    a, b = thue_morse()
+    rows += [(80, f"one two three {a}"), (81, f"one two three {b}"), (82, f"{a} " * 14), (83, f"{b} " * 14), (84, f"{a} {b}")]
     return rows + [rows[5], rows[5]]
 
 
+def thue_morse(n=1024):
+    """Two words that polynomial hashes modulo 2**64 take for one."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
 def docs(spark, rows=None, **more):
     df = spark.createDataFrame(corpus() if rows is None else rows, "doc_id long, text string")
     df = df.withColumn("source", F.when(F.col("doc_id") % 5 < 3, F.concat(F.lit("s"), (F.col("doc_id") % 3).cast("string"))))
@@ -88,12 +96,6 @@ def test_previous_factors():
             assert not n or any(0 <= j < i and data[i : i + n] == data[j : j + n] for j in (before[i], after[i]))
 
 
-def thue_morse(n=1024):
-    """Two words that polynomial hashes modulo 2**64 take for one."""
-    bits = [bin(i).count("1") % 2 for i in range(n)]
-    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
-
-
 def test_word_hashes_tell_words_apart():
     a, b = thue_morse()
     words = [a, b, "x", "y", "xy", "yx", "a" * 8, "a" * 9, "a" * 16, "12345678abcdefgh", "abcdefgh12345678", *(chr(97 + i) * (i + 1) for i in range(1, 26))]
@@ -180,10 +182,9 @@ def test_jaccard_keeps_one(spark):
     df = docs(spark)
     kept = jaccard.keep_one(df)
     assert kept.columns == df.columns
-    components = brute_components(corpus())
-    filled = {c for (i, n, c) in components if n}
+    roots = brute_roots(corpus(), 4, 85)
     rows = kept.collect()
-    assert len([r for r in rows if r["text"] and r["text"].strip()]) == len(filled)
+    assert len([r for r in rows if r["text"] and r["text"].strip()]) == len(set(roots) - {None})
     assert {72, 73, 74} <= {r["doc_id"] for r in rows}
 
 
@@ -374,6 +375,21 @@ def test_packing_plan_is_exact():
         assert (held == counts).all()
 
 
+def test_packing_places_most_pieces_by_the_rounded_programme():
+    rng = np.random.default_rng(1)
+    lengths = np.minimum(rng.lognormal(5.6, 1.1, 3000).astype(int) + 1, 4096)
+    counts = np.bincount(lengths, minlength=4097) * 500
+    held = np.zeros(4097)
+    for key, share in packing.configurations(counts, 4096):
+        assert sum(key) <= 4096
+        for n in key:
+            held[n] += share
+    assert np.allclose(held, counts)  # a cover, and no more
+    assert packing.rounded(counts).counts.sum() <= 0.2 * counts.sum()
+    sequences = sum(times for _, times in packing.plan(counts))
+    assert sequences <= 1.002 * (counts * np.arange(4097)).sum() / 4096
+
+
 # --- sharding, classifier, vectors --------------------------------------------------------------------------------------------
 def test_sharding(spark):
     names = [f"n{i}" for i in range(7)]

@@ -2,10 +2,12 @@
 
 Documents are tokenised and cut into pieces; the counts of pieces by length (at most `capacity` numbers, whatever the
 corpus) go to the driver, which plans how to fill sequences. A configuration is a multiset of lengths that fits one
-sequence. Multiplicative weights price the lengths, a knapsack dynamic program finds for each length the best
-configuration that holds it, and the weights of lengths that these cover too little grow. The fractional solution is
-rounded down, the pool of configurations covers what is left in whole multiples, and the rest is filled largest piece
-first, best fit. Pieces find their places by their rank within their length.
+sequence; the program asks for how often each is to be used so that all pieces are covered by the fewest sequences.
+Each round of multiplicative weights covers its part of the demand: prices of lengths set what a knapsack dynamic
+program makes of any room, configurations are read off its values and used until a length is covered, and covered
+lengths drop out. Lengths that ended in badly filled sequences then weigh more. The mean of the rounds is a fractional
+cover; it is rounded, and what rounding leaves over is filled with the largest piece that fits. Pieces find their
+places by their rank within their length.
 """
 
 from __future__ import annotations
@@ -22,13 +24,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_arrow, materialise, padded, slices, table, word_hashes
+from tidemark.llm.common import map_arrow, materialise, padded, slices, table
 
 CAPACITY = 4096
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
-#: Words whose ids a Python worker remembers, and the rounds of multiplicative weights.
-CACHE_WORDS, ROUNDS, RATE = 250_000, 8, 0.5
+#: Words whose ids a Python worker remembers.
+CACHE_WORDS = 250_000
+#: Rounds of multiplicative weights, their rate, and the part of the lengths that may drop out before prices are used
+#: anew.
+ROUNDS, RATE, STALE = 3, 0.5, 0.2
+#: Configurations that leave more than 1 / WELL_FILLED of a sequence empty are not rounded.
+WELL_FILLED = 256
 #: Pieces that one group of the ranking holds on average.
 RANK_GROUP = 50_000
 
@@ -95,9 +102,9 @@ class _Words:
         starts, ends = edge[:-1][solid], edge[1:][solid]
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(bounds), np.int64)
-        _, first, inverse = np.unique(word_hashes(buffer, starts, ends), return_index=True, return_inverse=True)
-        data = buffer.tobytes()
-        parts = [data[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
+        size = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int32)
+        different = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(size), pa.py_buffer(buffer[~space])]).dictionary_encode()
+        parts, inverse = different.dictionary.to_pylist(), different.indices.to_numpy()
         if fresh := [p for p in parts if p not in self.known]:
             held = len(self.known) <= CACHE_WORDS
             self.learn(fresh if held else parts)
@@ -156,73 +163,96 @@ def tokenised(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bo
     return map_arrow(docs, work, schema)
 
 
-def _best_values(price: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Knapsack by dynamic program: the best value for each room, and the size taken first (0: none)."""
-    best, take = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
+def _best_values(price: np.ndarray, sizes: np.ndarray, best: np.ndarray, take: np.ndarray, capacity: int) -> None:
+    """Knapsack by dynamic program: the best value for each room up to capacity, and the size taken first (0: none)."""
     worth = price[sizes]
+    best[: capacity + 1] = take[: capacity + 1] = 0
     for room in range(int(sizes[0]), capacity + 1):
         n = int(np.searchsorted(sizes, room, side="right"))
         values = worth[:n] + best[room - sizes[:n]]
         k = int(values.argmax())
         best[room], take[room] = values[k], sizes[k]
-    return best, take
 
 
 def configurations(counts: np.ndarray, capacity: int, rounds: int = ROUNDS, rate: float = RATE) -> list[tuple[tuple[int, ...], float]]:
-    """Configurations and how often the fractional solution uses each, best filled first.
-
-    counts[n] is the number of pieces of length n. In each round every length gets the configuration of the highest
-    price that holds it, used as often as the length needs it; prices of lengths then move by how little or how much
-    the round covered them.
+    """The fractional solution: configurations and how often each is used, best filled first. Together they hold
+    counts[n] pieces of each length n, no more and no less.
     """
-    sizes = np.flatnonzero(counts)
-    price = np.arange(capacity + 1) / capacity
+    weight, part = np.ones(capacity + 1), np.arange(capacity + 1) / capacity
     used: dict[tuple[int, ...], float] = {}
     for _ in range(rounds):
-        _, take = _best_values(price, sizes, capacity)
-        covered = np.zeros(capacity + 1)
-        found = []
-        for first in sizes[::-1].tolist():
-            need = counts[first] - covered[first]
-            if need <= 0:
-                continue
+        # of rooms filled alike, the larger pieces fill it best: small ones still fit later
+        price = weight * (part + part**2 / (2 * capacity))
+        need = counts / rounds
+        empty = np.zeros(capacity + 1)  # room that is left over beside the pieces of each length
+        sizes, known, small = np.flatnonzero(need), 0, 0
+        best, take = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
+        while len(sizes):
+            if len(sizes) < (1 - STALE) * known or not known:
+                _best_values(price, sizes, best, take, capacity)
+                known = small = len(sizes)
+            elif len(sizes) < (1 - STALE / 20) * small:  # the last pieces of a sequence decide how full it gets
+                _best_values(price, sizes, best, take, capacity // 8)
+                small = len(sizes)
+            first = int(sizes[-1])
             config, room = [first], capacity - first
-            while room > 0 and take[room]:
-                config.append(int(take[room]))
-                room -= int(take[room])
+            while room >= sizes[0]:
+                n = int(take[room])
+                if n and not need[n]:  # covered since the prices were used: the best of the others
+                    k = int(np.searchsorted(sizes, room, side="right"))
+                    n = int(sizes[int((price[sizes[:k]] + best[room - sizes[:k]]).argmax())])
+                if not n:
+                    break
+                config.append(n)
+                room -= n
+            held, each = np.unique(config, return_counts=True)
+            share = need[held] / each
+            times = share.min()
             key = tuple(sorted(config, reverse=True))
-            share = need / key.count(first)
-            for n in key:
-                covered[n] += share
-            found.append((key, share))
-        for key, share in found:
-            used[key] = used.get(key, 0.0) + share / rounds
-        price[sizes] *= np.exp(rate * np.clip(1 - covered[sizes] / counts[sizes], -4, 1) / 4)
-        price[sizes] *= sizes.sum() / capacity / price[sizes].sum()
+            used[key] = used.get(key, 0.0) + times
+            empty[held] += each * times * room
+            need[held] = np.where(share > times * (1 + 1e-9), need[held] - each * times, 0.0)
+            if not need[held].all():
+                sizes = sizes[need[sizes] > 0]
+        weight[counts > 0] *= np.exp(rate * (empty / np.maximum(counts, 1) * rounds / capacity)[counts > 0])
     return sorted(used.items(), key=lambda x: (-sum(x[0]), -x[1], x[0]))
 
 
-def plan(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """Configurations and whole numbers of sequences that together hold exactly counts[n] pieces of each length n."""
-    left = counts.astype(np.int64).copy()
-    out: dict[tuple[int, ...], int] = {}
+class _Left:
+    """Pieces that have no place yet, and the configurations used so far."""
+
+    def __init__(self, counts: np.ndarray) -> None:
+        self.counts = counts.astype(np.int64).copy()
+        self.used: dict[tuple[int, ...], int] = {}
 
-    def use(key: tuple[int, ...], most: int) -> None:
+    def use(self, key: tuple[int, ...], most: int) -> int:
         sizes, each = np.unique(key, return_counts=True)
-        times = min(most, int((left[sizes] // each).min()))
+        times = min(most, int((self.counts[sizes] // each).min()))
         if times > 0:
-            left[sizes] -= each * times
-            out[key] = out.get(key, 0) + times
-
-    pool = configurations(left, capacity) if left.any() else []
-    for key, share in pool:  # the solution rounded down
-        use(key, int(share))
-    for key, _ in pool:  # whole multiples of full configurations
-        if sum(key) == capacity:
-            use(key, 1 << 62)
-    while left.any():  # the rest, largest first, each time with the largest piece that fits
-        sizes = np.flatnonzero(left)
-        rest, room, key = left.copy(), capacity, []
+            self.counts[sizes] -= each * times
+            self.used[key] = self.used.get(key, 0) + times
+        return max(times, 0)
+
+
+def rounded(counts: np.ndarray, capacity: int = CAPACITY) -> _Left:
+    """The fractional solution in whole numbers of sequences: rounded down, and up where the parts that were cut off
+    so far, added up, make one more. Configurations that leave much room are not used; their pieces are left over."""
+    left, over = _Left(counts), 0.0
+    for key, share in configurations(left.counts, capacity) if counts.any() else []:
+        if capacity - sum(key) > capacity // WELL_FILLED:
+            break
+        whole = int(share + over)
+        over += share - left.use(key, whole)
+        over = min(over, 1.0)
+    return left
+
+
+def plan(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
+    """Configurations and whole numbers of sequences that together hold exactly counts[n] pieces of each length n."""
+    left = rounded(counts, capacity)
+    while left.counts.any():  # the rest, largest first, each time with the largest piece that fits
+        sizes = np.flatnonzero(left.counts)
+        rest, room, key = left.counts.copy(), capacity, []
         while room >= sizes[0]:
             k = int(np.searchsorted(sizes, room, side="right")) - 1
             while k >= 0 and not rest[sizes[k]]:
@@ -233,8 +263,8 @@ def plan(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[int,
             key += [int(sizes[k])] * times
             rest[sizes[k]] -= times
             room -= int(sizes[k]) * times
-        use(tuple(key), 1 << 62)
-    return sorted(out.items())
+        left.use(tuple(key), 1 << 62)
+    return sorted(left.used.items())
 
 
 def placements(plan_: list[tuple[tuple[int, ...], int]], capacity: int = CAPACITY) -> dict[str, np.ndarray]:
