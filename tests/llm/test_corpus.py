@@ -171,13 +171,38 @@ def brute_components(rows, percent=85):
     return Counter((i, len(sets[k]), i if not sets[k] else min([x for x in ids[root(k)] if x is not None], default=None)) for k, (i, _) in enumerate(rows))
 
 
-@pytest.mark.parametrize("block", [1024, 3])
-def test_jaccard(spark, monkeypatch, block):
+@pytest.mark.parametrize("block,elements", [(1024, 4_000_000), (3, 4_000_000), (1024, 500)])
+def test_jaccard(spark, monkeypatch, block, elements):
     monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "BLOCK_ELEMENTS", elements)
     got = jaccard.classes(docs(spark)).select("doc_id", "n_shingles", "component_id").collect()
     assert Counter(map(tuple, got)) == brute_components(corpus())
 
 
+def test_group_pairs_lose_no_link_and_leave_pairs_out():
+    rng = random.Random(21)
+    universe = [rng.getrandbits(64) for _ in range(3000)]
+    sets = []
+    for _ in range(12):
+        base = rng.sample(universe, rng.randrange(40, 120))
+        sets += [sorted({*base[: len(base) - k], *rng.sample(universe, k)}) for k in (0, 1, 3, 8, 20)]
+    often = Counter(x for s in sets for x in s)
+    zones, prefixes, share = [], [], []
+    for s in sets:
+        need = -(-85 * len(s) // 100)
+        l = max(1, need // jaccard.ZONE)
+        zone = sorted((x for x in s[: len(s) - need + max(1, len(s) // jaccard.ZONE)]), key=lambda x: (often[x], x))
+        zones.append(len(zone))
+        share.append(l)
+        prefixes.append(np.array(zone[: len(zone) - l + 1], np.uint64))
+    full, grp = [np.array(s, np.uint64) for s in sets], np.arange(len(sets))
+    near = jaccard.group_pairs(prefixes, np.array([len(s) for s in sets]), grp, np.array(zones), np.array(share), 85)
+    similar = np.array([[100 * len({*a} & {*b}) >= 85 * len({*a} | {*b}) for b in sets] for a in sets])
+    assert not (similar & ~near).any() and near.sum() < 0.3 * near.size and similar.sum() > len(sets)
+    u, v = jaccard.linked(full, near, 85)
+    assert similar[u, v].all()
+
+
 def test_jaccard_keeps_one(spark):
     df = docs(spark)
     kept = jaccard.keep_one(df)

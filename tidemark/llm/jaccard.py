@@ -3,8 +3,10 @@
 Sets of n-gram hashes are ordered by hash; two sets that are similar enough share at least l elements of their zones,
 the first |x| - need + l elements. Elements that no other zone has are dropped on the way: a set with too few of the
 others links with nothing. The rest order their zones by frequency, rarest first, and keep the prefix in which partners
-must share one element. Sets with identical prefixes and size are one group; groups that share prefix elements and fit
-in size are candidates of each other; candidate groups are expanded, and members verified on their full sets.
+must share one element. Sets with identical prefixes and size are one group. Groups that share a prefix element and fit
+in size are dealt to one cluster, so that no pair of them is ever a row; there, group pairs are filtered by size and by
+where in their zones the shared elements stand, then expanded, and members are verified pair by pair on their full sets,
+unless pairs found before join them already.
 """
 
 from __future__ import annotations
@@ -23,8 +25,8 @@ from tidemark.llm.common import NO_ID, WORD_CLASS, components, distinct_texts, g
 SHINGLE, PERCENT = 4, 85
 #: The zone has size / ZONE elements more than a plain prefix.
 ZONE = 10
-#: Sets of one block; larger candidate clusters are compared block by block, in different tasks.
-BLOCK = 1024
+#: Sets and elements of one block; larger clusters are compared block by block, in different tasks.
+BLOCK, BLOCK_ELEMENTS = 1024, 4_000_000
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
@@ -112,7 +114,8 @@ def _zone_rows(texts: DataFrame, shingle: int, percent: int) -> DataFrame:
 
 
 def candidates(texts: DataFrame, sets: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(owner, cluster): sets that may have partners; all partners of a set are in its cluster."""
+    """(owner, cluster, grp, n, prefix, zones, share): sets that may have partners; all partners of a set are in its
+    cluster. zones counts the elements of its zone that others have, of which partners share `share` at least."""
     found = repeats.repeated(_zone_rows(texts, shingle, percent), distinct=True)
     sizes = sets.select("owner", "n").distinct()
     zone, share = _prefix_length(F.col("n"), percent)
@@ -125,7 +128,7 @@ def candidates(texts: DataFrame, sets: DataFrame, shingle: int, percent: int) ->
     # elements of the zone that no other has come first in the order, and can be shared with nobody
     most = zone - share + 1 - (zone - F.size("zone"))
     prefix = F.slice(F.transform("zone", lambda x: x["h"]), F.lit(1), F.greatest(most, F.lit(0)).cast("int"))
-    prefixes = ordered.where(most > 0).select("owner", "n", prefix.alias("prefix"))
+    prefixes = ordered.where(most > 0).select("owner", "n", prefix.alias("prefix"), F.size("zone").alias("zones"), share.alias("share"))
     grouped = materialise(prefixes.withColumn("grp", F.xxhash64("n", "prefix")), "jaccard_prefixes")
     groups = grouped.groupBy("grp").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.count(F.lit(1)).alias("members"))
     # partners' sizes are in the same or in neighbouring bands, so that each band also looks into the next
@@ -138,23 +141,25 @@ def candidates(texts: DataFrame, sets: DataFrame, shingle: int, percent: int) ->
     # components() leaves out the smallest node itself
     cluster = cluster.union(cluster.select(F.col("component").alias("grp"), "component")).distinct()
     whole = groups.select("grp", "members").join(cluster, "grp", "left").where("component IS NOT NULL OR members > 1")
-    return grouped.select("owner", "grp").join(whole, "grp").select("owner", F.coalesce("component", "grp").alias("cluster"))
+    return grouped.join(whole, "grp").select("owner", F.coalesce("component", "grp").alias("cluster"), "grp", "n", "prefix", "zones", "share")
 
 
 def verified(texts: DataFrame, sets: DataFrame, chosen: DataFrame, shingle: int, percent: int) -> DataFrame:
     """(a, b): links between sets of a cluster, enough of them to join all that are linked."""
     one = sets.groupBy("owner").agg(F.min("key").alias("key"))
-    sizes = chosen.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    who = chosen.join(sizes, "cluster").join(one, "owner").select("key", "owner", "cluster", "blocks")
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_ELEMENTS)).cast("int")
+    more = ["owner", "cluster", "blocks", "grp", "prefix", "zones", "share"]
+    who = chosen.join(chosen.groupBy("cluster").agg(blocks.alias("blocks")), "cluster").join(one, "owner").select("key", *more)
 
     def sets_work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 value, bounds = sets_of(part.column(0), shingle)
                 data = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer((bounds * 8).astype(np.int32)), pa.py_buffer(value)])
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], data], names=["owner", "cluster", "blocks", "elements"])
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], data], names=[*more, "elements"])
 
-    full = map_arrow(texts.join(who, "key").select("text", "owner", "cluster", "blocks"), sets_work, "owner long, cluster long, blocks int, elements binary")
+    kinds = "owner long, cluster long, blocks int, grp long, prefix array<long>, zones int, share long, elements binary"
+    full = map_arrow(texts.join(who, "key").select("text", *more), sets_work, kinds)
     block = F.pmod(F.xxhash64("owner"), F.col("blocks")).cast("int")
     pair = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1),
@@ -167,64 +172,77 @@ def verified(texts: DataFrame, sets: DataFrame, chosen: DataFrame, shingle: int,
         for whole in stream_groups(batches, "task"):
             group = np.stack([whole.column(c).to_numpy() for c in ("task", "cluster", "pair")])
             cut = np.flatnonzero(np.concatenate([[True], (group[:, 1:] != group[:, :-1]).any(0), [True]]))
-            owner, block, elements = whole.column("owner").to_numpy(), whole.column("block").to_numpy(), whole.column("elements").combine_chunks()
+            owner, block, grp, zones, share = (whole.column(c).to_numpy() for c in ("owner", "block", "grp", "zones", "share"))
+            elements, prefix = whole.column("elements").combine_chunks(), whole.column("prefix").combine_chunks()
             out = []
             for a, b in zip(cut[:-1], cut[1:]):
                 if b - a < 2:
                     continue
-                part = elements.slice(a, b - a)
-                u, v = linked([np.frombuffer(x.as_buffer(), np.uint64) for x in part], percent)
-                out.append(owner[a:b][np.stack([u, v])])
+                full_sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in elements.slice(a, b - a)]
+                near = group_pairs([x.values.to_numpy() for x in prefix.slice(a, b - a)], np.array([len(x) for x in full_sets]), grp[a:b], zones[a:b], share[a:b], percent)
+                if block[a] != block[a:b].max():
+                    near &= block[a:b, None] != block[None, a:b]  # pairs within a block are that block's own
+                out.append(owner[a:b][np.stack(linked(full_sets, near, percent))])
             if out:
                 u, v = np.concatenate(out, 1)
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["a", "b"])
 
-    return map_arrow(dealt.select("task", "cluster", "pair", "owner", "block", "elements"), compare, "a long, b long")
-
-
-def linked(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a spanning forest of the sets that are similar enough, by counting common elements of all pairs.
-
-    Elements of few sets are counted pair by pair, those of many as products of 0/1 matrices.
-    """
+    return map_arrow(dealt.select("task", "cluster", "pair", "owner", "block", "grp", "prefix", "zones", "share", "elements"), compare, "a long, b long")
+
+
+def group_pairs(prefixes: list[np.ndarray], size: np.ndarray, grp: np.ndarray, zones: np.ndarray, share: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of sets may be similar enough, as a matrix: those of one group, and those whose groups fit in size and
+    share an element of their prefixes with enough of both zones behind it. The first element that partners share always
+    has, so one that has is enough."""
+    _, head, of = np.unique(grp, return_index=True, return_inverse=True)
+    n, low, zones, share = len(head), size[head], zones[head], share[head]
+    near = np.eye(n, dtype=bool)
+    lists = [prefixes[i] for i in head]
+    element = np.concatenate(lists)
+    owner = np.repeat(np.arange(n), [len(x) for x in lists])
+    behind = zones[owner] - np.concatenate([np.arange(len(x)) for x in lists])  # elements from here on
+    order = np.argsort(element, kind="stable")
+    element, owner, behind = element[order], owner[order], behind[order]
+    edge = np.flatnonzero(np.concatenate([[True], element[1:] != element[:-1], [True]]))
+    for a, b in zip(edge[:-1], edge[1:]):
+        if b - a > 1:
+            g, z = owner[a:b], behind[a:b]
+            near[np.ix_(g, g)] |= np.minimum(z[:, None], z[None, :]) >= np.minimum(share[g][:, None], share[g][None, :])
+    near &= 100 * np.minimum(low[:, None], low[None, :]) >= percent * np.maximum(low[:, None], low[None, :])
+    return near[np.ix_(of, of)]
+
+
+def linked(sets: list[np.ndarray], near: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a spanning forest of the pairs in `near` that are similar enough on their full sets. Each set in turn is
+    verified against the later ones that are its candidates and not yet joined to it."""
     n = len(sets)
     size = np.fromiter(map(len, sets), np.int64, n)
-    row = np.repeat(np.arange(n), size)
-    _, column, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    common = np.zeros((n, n), np.float32)
-    order = np.argsort(column, kind="stable")
-    row, at = row[order], np.concatenate([[0], np.cumsum(often)])
-    for k in range(2, 9):
-        if len(c := np.flatnonzero(often == k)):
-            members = row[at[c][:, None] + np.arange(k)]
-            for i in range(k):
-                for j in range(i + 1, k):
-                    np.add.at(common, (members[:, i], members[:, j]), 1)
-    many = np.flatnonzero(often > 8)
-    for start in range(0, len(many), 2048):
-        c = many[start : start + 2048]
-        has = np.zeros((n, len(c)), np.float32)
-        spans = np.repeat(np.arange(len(c)), often[c])
-        places = np.arange(len(spans)) + np.repeat(at[c] - (np.cumsum(often[c]) - often[c]), often[c])
-        has[row[places], spans] = 1
-        common += np.triu(has @ has.T, 1)
-    both = size[:, None] + size[None, :] - common
-    i, j = np.nonzero(np.triu(100 * common.astype(np.float64) >= percent * both, 1) & (size[:, None] > 0) & (size[None, :] > 0))
-    label = np.arange(n)
-    while True:
-        low = label.copy()
-        np.minimum.at(low, i, label[j])
-        np.minimum.at(low, j, label[i])
-        low = low[low]
-        if (low == label).all():
-            u = np.flatnonzero(label != np.arange(n))
-            return u, label[u]
-        label = low
+    code = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    stop = np.cumsum(size)
+    flag = np.zeros(int(code.max()) + 1, np.int32)
+    label, u, v = np.arange(n), [], []
+    for i in range(n - 1):
+        some = np.flatnonzero(near[i, i + 1 :] & (label[i + 1 :] != label[i])) + i + 1
+        if not len(some):
+            continue
+        own = code[stop[i] - size[i] : stop[i]]
+        flag[own] = 1
+        first, last = some[0], some[-1]
+        begin = stop[first] - size[first]
+        common = np.add.reduceat(flag[code[begin : stop[last]]], (stop - size)[first : last + 1] - begin)[some - first]
+        flag[own] = 0
+        for j in some[100 * common >= percent * (size[i] + size[some] - common)].tolist():
+            if label[j] != label[i]:
+                label[label == label[j]] = label[i]
+                u.append(i)
+                v.append(j)
+    return np.array(u, np.int64), np.array(v, np.int64)
 
 
 def _linked_texts(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, per, named): (doc_id, key) of each document; (class, key, n) of each text, a class being a component's
-    smallest set hash; (class, least, key) of each class of texts with words: its smallest doc_id and the text there."""
+    smallest set hash; (class, least, key) of each class of texts with words: its smallest doc_id and the text there. A
+    text is worked on whole by one task, whatever its length; other columns are not looked at."""
     rows, texts = distinct_texts(docs, "jaccard_texts")
     sets = materialise(_described(texts, shingle), "jaccard_sets")
     chosen = materialise(candidates(texts, sets.where("n > 0"), shingle, percent), "jaccard_chosen")
