@@ -463,6 +463,29 @@ def test_vectors(spark, monkeypatch, block):
     assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i in range(900, 906))
 
 
+def test_vectors_repeated_ids_and_labels(spark):
+    one, two, far = [1.0, 0.0, 0.5], [1.0, 0.01, 0.5], [-1.0, 1.0, 0.0]
+    rows = [(7, one, 1), (7, far, 1), (7, two, 1), (9, one, 1), (3, two, 2), (None, one, 1), (8, far, 1), (5, [2.0, 0.0, 1.0], 1)]
+    got = vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    want = [(7, 4, 5, False), (7, 1, 7, True), (7, 4, 5, False), (9, 4, 5, False), (3, 0, 3, True), (None, 4, 5, True), (8, 1, 7, False), (5, 4, 5, True)]
+    assert Counter(map(tuple, got)) == Counter(want)
+
+
+def test_vectors_recall(spark):
+    """Queries are the rows whose id is divisible by 50, against all rows: links found and missed, by brute force."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(3000, 48))
+    near = base[rng.integers(0, 3000, 2000)] + rng.normal(size=(2000, 48)) * rng.uniform(0.05, 0.2, (2000, 1))
+    x = np.concatenate([base, near]).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(v) for v in r], 1) for i, r in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    got = {r["vec_id"]: r["n_links"] for r in vectors.near_duplicates(df).collect()}
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    queries = range(0, len(x), 50)
+    want = {q: int((unit @ unit[q] >= 0.98).sum()) - 1 for q in queries}
+    assert all(got[q] <= want[q] for q in queries)
+    assert sum(want.values()) > 20 and sum(got[q] for q in queries) >= 0.99 * sum(want.values())
+
+
 # --- empty tables -------------------------------------------------------------------------------------------------------------
 def test_empty_tables(spark):
     df = docs(spark, EMPTY)

@@ -11,16 +11,15 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import components, map_arrow, materialise, shuffle_partitions, stream_groups, table
 
 #: Least cosine of a link.
 COSINE = 0.98
-#: Rows that the rotation is learned on at most, and rounds of learning.
+#: Rows that the rotation is learned on at most, the first by hash, and rounds of learning.
 SAMPLE, ROUNDS, SEED = 20_000, 30, 7
 #: Vectors wanted in a bucket on average, and the part of links at COSINE exactly that no table may miss.
 BUCKET, MISS = 16, 0.0005
@@ -59,20 +58,18 @@ def plan_tables(n: int, d: int, cosine: float = COSINE) -> tuple[int, int]:
     return bits, max(1, math.ceil(math.log(MISS) / math.log(1 - same)))
 
 
-def substrings(x: np.ndarray, mean: np.ndarray, projections: np.ndarray, bits: int, tables: int) -> np.ndarray:
-    """Substring of each row's codes in each table, as longs."""
-    d = x.shape[1]
-    per = d // bits
+def code_bits(x: np.ndarray, mean: np.ndarray, projections: np.ndarray, bits: int, tables: int) -> np.ndarray:
+    """Bits of each row's code in each table, as rows x tables x bits."""
+    per = x.shape[1] // bits
     signs = np.concatenate([((x - mean) @ p >= 0)[:, : per * bits] for p in projections], 1)[:, : tables * bits]
-    weights = np.int64(1) << np.arange(bits, dtype=np.int64)
-    return signs.reshape(len(x), tables, bits) @ weights
+    return signs.reshape(len(x), tables, bits)
 
 
-def _usable(vectors: DataFrame) -> DataFrame:
-    """Rows that can have links: label and vector not null, all components finite, not all zero."""
+def _usable() -> Column:
+    """Whether a row can have links: label and vector not null, all components finite, not all zero."""
     e = F.col("embedding")
     fine = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    return vectors.where(F.col("label").isNotNull() & e.isNotNull() & F.coalesce(fine, F.lit(False)) & F.exists(e, lambda x: x != 0))
+    return F.col("label").isNotNull() & F.coalesce(fine & F.exists(e, lambda x: x != 0), F.lit(False))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -80,66 +77,76 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def links(vectors: DataFrame, cosine: float = COSINE) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(classes, counts, edges). classes: (vec_id, class) of usable rows, class being the smallest vec_id of an equal
-    vector with that label. counts: (class, n) rows linked to a class from other classes, found by the index. edges:
-    (a, b) between classes, enough to join all that are linked.
+def _unit(column: pa.Array, wide: bool) -> np.ndarray:
+    """Unit vectors, in double precision, of vectors as bytes."""
+    raw = np.frombuffer(b"".join(column.to_pylist()), np.float64 if wide else np.float32)
+    x = raw.astype(np.float64).reshape(len(column), -1)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def links(vectors: DataFrame, cosine: float = COSINE) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(rows, groups, counts, edges). rows: (vec_id, key) of every row, key being null where it can have no links; rows
+    of equal vectors and labels have equal keys. groups: (key, class, copies, least) of each key: a number, its rows
+    and their smallest vec_id. counts: (class, n) rows of other classes that are linked to a class. edges: (a, b)
+    between classes, enough to join all that are linked.
 
     Every row is indexed. A pair is counted in the first table in which it meets, which both codes tell. Vectors of
     different length are compared only with their like.
     """
     spark = vectors.sparkSession
-    rows = _usable(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.col("label").cast("long").alias("label")))
-    rows = rows.withColumn("embedding", F.col("embedding").cast("array<double>"))
+    wide = vectors.schema["embedding"].dataType.elementType.simpleString() != "float"
+    kind = "array<double>" if wide else "array<float>"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding"), F.col("label").cast("long").alias("label"))
     # 0.0 and -0.0 are one number
-    rows = rows.withColumn("embedding", F.transform("embedding", lambda x: x + F.lit(0.0)))
-    keyed = rows.withColumn("key", F.md5(F.concat_ws(",", "label", F.to_json("embedding"))))
-    groups = keyed.groupBy("key").agg(F.min("vec_id").alias("class"), F.count(F.lit(1)).alias("copies"), F.first("label").alias("label"), F.first("embedding").alias("embedding"))
-    groups = materialise(groups.drop("key").withColumn("d", F.size("embedding")), "vector_classes")
-    classes = keyed.select("vec_id", "label", "key").join(keyed.groupBy("key").agg(F.min("vec_id").alias("class")), "key").select("vec_id", "class")
+    same = F.transform("embedding", lambda x: x + F.lit(0.0).cast("double" if wide else "float"))
+    keyed = rows.withColumn("embedding", same).withColumn("key", F.when(_usable(), F.unhex(F.md5(F.concat_ws(",", F.col("label"), F.to_json("embedding"))))))
+    groups = keyed.where("key IS NOT NULL").groupBy("key").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("label").alias("label"), F.first("embedding").alias("embedding"))
+    groups = materialise(groups.withColumn("d", F.size("embedding")).withColumn("class", F.monotonically_increasing_id()), "vector_classes")
     entries = None
     for d, n in sorted((r["d"], r["n"]) for r in groups.groupBy("d").agg(F.count(F.lit(1)).alias("n")).collect()):
-        part = _entries(groups.where(F.col("d") == d), d, n, cosine)
+        part = _entries(groups.where(F.col("d") == d), d, n, cosine, wide)
         entries = part if entries is None else entries.unionByName(part)
+    everyone = keyed.select("vec_id", "key")
     if entries is None:
-        none = spark.createDataFrame([], "class long, n long")
-        return classes, none, spark.createDataFrame([], "a long, b long")
-    entries = materialise(entries, "vector_entries")
-    found = materialise(_compared(entries, cosine), "vector_links")
+        return everyone, groups, spark.createDataFrame([], "class long, n long"), spark.createDataFrame([], "a long, b long")
+    found = materialise(_compared(materialise(entries, "vector_entries"), cosine, wide), "vector_links")
     counts = found.groupBy(F.col("a").alias("class")).agg(F.sum("n").alias("n"))
-    edges = found.where("b IS NOT NULL").select("a", "b")
-    return classes, counts, edges
+    return everyone, groups, counts, found.where("b IS NOT NULL").select("a", "b")
 
 
-def _entries(groups: DataFrame, d: int, n: int, cosine: float) -> DataFrame:
-    """(bucket, t, class, copies, codes, x): each class in each table."""
+def _entries(groups: DataFrame, d: int, n: int, cosine: float, wide: bool) -> DataFrame:
+    """(bucket, t, label, class, copies, tables, codes, x): each class in each table; codes has the bits of all of them,
+    x the vector as it was given, both as bytes."""
     bits, tables = plan_tables(n, d, cosine)
     share = min(1.0, 1.2 * SAMPLE / max(1, n))
-    sample = groups.where(F.pmod(F.xxhash64("class"), F.lit(1_000_000)) < int(share * 1_000_000)).limit(SAMPLE).select("embedding").toPandas()
-    x = np.stack(sample["embedding"]) if len(sample) else np.zeros((0, d))
+    order = F.xxhash64("key", F.lit(SEED))
+    sample = groups.where(F.pmod(order, F.lit(1_000_000)) < int(share * 1_000_000) + 1).orderBy(order, "key").limit(SAMPLE).select("embedding").toPandas()
+    x = np.stack(sample["embedding"]).astype(np.float64) if len(sample) else np.zeros((0, d))
     x = x / np.linalg.norm(x, axis=1, keepdims=True)
     mean, projections = learn_rotations(x, math.ceil(tables / max(1, d // bits)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = np.int64(1) << np.arange(bits, dtype=np.int64)
         for b in batches:
             if not b.num_rows:
                 continue
             own = _matrix(b.column(3))
-            codes = substrings(own / np.linalg.norm(own, axis=1, keepdims=True), mean, projections, bits, tables)
+            code = code_bits(own / np.linalg.norm(own, axis=1, keepdims=True), mean, projections, bits, tables)
             m = len(own)
-            t = np.tile(np.arange(tables, dtype=np.int32), m)
             row = pa.array(np.repeat(np.arange(m), tables))
-            every = pa.FixedSizeListArray.from_arrays(pa.array(codes.reshape(-1)), tables).cast(pa.list_(pa.int64()))
+            packed = pa.array([c.tobytes() for c in np.packbits(code.reshape(m, -1), axis=1)], pa.binary())
+            exact = pa.array([v.tobytes() for v in own.astype(np.float64 if wide else np.float32)], pa.binary())
+            t = np.tile(np.arange(tables, dtype=np.int32), m)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(row), b.column(1).take(row), b.column(2).take(row), pa.array(t), pa.array(codes.reshape(-1)), every.take(row), b.column(3).take(row)],
-                names=["class", "copies", "label", "t", "code", "codes", "x"],
+                [*(b.column(k).take(row) for k in range(3)), pa.array(t), pa.array((code @ weights).reshape(-1)), pa.array(np.full(len(t), tables, np.int32)), packed.take(row), exact.take(row)],
+                names=["class", "copies", "label", "t", "code", "tables", "codes", "x"],
             )
 
-    out = map_arrow(groups.select("class", "copies", "label", "embedding"), work, "class long, copies long, label long, t int, code long, codes array<long>, x array<double>")
-    return out.withColumn("bucket", F.xxhash64(F.lit(d), "label", "t", "code"))
+    out = map_arrow(groups.select("class", "copies", "label", "embedding"), work, "class long, copies long, label long, t int, code long, tables int, codes binary, x binary")
+    return out.withColumn("bucket", F.xxhash64(F.lit(d), "label", "t", "code")).drop("code")
 
 
-def _compared(entries: DataFrame, cosine: float) -> DataFrame:
+def _compared(entries: DataFrame, cosine: float, wide: bool) -> DataFrame:
     """(a, n, b): rows linked to class a that are counted in some block, and an edge from a to b if b is not null."""
     sizes = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
@@ -150,46 +157,43 @@ def _compared(entries: DataFrame, cosine: float) -> DataFrame:
         lambda j: F.least(F.col("block"), j.cast("int")).cast("long") * F.col("blocks") + F.greatest(F.col("block"), j.cast("int")),
     )
     dealt = dealt.withColumn("pair", F.explode(pair)).withColumn("task", F.xxhash64("bucket", "pair"))
-    dealt = dealt.repartition(shuffle_partitions(entries.sparkSession), "task").sortWithinPartitions("task", "bucket", "pair", "class")
+    keys = ("task", "bucket", "pair", "label", "t")
+    dealt = dealt.repartition(shuffle_partitions(entries.sparkSession), "task").sortWithinPartitions(*keys, "class")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in stream_groups(batches, "task"):
-            group = np.stack([whole.column(c).to_numpy() for c in ("task", "bucket", "pair")])
+            group = np.stack([whole.column(c).to_numpy() for c in keys])
             cut = np.flatnonzero(np.concatenate([[True], (group[:, 1:] != group[:, :-1]).any(0), [True]]))
-            out_a, out_n, out_b = [], [], []
-            ids, copies, block, tables = (whole.column(c).to_numpy() for c in ("class", "copies", "block", "t"))
+            who, times, to = [], [], []
+            ids, copies, block, t, tables = (whole.column(c).to_numpy() for c in ("class", "copies", "block", "t", "tables"))
             codes, xs = whole.column("codes").combine_chunks(), whole.column("x").combine_chunks()
             for a, b in zip(cut[:-1], cut[1:]):
                 if b - a < 2:
                     continue
-                x = _matrix(xs.slice(a, b - a))
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
+                x = _unit(xs.slice(a, b - a), wide)
                 near = np.triu(x @ x.T >= cosine, 1)
                 own = block[a:b]
                 if own.min() != own.max():
                     near &= own[:, None] != own[None, :]  # pairs within a block are that block's own
                 i, j = np.nonzero(near)
+                if len(i) and t[a]:
+                    bits = np.unpackbits(np.frombuffer(b"".join(codes.slice(a, b - a).to_pylist()), np.uint8).reshape(b - a, -1), axis=1)
+                    each = bits.shape[1] // tables[a]
+                    c = bits[:, : each * t[a]].reshape(b - a, t[a], each)
+                    differs = np.concatenate([(c[p] != c[q]).any(2).all(1) for p, q in zip(np.array_split(i, len(i) // 65536 + 1), np.array_split(j, len(j) // 65536 + 1))])
+                    i, j = i[differs], j[differs]
                 if not len(i):
                     continue
-                t = int(tables[a])
-                if t:
-                    c = codes.slice(a, b - a).flatten().to_numpy().reshape(b - a, -1)[:, :t]
-                    fresh = ~(c[i] == c[j]).any(1)
-                    i, j = i[fresh], j[fresh]
                 n = np.bincount(i, copies[a:b][j], b - a) + np.bincount(j, copies[a:b][i], b - a)
                 some = np.flatnonzero(n)
-                # an edge from each row to its first partner, and from that to it: all linked rows stay linked
                 u, v = _forest(i, j, b - a)
-                out_a += [ids[a:b][some], ids[a:b][u]]
-                out_n += [n[some].astype(np.int64), np.zeros(len(u), np.int64)]
-                out_b += [np.full(len(some), -1), ids[a:b][v]]
-                out_b[-2] = np.ma.masked_array(out_b[-2], True)
-            if out_a:
-                b_all = np.concatenate([np.asarray(x) for x in out_b])
-                no = np.concatenate([np.ma.getmaskarray(x) if np.ma.isMaskedArray(x) else np.zeros(len(x), bool) for x in out_b])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_n)), pa.array(b_all.astype(np.int64), mask=no)], names=["a", "n", "b"])
-
-    columns = dealt.select("task", "bucket", "pair", "class", "copies", "block", "t", "codes", "x")
+                who += [ids[a:b][some], ids[a:b][u]]
+                times += [n[some].astype(np.int64), np.zeros(len(u), np.int64)]
+                to += [pa.nulls(len(some), pa.int64()), pa.array(ids[a:b][v])]
+            if who:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(who)), pa.array(np.concatenate(times)), pa.concat_arrays(to)], names=["a", "n", "b"])
+
+    columns = dealt.select(*keys, "class", "copies", "block", "tables", "codes", "x")
     return map_arrow(columns, work, "a long, n long, b long")
 
 
@@ -213,19 +217,19 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
 
     Two rows are linked if their labels are equal and not null and their cosine, in double precision, is at least
     `cosine`. Rows whose vector is null, all zero, or has null or non-finite components have no links and are their own
-    component; so is a row with a null vec_id, whose component is null. Rows that share a vec_id count one by one.
+    component; so is a row with a null vec_id, whose component is null. Rows that share a vec_id are rows of their own:
+    each counts as a link of the others that it is linked with. An empty table gives no rows; other columns are not
+    looked at.
     """
-    classes, counts, edges = links(vectors, cosine)
-    copies = classes.groupBy("class").agg(F.count(F.lit(1)).alias("copies"))
-    component = components(edges, "vector_components")
-    per = (
-        copies.join(counts, "class", "left")
-        .join(component.withColumnRenamed("node", "class"), "class", "left")
-        .select("class", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "class").alias("component_id"))
+    rows, groups, counts, edges = links(vectors, cosine)
+    component = components(edges, "vector_components").withColumnRenamed("node", "class")
+    per = groups.select("key", "class", "copies", "least").join(counts, "class", "left").join(component, "class", "left")
+    per = materialise(
+        per.select("key", "least", F.coalesce("component", "class").alias("component"), (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links")), "vector_counts"
     )
-    known = classes.distinct().join(per, "class").groupBy("vec_id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"))
-    return rows.join(known, "vec_id", "left").select(
+    least = per.groupBy("component").agg(F.min("least").alias("component_id"))
+    known = per.select("key", "component", "n_links").join(least, "component").drop("component")
+    return rows.join(known, "key", "left").select(
         "vec_id",
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("component_id", "vec_id").alias("component_id"),
