@@ -356,6 +356,44 @@ def test_mixing_takes(spark):
     assert mixing.mix_documents(df).select(F.sum(mixing.word_count(F.col("text")))).first()[0] == sum(r["taken"] for r in got)
 
 
+def brute_targets(sizes):
+    """Words wanted of each source: shares by weight, what is above three times a source's size shared again."""
+    names = sorted((k for k in sizes if k is not None)) + [None] * (None in sizes)
+    weight = {k: (5, 2, 1)[i % 3] for i, k in enumerate(names)}
+    stopped, total = {}, sum(sizes.values())
+    while True:
+        left = total - sum(stopped.values())
+        rest = [k for k in names if k not in stopped]
+        share = {k: left * weight[k] / sum(weight[r] for r in rest) for k in rest}
+        over = [k for k in rest if share[k] > 3 * sizes[k]]
+        if not over:
+            return {**stopped, **share}
+        stopped |= {k: 3.0 * sizes[k] for k in over}
+
+
+def test_mixing_query_against_brute_force(spark, tmp_path):
+    rng = random.Random(17)
+    rows = [(i, " ".join(["w"] * rng.randrange(0, 60)), rng.choice(["a", "b", "b", "b", "B", "é", None, "z" * 9])) for i in range(900)]
+    rows += [(900, "q " * 700, "big"), (901, None, "empty"), (902, "one", "tiny"), (5, "five", "a")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = mixing.query(spark, str(tmp_path)).collect()
+    size = [len(WORD.findall(t or "")) for _, t, _ in rows]
+    sizes = Counter()
+    for (_, _, s), n in zip(rows, size):
+        sizes[s] += n
+    want = brute_targets(sizes)
+    assert Counter((r["doc_id"], r["size"]) for r in got) == Counter((i, n) for (i, _, _), n in zip(rows, size))
+    of = {}
+    for r in got:
+        of.setdefault((r["source_size"], round(r["target"], 6)), []).append(r)
+    assert set(of) == {(sizes[s], round(want[s], 6)) for s in sizes}
+    for s in sizes:
+        own = of[sizes[s], round(want[s], 6)]
+        widest = max(r["size"] for r in own)
+        assert all(r["taken"] in range(0, 3 * r["size"] + 1, max(1, r["size"])) for r in own)
+        assert abs(sum(r["taken"] for r in own) - want[s]) <= max(1, widest / 2 + 1)
+
+
 # --- packing --------------------------------------------------------------------------------------------------------------
 def test_packing(spark):
     import public_tokenizers
@@ -430,6 +468,29 @@ def test_sharding(spark):
         sharding.lookup_table(names, 100)
 
 
+def test_sharding_query_against_brute_force(spark, tmp_path):
+    """Slots by Spark's hash; owners by walking the permutations one slot at a time."""
+    docs(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    names = [f"shard-{i:03d}" for i in range(sharding.SHARDS)]
+
+    def walk(name):
+        at, skip = (int.from_bytes(hashlib.md5(f"{k}:{name}".encode()).digest()[:8], "big") for k in ("offset", "skip"))
+        while True:
+            yield at % sharding.SLOTS
+            at += skip % (sharding.SLOTS - 1) + 1
+
+    walks, free, owner = [walk(n) for n in names], set(range(sharding.SLOTS)), {}
+    turn = 0
+    while free:
+        slot = next(x for x in walks[turn % len(walks)] if x in free)
+        free.remove(slot)
+        owner[slot] = names[turn % len(walks)]
+        turn += 1
+    got = sharding.query(spark, str(tmp_path)).collect()
+    slots = spark.read.parquet(f"{tmp_path}/documents.parquet").select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(sharding.SLOTS)).alias("slot")).collect()
+    assert Counter((r["doc_id"], r["shard"]) for r in got) == Counter((r["doc_id"], owner[r["slot"]]) for r in slots)
+
+
 def test_cotraining_held_out(spark):
     rng = random.Random(3)
     good = lambda: " ".join(rng.choice(["river", "stone", "garden", "letter", "window"]) for _ in range(60))
@@ -437,13 +498,38 @@ def test_cotraining_held_out(spark):
     rows = [(i, good() if i % 3 else bad()) for i in range(400)] + [(None, good()), (500, None)]
     df = docs(spark, rows)
     labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(200)] + [(7, None)], "doc_id long, quality int")
-    got = {r["doc_id"]: r["p_quality"] for r in cotraining.score(df, labels).collect()}
+    rows = cotraining.score(df, labels).collect()
+    got = {r["doc_id"]: r["p_quality"] for r in rows}
+    # calibrated: of 134 good in 200, mean probabilities are near that share
+    assert abs(np.mean([r["p_text"] for r in rows if r["doc_id"] is not None and 200 <= r["doc_id"] < 400]) - 2 / 3) < 0.05
     assert len(got) == 402
     assert np.mean([(got[i] >= 0.5) == (i % 3 > 0) for i in range(200, 400)]) >= 0.95
     none = cotraining.score(df, labels.limit(0)).collect()
     assert {r["p_quality"] for r in none} == {0.5}
 
 
+def test_cotraining_sample_and_repeated_rows(spark):
+    labels = spark.createDataFrame([(i % 500, i % 2) for i in range(1000)] + [(None, 1), (3, 5)], "doc_id long, quality int")
+    first = cotraining.labelled_sample(labels, 100).collect()
+    again = cotraining.labelled_sample(labels.repartition(5), 100).collect()
+    assert len(first) == 100 and Counter(first) == Counter(again)
+    rng = random.Random(5)
+    good = lambda: " ".join(rng.choice(["river", "stone", "garden"]) for _ in range(30))
+    rows = [(i, good() if i % 2 else "$$$ WIN!! " * 20) for i in range(120)] + [(1, good())] * 400
+    df = docs(spark, rows)
+    got = cotraining.score(df, spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, quality int")).collect()
+    assert len(got) == 520
+    assert np.mean([(r["p_quality"] >= 0.5) == (r["doc_id"] % 2 == 1) for r in got if r["doc_id"] >= 80]) > 0.9
+
+
+def test_cotraining_page_view_does_not_read_the_text(spark):
+    rows = [(i, "x " * i) for i in range(20)]
+    df = docs(spark, rows).withColumn("n_chars", F.lit(100).cast("long"))
+    other = df.withColumn("text", F.lit("quite\nanother"))
+    pages = lambda d: Counter((r["doc_id"], bytes(r["page_view"])) for r in cotraining.views(d).collect())
+    assert pages(df) == pages(other)
+
+
 @pytest.mark.parametrize("block", [512, 4])
 def test_vectors(spark, monkeypatch, block):
     monkeypatch.setattr(vectors, "BLOCK", block)

@@ -1,13 +1,15 @@
 """A quality classifier by co-training.
 
 Two logistic models look at different sides of a document: what the text says (words, characters), and what is known of
-its page (source, language, length, layout of lines). Each round, a model learns from the labelled documents and from
-those that the other model of the round before is confident about. At the end, both views are calibrated and combined
-on labelled documents that neither has learned from, and all documents are scored.
+its page without reading it (source, language, recorded length). Each round, a model learns from the labelled documents
+and from the others that the calibrated other model of the round before is confident about. A fifth of the labelled
+documents is held out: neither model learns from them, as labels or as pseudo-labels; on them both views are calibrated
+and then combined. All documents are scored.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,12 +20,12 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import map_arrow, materialise, padded, slices, table, word_hashes, words_of
 
-#: Labelled rows that the models learn from at most (a fifth of them only calibrates); the sample is taken by hash.
+#: Labelled documents that the models learn from at most, the first by hash (a fifth of them only calibrates).
 LABELLED = 20_000
 #: Rounds, Newton steps of each, confidence that makes a pseudo-label, its weight, and the ridge penalty.
 ROUNDS, STEPS, CONFIDENT, PSEUDO_WEIGHT, RIDGE = 3, 4, 0.97, 0.2, 3.0
-#: Hash buckets of words, sources and languages.
-WORDS, SOURCES, LANGUAGES = 64, 24, 8
+#: Hash buckets of words, sources and languages, and steps of the recorded length, each three times the one before.
+WORDS, SOURCES, LANGUAGES, LENGTHS = 64, 24, 8, 9
 _CLASS = np.zeros(256, np.int64)
 for _k, _set in enumerate(("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "#*$%&", "|<>", "!", ".,;:?", "\n"), 1):
     _CLASS[[ord(c) for c in _set]] = _k
@@ -50,24 +52,15 @@ def text_view(column: pa.Array) -> np.ndarray:
     return np.concatenate([chars / size[:, None] * 4, np.sqrt(buckets / one[:, None]), np.stack(more, 1), np.ones((n, 1))], 1)
 
 
-def page_view(column: pa.Array, source: list, lang: list, n_chars: list) -> np.ndarray:
-    """Features of what is known of each page: source, language, recorded length, and the layout of its lines."""
-    import zlib
-
-    buffer, rows = padded(column)
-    n = len(rows) - 1
-    out = np.zeros((n, SOURCES + LANGUAGES + 5))
+def page_view(source: list, lang: list, n_chars: list) -> np.ndarray:
+    """Features of what is known of each page: source, language, and how far its recorded length is in each step."""
+    n = len(source)
+    out = np.zeros((n, SOURCES + LANGUAGES + LENGTHS + 1))
     for i, (s, k) in enumerate(zip(source, lang)):
         out[i, zlib.crc32(repr(s).encode()) % SOURCES] = 1
         out[i, SOURCES + zlib.crc32(repr(k).encode()) % LANGUAGES] = 1
-    breaks = np.flatnonzero(buffer == 10)
-    of = np.searchsorted(rows, breaks, side="right") - 1
-    length = np.diff(np.concatenate([[-1], breaks]))
-    lines = np.maximum(np.bincount(of, minlength=n), 1)
-    out[:, -5] = np.log1p(np.array([x or 0 for x in n_chars], np.float64).clip(0)) / 8
-    out[:, -4] = np.log1p(lines) / 5
-    out[:, -3] = np.log1p(np.bincount(of, length, n) / lines) / 6
-    out[:, -2] = np.bincount(of, length < 40, n) / lines
+    steps = np.log1p(np.array([x or 0 for x in n_chars], np.float64).clip(0)) / np.log(3) - 2
+    out[:, SOURCES + LANGUAGES : -1] = np.clip(steps[:, None] - np.arange(LENGTHS), 0, 1)
     out[:, -1] = 1
     return out
 
@@ -82,7 +75,7 @@ def views(docs: DataFrame) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                both = [text_view(part.column(1)), page_view(part.column(1), *(part.column(i).to_pylist() for i in (2, 3, 4)))]
+                both = [text_view(part.column(1)), page_view(*(part.column(i).to_pylist() for i in (2, 3, 4)))]
                 packed = [pa.array([r.tobytes() for r in x.astype(np.float32)], pa.binary()) for x in both]
                 yield pa.RecordBatch.from_arrays([part.column(0), *packed], names=["doc_id", "text_view", "page_view"])
 
@@ -111,9 +104,18 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 12, ridge: float = R
     return model
 
 
-def _pseudo_sums(features: DataFrame, other: tuple[np.ndarray, np.ndarray], now: tuple[np.ndarray, np.ndarray]) -> list[tuple]:
-    """(number of pseudo-labels, gradient, Hessian) for either view, over all documents. Model i of `now` learns from
-    what model 1 - i of `other` is confident about."""
+def _calibrated(margin: np.ndarray, line: np.ndarray) -> np.ndarray:
+    return _sigmoid(margin * line[0] + line[1])
+
+
+def _calibration(margin: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """(slope, intercept) that turn a model's margins into probabilities, fitted on documents it has not learned from."""
+    return fit_logistic(np.stack([margin, np.ones(len(y))], 1), y, ridge=0.1)
+
+
+def _pseudo_sums(features: DataFrame, other: list[tuple[np.ndarray, np.ndarray]], now: list[np.ndarray]) -> list[tuple]:
+    """(number of pseudo-labels, gradient, Hessian) for either view, over all documents that are not labelled. Model i of
+    `now` learns from what model 1 - i of `other`, given with its calibration, is confident about."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: list | None = None
@@ -123,7 +125,8 @@ def _pseudo_sums(features: DataFrame, other: tuple[np.ndarray, np.ndarray], now:
             both = [_matrix(x["text_view"]), _matrix(x["page_view"])]
             part = []
             for i in (0, 1):
-                p = _sigmoid(both[1 - i] @ other[1 - i])
+                model, line = other[1 - i]
+                p = _calibrated(both[1 - i] @ model, line)
                 sure = (p >= CONFIDENT) | (p <= 1 - CONFIDENT)
                 own = both[i][sure]
                 part.append((float(sure.sum()), *_sums(own, (p[sure] > 0.5).astype(float), np.ones(len(own)), now[i])))
@@ -133,7 +136,7 @@ def _pseudo_sums(features: DataFrame, other: tuple[np.ndarray, np.ndarray], now:
                 flat = np.concatenate([[n], g, h.reshape(-1)])
                 yield pd.DataFrame({"view": i, "at": np.arange(len(flat)), "value": flat})
 
-    rows = features.select("text_view", "page_view").mapInPandas(work, "view int, at int, value double")
+    rows = features.where("NOT labelled").select("text_view", "page_view").mapInPandas(work, "view int, at int, value double")
     got = rows.groupBy("view", "at").agg(F.sum("value").alias("value")).toPandas()
     out = []
     for i in (0, 1):
@@ -145,29 +148,41 @@ def _pseudo_sums(features: DataFrame, other: tuple[np.ndarray, np.ndarray], now:
     return out
 
 
-def train(features: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text model, page model, combination). labels: (doc_id, quality), quality being 0 or 1; rows with nulls and
-    other values are left out. Without labels of both kinds all weights are 0, so that every score is 1/2."""
+def labelled_sample(labels: DataFrame, most: int) -> DataFrame:
+    """(doc_id, quality) of the first `most` labelled documents by hash. Rows with nulls and values other than 0 and 1
+    are left out; of several labels of a document the largest holds."""
     known = labels.where(F.col("quality").isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     known = known.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    share = min(1.0, 1.1 * LABELLED / max(1, known.count()))
-    sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).limit(LABELLED)
-    rows = features.join(F.broadcast(sample), "doc_id").limit(2 * LABELLED).toPandas().sort_values("doc_id", kind="stable")
+    share = min(1.0, 1.2 * most / max(1, known.count()))
+    order = F.xxhash64("doc_id")
+    return known.where(F.pmod(order, F.lit(1_000_000)) < int(share * 1_000_000) + 1).orderBy(order, "doc_id").limit(most)
+
+
+def train(features: DataFrame) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """([(model, calibration) of the text view, of the page view], combination) from rows of views() with `labelled` and
+    `quality`. Of rows with one doc_id only one is learned from. Without labels of both kinds all weights are 0, so that
+    every score is 1/2."""
+    one = F.max(F.struct("text_view", "page_view", "quality")).alias("one")
+    rows = features.where("labelled").groupBy("doc_id").agg(one).select("doc_id", "one.*").toPandas().sort_values("doc_id", kind="stable")
     y = rows["quality"].to_numpy(dtype=float)
-    probe = features.limit(1).toPandas()
-    if not len(probe) or len(set(y)) < 2:
+    if len(set(y)) < 2:
+        probe = features.limit(1).toPandas()
         sizes = [len(probe[c].iloc[0]) // 4 if len(probe) else 1 for c in ("text_view", "page_view")]
-        return np.zeros(sizes[0]), np.zeros(sizes[1]), np.zeros(3)
+        return [(np.zeros(n), np.zeros(2)) for n in sizes], np.zeros(3)
     both = [_matrix(rows["text_view"]), _matrix(rows["page_view"])]
-    held = np.array([hash((int(d), 11)) % 5 == 0 for d in rows["doc_id"]])
+    held = np.array([zlib.crc32(b"held %d" % d) % 5 == 0 for d in rows["doc_id"]])
     if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
         held = np.zeros(len(y), bool)
-    learn = ~held
+    learn, calibrate = ~held, held if held.any() else ~held
     models = [fit_logistic(x[learn], y[learn]) for x in both]
+
+    def lines() -> list[np.ndarray]:
+        return [_calibration((x @ m)[calibrate], y[calibrate]) for x, m in zip(both, models)]
+
     for _ in range(ROUNDS):
-        before = (models[0].copy(), models[1].copy())
+        before = list(zip([m.copy() for m in models], lines()))
         for _ in range(STEPS):
-            pseudo = _pseudo_sums(features, before, (models[0], models[1]))
+            pseudo = _pseudo_sums(features, before, models)
             for i in (0, 1):
                 n, g, h = pseudo[i]
                 # pseudo-labels never outweigh the labels, however many there are
@@ -176,25 +191,35 @@ def train(features: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarra
                 models[i] = models[i] + np.linalg.solve(
                     hessian + weight * h + RIDGE * np.eye(len(models[i])), gradient + weight * g - RIDGE * models[i]
                 )
-    calibrate = held if held.any() else learn
-    z = np.stack([both[0] @ models[0], both[1] @ models[1], np.ones(len(y))], 1)[calibrate]
-    return models[0], models[1], fit_logistic(z, y[calibrate], ridge=0.1)
+    views_ = list(zip(models, lines()))
+    z = _stacked([(x @ m) * line[0] + line[1] for x, (m, line) in zip(both, views_)])
+    return views_, fit_logistic(z[calibrate], y[calibrate], ridge=0.1)
+
+
+def _stacked(margins: list[np.ndarray]) -> np.ndarray:
+    """Calibrated log odds of both views, bounded so that no view alone decides, and a constant."""
+    return np.stack([*(np.clip(m, -8, 8) for m in margins), np.ones(len(margins[0]))], 1)
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, p_text, p_page, p_quality) of every document. An empty table gives no rows; rows with equal ids are
-    scored one by one."""
-    features = materialise(views(docs), "cotraining_views")
-    text_model, page_model, combination = train(features, labels)
+    """(doc_id, p_text, p_page, p_quality) of every document, the first two calibrated. Null texts count as empty, other
+    nulls as values of their own; an empty table gives no rows; rows with equal ids are scored one by one; other columns
+    are not looked at. A text is read once, whole, by one task."""
+    sample = labelled_sample(labels, LABELLED)
+    # LABELLED rows of two numbers
+    known = F.broadcast(sample.withColumnRenamed("doc_id", "known_id"))
+    features = views(docs).join(known, F.col("doc_id") == F.col("known_id"), "left").withColumn("labelled", F.col("known_id").isNotNull()).drop("known_id")
+    features = materialise(features, "cotraining_views")
+    models, combination = train(features)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             if len(x):
-                a, b = _matrix(x["text_view"]) @ text_model, _matrix(x["page_view"]) @ page_model
-                z = np.stack([a, b, np.ones(len(a))], 1) @ combination
-                yield pd.DataFrame({"doc_id": x["doc_id"], "p_text": _sigmoid(a), "p_page": _sigmoid(b), "p_quality": _sigmoid(z)})
+                margins = [(_matrix(x[c]) @ m) * line[0] + line[1] for c, (m, line) in zip(("text_view", "page_view"), models)]
+                z = _stacked(margins) @ combination
+                yield pd.DataFrame({"doc_id": x["doc_id"], "p_text": _sigmoid(margins[0]), "p_page": _sigmoid(margins[1]), "p_quality": _sigmoid(z)})
 
-    return features.mapInPandas(work, "doc_id long, p_text double, p_page double, p_quality double")
+    return features.select("doc_id", "text_view", "page_view").mapInPandas(work, "doc_id long, p_text double, p_page double, p_quality double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
