@@ -16,8 +16,9 @@ from tidemark.llm.common import WORD_CLASS, materialise, table
 WEIGHTS = (5, 2, 1)
 #: No document is taken more often than this.
 MOST_PASSES = 3
-#: Bits of the hash that one level of histograms tells apart, and the number of levels (64 bits, of which the first is 0).
-BITS, LEVELS = 16, 4
+#: Bits of the hash that one level of histograms tells apart, and how far each level shifts the 63 bits of it.
+BITS = 11
+SHIFTS = (52, 41, 30, 19, 8, 0)
 #: Up to so many sources the thresholds are broadcast; beyond, they are joined by shuffle.
 BROADCAST_SOURCES = 50_000
 
@@ -65,11 +66,11 @@ def thresholds(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     """
     whole = F.coalesce(F.least(F.floor(F.try_divide(F.col("target"), F.col("source_size"))), F.lit(MOST_PASSES)).cast("long"), F.lit(0))
     state = targets.select("source", whole.alias("passes"), (F.col("target") - whole * F.col("source_size")).alias("left"), F.lit(0).cast("long").alias("low"))
-    for level in range(LEVELS):
-        shift = BITS * (LEVELS - 1 - level)
+    for level, shift in enumerate(SHIFTS):
+        above = SHIFTS[level - 1] if level else 63
         inside = sizes.join(state, sizes["source"].eqNullSafe(state["source"]))
         if level:
-            inside = inside.where(F.shiftright(sizes["h"], shift + BITS) == F.shiftright(state["low"], shift + BITS))
+            inside = inside.where(F.shiftright(sizes["h"], above) == F.shiftright(state["low"], above))
         histogram = inside.groupBy(
             sizes["source"].alias("source"), F.shiftright(sizes["h"], shift).alias("bucket")
         ).agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n"), F.first("left").alias("left"))
@@ -82,7 +83,7 @@ def thresholds(sizes: DataFrame, targets: DataFrame) -> DataFrame:
         before = F.col("upto") - F.col("words")
         nearer = F.col("upto") - F.col("left") < F.col("left") - before
         # without such a bucket all that is left fits: the range to its end is taken
-        end = F.shiftleft(F.shiftright(F.col("low"), shift + BITS) + 1, shift + BITS) if level else F.lit((1 << 63) - 1)
+        end = F.shiftleft(F.shiftright(F.col("low"), above) + 1, above) if level else F.lit((1 << 63) - 1)
         end = F.when(end < 0, F.lit((1 << 63) - 1)).otherwise(end)
         start = F.shiftleft(F.col("bucket"), shift) + (F.when(nearer, 1).otherwise(0) if not shift else F.lit(0))
         state = materialise(
