@@ -325,6 +325,62 @@ def test_pii_match_reaches_all_repeats(spark):
     assert len(got[100]["spans"]) == 31
 
 
+def test_pii_skip_potentials_enforce_consistency(spark):
+    number = "4539148803436467"
+    plain = [(i, f"the card {number} of it and 10.0 more") for i in range(20)] + [(20 + i, f"call +44 20 7946 {1000 + i} or write") for i in range(20)]
+    split = "card 4539 1488 0343 6467 was paid. Many words on, 4539.1488.0343.6467 came back, as did 4539/1488/0343/6467."
+    phone = "ring +44 20 7946 0958 at noon; the office says 020 7946 0958 and 02079460958, room 12 34"
+    rows = [*plain, (100, split), (101, phone), (102, "4539.1488.0343.6460 alone and 020 7946 0999 alone")]
+    found = pii.analysed(docs(spark, rows))
+    field = pii.fit(found)
+    documents = {r["doc_id"]: ([tuple(x) for x in r["base"]], [tuple(x) for x in r["tokens"]]) for r in found.collect()}
+    texts = dict(rows)
+    marked = lambda i: [(k, texts[i][a:b]) for k, a, b in pii.spans_of([documents[i]], field)[0]]
+    assert marked(100) == [("card", "4539 1488 0343 6467"), ("card", "4539.1488.0343.6467"), ("card", "4539/1488/0343/6467")]
+    assert marked(101) == [("phone", "+44 20 7946 0958"), ("phone", "020 7946 0958"), ("phone", "02079460958")]
+    assert marked(102) == []
+    field.skip[:] = 0  # without them each mention stands alone
+    assert marked(100) == [("card", "4539 1488 0343 6467")] and marked(101) == [("phone", "+44 20 7946 0958")]
+
+
+def test_pii_digests_are_no_numbers():
+    for text in ("cf1d64a9cf1d64a9cf1d64a9cf1d64a9cf1d64a9", "2100a600b1234567890123456", "550e8400-e29b-41d4-a716-446655440000"):
+        assert all(t[7] == 1 for t in pii.tokens_of(text, []))
+
+
+def test_pii_query_against_patterns(spark, tmp_path):
+    rng = random.Random(9)
+    bits = ["a.b@c.de", "@", "1.2.3.4.5.6.7.8", "256.1.1.1", "01.002.3.255", "4539 1488 0343 6467", "4539148803436467", "+1 (555) 010-9999", "+12", "7" * 30, "x", "é", "\n", " ", "-", ".", "+44 20 7946 0958"]
+    rows = [(i, "".join(rng.choice(bits) + rng.choice(["", " ", " and "]) for _ in range(rng.randrange(0, 12)))) for i in range(300)] + [(None, None), (5, ""), (5, "a@b.cc")]
+    docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+
+    def luhn(d):
+        return sum(int(c) if i % 2 == 0 else sum(map(int, str(2 * int(c)))) for i, c in enumerate(reversed(d))) % 10 == 0
+
+    want = Counter()
+    for i, t in rows:
+        t, out = t or "", []
+        out += [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+        out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
+        out += [("card", *m.span()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 13 <= len(d := re.sub("[^0-9]", "", m[0])) <= 19 and luhn(d)]
+        out += [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+        digest = hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in out).encode()).hexdigest()
+        want[(i, *(sum(k == kind for k, _, _ in out) for kind in pii.KINDS), digest)] += 1
+    got = pii.query(spark, str(tmp_path)).collect()
+    assert Counter(tuple(r)[:6] for r in got) == want
+    for r in got:  # base spans stay
+        assert sum(x.startswith("ip:") for x in r["spans"].split(",")) >= r["n_ip"]
+
+
+def test_pii_long_texts_take_linear_time():
+    import time
+
+    began = time.time()
+    for text in ("7" * 400_000, "1." * 200_000, "+" + "1 " * 200_000, "a" * 400_000 + "@", "x@" * 100_000, "12 " * 100_000):
+        pii.tokens_of(text, pii.base_spans(text))
+    assert time.time() - began < 20
+
+
 def test_pii_documents_do_not_touch():
     texts = ["card 4539148803436467 ok", " ".join(["4539148803436467 7 and"] * 40), "no number", " ".join(f"{k} {k % 3}" for k in range(200)), "", "a@b.example.com a@b.example.com"]
     known = [(b := pii.base_spans(t), pii.tokens_of(t, b)) for t in texts]
