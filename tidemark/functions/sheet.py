@@ -2,6 +2,11 @@
 
 Each name is defined once, whoever needs it. A definition lies one layer above the names it uses; a layer is one
 projection, and all its windows share one partitioning and order, so that one sort serves the whole sheet.
+
+A moving statistic has two forms. In SQL it is a window function, which says what it means. Spark would evaluate such a
+frame anew for each row, so that there it is put together from statistics of shorter runs of rows: two runs of k rows
+make one of 2k, and runs of powers of two make any other. Sums, spreads and products add up pairwise, without
+cancellation; the cost of a row does not grow with the window. A run with an unknown value is unknown.
 """
 
 from __future__ import annotations
@@ -15,6 +20,12 @@ _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
 _BACK = re.compile(r"BETWEEN (\d+) PRECEDING|lag\(\w+, (\d+)\)")
 
 
+def _split(n: int) -> tuple[int, int]:
+    """The runs that one of n rows is made of: halves, or all but the last power of two and that."""
+    low = n & -n
+    return (n // 2, n // 2) if low == n else (n - low, low)
+
+
 @dataclass
 class Sheet:
     """order: the window of a series for Spark; sql_order: for the checking engine, which needs no chunks."""
@@ -22,18 +33,14 @@ class Sheet:
     base: tuple[str, ...]
     order: str = "PARTITION BY symbol, chunk ORDER BY minute"
     sql_order: str = "PARTITION BY symbol ORDER BY minute"
-    level: dict[str, int] = field(default_factory=dict)
     text: dict[str, str] = field(default_factory=dict)
     outs: dict[str, str] = field(default_factory=dict)
     look: dict[str, int] = field(default_factory=dict)
-
-    def __post_init__(self) -> None:
-        self.level |= dict.fromkeys(self.base, 0)
+    runs: dict[str, str] = field(default_factory=dict)
 
     def let(self, name: str, sql: str) -> str:
         """Define an intermediate name, once."""
-        if name not in self.level:
-            self.level[name] = 1 + max([self.level[n] for n in set(_NAME.findall(sql)) if n in self.level], default=0)
+        if name not in self.text:
             self.text[name] = sql
             own = max([int(a or b) for a, b in _BACK.findall(sql)], default=0)
             self.look[name] = own + max([self.look.get(n, 0) for n in set(_NAME.findall(sql)) if n in self.look], default=0)
@@ -51,54 +58,113 @@ class Sheet:
     def roll(self, f: str, x: str, n: int, before: int = 0) -> str:
         """f of the n values of x that end `before` rows back; NULL unless all n are known."""
         frame = self.over(n - 1 + before, before)
-        value = f"{f}({x}) {frame}"
-        if f.startswith("stddev"):  # of a window of equal values, but for rounding
-            value = f"CASE WHEN {value} < 1e-9 THEN 0e0 ELSE {value} END"
-        return self.let(f"{f}_{x}_{n}" + (f"_b{before}" if before else ""), f"CASE WHEN count({x}) {frame} = {n} THEN {value} END")
+        small = lambda v: f"CASE WHEN {v} < 1e-9 THEN 0e0 ELSE {v} END" if f.startswith("stddev") else v  # noqa: E731  of equal values, but for rounding
+        name = f"{f}_{x}_{n}" + (f"_b{before}" if before else "")
+        if f in ("max", "min"):
+            run = self._extreme(f, x, n)
+        elif f.startswith("stddev"):
+            run = f"sqrt({self._spread(x, x, n)} / {n - (f == 'stddev_samp')}e0)"
+        else:
+            run = self._sum(x, n) if f == "sum" else f"{self._sum(x, n)} / {n}e0"
+        if before:
+            run = f"lag({self._run(f'run_{f}_{x}_{n}', run)}, {before}) OVER (@ORDER)"
+        elif f.startswith("stddev"):
+            run = self._run(f"run_{f}_{x}_{n}", run)
+        self.runs[name] = small(run) if not before else small(self._run(f"run_{name}", run))
+        return self.let(name, f"CASE WHEN count({x}) {frame} = {n} THEN {small(f'{f}({x}) {frame}')} END")
+
+    def _run(self, name: str, sql: str) -> str:
+        self.runs.setdefault(name, sql)
+        return name
+
+    def _sum(self, x: str, n: int) -> str:
+        if n == 1:
+            return x
+        a, b = _split(n)
+        return self._run(f"run_sum_{x}_{n}", f"{self._sum(x, a)} + {self._back(self._sum(x, b), a)}")
+
+    def _spread(self, y: str, x: str, n: int) -> str:
+        """Sum of the products of n values' distances from their means: two runs' own, and that of their means."""
+        if n == 1:
+            return self._run(f"run_spread_{y}_{x}_1", f"CASE WHEN {y} IS NOT NULL AND {x} IS NOT NULL THEN 0e0 END")
+        a, b = _split(n)
+        apart = []
+        for v in dict.fromkeys((y, x)):
+            apart.append(self._run(f"run_apart_{v}_{n}", f"{self._sum(v, a)} / {a}e0 - {self._back(self._sum(v, b), a)} / {b}e0"))
+        return self._run(
+            f"run_spread_{y}_{x}_{n}", f"{self._spread(y, x, a)} + {self._back(self._spread(y, x, b), a)} + {apart[0]} * {apart[-1]} * {a * b / n!r}e0"
+        )
+
+    def _extreme(self, f: str, x: str, n: int) -> str:
+        """Largest or smallest of n values; runs may overlap."""
+        if n == 1:
+            return x
+        k = 1 << (n - 1).bit_length() - 1  # the largest power of two below n
+        a, b = self._extreme(f, x, k), self._back(self._extreme(f, x, k), n - k)
+        return self._run(f"run_{f}_{x}_{n}", f"CASE WHEN {a} IS NOT NULL AND {b} IS NOT NULL THEN {'greatest' if f == 'max' else 'least'}({a}, {b}) END")
+
+    @staticmethod
+    def _back(name: str, k: int) -> str:
+        return f"lag({name}, {k}) OVER (@ORDER)"
 
     def pair(self, f: str, y: str, x: str, n: int) -> str:
         """f(y, x), such as corr or regr_slope, of n rows in which both are known."""
         frame = self.over(n - 1, 0)
         both = self.let(f"has_{y}_{x}", f"CASE WHEN {y} IS NOT NULL AND {x} IS NOT NULL THEN 1 END")
-        return self.let(f"{f}_{y}_{x}_{n}", f"CASE WHEN count({both}) {frame} = {n} THEN {f}({y}, {x}) {frame} END")
+        name = f"{f}_{y}_{x}_{n}"
+        yx, xx = self._spread(y, x, n), self._spread(x, x, n)
+        if f == "regr_slope":
+            self.runs[name] = f"CASE WHEN {xx} <> 0 THEN {yx} / {xx} END"
+        elif f == "corr":
+            yy = self._spread(y, y, n)
+            self.runs[name] = f"CASE WHEN {xx} > 0 AND {yy} > 0 THEN {yx} / sqrt({xx} * {yy}) END"
+        else:
+            raise ValueError(f)
+        return self.let(name, f"CASE WHEN count({both}) {frame} = {n} THEN {f}({y}, {x}) {frame} END")
 
     def since(self, f: str, x: str, n: int) -> str:
         """Rows since the first place of the largest (max) or smallest (min) of the n last values of x."""
         frame = self.over(n - 1, 0)
         place = "-idx" if f == "max" else "idx"
         got = f"({f}(@PAIR({x}, {place})) {frame}).b"
-        return self.let(f"since_{f}_{x}_{n}", f"CASE WHEN count({x}) {frame} = {n} THEN cast(idx {'+' if f == 'max' else '-'} {got} AS double) END")
+        name = f"since_{f}_{x}_{n}"
+        placed = self._run(f"placed_{f}_{x}", f"CASE WHEN {x} IS NOT NULL THEN struct({x} AS a, {place} AS b) END")
+        self.runs[name] = f"cast(idx {'+' if f == 'max' else '-'} {self._extreme(f, placed, n)}.b AS double)"
+        return self.let(name, f"CASE WHEN count({x}) {frame} = {n} THEN cast(idx {'+' if f == 'max' else '-'} {got} AS double) END")
 
     def lag(self, x: str, k: int = 1) -> str:
         return self.let(f"lag_{x}_{k}", f"lag({x}, {k}) OVER (@ORDER)")
 
-    def layers(self) -> list[list[str]]:
-        top = max([self.level[n] for n in self.text], default=0)
-        return [[n for n in self.text if self.level[n] == k] for k in range(1, top + 1)]
+    def layers(self, text: dict[str, str]) -> list[list[str]]:
+        """The names that the result needs, by the number of projections they lie above the base."""
+        level: dict[str, int] = {}
+
+        def of(name: str) -> int:
+            if name not in level:
+                level[name] = 1 + max([of(n) for n in set(_NAME.findall(text[name])) if n in text and n != name], default=0)
+            return level[name]
+
+        top = max([of(n) for n in self.outs], default=0)
+        return [[n for n in text if level.get(n) == k] for k in range(1, top + 1)]
 
     def depth(self) -> int:
         """Rows before a row that its values may depend on, through windows of windows."""
         return max([self.look[n] for n in self.outs], default=0)
 
-    def _needed(self) -> set[str]:
-        needed, todo = set(), list(self.outs)
-        while todo:
-            n = todo.pop()
-            if n in self.text and n not in needed:
-                needed.add(n)
-                todo += [m for m in _NAME.findall(self.text[n]) if m in self.text]
-        return needed
-
     def apply(self, df: DataFrame, keep: tuple[str, ...]) -> DataFrame:
         """df with the columns `keep` and those of the sheet. df has the base columns and a chunk."""
-
-        def spark(sql: str) -> str:
-            return re.sub(r"@PAIR\(([^,]+), ([^)]+)\)", r"struct(\1 AS a, \2 AS b)", sql).replace("@ORDER", self.order)
-
-        needed = self._needed()
-        for layer in self.layers():
-            if names := [n for n in layer if n in needed]:
-                df = df.selectExpr("*", *[f"{spark(self.text[n])} AS {n}" for n in names])
+        text = {**self.text, **self.runs}
+        layers = self.layers(text)
+        last: dict[str, int] = {n: len(layers) for n in (*keep, *self.outs)}
+        for k, names in enumerate(layers):
+            for n in names:
+                last |= {m: max(k, last.get(m, 0)) for m in set(_NAME.findall(text[n]))}
+        stay = [c for c in df.columns if c in keep or c in last or c in ("symbol", "chunk", "minute")]
+        for k, names in enumerate(layers):
+            # what no later layer needs is not carried on
+            stay = [c for c in stay if last.get(c, -1) >= k or c in ("symbol", "chunk", "minute")]
+            df = df.selectExpr(*stay, *[f"{text[n].replace('@ORDER', self.order)} AS {n}" for n in names])
+            stay += names
         return df.select(*keep, *self.outs)
 
     def sql(self, source: str, keep: tuple[str, ...], rounded: int | None = 6) -> str:
@@ -108,11 +174,9 @@ class Sheet:
         def ansi(sql: str) -> str:
             return re.sub(r"@PAIR\(([^,]+), ([^)]+)\)", r"struct_pack(a := \1, b := \2)", sql).replace("@ORDER", self.sql_order)
 
-        needed = self._needed()
         steps, last = [], source
-        for k, layer in enumerate(self.layers()):
-            if names := [n for n in layer if n in needed]:
-                steps.append(f"layer{k} AS (SELECT *, {', '.join(f'{ansi(self.text[n])} AS {n}' for n in names)} FROM {last})")
-                last = f"layer{k}"
+        for k, names in enumerate(self.layers(self.text)):
+            steps.append(f"layer{k} AS (SELECT *, {', '.join(f'{ansi(self.text[n])} AS {n}' for n in names)} FROM {last})")
+            last = f"layer{k}"
         columns = ", ".join([*keep, *(n if rounded is None else f"CASE WHEN abs({n}) < 1e3 THEN round({n} + 1e-9, {rounded}) WHEN abs({n}) < 1e9 THEN round({n} + 1e-9, 2) ELSE round({n}, 0) END + 0 AS {n}" for n in self.outs)])
         return ", ".join(steps) + f" SELECT {columns} FROM {last}"
