@@ -138,6 +138,20 @@ def brute_windows(rows, n):
     return Counter(out)
 
 
+@pytest.mark.parametrize("gather", [1, 24 << 20])
+def test_hot_windows_of_repeating_texts(spark, monkeypatch, tmp_path, gather):
+    """Texts that repeat one window many times, equal and null ids among them, all through the path for hot minimisers."""
+    monkeypatch.setattr(repeats, "MOST_RUNS", 0)
+    monkeypatch.setattr(repeats, "GATHER_BYTES", gather)
+    monkeypatch.setattr(window_dedup, "CHUNK", 500)
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 5000)
+    line = "all rights of this and that are kept by those who have them now "
+    rows = [(5, line * 30), (3, "x " + line * 9), (3, "y " + line * 7), (None, line * 3 + "end"), (None, "z " + line * 2), (9, line[:-20]), (1, "other words " * 40)]
+    docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    assert Counter(map(tuple, window_dedup.query(spark, str(tmp_path)).collect())) == brute_windows(rows, 13)
+    assert Counter(map(tuple, suffix_dedup.query(spark, str(tmp_path)).collect())) == brute_suffix(rows, 200)
+
+
 @pytest.mark.parametrize("most", [2000, 3])
 def test_window_dedup(spark, monkeypatch, most, tmp_path):
     monkeypatch.setattr(repeats, "MOST_RUNS", most)

@@ -151,7 +151,7 @@ def collapsed(h: np.ndarray, segs: pa.Array) -> tuple[np.ndarray, np.ndarray, np
     return code, rep, np.flatnonzero(np.bincount(where, minlength=len(bucket))[where] > 1)
 
 
-STRINGS = "h long, owner long, rank long, first long, stop long, state byte, seg binary"
+STRINGS = "h long, owner long, rank long, first long, stop long, state byte, seg binary, also array<long>"
 
 
 def _sorted_strings(rank: np.ndarray, owner: np.ndarray, first: np.ndarray, segs: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -168,8 +168,8 @@ def string_rows(parts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     """Rows of STRINGS from (h, owner, rank, first, string) arrays of single windows of a task.
 
     Equal strings are put together: the first of each, by rank, owner and place, meets other tasks'; the others are
-    known to be repeated by an earlier one, and become runs of places. same_rank: those of the first one's rank meet
-    others too, as only a smaller rank counts as earlier.
+    known to be repeated by an earlier one, and become runs of places. same_rank: only a smaller rank counts as earlier, so
+    that for each owner with the first one's rank one row meets others', with the owner's other places (also).
     """
     held: list[tuple] = []
 
@@ -178,15 +178,26 @@ def string_rows(parts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
         segs = pa.concat_arrays([x[4] for x in held])
         order, head, size = _sorted_strings(rank, owner, first, segs)
         meets = head == np.arange(len(order))
+        along = np.zeros(len(order), bool)  # of the row before that meets
         if same_rank:
-            meets = rank[order] == rank[order[head]]
+            of = owner[order]
+            along = (rank[order] == rank[order[head]]) & ~meets
+            first_here = along & np.concatenate([[True], of[1:] != of[:-1]])
+            meets, along = meets | first_here, along & ~first_here
         go = order[meets]
-        o, f, s = spans(owner[order[~meets]], first[order[~meets]])
+        begin = np.flatnonzero(meets)
+        upto = np.concatenate([[0], np.cumsum(along)])
+        each = upto[np.concatenate([begin[1:], [len(order)]])] - upto[begin]
+        also = first[order[along]]
+        rest = ~meets & ~along
+        o, f, s = spans(owner[order[rest]], first[order[rest]])
         zero = np.zeros(len(o), np.int64)
         state = np.concatenate([np.where(size[meets] > 1, 1, 0), np.full(len(o), 2)]).astype(np.int8)
         cols = [np.concatenate(x) for x in ((h[go], o), (owner[go], o), (rank[go], zero), (first[go], f), (first[go] + 1, s))]
         strings = pa.concat_arrays([segs.take(pa.array(go)), pa.nulls(len(o), pa.binary())])
-        return pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(state), strings], names=["h", "owner", "rank", "first", "stop", "state", "seg"])
+        offsets = np.concatenate([[0], np.cumsum(each), np.full(len(o), len(also))]).astype(np.int32)
+        lists_ = pa.ListArray.from_arrays(pa.array(offsets), pa.array(also))
+        return pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(state), strings, lists_], names=["h", "owner", "rank", "first", "stop", "state", "seg", "also"])
 
     for part in parts:
         held.append(part)
@@ -220,9 +231,13 @@ def repeated_strings(rows: DataFrame, same_rank: bool) -> DataFrame:
                 at, top = go[order], go[order[head]]
                 known = np.bincount(head, state[at], len(head))[head] > 0
                 late = rank[at] > rank[top] if same_rank else at != top
+                also = t.column("also").combine_chunks()
+                upto, places = also.offsets.to_numpy(), also.values.to_numpy()
                 for kind in (True, False):
                     mine = at[((size > 1) | known) & (late == kind)]
-                    o, f, s = spans(owner[mine], first[mine])
+                    each = upto[mine + 1] - upto[mine]
+                    more = places[np.arange(each.sum()) + np.repeat(upto[mine] - (np.cumsum(each) - each), each)]
+                    o, f, s = spans(np.concatenate([owner[mine], np.repeat(owner[mine], each)]), np.concatenate([first[mine], more]))
                     out.append((o, f, s, np.full(len(o), kind)))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["owner", "start", "stop", "later"])
 
