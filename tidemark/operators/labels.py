@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.series import ahead
+
 #: Horizons of entries in minutes, look-aheads of exits, cost of a round trip in basis points.
 HORIZONS, EXIT_LOOKAHEADS, COST_BPS = (60, 120, 240), {"long": (30, 60), "short": (15, 30)}, 15.0
 
@@ -55,21 +57,21 @@ def exit_labels(bars: DataFrame) -> DataFrame:
 def excursions(bars: DataFrame, horizons: tuple[int, ...] = HORIZONS, block: int = 1440) -> DataFrame:
     """diag_mfe_bps / diag_mae_bps _<side>_H<h>: best and worst price of the next h minutes against the next open.
 
-    The frame counts minutes; unless each of them has a bar, the label is NULL. Days are worked on apart, each with the
-    minutes after it that its frames reach.
+    Unless each of these minutes has a bar with known prices, the label is NULL. Days are worked on apart, each with the
+    minutes after it that are looked at.
     """
-    priced = at_offset(bars, {"__p1": 1}).select("symbol", "minute", "high", "low", "__p1")
-    reach = max(horizons)
     day = F.floor(F.col("minute") / block)
-    spread = priced.withColumn("day", F.explode(F.sequence(F.floor((F.col("minute") - reach) / block), day)))
+    spread = bars.select("symbol", "minute", "open", "high", "low").withColumn("day", F.explode(F.sequence(F.floor((F.col("minute") - max(horizons)) / block), day)))
     w = Window.partitionBy("symbol", "day").orderBy("minute")
-    out = {}
+    seen = ahead(spread, w, {"high": "max", "low": "min"}, horizons)
+    at = {"__p1": F.when(F.lead("minute").over(w) == F.col("minute") + 1, F.lead("open").over(w))}
+    for h in horizons:
+        # minutes are in order and not repeated: if the h-th row from here is h minutes on, none is missing between
+        full = F.lead("minute", h).over(w) == F.col("minute") + h
+        at |= {f"__up{h}": F.when(full, F.lead(f"high_{h}").over(w)), f"__down{h}": F.when(full, F.lead(f"low_{h}").over(w))}
+    seen = seen.withColumns(at)
+    p, out = F.col("__p1"), {}
     for h in horizons:
-        frame = w.rangeBetween(1, h)
-        full = F.count("high").over(frame) == h
-        best, worst = F.when(full, F.max("high").over(frame)), F.when(full, F.min("low").over(frame))
-        p = F.col("__p1")
-        up, down = F.when((best > 0) & (p > 0), F.ln(best / p) * 1e4), F.when((worst > 0) & (p > 0), F.ln(worst / p) * 1e4)
+        up, down = (F.when((F.col(c) > 0) & (p > 0), F.ln(F.col(c) / p) * 1e4) for c in (f"__up{h}", f"__down{h}"))
         out |= {f"diag_mfe_bps_long_H{h}": up, f"diag_mae_bps_long_H{h}": down, f"diag_mfe_bps_short_H{h}": -down, f"diag_mae_bps_short_H{h}": -up}
-    got = spread.select("symbol", "minute", "day", day.alias("own"), *[c.alias(n) for n, c in out.items()])
-    return got.where("day = own").drop("day", "own")
+    return seen.where(day == F.col("day")).select("symbol", "minute", *[c.alias(n) for n, c in out.items()])

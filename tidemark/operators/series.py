@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,6 +49,24 @@ def with_sheet(bars: DataFrame, sheet: Sheet, keep: tuple[str, ...] = ("symbol",
     return out.where("own").drop("own")
 
 
+def ahead(df: DataFrame, window: WindowSpec, columns: dict[str, str], counts: tuple[int, ...]) -> DataFrame:
+    """df with <column>_<n>: the largest or smallest (columns: name to max or min) of the n rows from each row on, in the
+    window's order; NULL if one of them is unknown or not there. Runs of powers of two overlap to make any number, so
+    that the cost of a row does not grow with n."""
+    def two(f: str, name: str, there: int) -> Column:
+        here, then = F.col(name), F.lead(name, there).over(window)
+        return F.when(here.isNotNull() & then.isNotNull(), (F.greatest if f == "max" else F.least)(here, then))
+
+    df = df.withColumns({f"__{c}_1": F.col(c) for c in columns})
+    size = 1
+    while size * 2 <= max(counts):
+        df = df.withColumns({f"__{c}_{2 * size}": two(f, f"__{c}_{size}", size) for c, f in columns.items()})
+        size *= 2
+    largest = {n: 1 << n.bit_length() - 1 for n in counts}
+    df = df.withColumns({f"{c}_{n}": two(f, f"__{c}_{k}", n - k) if n > k else F.col(f"__{c}_{k}") for c, f in columns.items() for n, k in largest.items()})
+    return df.drop(*[x for x in df.columns if x.startswith("__") and any(x.startswith(f"__{c}_") for c in columns)])
+
+
 def resampled(bars: DataFrame, minutes: int) -> DataFrame:
     """Closed bars of `minutes`, anchored at the epoch; buckets without rows are not there. bucket is the number of the
     period, close_minute its end."""

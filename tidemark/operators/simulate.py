@@ -10,7 +10,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.operators.labels import side_sign
+from tidemark.operators.series import ahead
 
+#: What trades and scores are told apart by: no series touches another.
+KEYS = ("symbol", "fold")
 _KINDS = {"double": T.DoubleType(), "long": T.LongType(), "string": T.StringType()}
 
 
@@ -19,7 +23,7 @@ def _extended(df: DataFrame, **more: str) -> T.StructType:
     return T.StructType([*df.schema.fields, *(T.StructField(n, _KINDS[t]) for n, t in more.items())])
 
 
-def rolling_quantile(scores: DataFrame, minutes: int, q: float, at_least: int, keys: tuple[str, ...] = ("fold",)) -> DataFrame:
+def rolling_quantile(scores: DataFrame, minutes: int, q: float, at_least: int, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """scores (keys, minute, score, is_eval) with rolling_thr and history_count over the `minutes` before each row, the
     row itself left out; rolling_thr is NULL below `at_least` scores.
 
@@ -44,17 +48,17 @@ def rolling_quantile(scores: DataFrame, minutes: int, q: float, at_least: int, k
     return out.drop("__own").withColumn("rolling_thr", F.nullif("rolling_thr", F.lit(float("nan"))))
 
 
-def with_history(evaluated: DataFrame, past: DataFrame, keys: tuple[str, ...] = ("fold",)) -> DataFrame:
+def with_history(evaluated: DataFrame, past: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Evaluation rows and score history of the same keys in one table (is_eval); history at an evaluated minute goes."""
     fresh = past.join(evaluated.select(*keys, "minute"), [*keys, "minute"], "left_anti")
     return evaluated.withColumn("is_eval", F.lit(True)).unionByName(fresh.withColumn("is_eval", F.lit(False)), allowMissingColumns=True)
 
 
-def history_threshold(past: DataFrame, q: float, floor: float, at_least: int) -> DataFrame:
-    """(fold, n, threshold): one fixed threshold per fold from its history; too little history never trades."""
+def history_threshold(past: DataFrame, q: float, floor: float, at_least: int, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """(keys, n, threshold): one fixed threshold per fold from its history; too little history never trades."""
     finite = F.col("score").isNotNull() & ~F.isnan("score") & (F.abs("score") < float("inf"))
-    per = past.where(finite).groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.percentile("score", q).alias("__q"))
-    return per.select("fold", "n", F.when(F.col("n") < at_least, float("inf")).otherwise(F.greatest("__q", F.lit(floor))).alias("threshold"))
+    per = past.where(finite).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.percentile("score", q).alias("__q"))
+    return per.select(*keys, "n", F.when(F.col("n") < at_least, float("inf")).otherwise(F.greatest("__q", F.lit(floor))).alias("threshold"))
 
 
 def entry_rule(score: Column, threshold: Column, min_score: float | None = None, min_margin: float | None = None, min_ratio: float | None = None) -> Column:
@@ -71,63 +75,99 @@ def entry_rule(score: Column, threshold: Column, min_score: float | None = None,
 
 def path_stats(bars: DataFrame, hold: int, block: int = 1440) -> DataFrame:
     """(symbol, minute, entry_price, exit_price, path_high, path_low) of a trade entered the minute after and held for
-    `hold` minutes, the exit minute included; NULL prices unless every minute of the path has a bar."""
+    `hold` minutes, the exit minute included; NULL unless every minute of the path has a bar with known prices."""
     day = F.floor(F.col("minute") / block)
-    spread = bars.withColumn("__day", F.explode(F.sequence(F.floor((F.col("minute") - hold - 1) / block), day)))
+    spread = bars.select("symbol", "minute", "open", "high", "low").withColumn("__day", F.explode(F.sequence(F.floor((F.col("minute") - hold - 1) / block), day)))
     w = Window.partitionBy("symbol", "__day").orderBy("minute")
-    frame = w.rangeBetween(1, hold + 1)
-    full = F.count("open").over(frame) == hold + 1
-    at = lambda k: F.max("open").over(w.rangeBetween(k, k))
-    out = spread.select(
+    n = hold + 1
+    seen = ahead(spread.withColumn("known", F.col("open")), w, {"known": "min", "high": "max", "low": "min"}, (n,))
+    full = (F.lead("minute", n).over(w) == F.col("minute") + n) & F.lead(f"known_{n}").over(w).isNotNull()
+    out = seen.select(
         "symbol", "minute", "__day", day.alias("__own"),
-        F.when(full, at(1)).alias("entry_price"), F.when(full, at(hold + 1)).alias("exit_price"),
-        F.when(full, F.max("high").over(frame)).alias("path_high"), F.when(full, F.min("low").over(frame)).alias("path_low"),
+        F.when(full, F.lead("open").over(w)).alias("entry_price"), F.when(full, F.lead("open", n).over(w)).alias("exit_price"),
+        F.when(full, F.lead(f"high_{n}").over(w)).alias("path_high"), F.when(full, F.lead(f"low_{n}").over(w)).alias("path_low"),
     )
     return out.where("__day = __own").drop("__day", "__own")
 
 
-def fixed_hold(rows: DataFrame, hold: int, block: int, daily_cap: int | None = None, keys: tuple[str, ...] = ("fold",)) -> DataFrame:
-    """rows (keys, minute, skip_reason, entry_price, ...) with decision: entered, or why not.
+def _taken(minutes: np.ndarray, gap: int, daily_cap: int | None) -> list[int]:
+    """Places of the candidates that enter: each at least `gap` minutes after the last one that did."""
+    out, at, trips = [], 0, {}
+    while at < len(minutes):
+        day = int(minutes[at]) // 1440
+        if daily_cap is not None and trips.get(day, 0) >= daily_cap:
+            at = int(np.searchsorted(minutes, (day + 1) * 1440))
+            continue
+        out.append(at)
+        trips[day] = trips.get(day, 0) + 1
+        at = max(at + 1, int(np.searchsorted(minutes, minutes[at] + gap)))
+    return out
+
+
+def entered(rows: DataFrame, hold: int, block: int, daily_cap: int | None = None, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """The rows (keys, minute, skip_reason, entry_price, exit_price, ...) that enter a trade.
 
-    Rows of a group are taken in order of time. A row enters if the last trade's exit lies `block` minutes back, its
-    rule says so, the day's cap is not reached, and its path is complete; only an entry changes the state. The checks
-    other than the first and third need no state and come as columns; a group's rows stream through one small loop.
+    Rows of a group are taken in order of time. A row enters if its rule says so, its path is complete, the last trade's
+    exit lies `block` minutes back, and the day's cap is not reached; only an entry changes the state. So all rows but
+    the candidates are gone before the one loop that is not relational, which jumps from entry to entry.
     """
-    fields = _extended(rows, decision="string")
+    ready = rows.where(F.col("skip_reason").isNull() & F.col("entry_price").isNotNull() & F.col("exit_price").isNotNull())
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("minute", kind="stable").reset_index(drop=True)
-        minute, day = pdf["minute"].to_numpy(), pdf["minute"].to_numpy() // 1440
-        rule, complete = pdf["skip_reason"].to_numpy(object), pdf["entry_price"].notna().to_numpy() & pdf["exit_price"].notna().to_numpy()
-        out, free, trips = np.empty(len(pdf), object), -(1 << 62), {}
-        for i in range(len(pdf)):
-            if minute[i] < free:
-                out[i] = "cooldown"
-            elif rule[i] is not None and rule[i] == rule[i]:
-                out[i] = rule[i]
-            elif daily_cap is not None and trips.get(day[i], 0) >= daily_cap:
-                out[i] = "daily_cap"
-            elif not complete[i]:
-                out[i] = "missing_price_path"
-            else:
-                out[i] = "entered"
-                free = minute[i] + 1 + hold + block
-                trips[day[i]] = trips.get(day[i], 0) + 1
-        return pdf.assign(decision=out)
+        pdf = pdf.sort_values("minute", kind="stable")
+        return pdf.iloc[_taken(pdf["minute"].to_numpy(), 1 + hold + block, daily_cap)]
+
+    return ready.groupBy(*keys).applyInPandas(work, ready.schema)
 
-    return rows.groupBy(*keys).applyInPandas(work, fields)
 
+def fixed_hold(rows: DataFrame, hold: int, block: int, daily_cap: int | None = None, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """rows (keys, minute, skip_reason, entry_price, exit_price, ...) with decision: entered, or the first thing against
+    it of cooldown, the rule's reason, daily_cap and missing_price_path.
 
-def fixed_hold_episodes(decided: DataFrame, hold: int, side: str = "long", cost: float = 15.0, keys: tuple[str, ...] = ("fold",)) -> DataFrame:
-    """Trades of entered rows with their returns and excursions in basis points."""
-    s = 1 if side == "long" else -1
+    Who enters comes from entered(). The other rows find the trade that keeps them out by the days that it reaches
+    into: an equi-join, as trades of a group do not overlap.
+    """
+    gap = 1 + hold + block
+    trades = entered(rows, hold, block, daily_cap, keys).select(*keys, F.col("minute").alias("__entry"))
+    day = lambda c: F.floor(c / 1440)
+    reach = F.sequence(day(F.col("__entry")), day(F.col("__entry") + gap - 1))
+    spans = trades.select(*keys, "__entry", F.explode(reach).alias("__day"))
+    marked = rows.withColumn("__day", day(F.col("minute")))
+    names = [*keys, "__day"]
+    inside = marked.select(*names, "minute").join(spans, names).where((F.col("minute") >= F.col("__entry")) & (F.col("minute") < F.col("__entry") + gap))
+    state = inside.select(*keys, "minute", F.when(F.col("minute") == F.col("__entry"), "entered").otherwise("cooldown").alias("__state"))
+    out = rows.join(state, [*keys, "minute"], "left")
+    capped = F.lit(False)
+    if daily_cap is not None:
+        full = trades.groupBy(*keys, day(F.col("__entry")).alias("__day")).agg(F.sort_array(F.collect_list("__entry")).alias("__e"))
+        full = full.where(F.size("__e") >= daily_cap).select(*names, F.element_at("__e", daily_cap).alias("__full"))
+        out = out.withColumn("__day", day(F.col("minute"))).join(full, names, "left")
+        capped = F.col("minute") > F.coalesce("__full", F.col("minute"))
+    missing = F.col("entry_price").isNull() | F.col("exit_price").isNull()
+    decision = F.coalesce("__state", "skip_reason", F.when(capped, "daily_cap"), F.when(missing, "missing_price_path"))
+    return out.withColumn("decision", decision).select(*rows.columns, "decision")
+
+
+def skip_counts(decided: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """(keys, decision, rows): how many rows entered, and why the others did not."""
+    return decided.groupBy(*keys, "decision").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def total_skipped(counts: DataFrame) -> DataFrame:
+    """(decision, rows) over all runs: the union of their reasons, added up."""
+    return counts.groupBy("decision").agg(F.sum("rows").alias("rows"))
+
+
+def fixed_hold_episodes(trades: DataFrame, hold: int, side: str = "long", cost: float = 15.0, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """Returns and excursions, in basis points, of the rows of entered()."""
+    s = side_sign(side)
     p, x = F.col("entry_price"), F.col("exit_price")
     gross = s * F.ln(x / p) * 1e4
     up, down = F.ln(F.col("path_high") / p) * 1e4, F.ln(F.col("path_low") / p) * 1e4
     best, worst = (up, down) if s > 0 else (-down, -up)
     entry = F.col("minute")
     name = F.concat(F.lit(f"fixed_{side}_H{hold}_"), F.date_format(F.timestamp_seconds(entry * 60), "yyyyMMdd'T'HHmmss'Z'"))
-    return decided.where("decision = 'entered'").select(
+    return trades.select(
         *keys, name.alias("episode_id"), F.lit(side).alias("side"), entry.alias("entry_minute"), (entry + 1).alias("entry_exec_minute"),
         (entry + 1 + hold).alias("exit_exec_minute"), F.lit("fixed_hold").alias("exit_reason"), F.col("score").alias("entry_score"), F.lit(hold).alias("hold_minutes"),
         F.lit(float(cost)).alias("roundtrip_cost_bps"), p.alias("entry_price"), x.alias("exit_price"), gross.alias("gross_pl_bps"), (gross - cost).alias("net_pl_bps"),
@@ -135,39 +175,53 @@ def fixed_hold_episodes(decided: DataFrame, hold: int, side: str = "long", cost:
     )
 
 
-def exit_positions(bars: DataFrame, entries: DataFrame, scores: DataFrame, interval: int, max_hold: int, lookahead: int) -> DataFrame:
-    """Position states: each entry (fold, minute, score) at each decision age, with the price path so far.
+def exit_positions(
+    bars: DataFrame, entries: DataFrame, scores: DataFrame, interval: int, max_hold: int, lookahead: int, side: str = "long", features: DataFrame | None = None
+) -> DataFrame:
+    """Position states: each entry (symbol, fold, minute, score) at each decision age, with the price path so far.
 
     All relational: ages are generated, prices and scores joined on exact minutes, the path's extremes come from an
-    equi-join on generated minutes; a state is there only if every minute of the path has a bar.
+    equi-join on generated minutes; a state is there only if every minute of the path has a bar. features (symbol,
+    minute, ...) are those of the market at the current minute; states without them go, see states_without().
     """
+    s = side_sign(side)
     ages = F.explode(F.sequence(F.lit(interval), F.lit(max_hold), F.lit(interval)))
-    states = entries.select("fold", F.col("minute").alias("entry_minute"), F.col("score").alias("entry_score"), ages.alias("age_minutes"))
+    states = entries.select(*KEYS, F.col("minute").alias("entry_minute"), F.col("score").alias("entry_score"), ages.alias("age_minutes"))
     path = states.withColumn("minute", F.explode(F.sequence(F.col("entry_minute") + 1, F.col("entry_minute") + F.col("age_minutes"))))
-    seen = path.join(bars.select("minute", "open", "high", "low", "close"), "minute").groupBy("fold", "entry_minute", "entry_score", "age_minutes").agg(
+    seen = path.join(bars.select("symbol", "minute", "open", "high", "low", "close"), ["symbol", "minute"]).groupBy(*KEYS, "entry_minute", "entry_score", "age_minutes").agg(
         F.count(F.lit(1)).alias("__n"), F.min_by("open", "minute").alias("entry_price"), F.max_by("close", "minute").alias("current_close"),
         F.max("high").alias("path_high"), F.min("low").alias("path_low"),
     )
     seen = seen.where("__n = age_minutes").withColumn("current_minute", F.col("entry_minute") + F.col("age_minutes"))
-    price = bars.select(F.col("minute").alias("__m"), F.col("open").alias("__o"))
-    now = price.select((F.col("__m") - 1).alias("current_minute"), F.col("__o").alias("exit_now"))
-    later = price.select((F.col("__m") - 1 - lookahead).alias("current_minute"), F.col("__o").alias("exit_later"))
-    score = scores.select(F.col("minute").alias("current_minute"), F.col("score").alias("current_score"))
-    out = seen.join(now, "current_minute").join(later, "current_minute").join(score, "current_minute", "left")
-    bps = lambda a, b: F.ln(a / b) * 1e4
+    at = ["symbol", "current_minute"]
+    price = bars.select("symbol", F.col("minute").alias("__m"), F.col("open").alias("__o"))
+    now = price.select("symbol", (F.col("__m") - 1).alias("current_minute"), F.col("__o").alias("exit_now"))
+    later = price.select("symbol", (F.col("__m") - 1 - lookahead).alias("current_minute"), F.col("__o").alias("exit_later"))
+    score = scores.select("symbol", F.col("minute").alias("current_minute"), F.col("score").alias("current_score"))
+    out = seen.join(now, at).join(later, at).join(score, at, "left")
+    bps = lambda a, b: s * F.ln(a / b) * 1e4
     p = F.col("entry_price")
-    return out.select(
-        "fold", "entry_minute", "current_minute", "age_minutes", "entry_score", "current_score", (F.col("entry_score") - F.col("current_score")).alias("score_decay"),
-        bps(F.col("current_close"), p).alias("unrealized_pl_bps"), bps(F.col("path_high"), p).alias("mfe_since_entry_bps"), bps(F.col("path_low"), p).alias("mae_since_entry_bps"),
-        (bps(F.col("path_high"), p) - bps(F.col("current_close"), p)).alias("giveback_from_mfe_bps"), bps(F.col("exit_later"), F.col("exit_now")).alias("target_exit_hold_delta_bps"),
+    best, worst = ("path_high", "path_low") if s > 0 else ("path_low", "path_high")
+    out = out.select(
+        *KEYS, F.lit(side).alias("side"), F.concat_ws("_", "symbol", "fold", F.lit(side), "entry_minute").alias("episode_id"), "entry_minute", "current_minute", "age_minutes",
+        "entry_score", "current_score", (F.col("entry_score") - F.col("current_score")).alias("score_decay"), (F.col("current_score") / F.nullif("entry_score", F.lit(0.0))).alias("score_ratio"),
+        bps(F.col("current_close"), p).alias("unrealized_pl_bps"), bps(F.col(best), p).alias("mfe_since_entry_bps"), bps(F.col(worst), p).alias("mae_since_entry_bps"),
+        (bps(F.col(best), p) - bps(F.col("current_close"), p)).alias("giveback_from_mfe_bps"), bps(F.col("exit_later"), F.col("exit_now")).alias("target_exit_hold_delta_bps"),
     )
+    return out if features is None else out.join(features.withColumnRenamed("minute", "current_minute"), at)
+
+
+def states_without(states: DataFrame, features: DataFrame) -> DataFrame:
+    """(symbol, fold, missing_market_features): states whose current minute has no features, by fold."""
+    known = features.select("symbol", F.col("minute").alias("current_minute"))
+    return states.join(known, ["symbol", "current_minute"], "left_anti").groupBy(*KEYS).agg(F.count(F.lit(1)).alias("missing_market_features"))
 
 
 def model_exit_episodes(entries: DataFrame, states: DataFrame, confirm: int, hard_stop_bps: float, max_hold: int, block: int, daily_cap: int | None = None) -> DataFrame:
-    """Trades that a model ends. entries: (fold, minute, score, skip_reason); states: exit_positions with pred, the
-    predicted gain of holding on.
+    """Trades that a model ends. entries: (symbol, fold, minute, score, skip_reason); states: exit_positions with pred,
+    the predicted gain of holding on. All entries come back, with decision.
 
-    Within a fold, entries are taken in order; a trade's states are walked until the hard stop, the longest hold, or
+    Within a series and fold, entries are taken in order; a trade's states are walked until the hard stop, the longest hold, or
     `confirm` predictions in a row of no gain. The walk needs no outer state: it is a native aggregate over the ordered
     states of each entry, so that the sequential pass sees one row per entry.
     """
@@ -182,9 +236,9 @@ def model_exit_episodes(entries: DataFrame, states: DataFrame, confirm: int, har
             F.struct(bad.alias("bad"), F.when(why.isNotNull(), x["age_minutes"]).cast("int").alias("age"), why.alias("why"), F.when(why.isNotNull(), x["unrealized_pl_bps"]).alias("pl"), x["age_minutes"].cast("int").alias("last"), x["unrealized_pl_bps"].alias("last_pl"))
         )
 
-    ends = states.groupBy("fold", "entry_minute").agg(walk.alias("walk")).withColumn("end", F.aggregate("walk", start, step))
-    ends = ends.select("fold", F.col("entry_minute").alias("minute"), F.coalesce("end.age", "end.last").alias("hold_minutes"), F.coalesce("end.why", F.lit("data_boundary")).alias("exit_reason"), F.coalesce("end.pl", "end.last_pl").alias("gross_pl_bps"))
-    rows = entries.join(ends, ["fold", "minute"], "left")
+    ends = states.groupBy(*KEYS, "entry_minute").agg(walk.alias("walk")).withColumn("end", F.aggregate("walk", start, step))
+    ends = ends.select(*KEYS, F.col("entry_minute").alias("minute"), F.coalesce("end.age", "end.last").alias("hold_minutes"), F.coalesce("end.why", F.lit("data_boundary")).alias("exit_reason"), F.coalesce("end.pl", "end.last_pl").alias("gross_pl_bps"))
+    rows = entries.join(ends, [*KEYS, "minute"], "left")
     fields = _extended(rows, decision="string")
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -205,4 +259,4 @@ def model_exit_episodes(entries: DataFrame, states: DataFrame, confirm: int, har
                 free, trips[day] = minute + 1 + int(hold) + block, trips.get(day, 0) + 1
         return pdf.assign(decision=out)
 
-    return rows.groupBy("fold").applyInPandas(work, fields)
+    return rows.groupBy(*KEYS).applyInPandas(work, fields)

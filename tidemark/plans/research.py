@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.metrics import episode_metrics
-from tidemark.operators.simulate import entry_rule, fixed_hold, fixed_hold_episodes, history_threshold
+from tidemark.operators.simulate import KEYS, entered, entry_rule, fixed_hold_episodes, history_threshold
 
 FAIL_PENALTY = 1_000_000.0
+#: Rows of a grid or of folds that are broadcast.
+FEW = 10_000
 
 
 def cycles(spark: SparkSession, first: str, last: str, valid_months: int = 3, test_months: int = 1, step: int = 1) -> DataFrame:
@@ -68,24 +70,26 @@ def sweep(scored: DataFrame, paths: DataFrame, grid: DataFrame, hold: int, block
     fold) is simulated apart. Only rows over the lowest threshold are multiplied by the grid."""
     least = grid.agg(F.min("threshold").alias("least"))
     rows = scored.join(F.broadcast(least)).where(F.col("score") > F.col("least")).drop("least")
-    rows = rows.join(F.broadcast(grid)).join(paths, ["symbol", "minute"]).withColumn("skip_reason", entry_rule(F.col("score"), F.col("threshold")))
-    rows = rows.where("skip_reason IS NULL")
-    decided = fixed_hold(rows, hold, block, daily_cap, ("params", "fold"))
-    episodes = fixed_hold_episodes(decided, hold, keys=("params", "fold"))
-    whole = episodes.withColumn("fold", F.concat_ws("|", "params", "fold"))
-    folds = grid.select("params").join(F.broadcast(scored.select("fold").distinct())).select(F.concat_ws("|", "params", "fold").alias("fold"))
-    out = episode_metrics(whole, folds)
-    return out.withColumn("params", F.substring_index("fold", "|", 1)).withColumn("fold", F.substring_index("fold", "|", -1))
+    rows = rows.join(few(grid)).join(paths, ["symbol", "minute"]).withColumn("skip_reason", entry_rule(F.col("score"), F.col("threshold")))
+    keys = ("params", *KEYS)
+    episodes = fixed_hold_episodes(entered(rows, hold, block, daily_cap, keys), hold, keys=keys)
+    folds = grid.select("params").join(few(scored.select(*KEYS).distinct()))
+    return episode_metrics(episodes, folds, keys)
+
+
+def few(df: DataFrame) -> DataFrame:
+    """df to be broadcast, if it has no more than FEW rows; else Spark chooses the join."""
+    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
 
 
 def replay(scored: DataFrame, past: DataFrame, paths: DataFrame, q: float, floor: float, at_least: int, hold: int, block: int) -> DataFrame:
     """Trades under one fixed threshold per fold from its score history, without training again."""
-    rows = scored.join(history_threshold(past, q, floor, at_least), "fold", "left").join(paths, ["symbol", "minute"])
+    rows = scored.join(history_threshold(past, q, floor, at_least), list(KEYS), "left").join(paths, ["symbol", "minute"])
     rows = rows.withColumn("skip_reason", entry_rule(F.col("score"), F.col("threshold")))
-    return fixed_hold_episodes(fixed_hold(rows, hold, block), hold)
+    return fixed_hold_episodes(entered(rows, hold, block), hold)
 
 
-def recent(rows: DataFrame, n: int, keys: tuple[str, ...] = ("fold",), order: Column | str = "minute") -> DataFrame:
+def recent(rows: DataFrame, n: int, keys: tuple[str, ...] = KEYS, order: Column | str = "minute") -> DataFrame:
     """The n most recent rows of each key."""
     w = Window.partitionBy(*keys).orderBy(F.desc(order) if isinstance(order, str) else order)
     return rows.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= n).drop("__n")

@@ -288,7 +288,7 @@ _QS = ", ".join(f"quantile_cont(score, {q}) OVER (PARTITION BY fold) AS t{met.na
     ),
 )
 def _fold_metrics(spark, sf):
-    return rounded(met.prediction_metrics(_evaluated(spark, sf), "target", "score", _TOPS))
+    return rounded(met.prediction_metrics(_evaluated(spark, sf), "target", "score", _TOPS).drop("symbol"))
 
 
 @query(
@@ -303,7 +303,7 @@ def _fold_metrics(spark, sf):
     ),
 )
 def _bottom(spark, sf):
-    return rounded(met.bottom_metrics(_evaluated(spark, sf), "target", "score"))
+    return rounded(met.bottom_metrics(_evaluated(spark, sf), "target", "score").drop("symbol"))
 
 
 @query(
@@ -315,7 +315,7 @@ def _bottom(spark, sf):
     ),
 )
 def _deciles(spark, sf):
-    return rounded(met.deciles(_evaluated(spark, sf), "target", "score", "minute"))
+    return rounded(met.deciles(_evaluated(spark, sf), "target", "score", "minute").drop("symbol"))
 
 
 def _average_rank(c: str) -> str:
@@ -324,7 +324,7 @@ def _average_rank(c: str) -> str:
 
 @query("agg_spearman", _wrap(f"SELECT fold, corr(a, b) AS spearman FROM (SELECT fold, {_average_rank('target')} AS a, {_average_rank('score')} AS b FROM evaled) GROUP BY fold", ("fold",), ["spearman"]))
 def _spearman(spark, sf):
-    return rounded(met.rank_correlation(_evaluated(spark, sf), "target", "score"))
+    return rounded(met.rank_correlation(_evaluated(spark, sf), "target", "score").drop("symbol"))
 
 
 # --- splits -------------------------------------------------------------------------------------------------------
@@ -377,8 +377,8 @@ def _threshold_sql(partition: str, source: str = "scored") -> str:
 
 @query("win_rolling_quantile_fold_local", _wrap(_threshold_sql("PARTITION BY fold"), ("fold", "minute", "history_count"), ["score", "rolling_thr"]))
 def _rolling_local(spark, sf):
-    rows = _evaluated(spark, sf).select("fold", "minute", "score")
-    return rounded(simulate.rolling_quantile(rows, _WINDOW, _Q, _LEAST))
+    rows = _evaluated(spark, sf).select("symbol", "fold", "minute", "score")
+    return rounded(simulate.rolling_quantile(rows, _WINDOW, _Q, _LEAST).drop("symbol"))
 
 
 @query("win_rolling_quantile_continuous", _wrap(_threshold_sql(""), ("fold", "minute", "history_count"), ["score", "rolling_thr"]))
@@ -396,7 +396,7 @@ _HISTORY = (
 
 def _past(scored: DataFrame, m: splits.Manifest) -> DataFrame:
     tags = [F.when(splits.history(F.col("minute"), f, 1440), F.lit(f.name)) for f in m.folds]
-    return scored.select("minute", "score", F.explode(F.array_compact(F.array(*tags))).alias("fold"))
+    return scored.select("symbol", "minute", "score", F.explode(F.array_compact(F.array(*tags))).alias("fold"))
 
 
 @query(
@@ -405,21 +405,24 @@ def _past(scored: DataFrame, m: splits.Manifest) -> DataFrame:
 )
 def _rolling_history(spark, sf):
     _, scored, m = _scored(spark, sf)
-    rows = simulate.with_history(scored.where("fold IS NOT NULL").select("fold", "minute", "score"), _past(scored, m))
-    return rounded(simulate.rolling_quantile(rows, _WINDOW, _Q, _LEAST).where("is_eval").drop("is_eval"))
+    rows = simulate.with_history(scored.where("fold IS NOT NULL").select("symbol", "fold", "minute", "score"), _past(scored, m))
+    return rounded(simulate.rolling_quantile(rows, _WINDOW, _Q, _LEAST).where("is_eval").drop("is_eval", "symbol"))
 
 
 @query("agg_history_threshold", _wrap(f"SELECT fold, count(score) AS n, greatest(quantile_cont(score, {_Q}), 0e0) AS threshold FROM past GROUP BY fold", ("fold", "n"), ["threshold"], _SCORED + ", " + _HISTORY))
 def _history_threshold(spark, sf):
     _, scored, m = _scored(spark, sf)
-    return rounded(simulate.history_threshold(_past(scored, m), _Q, 0.0, 100))
+    return rounded(simulate.history_threshold(_past(scored, m), _Q, 0.0, 100).drop("symbol"))
 
 
-def _episodes(spark, sf, threshold: float = 20.0) -> DataFrame:
+def _ruled(spark, sf, threshold: float = 20.0) -> DataFrame:
     bars, scored, _ = _scored(spark, sf)
     rows = scored.where("fold IS NOT NULL").join(simulate.path_stats(bars, HOLD), ["symbol", "minute"])
-    rows = rows.withColumn("skip_reason", simulate.entry_rule(F.col("score"), F.lit(threshold)))
-    return simulate.fixed_hold_episodes(simulate.fixed_hold(rows, HOLD, COOLDOWN), HOLD)
+    return rows.withColumn("skip_reason", simulate.entry_rule(F.col("score"), F.lit(threshold)))
+
+
+def _episodes(spark, sf, threshold: float = 20.0, side: str = "long") -> DataFrame:
+    return simulate.fixed_hold_episodes(simulate.entered(_ruled(spark, sf, threshold), HOLD, COOLDOWN), HOLD, side)
 
 
 def _sim_sql(threshold: float | str, name: str, source: str = "scored") -> str:
@@ -446,11 +449,43 @@ def _sim(spark, sf):
     return rounded(_episodes(spark, sf).select("fold", "episode_id", "entry_minute", "exit_exec_minute", *_EPISODE_NAMES))
 
 
-_METRIC_SQL = """SELECT f.fold, count(gross) AS episode_count, coalesce(sum(gross), 0) AS gross_pl_bps_sum, coalesce(sum(gross - 15), 0) AS net_pl_bps_sum, avg(gross - 15) AS avg_net_pl_bps,
+@query(
+    "sim_fixed_hold_short",
+    _recursive(_wrap(
+        _EPISODE_SQL.replace("fixed_long", "fixed_short").replace("gross AS gross_pl_bps, gross - 15 AS net_pl_bps, ln(up / p) * 1e4 AS mfe_bps, ln(down / p) * 1e4 AS mae_bps, ln(up / p) * 1e4 - gross AS giveback_bps",
+        "-gross AS gross_pl_bps, -gross - 15 AS net_pl_bps, -ln(down / p) * 1e4 AS mfe_bps, -ln(up / p) * 1e4 AS mae_bps, -ln(down / p) * 1e4 + gross AS giveback_bps"),
+        ("fold", "episode_id", "entry_minute", "exit_exec_minute"), _EPISODE_NAMES, _SCORED + ", " + _sim_sql(20.0, "a"))),
+)
+def _sim_short(spark, sf):
+    return rounded(_episodes(spark, sf, side="short").select("fold", "episode_id", "entry_minute", "exit_exec_minute", *_EPISODE_NAMES))
+
+
+@query(
+    "agg_skip_reasons",
+    _recursive(f"""WITH {_SCORED}, {_sim_sql(20.0, 'a')}, d AS (SELECT s.fold, CASE WHEN k.minute = s.minute THEN 'entered' WHEN k.minute IS NOT NULL THEN 'cooldown'
+      WHEN s.score IS NULL OR NOT s.score > 20 THEN 'below_threshold' ELSE 'missing_price_path' END AS decision FROM scored s
+      LEFT JOIN pick_a k ON k.fold = s.fold AND s.minute >= k.minute AND s.minute < k.minute + {1 + HOLD + COOLDOWN})
+    SELECT fold, decision, count(*) AS rows FROM d GROUP BY fold, decision"""),
+)
+def _skips(spark, sf):
+    return simulate.skip_counts(simulate.fixed_hold(_ruled(spark, sf), HOLD, COOLDOWN)).drop("symbol")
+
+
+def _factor(net: str, none: str = "NULL") -> str:
+    wins, losses = f"coalesce(sum({net}) FILTER ({net} > 0), 0)", f"coalesce(-sum({net}) FILTER ({net} < 0), 0)"
+    return f"CASE WHEN {losses} > 0 THEN {wins} / {losses} WHEN {wins} > 0 THEN CAST('Infinity' AS DOUBLE) ELSE {none} END"
+
+
+_METRIC_SQL = f"""SELECT f.fold, count(gross) AS episode_count, coalesce(sum(gross), 0) AS gross_pl_bps_sum, coalesce(sum(gross - 15), 0) AS net_pl_bps_sum, avg(gross - 15) AS avg_net_pl_bps,
   quantile_cont(gross - 15, 0.5) AS median_net_pl_bps, avg(CASE WHEN gross > 15 THEN 1.0 WHEN gross IS NOT NULL THEN 0.0 END) AS win_rate, avg(gross - 15) FILTER (gross > 15) AS avg_win_bps,
-  avg(gross - 15) FILTER (gross < 15) AS avg_loss_bps, coalesce(CAST(count(gross) AS DOUBLE) / greatest(1, count(DISTINCT minute // 1440)), 0) AS round_trips_per_day
+  avg(gross - 15) FILTER (gross < 15) AS avg_loss_bps, coalesce(CAST(count(gross) AS DOUBLE) / greatest(1, count(DISTINCT minute // 1440)), 0) AS round_trips_per_day,
+  {_factor('(gross - 15)')} AS profit_factor, CASE WHEN count(gross) > 0 THEN {HOLD}e0 END AS avg_hold_minutes, CASE WHEN count(gross) > 0 THEN {HOLD}e0 END AS median_hold_minutes, count(gross) * 15e0 AS fee_paid_bps,
+  avg(ln(up / p) * 1e4) AS avg_mfe_bps, avg(ln(down / p) * 1e4) AS avg_mae_bps, avg(ln(up / p) * 1e4 - gross) AS avg_giveback_bps
   FROM (SELECT DISTINCT fold FROM scored) f LEFT JOIN eps_a e ON e.fold = f.fold GROUP BY f.fold"""
-_METRIC_NAMES = ["gross_pl_bps_sum", "net_pl_bps_sum", "avg_net_pl_bps", "median_net_pl_bps", "win_rate", "avg_win_bps", "avg_loss_bps", "round_trips_per_day"]
+_METRIC_NAMES = [
+    "gross_pl_bps_sum", "net_pl_bps_sum", "avg_net_pl_bps", "median_net_pl_bps", "win_rate", "avg_win_bps", "avg_loss_bps", "round_trips_per_day", "profit_factor", "avg_hold_minutes",
+    "median_hold_minutes", "fee_paid_bps", "avg_mfe_bps", "avg_mae_bps", "avg_giveback_bps",
+]
 
 
 @query("agg_episode_metrics", _recursive(_wrap(_METRIC_SQL, ("fold", "episode_count"), _METRIC_NAMES, _SCORED + ", " + _sim_sql(20.0, "a"))))
@@ -459,8 +494,11 @@ def _episode_metrics(spark, sf):
     return rounded(out.select("fold", "episode_count", *_METRIC_NAMES))
 
 
-_OVERLAP = f"""{_SCORED}, {_sim_sql(20.0, 'a')}, {_sim_sql(30.0, 'b')}, joined AS (SELECT coalesce(a.fold, b.fold) AS fold, coalesce(a.minute, b.minute) AS entry_minute, a.gross - 15 AS left_value, b.gross - 15 AS right_value,
-  CASE WHEN a.fold IS NOT NULL AND b.fold IS NOT NULL THEN 'both' WHEN a.fold IS NOT NULL THEN 'left_only' ELSE 'right_only' END AS grp, coalesce(a.gross, b.gross) - 15 AS value
+_SIDES = ("gross", "net", "mfe", "mae", "giveback")
+_VALUE_SQL = {"gross": "{0}.gross", "net": "{0}.gross - 15", "mfe": "ln({0}.up / {0}.p) * 1e4", "mae": "ln({0}.down / {0}.p) * 1e4", "giveback": "ln({0}.up / {0}.p) * 1e4 - {0}.gross"}
+_OVERLAP = f"""{_SCORED}, {_sim_sql(20.0, 'a')}, {_sim_sql(30.0, 'b')}, joined AS (SELECT coalesce(a.fold, b.fold) AS fold, coalesce(a.minute, b.minute) AS entry_minute,
+  a.gross - 15 AS left_value, b.gross - 15 AS right_value, CASE WHEN a.fold IS NOT NULL AND b.fold IS NOT NULL THEN 'both' WHEN a.fold IS NOT NULL THEN 'left_only' ELSE 'right_only' END AS grp,
+  {', '.join(f"CASE WHEN a.fold IS NULL THEN {_VALUE_SQL[v].format('b')} ELSE {_VALUE_SQL[v].format('a')} END AS {v}" for v in _SIDES)}
   FROM eps_a a FULL OUTER JOIN eps_b b ON a.fold = b.fold AND a.minute = b.minute)"""
 
 
@@ -468,33 +506,55 @@ def _overlapped(spark, sf) -> DataFrame:
     return met.overlap(_episodes(spark, sf), _episodes(spark, sf, 30.0))
 
 
-@query("join_overlap_outer", _recursive(_wrap("SELECT * FROM joined", ("fold", "entry_minute", "grp"), ["left_value", "right_value", "value"], _OVERLAP)))
+@query("join_overlap_outer", _recursive(_wrap("SELECT * FROM joined", ("fold", "entry_minute", "grp"), ["left_value", "right_value", *_SIDES], _OVERLAP)))
 def _overlap(spark, sf):
-    return rounded(_overlapped(spark, sf).select("fold", "entry_minute", F.col("group").alias("grp"), "left_value", "right_value", "value"))
+    named = [F.col(f"canonical_{v}_pl_bps" if v in ("gross", "net") else f"canonical_{v}_bps").alias(v) for v in _SIDES]
+    return rounded(_overlapped(spark, sf).select("fold", "entry_minute", F.col("group").alias("grp"), F.col("left_net_pl_bps").alias("left_value"), F.col("right_net_pl_bps").alias("right_value"), *named))
+
+
+_GROUP_STATS = f"""count(j.net) AS episode_count, coalesce(sum(j.gross), 0) AS gross_pl_bps_sum, coalesce(sum(j.net), 0) AS net_pl_bps_sum, avg(j.net) AS avg_net_pl_bps, quantile_cont(j.net, 0.5) AS median_net_pl_bps,
+  avg(CASE WHEN j.net > 0 THEN 1.0 WHEN j.net IS NOT NULL THEN 0.0 END) AS win_rate, avg(j.net) FILTER (j.net > 0) AS avg_win_bps, avg(j.net) FILTER (j.net < 0) AS avg_loss_bps,
+  {_factor('j.net', '0e0')} AS profit_factor, avg(j.mfe) AS avg_mfe_bps, avg(j.mae) AS avg_mae_bps, avg(j.giveback) AS avg_giveback_bps"""
+_GROUP_NAMES = ["gross_pl_bps_sum", "net_pl_bps_sum", "avg_net_pl_bps", "median_net_pl_bps", "win_rate", "avg_win_bps", "avg_loss_bps", "profit_factor", "avg_mfe_bps", "avg_mae_bps", "avg_giveback_bps"]
 
 
 @query(
     "agg_overlap_groups",
     _recursive(_wrap(
-        """SELECT g.fold, g.grp, count(j.value) AS episode_count, coalesce(sum(j.value), 0) AS net_sum, avg(j.value) AS net_avg FROM (SELECT DISTINCT fold, unnest(['both', 'left_only', 'right_only', 'all_union']) AS grp FROM joined) g
-        LEFT JOIN (SELECT fold, grp, value FROM joined UNION ALL SELECT fold, 'all_union', value FROM joined) j ON j.fold = g.fold AND j.grp = g.grp GROUP BY g.fold, g.grp""",
-        ("fold", "grp", "episode_count"), ["net_sum", "net_avg"], _OVERLAP,
+        f"""SELECT g.fold, g.grp AS overlap_group, {_GROUP_STATS} FROM (SELECT DISTINCT fold, unnest(['both', 'left_only', 'right_only', 'all_union']) AS grp FROM joined) g
+        LEFT JOIN (SELECT * FROM joined UNION ALL BY NAME SELECT * REPLACE ('all_union' AS grp) FROM joined) j ON j.fold = g.fold AND j.grp = g.grp GROUP BY g.fold, g.grp""",
+        ("fold", "overlap_group", "episode_count"), _GROUP_NAMES, _OVERLAP,
     )),
 )
 def _overlap_groups(spark, sf):
-    return rounded(met.overlap_groups(_overlapped(spark, sf)).select("fold", "grp", "episode_count", "net_sum", "net_avg"))
+    return rounded(met.overlap_groups(_overlapped(spark, sf)).drop("symbol"))
+
+
+@query(
+    "agg_overlap_total",
+    _recursive(_wrap(
+        f"""SELECT g.grp AS overlap_group, {_GROUP_STATS} FROM (SELECT unnest(['both', 'left_only', 'right_only']) AS grp) g LEFT JOIN joined j ON j.grp = g.grp GROUP BY g.grp""",
+        ("overlap_group", "episode_count"), _GROUP_NAMES, _OVERLAP,
+    )),
+)
+def _overlap_total(spark, sf):
+    return rounded(met.overlap_groups(_overlapped(spark, sf), ()))
 
 
 @query(
     "agg_jaccard",
     _recursive(_wrap(
         """SELECT count(*) FILTER (grp = 'both') AS both_count, count(*) FILTER (grp = 'left_only') AS left_only_count, count(*) FILTER (grp = 'right_only') AS right_only_count,
-        CAST(count(*) FILTER (grp = 'both') AS DOUBLE) / count(*) AS jaccard, sum(left_value) AS left_net_sum, sum(right_value) AS right_net_sum FROM joined""",
-        ("both_count", "left_only_count", "right_only_count"), ["jaccard", "left_net_sum", "right_net_sum"], _OVERLAP,
+        CAST(count(*) FILTER (grp = 'both') AS DOUBLE) / count(*) AS jaccard, CAST(count(*) FILTER (grp = 'both') AS DOUBLE) / count(left_value) AS left_overlap_rate,
+        CAST(count(*) FILTER (grp = 'both') AS DOUBLE) / count(right_value) AS right_overlap_rate, sum(left_value) AS left_net_sum, sum(right_value) AS right_net_sum,
+        sum(left_value) FILTER (grp = 'both') AS both_left_net_sum, sum(right_value) FILTER (grp = 'both') AS both_right_net_sum,
+        sum(left_value) FILTER (grp = 'left_only') AS left_only_net_sum, sum(right_value) FILTER (grp = 'right_only') AS right_only_net_sum FROM joined""",
+        ("both_count", "left_only_count", "right_only_count"),
+        ["jaccard", "left_overlap_rate", "right_overlap_rate", "left_net_sum", "right_net_sum", "both_left_net_sum", "both_right_net_sum", "left_only_net_sum", "right_only_net_sum"], _OVERLAP,
     )),
 )
 def _jaccard(spark, sf):
-    return rounded(met.jaccard(_overlapped(spark, sf)).select("both_count", "left_only_count", "right_only_count", "jaccard", "left_net_sum", "right_net_sum"))
+    return rounded(met.jaccard(_overlapped(spark, sf)))
 
 
 def _positions(spark, sf) -> tuple[DataFrame, DataFrame]:
@@ -527,7 +587,7 @@ def _exit_positions(spark, sf):
 def _model_exit(spark, sf):
     entries, states = _positions(spark, sf)
     states = states.withColumn("pred", F.col("current_score") - 20)
-    rows = entries.select("fold", "minute", "score", F.lit(None).cast("string").alias("skip_reason"))
+    rows = entries.select("symbol", "fold", "minute", "score", F.lit(None).cast("string").alias("skip_reason"))
     return simulate.model_exit_episodes(rows, states, 2, 50.0, 60, COOLDOWN)
 
 
@@ -620,7 +680,7 @@ def _replay(spark, sf):
 
 @query("topk_recent_rows", _wrap("SELECT fold, minute, score FROM (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY minute DESC) AS k FROM scored) WHERE k <= 100", ("fold", "minute"), ["score"]))
 def _recent(spark, sf):
-    return rounded(research.recent(_evaluated(spark, sf).select("fold", "minute", "score"), 100))
+    return rounded(research.recent(_evaluated(spark, sf).select("symbol", "fold", "minute", "score"), 100).drop("symbol"))
 
 
 @query("agg_label_summary", f"""WITH {GAPPY_SQL}, l AS ({_label_sql('gappy', _ENTRY)}), u AS ({' UNION ALL '.join(f"SELECT '{n}' AS label, {n} AS value FROM l" for n in _ENTRY)})
