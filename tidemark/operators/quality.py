@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.series import indexed
+
 #: What can be wrong with a row, in the order in which reasons are listed.
 FLAGS = {
     "null_required": "ts IS NULL OR open IS NULL OR high IS NULL OR low IS NULL OR close IS NULL OR volume IS NULL",
@@ -49,16 +51,39 @@ def missing_minutes(bars: DataFrame) -> DataFrame:
     return gaps.select("symbol", F.explode(F.sequence(F.col("minute") + 1, F.col("next") - 1)).alias("minute"))
 
 
-def zero_volume_runs(indexed: DataFrame) -> DataFrame:
+#: Rows of a chunk in which runs are found.
+RUN_CHUNK = 10_000
+
+
+def zero_volume_runs(rows: DataFrame) -> DataFrame:
     """(symbol, start_minute, end_minute, length) of maximal runs of rows, neighbours by idx, without volume.
 
-    A run's rows have the same difference of idx and their rank among zero-volume rows.
+    Runs are found within chunks of rows; those that touch an edge of their chunk, two a chunk at most, are joined to
+    their neighbours'.
     """
-    zero = indexed.where("volume = 0").select("symbol", "minute", "idx")
-    before = Window.partitionBy("symbol").orderBy("idx")
-    marked = zero.withColumn("new", F.when(F.col("idx") - F.lag("idx").over(before) == 1, 0).otherwise(1))
-    run = marked.withColumn("run", F.sum("new").over(before.rowsBetween(Window.unboundedPreceding, 0)))
-    return run.groupBy("symbol", "run").agg(F.min("minute").alias("start_minute"), F.max("minute").alias("end_minute"), F.count(F.lit(1)).alias("length")).drop("run")
+    chunk = F.floor((F.col("idx") - 1) / RUN_CHUNK)
+    zero = rows.where("volume = 0").select("symbol", "minute", "idx", chunk.alias("chunk"))
+    inside = Window.partitionBy("symbol", "chunk").orderBy("idx")
+    pieces = zero.withColumn("run", F.col("idx") - F.row_number().over(inside)).groupBy("symbol", "chunk", "run").agg(
+        F.min("minute").alias("start_minute"), F.max("minute").alias("end_minute"), F.count(F.lit(1)).alias("length"), F.min("idx").alias("first"), F.max("idx").alias("last")
+    )
+    edge = (F.col("first") == F.col("chunk") * RUN_CHUNK + 1) | (F.col("last") == (F.col("chunk") + 1) * RUN_CHUNK)
+    order = Window.partitionBy("symbol").orderBy("first")
+    touching = pieces.where(edge).withColumn("new", F.when(F.col("first") - F.lag("last").over(order) == 1, 0).otherwise(1))
+    touching = touching.withColumn("joined", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))).groupBy("symbol", "joined").agg(
+        F.min("start_minute").alias("start_minute"), F.max("end_minute").alias("end_minute"), F.sum("length").alias("length")
+    )
+    columns = ("symbol", "start_minute", "end_minute", "length")
+    return pieces.where(~edge).select(*columns).unionByName(touching.select(*columns))
+
+
+def report(bars: DataFrame) -> dict[str, DataFrame]:
+    """The tables of a quality report: the summary, and the rows behind each of its counts."""
+    unique = bars.dropDuplicates(["symbol", "minute"])
+    return {
+        "summary": audit(bars), "invalid_rows": invalid_rows(bars), "duplicate_rows": duplicate_rows(bars), "missing_minutes": missing_minutes(unique),
+        "zero_volume_rows": bars.where("volume = 0"), "zero_volume_runs": zero_volume_runs(indexed(unique)), "negative_volume_rows": bars.where("volume < 0"),
+    }
 
 
 def audit(bars: DataFrame) -> DataFrame:

@@ -15,7 +15,9 @@ from pyspark.sql import types as T
 from tidemark.functions.sheet import Sheet
 
 #: Rows of a chunk without its halo, and minutes of the blocks that rows are counted in.
-CHUNK, BLOCK = 10_000, 1440
+CHUNK, BLOCK = 4_000, 1440
+#: Periods of a chunk of the series that the last closed bar is carried along.
+CARRY = 5_000
 
 
 def indexed(bars: DataFrame) -> DataFrame:
@@ -92,8 +94,14 @@ def last_closed(bars: DataFrame, closed: DataFrame, minutes: int, columns: list[
     """
     periods = (bars if minutes_of is None else minutes_of).select("symbol", F.floor(F.col("minute") / minutes).cast("long").alias("bucket")).distinct()
     short = periods.join(closed.select("symbol", "bucket", F.struct(*columns).alias("__row")), ["symbol", "bucket"], "left")
-    before = Window.partitionBy("symbol").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    short = short.withColumn("__row", F.last("__row", ignorenulls=True).over(before))
+    # within chunks of periods, and from chunk to chunk by the last bar of each: no window holds a whole series
+    short = short.withColumn("__chunk", F.floor(F.col("bucket") / CARRY))
+    ends = short.groupBy("symbol", "__chunk").agg(F.max(F.when(F.col("__row").isNotNull(), F.struct("bucket", "__row")))["__row"].alias("__end"))
+    earlier = Window.partitionBy("symbol").orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("symbol", "__chunk", F.last("__end", ignorenulls=True).over(earlier).alias("__before"))
+    inside = Window.partitionBy("symbol", "__chunk").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    short = short.withColumn("__row", F.last("__row", ignorenulls=True).over(inside)).join(ends, ["symbol", "__chunk"])
+    short = short.select("symbol", "bucket", F.coalesce("__row", "__before").alias("__row"))
     out = bars.withColumn("bucket", F.floor(F.col("minute") / minutes).cast("long")).join(short, ["symbol", "bucket"], "left")
     return out.select(*bars.columns, *[F.col("__row")[c].alias(c) for c in columns])
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.metrics import episode_metrics
-from tidemark.operators.simulate import KEYS, entered, entry_rule, fixed_hold_episodes, history_threshold
+from tidemark.operators.simulate import KEYS, entered, entry_rule, fixed_hold_episodes, history_threshold, rolling_quantile
 
 FAIL_PENALTY = 1_000_000.0
 #: Rows of a grid or of folds that are broadcast.
@@ -77,6 +80,32 @@ def sweep(scored: DataFrame, paths: DataFrame, grid: DataFrame, hold: int, block
     return episode_metrics(episodes, folds, keys)
 
 
+def rolling_sweep(
+    scored: DataFrame, paths: DataFrame, windows: tuple[int, ...], quantiles: tuple[float, ...], floors: tuple[float, ...], at_least: Callable[[int], int], hold: int, block: int, **filters: float
+) -> DataFrame:
+    """Fold metrics of all windows x quantiles x floors of a moving threshold in one job, params as w<window>_q<q>_f<floor>.
+    Thresholds are computed once for each window and quantile; only rows over theirs meet the floors. filters are
+    those of entry_rule()."""
+    parts = []
+    for w in windows:
+        for q in quantiles:
+            thr = rolling_quantile(scored.select(*KEYS, "minute", "score"), w, q, at_least(w)).withColumn("params", F.lit(f"w{w}_q{q:g}"))
+            parts.append(thr.where("score > rolling_thr"))
+    each = F.explode(F.array(*[F.struct(F.lit(float(f)).alias("floor"), F.lit(f"_f{f:g}").alias("name")) for f in floors]))
+    rows = reduce(DataFrame.unionByName, parts).withColumn("f", each).withColumn("threshold", F.greatest("rolling_thr", "f.floor"))
+    rows = rows.withColumn("params", F.concat("params", "f.name")).drop("f")
+    rows = rows.join(paths, ["symbol", "minute"]).withColumn("skip_reason", entry_rule(F.col("score"), F.col("threshold"), **filters))
+    keys = ("params", *KEYS)
+    trades = fixed_hold_episodes(entered(rows, hold, block, keys=keys), hold, keys=keys)
+    names = F.explode(F.array(*[F.lit(f"w{w}_q{q:g}_f{f:g}") for w in windows for q in quantiles for f in floors]))
+    return episode_metrics(trades, scored.select(*KEYS).distinct().withColumn("params", names), keys)
+
+
+def least_history(window_minutes: int, at_most: int = 30_000) -> int:
+    """Scores that a moving threshold waits for, if nothing else is said: half of its window, 30,000 at most."""
+    return min(at_most, window_minutes // 2)
+
+
 def few(df: DataFrame) -> DataFrame:
     """df to be broadcast, if it has no more than FEW rows; else Spark chooses the join."""
     return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
@@ -91,5 +120,7 @@ def replay(scored: DataFrame, past: DataFrame, paths: DataFrame, q: float, floor
 
 def recent(rows: DataFrame, n: int, keys: tuple[str, ...] = KEYS, order: Column | str = "minute") -> DataFrame:
     """The n most recent rows of each key."""
+    if not keys:
+        return rows.orderBy(F.desc(order) if isinstance(order, str) else order).limit(n)
     w = Window.partitionBy(*keys).orderBy(F.desc(order) if isinstance(order, str) else order)
     return rows.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= n).drop("__n")
