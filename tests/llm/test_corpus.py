@@ -664,6 +664,34 @@ def test_components(spark):
     assert all(got[i] == 0 for i in range(1, 41)) and got[100] == 0 and got[201] == 200 and 5 in got
 
 
+def test_pipeline_run(spark, tmp_path):
+    """The whole run: what each stage decides shows in the pieces, what operators wrote on their way is gone, clashing
+    columns and repeated rows do no harm, and an empty table gives no rows."""
+    import corpus_pipeline
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rng = random.Random(16)
+    plain = lambda: " ".join("".join(rng.choice("abcdefg") for _ in range(5)) for _ in range(120))
+    rows = [(i, plain()) for i in range(40)] + [(40, plain() + " mail a.b@c.example.com")]
+    rows += [(50, rows[0][1]), (51, rows[1][1] + " end"), rows[2], (60, None), (61, ""), (62, "too short"), (None, plain())]
+    rows += [(70 + i, " ".join("ABC$$$ BUY||" for _ in range(60))) for i in range(8)]
+    df = docs(spark, rows).withColumns({"source": F.lit("s"), "lang": F.lit("en"), "n_chars": F.length("text").cast("long"), "__row": F.lit(1), "passes": F.lit(2)})
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    before = common.written()
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert common.written() == before
+    assert {r["doc_id"] for r in out} == {*range(41), None}  # one source: its target is its size, so that all stay
+    encode = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY)).encode
+    texts = dict(rows[:41]) | {40: rows[40][1].replace("a.b@c.example.com", "<EMAIL>")}
+    for r in out:
+        if r["doc_id"] is not None:
+            ids = np.array([*encode(texts[r["doc_id"]], add_special_tokens=False).ids, 1], "<u4")
+            assert r["ids_crc32"] == zlib.crc32(ids.tobytes()) and r["length"] == len(ids)
+    df.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_stages_keep_columns(spark, tmp_path):
     import corpus_pipeline
 

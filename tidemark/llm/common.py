@@ -47,9 +47,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Drop what operators have written to the shared folder so far: call it when their results stand elsewhere."""
-    while _written:
+def written() -> int:
+    """How many tables operators have written to the shared folder so far, for release()."""
+    return len(_written)
+
+
+def release(spark: SparkSession, keep: int = 0) -> None:
+    """Drop what operators have written to the shared folder, but the first `keep` tables: call it when their results
+    stand elsewhere."""
+    while len(_written) > keep:
         path, name = _written.pop()
         if name:
             spark.sql(f"DROP TABLE IF EXISTS {name}")
