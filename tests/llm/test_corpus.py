@@ -305,6 +305,50 @@ def test_quality_verdicts(spark):
     assert kept.columns == df.columns and kept.count() == 60
 
 
+def test_quality_query_against_brute_force(spark, tmp_path):
+    """The query's columns and verdicts, by a plain loop over documents: statistics, votes, and rounds of estimation."""
+    rng = random.Random(19)
+    plain = lambda n: " ".join("".join(rng.choice("abcdefg") for _ in range(rng.randrange(3, 8))) for _ in range(n))
+    junk = lambda: "\n".join(rng.choice(["BUY NOW!!", "$$$ WIN||", "same line here"]) for _ in range(60))
+    rows = corpus() + [(200 + i, plain(rng.randrange(20, 200))) for i in range(60)] + [(300 + i, junk()) for i in range(25)] + [(400 + i, plain(40) + " " + junk()) for i in range(10)]
+    docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    stats, votes = [], []
+    for _, t in rows:
+        t = t or ""
+        w, lines = WORD.findall(t), [x for x in t.split("\n") if WORD.search(x)]
+        seen, covered = Counter(tuple(w[k : k + 3]) for k in range(len(w) - 2)), set()
+        for k in range(len(w) - 2):
+            if seen[tuple(w[k : k + 3])] > 1:
+                covered |= {k, k + 1, k + 2}
+        n, chars, symbols, again, repeats_ = len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered)
+        upper = sum(bool(re.search("[A-Z]{2}", x)) and not re.search("[a-z]", x) for x in w)
+        marked = sum(bool(re.search(r"[#*$%&|<>!]{2}$", x)) for x in w)
+        stats.append((n, chars, symbols, again, repeats_))
+        m, vote = max(n, 1), lambda bad, good: -1 if bad else 1 if good else 0
+        votes.append((
+            vote(symbols > 0.5 * m, symbols < 0.1 * m), vote(marked > 0.3 * m, marked < 0.05 * m), vote(upper > 0.4 * m, upper < 0.1 * m), vote(again > 0.3 * len(lines), again < 0.1 * len(lines)),
+            vote(100 * repeats_ > 30 * m, 100 * repeats_ < 10 * m), vote(n < 50, n >= 100), vote(chars > 12 * m or chars < 2.5 * m, 3.5 * m <= chars <= 9 * m),
+        ))
+    v = np.array(votes)
+    good, on_good, on_bad = 0.9, np.full(7, 0.98), np.full(7, 0.4)
+
+    def posterior():
+        odds = np.log(good / (1 - good)) + np.where(v == 1, np.log(on_good / (1 - on_bad)), np.where(v == -1, np.log((1 - on_good) / on_bad), 0)).sum(1)
+        return 1 / (1 + np.exp(-odds))
+
+    for _ in range(12):
+        p = posterior()[:, None]
+        good = (p.sum() + 18) / (len(v) + 20)
+        on_good = np.clip(((p * (v == 1)).sum(0) + 0.98 * 20) / ((p * (v != 0)).sum(0) + 20), 0.9, 0.995)
+        on_bad = np.minimum(np.maximum((((1 - p) * (v == -1)).sum(0) + 0.4 * 20) / (((1 - p) * (v != 0)).sum(0) + 20), 1 - on_good), 0.995)
+    failed = [n < 50 or 100 * r > 50 * n for n, _, _, _, r in stats]
+    want = Counter((i, *x, f, bool(not f and p >= 0.5)) for (i, _), x, f, p in zip(rows, stats, failed, posterior()))
+    got = quality.query(spark, str(tmp_path)).drop("p_good").collect()
+    assert Counter(map(tuple, got)) == want and len({r["kept"] for r in got}) == 2
+    kept = quality.keep_good(spark.read.parquet(f"{tmp_path}/documents.parquet"))
+    assert Counter(r["doc_id"] for r in kept.collect()) == Counter(i for i, *_, k in want.elements() if k)
+
+
 # --- personal data ----------------------------------------------------------------------------------------------------
 def test_pii_base_spans():
     text = "mail a.b@c.example.com, @x a@b 1.2.3.4 300.1.1.1 1.2.3.4.5 or 4539 1488 0343 6467 or 4539148803436468 or +1 (555) 010-9999 +12 x@y.z@q.org"
