@@ -210,11 +210,15 @@ def test_group_pairs_lose_no_link_and_leave_pairs_out():
         share.append(l)
         prefixes.append(np.array(zone[: len(zone) - l + 1], np.uint64))
     full, grp = [np.array(s, np.uint64) for s in sets], np.arange(len(sets))
-    near = jaccard.group_pairs(prefixes, np.array([len(s) for s in sets]), grp, np.array(zones), np.array(share), 85)
+    pairs = jaccard.GroupPairs(prefixes, np.array([len(s) for s in sets]), grp, np.array(zones), np.array(share), 85)
+    near = np.stack([pairs.near(i) for i in range(len(sets))])
     similar = np.array([[100 * len({*a} & {*b}) >= 85 * len({*a} | {*b}) for b in sets] for a in sets])
     assert not (similar & ~near).any() and near.sum() < 0.3 * near.size and similar.sum() > len(sets)
-    u, v = jaccard.linked(full, near, 85)
-    assert similar[u, v].all()
+    u, v = jaccard.linked(full, pairs, grp, 85)
+    root = list(range(len(sets)))
+    for a, b in zip(u, v):
+        root = [root[a] if r == root[b] else r for r in root]
+    assert similar[u, v].all() and all(root[a] == root[b] for a, b in zip(*np.nonzero(similar)))
 
 
 def test_jaccard_keeps_one(spark):

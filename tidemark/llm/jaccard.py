@@ -179,10 +179,9 @@ def verified(texts: DataFrame, sets: DataFrame, chosen: DataFrame, shingle: int,
                 if b - a < 2:
                     continue
                 full_sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in elements.slice(a, b - a)]
-                near = group_pairs([x.values.to_numpy() for x in prefix.slice(a, b - a)], np.array([len(x) for x in full_sets]), grp[a:b], zones[a:b], share[a:b], percent)
-                if block[a] != block[a:b].max():
-                    near &= block[a:b, None] != block[None, a:b]  # pairs within a block are that block's own
-                out.append(owner[a:b][np.stack(linked(full_sets, near, percent))])
+                pairs = GroupPairs([x.values.to_numpy() for x in prefix.slice(a, b - a)], np.array([len(x) for x in full_sets]), grp[a:b], zones[a:b], share[a:b], percent)
+                own = block[a:b] if (block[a:b] != block[a]).any() else np.arange(b - a)  # pairs within one of two blocks are that block's own
+                out.append(owner[a:b][np.stack(linked(full_sets, pairs, own, percent))])
             if out:
                 u, v = np.concatenate(out, 1)
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["a", "b"])
@@ -190,31 +189,41 @@ def verified(texts: DataFrame, sets: DataFrame, chosen: DataFrame, shingle: int,
     return map_arrow(dealt.select("task", "cluster", "pair", "owner", "block", "grp", "prefix", "zones", "share", "elements"), compare, "a long, b long")
 
 
-def group_pairs(prefixes: list[np.ndarray], size: np.ndarray, grp: np.ndarray, zones: np.ndarray, share: np.ndarray, percent: int) -> np.ndarray:
-    """Which pairs of sets may be similar enough, as a matrix: those of one group, and those whose groups fit in size and
-    share an element of their prefixes with enough of both zones behind it. The first element that partners share always
-    has, so one that has is enough."""
-    _, head, of = np.unique(grp, return_index=True, return_inverse=True)
-    n, low, zones, share = len(head), size[head], zones[head], share[head]
-    near = np.eye(n, dtype=bool)
-    lists = [prefixes[i] for i in head]
-    element = np.concatenate(lists)
-    owner = np.repeat(np.arange(n), [len(x) for x in lists])
-    behind = zones[owner] - np.concatenate([np.arange(len(x)) for x in lists])  # elements from here on
-    order = np.argsort(element, kind="stable")
-    element, owner, behind = element[order], owner[order], behind[order]
-    edge = np.flatnonzero(np.concatenate([[True], element[1:] != element[:-1], [True]]))
-    for a, b in zip(edge[:-1], edge[1:]):
-        if b - a > 1:
-            g, z = owner[a:b], behind[a:b]
-            near[np.ix_(g, g)] |= np.minimum(z[:, None], z[None, :]) >= np.minimum(share[g][:, None], share[g][None, :])
-    near &= 100 * np.minimum(low[:, None], low[None, :]) >= percent * np.maximum(low[:, None], low[None, :])
-    return near[np.ix_(of, of)]
-
-
-def linked(sets: list[np.ndarray], near: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a spanning forest of the pairs in `near` that are similar enough on their full sets. Each set in turn is
-    verified against the later ones that are its candidates and not yet joined to it."""
+class GroupPairs:
+    """Which sets may be similar enough: those of one group, and those whose groups fit in size and share an element of
+    their prefixes with enough of both zones behind it. The first element that partners share always has, so one that
+    has is enough. Partners are looked up one set at a time, as most sets are joined before theirs are needed."""
+
+    def __init__(self, prefixes: list[np.ndarray], size: np.ndarray, grp: np.ndarray, zones: np.ndarray, share: np.ndarray, percent: int) -> None:
+        _, head, self.of = np.unique(grp, return_index=True, return_inverse=True)
+        self.size, self.share, self.percent = size[head], share[head], percent
+        lists = [prefixes[i] for i in head]
+        count = np.array([len(x) for x in lists])
+        owner = np.repeat(np.arange(len(head)), count)
+        behind = zones[head][owner] - (np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count))  # elements from here on
+        _, code = np.unique(np.concatenate(lists), return_inverse=True)
+        order = np.argsort(code, kind="stable")
+        self.owner, self.behind = owner[order], behind[order]
+        self.from_, self.to = np.searchsorted(code[order], code), np.searchsorted(code[order], code, side="right")
+        self.own, self.begin = behind, np.concatenate([[0], np.cumsum(count)])
+
+    def near(self, i: int) -> np.ndarray:
+        """Which sets set i may be similar to."""
+        g = self.of[i]
+        mine = slice(self.begin[g], self.begin[g + 1])
+        each = self.to[mine] - self.from_[mine]
+        at = np.arange(int(each.sum())) + np.repeat(self.from_[mine] - (np.cumsum(each) - each), each)
+        enough = np.minimum(self.behind[at], np.repeat(self.own[mine], each)) >= np.minimum(self.share[self.owner[at]], self.share[g])
+        near = np.zeros(len(self.size), bool)
+        near[self.owner[at[enough]]] = True
+        near &= 100 * np.minimum(self.size, self.size[g]) >= self.percent * np.maximum(self.size, self.size[g])
+        near[g] = True
+        return near[self.of]
+
+
+def linked(sets: list[np.ndarray], pairs: GroupPairs, block: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a spanning forest of the pairs of different blocks that are similar enough on their full sets. Each set in
+    turn is verified against the later ones that may be, and are not yet joined to it."""
     n = len(sets)
     size = np.fromiter(map(len, sets), np.int64, n)
     code = np.unique(np.concatenate(sets), return_inverse=True)[1]
@@ -222,7 +231,10 @@ def linked(sets: list[np.ndarray], near: np.ndarray, percent: int) -> tuple[np.n
     flag = np.zeros(int(code.max()) + 1, np.int32)
     label, u, v = np.arange(n), [], []
     for i in range(n - 1):
-        some = np.flatnonzero(near[i, i + 1 :] & (label[i + 1 :] != label[i])) + i + 1
+        open_ = (label[i + 1 :] != label[i]) & (block[i + 1 :] != block[i])
+        if not open_.any():
+            continue
+        some = np.flatnonzero(open_ & pairs.near(i)[i + 1 :]) + i + 1
         if not len(some):
             continue
         own = code[stop[i] - size[i] : stop[i]]
@@ -231,11 +243,13 @@ def linked(sets: list[np.ndarray], near: np.ndarray, percent: int) -> tuple[np.n
         begin = stop[first] - size[first]
         common = np.add.reduceat(flag[code[begin : stop[last]]], (stop - size)[first : last + 1] - begin)[some - first]
         flag[own] = 0
-        for j in some[100 * common >= percent * (size[i] + size[some] - common)].tolist():
-            if label[j] != label[i]:
-                label[label == label[j]] = label[i]
-                u.append(i)
-                v.append(j)
+        hit = some[100 * common >= percent * (size[i] + size[some] - common)]
+        # one edge to each component that is met joins all of it
+        _, one = np.unique(label[hit], return_index=True)
+        for j in hit[one].tolist():
+            label[label == label[j]] = label[i]
+            u.append(i)
+            v.append(j)
     return np.array(u, np.int64), np.array(v, np.int64)
 
 
