@@ -28,11 +28,12 @@ def _level_sheet(levels: tuple[int, ...]) -> Sheet:
     return s
 
 
-def _seen(bars: DataFrame, tf: int, levels: tuple[int, ...]) -> DataFrame:
-    """Minute rows with the last closed bar (h_*) and levels of the bars before it (p*)."""
+def _with_levels(rows: DataFrame, bars: DataFrame, tf: int, levels: tuple[int, ...]) -> DataFrame:
+    """rows with the last closed bar of the timeframe (t<tf>_h_*) and levels of the bars before it (t<tf>_p*)."""
     sheet = _level_sheet(levels)
     closed = with_sheet(resampled(bars, tf).withColumn("minute", F.col("bucket")), sheet, ("symbol", "minute"))
-    return last_closed(bars, closed.withColumnRenamed("minute", "bucket"), tf, list(sheet.outs))
+    named = {c: f"t{tf}_{c}" for c in sheet.outs}
+    return last_closed(rows, closed.withColumnsRenamed(named | {"minute": "bucket"}), tf, list(named.values()), bars)
 
 
 def _candle(s: Sheet, p: str, own: bool) -> dict[str, str]:
@@ -85,11 +86,16 @@ def _lite_sheet(tf: int) -> Sheet:
 
 
 def _per_timeframe(bars: DataFrame, tfs: tuple[int, ...], levels: tuple[int, ...], sheet_of) -> DataFrame:
-    out = None
+    """Features of all timeframes: closed bars join on their periods, which are few; minute rows never join minute rows."""
+    out, names = bars, []
     for tf in tfs:
-        part = sheet_of(tf).apply(_seen(bars, tf, levels), ("symbol", "minute"))
-        out = part if out is None else out.join(part, ["symbol", "minute"])
-    return out
+        out = _with_levels(out, bars, tf, levels)
+    for tf in tfs:
+        sheet = sheet_of(tf)
+        own = {f"t{tf}_{c}": c for c in _level_sheet(levels).outs}
+        out = sheet.apply(out.withColumnsRenamed(own), tuple(c for c in out.columns if c not in own))
+        names += sheet.outs
+    return out.select("symbol", "minute", *names)
 
 
 def anchored_timeframe_candle(bars: DataFrame) -> DataFrame:
