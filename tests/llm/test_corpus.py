@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -297,6 +298,15 @@ def test_quality_statistics(spark):
     assert Counter((r["doc_id"], r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) for r in got) == Counter(want)
 
 
+def test_quality_long_texts_take_linear_time(spark):
+    """A megabyte that is one word of capitals and a small letter, one of short lines, and one of words in capitals."""
+    rows = [(1, "A" * 1_000_000 + "b"), (2, "ab\n" * 350_000), (3, "AB$$ " * 200_000), (4, "#" * 1_000_000)]
+    start = time.time()
+    got = {r["doc_id"]: (r["n_words"], r["n_upper"], r["n_marked"], r["n_symbols"]) for r in quality.judge(docs(spark, rows)).collect()}
+    assert got == {1: (1, 0, 0, 0), 2: (350_000, 0, 0, 0), 3: (200_000, 200_000, 200_000, 400_000), 4: (1, 0, 1, 1_000_000)}
+    assert time.time() - start < 40  # a pattern that is quadratic in the word takes hours
+
+
 def test_quality_verdicts(spark):
     rng = random.Random(2)
     plain = lambda: " ".join("".join(rng.choice("abcdefg") for _ in range(5)) for _ in range(120))
