@@ -57,15 +57,14 @@ def _op13(k: int = simplex_clusters.CENTROIDS, rounds: int = simplex_clusters.RO
 FROM (SELECT rid, c, CAST(list_dot_product(v.x, v.x) + list_dot_product(c{r}.x, c{r}.x) - 2 * list_dot_product(v.x, c{r}.x) AS BIGINT) AS d FROM v, c{r}) GROUP BY rid)"""
     moved = """c{s} AS MATERIALIZED (SELECT c, list(m ORDER BY j) AS x FROM (SELECT c, j, floor(sum(v.x[j]) / count(*)) AS m FROM a{r} JOIN v USING (rid), (SELECT unnest(range(1, 65)) AS j) GROUP BY c, j) GROUP BY c
 UNION ALL SELECT c, x FROM c{r} WHERE c NOT IN (SELECT c FROM a{r}))"""
-    steps = [f"""WITH v AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, e -> floor(256 * CAST(e AS DOUBLE))) AS x FROM embeddings
-WHERE len(embedding) = 64 AND len(list_filter(embedding, e -> e IS NOT NULL AND isfinite(e))) = 64)""",
+    steps = [f"""WITH v AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda e: floor(256 * CAST(e AS DOUBLE))) AS x FROM embeddings
+WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64)""",
         f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{seed}:' || vec_id), x) - 1 AS c, x FROM v ORDER BY sha256('{seed}:' || vec_id), x LIMIT {k})"]
     for r in range(rounds):
         steps += [nearest.format(r=r), moved.format(r=r, s=r + 1)]
     steps += [nearest.format(r=rounds), f"i AS (SELECT c, sum(d) AS n FROM a{rounds} GROUP BY c)"]
-    text = f"(SELECT c, sha256(array_to_string(list_transform(x, e -> CAST(e AS BIGINT)), ',')) AS name FROM c{rounds})"
-    return ",
-".join(steps) + f"""
+    text = f"(SELECT c, sha256(array_to_string(list_transform(x, lambda e: CAST(e AS BIGINT)), ',')) AS name FROM c{rounds})"
+    return ", ".join(steps) + f"""
 SELECT vec_id, CAST(a.c AS INTEGER) AS cluster, a.d AS distance, CAST(i.n AS BIGINT) AS cluster_inertia, CAST((SELECT sum(n) FROM i) AS BIGINT) AS inertia, name AS centroid_sha256
 FROM a{rounds} a JOIN v USING (rid) JOIN i ON i.c = a.c JOIN {text} t ON t.c = a.c"""
 
