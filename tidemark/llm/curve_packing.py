@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -24,13 +25,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_arrow, materialise, padded, shuffle_partitions, slices, table
+from tidemark.llm.common import map_arrow, materialise, padded, shuffle_partitions, slices, table, text_buffer
 
 CAPACITY = 2048
 END_ID = 1
 VOCABULARY = "byte_bpe_50k.json"
-#: Text parts whose ids a Python worker remembers.
-CACHE_PARTS = 250_000
+#: Text parts whose ids a Python worker remembers, twice: those met of late, and those before them.
+CACHE_PARTS = 200_000
 #: Hashed vectors have so many numbers; points so many; each is told apart to so many bits along the curve.
 BUCKETS, DIMENSIONS, BITS = 256, 4, 12
 
@@ -38,6 +39,9 @@ _KIND = np.zeros(256, np.uint8)  # 1 letter, 2 digit, 3 punctuation but the apos
 _KIND[[*range(ord("a"), ord("z") + 1), *range(ord("A"), ord("Z") + 1)]] = 1
 _KIND[[*range(ord("0"), ord("9") + 1)]] = 2
 _KIND[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'"]] = 3
+_PAIRS = np.array([a != b and a > 0 and b > 0 for a in range(4) for b in range(4)])
+#: A space and a word of printable ASCII characters or Latin letters: with more of them, the tokenizer cuts before each.
+_SPACED = re.compile(rb" (?:[!-~]|\xc3[\x80-\xbf])+")
 _SOLID = np.zeros(256, bool)
 _SOLID[33:127] = True
 _BLANK = np.zeros(256, bool)
@@ -47,14 +51,14 @@ _BLANK[[0x20, *range(0x09, 0x0E), *range(0x1C, 0x20)]] = True
 def _cuts(buffer: np.ndarray) -> np.ndarray:
     """Places where the tokenizer's own splitting always cuts: before a space that a word follows, around a line feed
     between words, and between ASCII letters, digits and punctuation."""
-    before, now = buffer[:-1], buffer[1:]
-    kind, other = _KIND[before], _KIND[now]
-    cut = (kind != other) & (kind > 0) & (other > 0)
-    after = np.append(now[1:], np.uint8(10))
-    cut |= (now == 0x20) & (_SOLID[after] | _SOLID[before] & ~_BLANK[after])
-    line = (now == 10) & _SOLID[before] & _SOLID[after]
-    cut |= line
-    cut[1:] |= line[:-1]
+    kind = _KIND[buffer]
+    cut = _PAIRS[kind[:-1] * 4 + kind[1:]]
+    space = np.flatnonzero(buffer[1:-1] == 0x20)
+    before, after = buffer[space], buffer[space + 2]
+    cut[space[_SOLID[after] | _SOLID[before] & ~_BLANK[after]]] = True
+    line = np.flatnonzero(buffer[1:-1] == 10)
+    line = line[_SOLID[buffer[line]] & _SOLID[buffer[line + 2]]]
+    cut[line] = cut[line + 1] = True
     return np.flatnonzero(cut) + 1
 
 
@@ -67,16 +71,34 @@ class _Parts:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.largest = max([END_ID, *self.tokenizer.get_vocab().values()])
+        vocabulary = self.tokenizer.get_vocab()
+        self.largest = max([END_ID, *vocabulary.values()])
+        self.spaced = np.zeros(self.largest + 1, bool)
+        self.spaced[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True  # the space of byte-level vocabularies
         self.known: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         rng = np.random.default_rng(11)
         self.bucket = rng.integers(0, BUCKETS, self.largest + 1)
         self.sign = rng.choice([-1.0, 1.0], self.largest + 1)
         self.axes = rng.standard_normal((BUCKETS, DIMENSIONS))
 
     def learn(self, parts: list[bytes]) -> None:
-        for at in range(0, len(parts), 4096):
-            some = parts[at : at + 4096]
+        """Words with a space before them are encoded many at once, one after the other: each of their tokens that begins
+        with a space begins a word. All other parts are encoded one by one."""
+        words, rest = [], []
+        for p in parts:
+            (words if _SPACED.fullmatch(p) else rest).append(p)
+        runs = [words[at : at + 256] for at in range(0, len(words), 256)]
+        for run, e in zip(runs, self.tokenizer.encode_batch_fast([b"".join(r).decode() for r in runs], add_special_tokens=False)):
+            ids = np.array(e.ids, np.uint32)
+            first = np.flatnonzero(self.spaced[ids])
+            if len(first) != len(run) or first[0]:
+                rest += run
+                continue
+            data, at = ids.tobytes(), [*(4 * first).tolist(), 4 * len(ids)]
+            self.known.update(zip(run, [data[a:b] for a, b in zip(at, at[1:])]))
+        for at in range(0, len(rest), 4096):
+            some = rest[at : at + 4096]
             for p, e in zip(some, self.tokenizer.encode_batch_fast([p.decode() for p in some], add_special_tokens=False)):
                 self.known[p] = np.array(e.ids, np.uint32).tobytes()
 
@@ -85,8 +107,11 @@ class _Parts:
         buffer, bounds = padded(texts)
         rows = len(bounds) - 1
         ends_row = bounds[1:] - 1  # the line feed after each row, which is no text
-        edge = np.unique(np.concatenate([_cuts(buffer), bounds, ends_row]))
-        starts, ends = edge[:-1], edge[1:]
+        begins = np.zeros(len(buffer), bool)
+        begins[_cuts(buffer)] = True
+        begins[bounds[:-1]] = begins[ends_row] = True
+        starts = np.flatnonzero(begins)
+        ends = np.append(starts[1:], len(buffer))
         mark = np.zeros(len(buffer), bool)
         mark[ends_row] = True
         last = mark[starts]
@@ -94,12 +119,18 @@ class _Parts:
         offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
         column = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(buffer[~mark])])
         different = column.dictionary_encode()
-        parts, inverse = different.dictionary.to_pylist(), different.indices.to_numpy()
-        if len(self.known) > CACHE_PARTS:
-            self.known.clear()
-        self.learn([p for p in parts if p and p not in self.known])
-        self.known[b""] = np.array([END_ID], np.uint32).tobytes()  # stands for the end of a row
-        ids = [self.known[p] for p in parts]
+        inverse = different.indices.to_numpy()
+        raw, at = text_buffer(different.dictionary)
+        data, at = raw.tobytes(), at.tolist()
+        parts = [data[a:b] for a, b in zip(at, at[1:])]
+        if len(self.known) > CACHE_PARTS:  # parts that are met again move on, the others are forgotten at the next turn
+            self.old, self.known = self.known, {}
+        known, old = self.known, self.old
+        known[b""] = np.array([END_ID], np.uint32).tobytes()  # stands for the end of a row
+        fresh = [p for p in parts if p not in known]
+        known.update([(p, old[p]) for p in fresh if p in old])
+        self.learn([p for p in fresh if p not in old])
+        ids = [known[p] for p in parts]
         for i in self._odd(texts):  # a text with a special token's name in it has ids of its own
             own = (starts >= bounds[i]) & (starts < ends_row[i])
             inverse = inverse.copy() if not inverse.flags.writeable else inverse
