@@ -83,7 +83,7 @@ def test_linear_models(spark):
     assert model.weights[0] == pytest.approx(2, abs=0.1) and model.weights[1] == pytest.approx(-1, abs=0.1) and model.weights[3] == 0
     got = models.predict(model, df, ["a", "b", "c", "one"]).collect()
     assert all(r["pred"] is not None for r in got) and abs(got[3]["pred"] - got[3]["y"]) < 0.2
-    gains = {r["feature"]: r["gain"] for r in models.importance(spark, model, ["a", "b", "c", "one"], "f").collect()}
+    gains = {r["feature"]: r["importance_gain"] for r in models.importance(spark, model, ["a", "b", "c", "one"], "f").collect()}
     assert gains["a"] > gains["c"]
 
 

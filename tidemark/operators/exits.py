@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import models
+from tidemark.operators import trees
 from tidemark.operators.simulate import KEYS
 
 TARGET = "target_exit_hold_delta_bps"
@@ -86,21 +84,22 @@ def fold_rows(states: DataFrame, fold: str, target: str = TARGET) -> tuple[DataF
 
 
 def cross_fit(states: DataFrame, feature_set: str, target: str = TARGET, **params) -> tuple[DataFrame, DataFrame]:
-    """(predictions, importances): each fold's states predicted by a model of the others'. An empty side, or a trade on
-    both, is an error. states is read for each fold; persist it."""
+    """(predictions, importances): each fold's states predicted by a model of the others' without any of its trades. An
+    empty side is an error. All folds' models grow in the same jobs; params are those of trees.grow()."""
     validate(states, target)
     columns = feature_columns(states, feature_set, target)
-    parts, gains = [], []
-    for fold in sorted(r["fold"] for r in states.select("fold").distinct().collect()):
-        train, own = fold_rows(states, fold, target)
-        if train.isEmpty() or own.isEmpty():
-            raise ValueError(f"{fold}: no rows to train on or to evaluate")
-        if not train.select("episode_id").intersect(own.select("episode_id")).isEmpty():
-            raise ValueError(f"{fold}: a trade stands on both sides")
-        model = models.fit(train, columns, target, **params)
-        parts.append(models.predict(model, own, columns))
-        gains.append(models.importance(states.sparkSession, model, columns, fold))
-    return reduce(DataFrame.unionByName, parts), reduce(DataFrame.unionByName, gains)
+    known = states.where(F.col(target).isNotNull())
+    trades = known.groupBy("episode_id").agg(F.collect_set("fold").alias("__folds"))  # as many folds as a trade is in
+    rows = known.join(trades, "episode_id")
+    folds = sorted(r["fold"] for r in states.select("fold").distinct().collect())
+    masks = {f: ~F.array_contains("__folds", f) for f in folds}
+    counts = rows.agg(*[F.struct(F.count_if(masks[f]).alias("train"), F.count_if(F.col("fold") == f).alias("own")).alias(f"f{k}") for k, f in enumerate(folds)]).first()
+    for f, n in zip(folds, counts):
+        if not n["train"] or not n["own"]:
+            raise ValueError(f"{f}: no rows to train on or to evaluate")
+    forest = trees.grow(rows, columns, target, masks, **params)
+    gains = forest.importance(states.sparkSession).withColumnRenamed("model", "fold")
+    return forest.predict(known, F.col("fold")), gains
 
 
 def last_states(states: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.quality import out_of_order
 from tidemark.operators.series import ahead
 
 #: Horizons of entries in minutes, look-aheads of exits, cost of a round trip in basis points.
@@ -20,6 +21,19 @@ def side_sign(side: str) -> int:
     raise ValueError(f"unknown side {side!r}")
 
 
+def checked_minutes(bars: DataFrame) -> DataFrame:
+    """bars, if labels can be looked up in them: every row has a minute and no series has one twice, and rows came in
+    order of time where their input_pos tells; else an error."""
+    row = bars.agg(F.count_if(F.col("minute").isNull()).alias("unknown")).first()
+    if row["unknown"]:
+        raise ValueError(f"{row['unknown']} rows without a time")
+    if not bars.groupBy("symbol", "minute").count().where("count > 1").isEmpty():
+        raise ValueError("a minute stands twice, so that a look-up is ambiguous")
+    if "input_pos" in bars.columns and out_of_order(bars).first()[0]:
+        raise ValueError("rows are not in order of time")
+    return bars
+
+
 def at_offset(bars: DataFrame, offsets: dict[str, int], price: str = "open") -> DataFrame:
     """bars with the price at minute + offset under each name; NULL where that minute has no bar.
 

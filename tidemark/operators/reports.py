@@ -52,8 +52,9 @@ def exit_fold_metrics(df: DataFrame, target: str, pred: str, keys: tuple[str, ..
 
 
 def mean_importance(importances: DataFrame) -> DataFrame:
-    """(feature, gain) averaged over folds, the largest first."""
-    return importances.groupBy("feature").agg(F.avg("gain").alias("gain")).orderBy(F.desc("gain"), "feature")
+    """(feature, mean_importance_split, mean_importance_gain) over folds, the largest gain first."""
+    means = [F.avg(c).alias(f"mean_{c}") for c in ("importance_split", "importance_gain")]
+    return importances.groupBy("feature").agg(*means).orderBy(F.desc("mean_importance_gain"), "feature")
 
 
 def focus(df: DataFrame, pairs: list[tuple[str, int]], side: str = "side", horizon: str = "horizon_minutes") -> DataFrame:

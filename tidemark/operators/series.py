@@ -6,11 +6,10 @@ take along the rows before them that their windows need (the halo), and windows
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+import math
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemark.functions.sheet import Sheet
 
@@ -18,6 +17,8 @@ from tidemark.functions.sheet import Sheet
 CHUNK, BLOCK = 4_000, 1440
 #: Periods of a chunk of the series that the last closed bar is carried along.
 CARRY = 5_000
+#: Rows of a chunk of exponential means at most, and decimal digits that a power of their weights may reach.
+EWM_CHUNK, WEIGHT_DIGITS = 1_000, 100
 
 
 def indexed(bars: DataFrame) -> DataFrame:
@@ -69,6 +70,26 @@ def ahead(df: DataFrame, window: WindowSpec, columns: dict[str, str], counts: tu
     return df.drop(*[x for x in df.columns if x.startswith("__") and any(x.startswith(f"__{c}_") for c in columns)])
 
 
+def extremes(bars: DataFrame, levels: tuple[int, ...], block: int = BLOCK) -> DataFrame:
+    """(symbol, level, minute, high, low): highest high and lowest low of the 2**level minutes from each minute on, where
+    each of them has a bar with known prices. Two such rows, which may overlap, tell the extremes of any path: a look-up
+    instead of the path's minutes."""
+    sizes = tuple(1 << k for k in levels)
+    if not sizes:
+        return bars.select("symbol", F.lit(0).alias("level"), "minute", "high", "low").limit(0)
+    day = F.floor(F.col("minute") / block)
+    spread = bars.select("symbol", "minute", "high", "low").withColumn("__day", F.explode(F.sequence(F.floor((F.col("minute") - max(sizes) + 1) / block), day)))
+    w = Window.partitionBy("symbol", "__day").orderBy("minute")
+    seen = ahead(spread, w, {"high": "max", "low": "min"}, sizes)
+    runs = [
+        F.when(F.col("minute") + n - 1 == (F.lead("minute", n - 1).over(w) if n > 1 else F.col("minute")), F.struct(F.lit(k).alias("level"), F.col(f"high_{n}").alias("high"), F.col(f"low_{n}").alias("low"))).alias(f"__r{k}")
+        for k, n in zip(levels, sizes)
+    ]
+    seen = seen.select("symbol", "minute", "__day", day.alias("__own"), *runs).where("__day = __own")
+    each = seen.select("symbol", "minute", F.explode(F.array_compact(F.array(*[f"__r{k}" for k in levels]))).alias("r"))
+    return each.select("symbol", "r.level", "minute", "r.high", "r.low").where("high IS NOT NULL AND low IS NOT NULL")
+
+
 def resampled(bars: DataFrame, minutes: int) -> DataFrame:
     """Closed bars of `minutes`, anchored at the epoch; buckets without rows are not there. bucket is the number of the
     period, close_minute its end."""
@@ -106,62 +127,35 @@ def last_closed(bars: DataFrame, closed: DataFrame, minutes: int, columns: list[
     return out.select(*bars.columns, *[F.col("__row")[c].alias(c) for c in columns])
 
 
-def ewm(df: DataFrame, value: str, spans: dict[str, int], chunk: int = 50_000) -> DataFrame:
+def ewm(df: DataFrame, value: str, spans: dict[str, int], chunk: int = EWM_CHUNK) -> DataFrame:
     """df (symbol, idx, ...) with exponential means of a column without NULLs: y = (1 - a) y' + a x, a = 2 / (span + 1),
     starting from the first value; unknown before `span` values.
 
-    Each chunk of a series is an affine map of the value before it. Maps come from a first pass over the chunks, the
-    values before each chunk from composing them, the means from a second pass.
+    In a chunk, the mean is the sum of values weighed by powers of 1 - a, of which one is taken out, plus what is left of
+    the mean before the chunk. Chunks are so short that no power overflows. The mean before a chunk is the same sum over
+    the ends of earlier chunks, as far back as they weigh more than 1e-20: a window of some dozen rows. No Python, and
+    no window over a whole series.
     """
-    df = df.withColumn("__chunk", F.floor((F.col("idx") - 1) / chunk).cast("long"))
-    alphas = {n: 2.0 / (s + 1) for n, s in spans.items()}
-
-    def scan(x: np.ndarray, a: float, start: float | None) -> np.ndarray:
-        y = np.empty(len(x))
-        now = x[0] if start is None else start + a * (x[0] - start)
-        y[0] = now
-        for i in range(1, len(x)):
-            now += a * (x[i] - now)
-            y[i] = now
-        return y
-
-    def ends(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx")
-        x = pdf[value].to_numpy(float)
-        first = int(pdf["__chunk"].iloc[0]) == 0
-        row = {"symbol": pdf["symbol"].iloc[0], "__chunk": pdf["__chunk"].iloc[0]}
-        for n, a in alphas.items():
-            row[f"{n}_scale"] = 0.0 if first else (1 - a) ** len(x)
-            row[f"{n}_shift"] = scan(x, a, None if first else 0.0)[-1]
-        return pd.DataFrame([row])
-
-    schema = "symbol string, __chunk long, " + ", ".join(f"{n}_scale double, {n}_shift double" for n in spans)
-    maps = df.select("symbol", "__chunk", "idx", value).groupBy("symbol", "__chunk").applyInPandas(ends, schema)
-
-    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__chunk")
-        out = pdf[["symbol", "__chunk"]].copy()
-        for n in spans:
-            now, starts = np.nan, []
-            for scale, shift in zip(pdf[f"{n}_scale"], pdf[f"{n}_shift"]):
-                starts.append(now)
-                now = shift if scale == 0 and np.isnan(now) else scale * now + shift
-            out[f"{n}_start"] = starts
-        return out
-
-    starts = maps.groupBy("symbol").applyInPandas(compose, "symbol string, __chunk long, " + ", ".join(f"{n}_start double" for n in spans))
-    joined = df.join(starts, ["symbol", "__chunk"])
-    fields = T.StructType([*df.drop("__chunk").schema.fields, *(T.StructField(n, T.DoubleType()) for n in spans)])
-    names = [f.name for f in fields]
-
-    def means(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx")
-        x = pdf[value].to_numpy(float)
-        for n, a in alphas.items():
-            start = pdf[f"{n}_start"].iloc[0]
-            y = scan(x, a, None if int(pdf["__chunk"].iloc[0]) == 0 else float(start))
-            pdf[n] = pd.Series(np.where(pdf["idx"].to_numpy() >= spans[n], y, np.nan), index=pdf.index)
-        return pdf[names]
-
-    out = joined.groupBy("symbol", "__chunk").applyInPandas(means, fields)
-    return out.withColumns({n: F.nullif(F.col(n), F.lit(float("nan"))) for n in spans})
+    keep, out = {n: 1 - 2.0 / (s + 1) for n, s in spans.items()}, df
+    chunk = max(1, min([chunk, *[int(-WEIGHT_DIGITS / math.log10(k)) for k in keep.values() if k > 0]]))
+    number = F.floor((F.col("idx") - 1) / chunk).cast("long")
+    out = out.withColumn("__chunk", number).withColumn("__k", (F.col("idx") - 1 - number * chunk).cast("double"))
+    inside = Window.partitionBy("symbol", "__chunk").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
+    first = F.col("idx") == 1  # the series begins with its first value, as if that had always been there
+    for n, k in keep.items():
+        weighed = F.col(value) * F.when(first, 1.0).otherwise(1 - k) * F.pow(F.lit(k), -F.col("__k"))
+        out = out.withColumn(f"__own_{n}", F.sum(weighed).over(inside) * F.pow(F.lit(k), F.col("__k")) if k > 0 else F.col(value))
+    ends = out.groupBy("symbol", "__chunk").agg(F.max("__k").alias("__last"), *[F.max_by(f"__own_{n}", "idx").alias(f"__end_{n}") for n in spans])
+    scales = {n: k**chunk if k > 0 else 0.0 for n, k in keep.items()}
+    reach = max([math.ceil(-20 / math.log10(x)) for x in scales.values() if x > 0], default=1)
+    back = F.col("__back") - 1
+    left = {n: F.col(f"__end_{n}") * (F.pow(F.lit(x), back) if x > 0 else F.when(back == 0, 1.0).otherwise(0.0)) for n, x in scales.items()}
+    sent = ends.withColumn("__back", F.explode(F.sequence(F.lit(1), F.lit(max(1, reach)))))
+    sent = sent.select("symbol", (F.col("__chunk") + F.col("__back")).alias("__chunk"), *[x.alias(f"__e_{n}") for n, x in left.items()])
+    starts = sent.groupBy("symbol", "__chunk").agg(*[F.sum(f"__e_{n}").alias(f"__start_{n}") for n in spans])
+    out = out.join(starts, ["symbol", "__chunk"], "left")
+    means = {
+        n: F.when(F.col("idx") >= spans[n], F.col(f"__own_{n}") + F.coalesce(F.col(f"__start_{n}"), F.lit(0.0)) * F.pow(F.lit(k), F.col("__k") + 1))
+        for n, k in keep.items()
+    }
+    return out.select(*df.columns, *[c.alias(n) for n, c in means.items()])

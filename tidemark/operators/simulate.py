@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.labels import side_sign
-from tidemark.operators.series import ahead
+from tidemark.operators.series import ahead, extremes
 
 #: What trades and scores are told apart by: no series touches another.
 KEYS = ("symbol", "fold")
@@ -54,6 +54,22 @@ def with_history(evaluated: DataFrame, past: DataFrame, keys: tuple[str, ...] =
     return evaluated.withColumn("is_eval", F.lit(True)).unionByName(fresh.withColumn("is_eval", F.lit(False)), allowMissingColumns=True)
 
 
+#: Tags of history rows that count for every fold.
+SHARED_TAGS = ("*", "all", "global", "train")
+
+
+def history_by_fold(past: DataFrame, folds: list[str]) -> DataFrame:
+    """past with a row for each fold that it counts for: its own, or every one of `folds` where its tag is a shared one. Rows
+    without a fold column count for all; rows of other folds go. A minute that a fold has of its own and shared stands
+    twice."""
+    every = F.array(*[F.lit(f) for f in folds])
+    if "fold" not in past.columns:
+        return past.withColumn("fold", F.explode(every))
+    tag = F.col("fold").cast("string")
+    counts = F.when(tag.isin(*SHARED_TAGS), every).when(tag.isin(*folds), F.array(tag))
+    return past.withColumn("__for", F.explode(counts)).withColumn("fold", F.col("__for")).drop("__for")
+
+
 def history_threshold(past: DataFrame, q: float, floor: float, at_least: int, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """(keys, n, threshold): one fixed threshold per fold from its history; too little history never trades."""
     finite = F.col("score").isNotNull() & ~F.isnan("score") & (F.abs("score") < float("inf"))
@@ -180,25 +196,35 @@ def exit_positions(
 ) -> DataFrame:
     """Position states: each entry (symbol, fold, minute, score) at each decision age, with the price path so far.
 
-    All relational: ages are generated, prices and scores joined on exact minutes, the path's extremes come from an
-    equi-join on generated minutes; a state is there only if every minute of the path has a bar. features (symbol,
-    minute, ...) are those of the market at the current minute; states without them go, see states_without().
+    A state asks for six rows: the bars that it is entered at, stands at, would leave at now and later, and two runs of
+    2**k minutes that cover its path (series.extremes). Bars and runs are one table of facts by minute and level, so that
+    one join and one aggregate answer all states, however long the paths. A state is there only if every minute of its
+    path has a bar with known prices, and both exits have one. features (symbol, minute, ...) are those of the market at
+    the current minute; states without them go, see states_without().
     """
-    s = side_sign(side)
-    ages = F.explode(F.sequence(F.lit(interval), F.lit(max_hold), F.lit(interval)))
-    states = entries.select(*KEYS, F.col("minute").alias("entry_minute"), F.col("score").alias("entry_score"), ages.alias("age_minutes"))
-    path = states.withColumn("minute", F.explode(F.sequence(F.col("entry_minute") + 1, F.col("entry_minute") + F.col("age_minutes"))))
-    seen = path.join(bars.select("symbol", "minute", "open", "high", "low", "close"), ["symbol", "minute"]).groupBy(*KEYS, "entry_minute", "entry_score", "age_minutes").agg(
-        F.count(F.lit(1)).alias("__n"), F.min_by("open", "minute").alias("entry_price"), F.max_by("close", "minute").alias("current_close"),
-        F.max("high").alias("path_high"), F.min("low").alias("path_low"),
+    s, every = side_sign(side), list(range(interval, max_hold + 1, interval))
+    entry, age, level = F.col("entry_minute"), F.col("age_minutes"), (F.length(F.bin(F.col("age_minutes"))) - 1).alias("level")
+    states = entries.select(*KEYS, F.col("minute").alias("entry_minute"), F.col("score").alias("entry_score"), F.explode(F.lit(every)).alias("age_minutes"))
+    plain = F.lit(-1)  # the level of bars themselves
+    asks = [
+        (entry + 1, plain), (entry + age, plain), (entry + age + 1, plain), (entry + age + 1 + lookahead, plain),
+        (entry + 1, level), (entry + age + 1 - F.expr("shiftleft(1, length(bin(age_minutes)) - 1)"), level),
+    ]
+    asks = F.explode(F.array(*[F.struct(F.lit(i).alias("ask"), m.cast("long").alias("minute"), k.cast("int").alias("level")) for i, (m, k) in enumerate(asks)]))
+    asked = states.select(*KEYS, "entry_minute", "entry_score", "age_minutes", asks.alias("a")).select("*", "a.*").drop("a")
+    levels = tuple(sorted({n.bit_length() - 1 for n in every}))
+    none = F.lit(None).cast("double")
+    facts = bars.select("symbol", "minute", plain.alias("level"), "open", "close", none.alias("high"), none.alias("low"))
+    facts = facts.unionByName(extremes(bars, levels).select("symbol", "minute", "level", none.alias("open"), none.alias("close"), "high", "low"))
+    pick = lambda i, c: F.max(F.when(F.col("ask") == i, F.col(c)))
+    seen = asked.join(facts, ["symbol", "minute", "level"]).groupBy(*KEYS, "entry_minute", "entry_score", "age_minutes").agg(
+        F.count_distinct("ask").alias("__n"), pick(0, "open").alias("entry_price"), pick(1, "close").alias("current_close"), pick(2, "open").alias("exit_now"),
+        pick(3, "open").alias("exit_later"), F.max("high").alias("path_high"), F.min("low").alias("path_low"),
     )
-    seen = seen.where("__n = age_minutes").withColumn("current_minute", F.col("entry_minute") + F.col("age_minutes"))
+    seen = seen.where("__n = 6").withColumn("current_minute", entry + age)
     at = ["symbol", "current_minute"]
-    price = bars.select("symbol", F.col("minute").alias("__m"), F.col("open").alias("__o"))
-    now = price.select("symbol", (F.col("__m") - 1).alias("current_minute"), F.col("__o").alias("exit_now"))
-    later = price.select("symbol", (F.col("__m") - 1 - lookahead).alias("current_minute"), F.col("__o").alias("exit_later"))
     score = scores.select("symbol", F.col("minute").alias("current_minute"), F.col("score").alias("current_score"))
-    out = seen.join(now, at).join(later, at).join(score, at, "left")
+    out = seen.join(score, at, "left")
     bps = lambda a, b: s * F.ln(a / b) * 1e4
     p = F.col("entry_price")
     best, worst = ("path_high", "path_low") if s > 0 else ("path_low", "path_high")

@@ -182,5 +182,39 @@ def indicators(bars: DataFrame, *tfs: int) -> DataFrame:
     return out
 
 
+def indicators_sql(bars: str, tfs: tuple[int, ...]) -> str:
+    """The same in SQL over a relation `bars`, written apart from the sheet: exponential means as weighted sums of the last
+    1,000 closed bars, as older ones weigh less than a double tells; windows as frames; as-of joins on close times."""
+    ln = lambda a, b: f"CASE WHEN {a} > 0 AND {b} > 0 THEN 1e4 * ln({a} / {b}) END"
+    share = lambda a, b, k="1": f"CASE WHEN {b} <> 0 THEN {k} * ({a}) / ({b}) END"
+    ctes, columns, joins = [], [], []
+    for tf in tfs:
+        means = ", ".join(
+            f"CASE WHEN x.idx >= {n} THEN sum(y.close * CASE WHEN y.idx = 1 THEN 1e0 ELSE {2 / (n + 1)!r} END * pow({1 - 2 / (n + 1)!r}, x.idx - y.idx)) END AS e{n}" for n in (10, 12, 20, 26, 50)
+        )
+        over = lambda n: f"OVER (PARTITION BY symbol ORDER BY idx ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+        full = lambda f, x, n: f"CASE WHEN count({x}) {over(n)} = {n} THEN {f}({x}) {over(n)} END"  # noqa: B023, E731
+        values = {
+            **{f"ema{n}_dist_bps": ln("close", f"e{n}") for n in (10, 20, 50)}, **{f"ema{n}_slope_bps": ln(f"e{n}", f"b{n}") for n in (10, 20, 50)},
+            "ema10_vs_ema20_bps": ln("e10", "e20"), "ema20_vs_ema50_bps": ln("e20", "e50"), "atr14_bps": share("atr", "close", "1e4"), "range_over_atr14": share("high - low", "atr"),
+            "rsi14": "rsi", "rsi14_centered": "(rsi - 50) / 50", "bb20_z": share("close - mid", "dev"), "bb20_width_bps": f"CASE WHEN dev <> 0 THEN {share('4 * dev', 'close', '1e4')} END",
+            "bb20_position": share("close - mid + 2 * dev", "4 * dev"), "macd_bps": share("e12 - e26", "close", "1e4"), "macd_signal_bps": share("sig", "close", "1e4"), "macd_hist_bps": share("e12 - e26 - sig", "close", "1e4"),
+        }
+        ctes += [
+            f"""i{tf} AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY close_minute) AS idx FROM (SELECT symbol, (minute // {tf} + 1) * {tf} AS close_minute, max(high) AS high, min(low) AS low, arg_max(close, minute) AS close FROM {bars} GROUP BY symbol, minute // {tf}))""",
+            f"""m{tf} AS (SELECT x.symbol, x.idx, {means} FROM i{tf} x JOIN i{tf} y ON y.symbol = x.symbol AND y.idx > x.idx - 1000 AND y.idx <= x.idx GROUP BY x.symbol, x.idx)""",
+            f"""g{tf} AS (SELECT x.symbol, x.idx, CASE WHEN x.idx >= 34 THEN sum((y.e12 - y.e26) * CASE WHEN y.idx = 26 THEN 1e0 ELSE 0.2e0 END * pow(0.8e0, x.idx - y.idx)) END AS sig FROM m{tf} x JOIN m{tf} y ON y.symbol = x.symbol AND y.idx > x.idx - 300 AND y.idx <= x.idx AND y.idx >= 26 GROUP BY x.symbol, x.idx)""",
+            f"""d{tf} AS (SELECT i.*, e10, e12, e20, e26, e50, sig, lag(e10) OVER w AS b10, lag(e20) OVER w AS b20, lag(e50) OVER w AS b50, close - lag(close) OVER w AS move,
+              greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)) AS tr FROM i{tf} i JOIN m{tf} USING (symbol, idx) LEFT JOIN g{tf} USING (symbol, idx) WINDOW w AS (PARTITION BY symbol ORDER BY idx))""",
+            f"""r{tf} AS (SELECT *, {full("avg", "tr", 14)} AS atr, {full("avg", "close", 20)} AS mid, {full("stddev_pop", "close", 20)} AS dev, {full("avg", "up", 14)} AS gain, {full("avg", "down", 14)} AS loss
+              FROM (SELECT *, CASE WHEN move IS NOT NULL THEN greatest(move, 0) END AS up, CASE WHEN move IS NOT NULL THEN greatest(-move, 0) END AS down FROM d{tf}))""",
+            f"""v{tf} AS (SELECT symbol, close_minute, {', '.join(f'{v} AS ati_{tf}m_{n}' for n, v in values.items())} FROM (SELECT *, CASE WHEN gain = 0 AND loss = 0 THEN 50 WHEN loss = 0 THEN 100 WHEN gain = 0 THEN 0 ELSE 100 - 100 / (1 + gain / loss) END AS rsi FROM r{tf}))""",
+        ]
+        columns += [f"ati_{tf}m_{n}" for n in values]
+        joins.append(f"ASOF LEFT JOIN v{tf} ON b.symbol = v{tf}.symbol AND b.minute >= v{tf}.close_minute")
+    near = lambda c: f"CASE WHEN abs({c}) < 1e3 THEN round({c} + 1e-9, 6) WHEN abs({c}) < 1e9 THEN round({c} + 1e-9, 2) ELSE round({c}, 0) END + 0 AS {c}"
+    return ", ".join(ctes) + f" SELECT b.symbol, b.minute, {', '.join(near(c) for c in columns)} FROM {bars} b {' '.join(joins)}"
+
+
 def anchored_timeframe_indicators(bars: DataFrame) -> DataFrame:
     return indicators(bars, *TIMEFRAMES)

@@ -16,6 +16,7 @@ from tidemark.operators.series import indexed, resampled, with_sheet
 from tidemark.plans import matrix, research
 from tidemark.plans.feature_sets import SETS
 from tidemark.sources.bars import DENSE_SQL, GAPPY_SQL, dense_bars, gappy_bars, normalize
+from tidemark.sources.tables import Work, kept
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -152,6 +153,7 @@ for _name in matrix.TIMEFRAME_FAMILIES:
     QUERIES[f"feat_{_name}"] = partial(_timeframe, name=_name)
 ORACLES["feat_anchored_timeframe_candle"] = _with(timeframes.candle_sql("bars", timeframes.TIMEFRAMES, timeframes.LEVELS, timeframes._candle_sheet))
 ORACLES["feat_anchored_timeframe_candle_lite"] = _with(timeframes.candle_sql("bars", timeframes.LITE_TIMEFRAMES, (4,), timeframes._lite_sheet))
+ORACLES["feat_anchored_timeframe_indicators"] = _with(timeframes.indicators_sql("bars", timeframes.TIMEFRAMES))
 
 for _tf in (5, 15, 60, 240):
 
@@ -689,12 +691,52 @@ def _label_summary(spark, sf):
     return rounded(matrix.label_summary(lab.entry_labels(gappy_bars(spark, sf))), 4)
 
 
+#: The trees of the registered queries: the surveyed settings, but for their number and rate, which are 1,000 and 0.03.
+TREES = {"trees": 20, "leaves": 31, "rate": 0.1, "least_rows": 100, "l2": 1.0, "column_share": 0.8}
+
+
+def learnable(spark, sf, families: tuple[str, ...], work: Work) -> tuple[DataFrame, DataFrame, splits.Manifest]:
+    """(bars, features and target as a table, manifest)."""
+    bars, scored, m = _scored(spark, sf)
+    return bars, work.write(models.joined(matrix.build(bars, families), scored, "target")), m
+
+
 @query("ml_gbt_oof")
 def _oof(spark, sf):
+    """Predictions of each fold by trees over all features of the set v3b, learned from its purged training rows."""
+    with Work(spark, "gbt_oof") as work:
+        _, df, m = learnable(spark, sf, SETS["v3b"], work)
+        return kept(models.out_of_fold(df, models.feature_columns(df, ("minute", "target")), "target", m, 60, **TREES), "gbt_oof")
+
+
+_STEPS = {"fast": ("ret_15m_bps", 2000), "slow": ("ret_60m_bps", 2000)}
+_STEP_SQL = {"fast": ("c15", 2000), "slow": ("c60", 2000)}
+_FIRST_SPLIT = f"""{_SCORED}, steps AS (SELECT b.minute, e.target AS y, {', '.join(f"CASE WHEN {c} IS NOT NULL THEN greatest(-8, least(8, round(({_ln('b.' + c, 'b.close')}) / {k}))) END AS {n}" for n, (c, k) in _STEP_SQL.items())}
+  FROM lags b JOIN everyone e ON e.minute = b.minute WHERE e.target IS NOT NULL),
+folds AS ({' UNION ALL '.join(f"SELECT 'fold_{k + 1:02d}' AS fold, {_at(4 + k)} AS start" for k in range(5))}),
+train AS (SELECT fold, minute, y - avg(y) OVER (PARTITION BY fold) AS r, fast, slow FROM steps JOIN folds ON minute + 61 < start),
+any_train AS (SELECT * FROM steps WHERE minute + 61 < (SELECT max(start) FROM folds)),
+x AS ({' UNION ALL '.join(f"SELECT fold, {i} AS place, '{n}' AS feature, {n} AS x, r FROM train" for i, n in enumerate(_STEPS))}),
+edges AS ({' UNION ALL '.join(f"SELECT DISTINCT '{n}' AS feature, v FROM (SELECT {n} AS v, row_number() OVER (ORDER BY {n}) AS k, count(*) OVER () AS n, max({n}) OVER () AS top FROM any_train WHERE {n} IS NOT NULL) JOIN (SELECT unnest(range(1, 63)) AS q) ON k = ceil(q * n / 63) WHERE v < top UNION ALL SELECT '{n}', 1e9" for n in _STEPS)}),
+parts AS (SELECT fold, place, x.feature, v, count(*) AS n, sum(r) AS s, count(*) FILTER (x <= v) AS ln, coalesce(sum(r) FILTER (x <= v), 0) AS ls, count(*) FILTER (x IS NULL) AS un, coalesce(sum(r) FILTER (x IS NULL), 0) AS us FROM x JOIN edges ON edges.feature = x.feature GROUP BY ALL),
+sides AS (SELECT *, side, ln + side * un AS a, n - ln - side * un AS b, ls + side * us AS sa FROM parts, (SELECT unnest([0, 1]) AS side) WHERE ln > 0),
+gains AS (SELECT *, sa * sa / (a + 1) + (s - sa) * (s - sa) / (b + 1) - s * s / (n + 1) AS gain FROM sides WHERE a >= 100 AND b >= 100),
+best AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY round(gain, 6) DESC, place, v, side) AS k FROM gains)"""
+
+
+@query("ml_first_split", f"WITH {_FIRST_SPLIT} SELECT fold, feature, CASE WHEN v < 1e9 THEN v END AS threshold, CASE WHEN un > 0 THEN side = 1 ELSE 2 * ln >= n END AS unknown_left, n AS rows, round(ln(gain / n), 5) + 0 AS ln_gain_per_row, round(sa / (a + 1), 2) + 0 AS left_value, round((s - sa) / (b + 1), 2) + 0 AS right_value FROM best WHERE k = 1")
+def _first_split(spark, sf):
+    """The first split of each fold's walk-forward model, over two returns in steps."""
     bars, scored, m = _scored(spark, sf)
-    features = matrix.build(bars, ("price", "return_path", "volatility", "volume"))
-    df = models.joined(features, scored, "target").persist()
-    return models.out_of_fold(df, models.feature_columns(df, ("minute", "target")), "target", m, 60, trees=5, depth=3)
+    returns = with_sheet(bars, sheet_of("return_path"))
+    steps = [F.when(F.col(c).isNotNull(), F.greatest(F.lit(-8), F.least(F.lit(8), F.round(F.col(c) / k)))).alias(n) for n, (c, k) in _STEPS.items()]
+    df = returns.select("symbol", "minute", *steps).join(scored.select("symbol", "minute", "target"), ["symbol", "minute"])
+    forest = models.fold_models(df, list(_STEPS), "target", m, 60, "expanding", trees=1, leaves=2, rate=1.0, least_rows=100)
+    nodes = forest.nodes(spark).withColumnRenamed("model", "fold")
+    value = lambda side: nodes.select("fold", F.col("node").alias(side), F.col("value").alias(f"{side}_value"))
+    roots = nodes.where("node = 0").drop("value").join(value("left"), ["fold", "left"]).join(value("right"), ["fold", "right"])
+    values = [F.round(c, 2).alias(c) for c in ("left_value", "right_value")]  # residuals are counted in steps of the largest / 2**26
+    return rounded(roots.select("fold", "feature", "threshold", "unknown_left", "rows", F.ln(F.col("gain") / F.col("rows")).alias("ln_gain_per_row"), *values), 5)
 
 
 @query(

@@ -6,16 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.sqltext import num
-from tidemark.operators import exits, models, reports, simulate, splits
+from tidemark.operators import exits, models, moments, reports, simulate, splits
 from tidemark.operators import labels as lab
 from tidemark.operators import metrics as met
 from tidemark.operators.families import sheet_of
 from tidemark.operators.series import with_sheet
 from tidemark.plans import matrix, monthly, research
 from tidemark.plans.feature_sets import SETS
+from tidemark.sources.tables import Work, kept
 from tidemark.queries import (
-    COOLDOWN, DENSE_SQL, HOLD, _EPISODE_NAMES, _EPISODE_SQL, _FOLD, _GROUP_NAMES, _METRIC_NAMES, _METRIC_SQL, _POSITION_NAMES, _QS, _RATED, _SCORED, _TOP_NAMES, _TOPS, _at, _average_rank, _candidates, _episodes, _evaluated, _ln, _r,
-    _recursive, _ruled, _scored, _sim_sql, _top_sql, _two, _wrap, dense_bars, query, rounded,
+    COOLDOWN, DENSE_SQL, HOLD, TREES, _EPISODE_NAMES, _EPISODE_SQL, _FOLD, _GROUP_NAMES, _METRIC_NAMES, _METRIC_SQL, _POSITION_NAMES, _QS, _RATED, _SCORED, _TOP_NAMES, _TOPS, _at, _average_rank, _candidates, _episodes, _evaluated, _ln, _r,
+    _recursive, _ruled, _scored, _sim_sql, _top_sql, _two, _wrap, dense_bars, learnable, query, rounded,
 )
 
 # --- sides and horizons -----------------------------------------------------------------------------------------------
@@ -250,9 +251,8 @@ _SHORT_SQL = """SELECT s.fold, s.minute AS entry_minute, s.minute + a.age AS cur
         JOIN LATERAL (SELECT max(high) AS up, min(low) AS down FROM bars b WHERE b.minute BETWEEN s.minute + 1 AND s.minute + a.age) h ON true WHERE s.score > 60 AND s.minute % 5 = 0"""
 
 
-def _short_states(spark, sf, features: bool = False) -> DataFrame:
+def _short_states(spark, sf, market: DataFrame | None = None) -> DataFrame:
     bars, scored, _ = _scored(spark, sf)
-    market = with_sheet(bars, sheet_of("price", "return_path")) if features else None
     return simulate.exit_positions(bars, exits.candidates(scored, 5, 60.0), scored, 5, 30, 15, "short", market)
 
 
@@ -282,24 +282,26 @@ def _exit_rows(spark, sf):
 
 @query("ml_exit_oof")
 def _exit_oof(spark, sf):
-    """Cross-fitted predictions of holding on, and the trades that they end."""
-    states = _short_states(spark, sf, features=True).persist()
-    predicted, _ = exits.cross_fit(states, "v2_score_position", trees=5, depth=3)
-    entries = exits.candidates(_evaluated(spark, sf), 5, 60.0).select("symbol", "fold", "minute", "score", F.lit(None).cast("string").alias("skip_reason"))
-    return simulate.model_exit_episodes(entries, predicted, 2, 50.0, 30, COOLDOWN)
+    """Cross-fitted predictions of holding on, by trees over position, score and all market features of the set v3b, and
+    the trades that they end."""
+    with Work(spark, "exit_oof") as work:
+        states = work.write(_short_states(spark, sf, work.write(matrix.build(dense_bars(spark, sf), SETS["v3b"]))))
+        predicted, _ = exits.cross_fit(states, "v2_score_position", **TREES)
+        entries = exits.candidates(_evaluated(spark, sf), 5, 60.0).select("symbol", "fold", "minute", "score", F.lit(None).cast("string").alias("skip_reason"))
+        return kept(simulate.model_exit_episodes(entries, predicted, 2, 50.0, 30, COOLDOWN), "exit_oof")
 
 
 # --- walk-forward and monthly research ----------------------------------------------------------------------------------------
 @query("ml_walk_forward")
 def _walk_forward(spark, sf):
-    """Predictions of models of the rows before each fold, traded under thresholds from their own score history."""
-    bars, scored, m = _scored(spark, sf)
-    df = models.joined(matrix.build(bars, ("price", "return_path", "volume")), scored, "target").persist()
-    predicted, past = models.walk_forward(df, models.feature_columns(df, ("minute", "target")), "target", m, 60, "rolling", len(SETS["v3b"]) * 100, 1440, 20_000, trees=5, depth=3)
-    return research.replay(predicted.withColumnRenamed("pred", "score"), past, simulate.path_stats(bars, HOLD), 0.95, 0.0, 100, HOLD, COOLDOWN)
-
-
-_POLICY_FAMILIES = ("price", "return_path", "volume")
+    """Predictions of trees over all features of the set v3b, learned from three folds' length of rows before each fold,
+    traded under thresholds from their own score history."""
+    with Work(spark, "walk_forward") as work:
+        bars, df, m = learnable(spark, sf, SETS["v3b"], work)
+        window = 3 * (m.folds[0].end - m.folds[0].start + 1)
+        predicted, past = models.walk_forward(df, models.feature_columns(df, ("minute", "target")), "target", m, 60, "rolling", window, 1440, **TREES)
+        predicted, past = work.write(predicted.withColumnRenamed("pred", "score")), work.write(past)
+        return kept(research.replay(predicted, past, simulate.path_stats(bars, HOLD), 0.95, 0.0, 100, HOLD, COOLDOWN), "walk_forward")
 
 
 def _monthly_parts(spark, sf):
@@ -327,19 +329,70 @@ def _monthly_rows(spark, sf):
     return rows.groupBy("cycle_id", "role", "name").agg(F.count_if("t").alias("train_rows"), F.count_if("e").alias("eval_rows"), F.count_if("h").alias("history_rows"))
 
 
+def _month_bars(spark, sf) -> tuple[DataFrame, int]:
+    """(bars, months): the dense series dealt out to calendar months from 2024-01 on, at the beginning of each; 8 months,
+    or so many that a month's bars fit in it."""
+    bars = dense_bars(spark, sf)
+    n = bars.agg(F.max("minute")).first()[0] + 1
+    months = max(8, n // 40_000 + 1)
+    length = -(-n // months)
+    month = F.floor(F.col("minute") / length).cast("int")
+    start = F.unix_timestamp(F.add_months(F.lit("2024-01-01").cast("date"), month).cast("timestamp")) / 60
+    bars = bars.withColumn("minute", (start + F.col("minute") % length).cast("long"))
+    return bars.withColumn("ts", F.timestamp_seconds(F.col("minute") * 60)), months
+
+
+def _month_segments(spark, months: int) -> list[monthly.Segment]:
+    last = f"{2024 + (months - 1) // 12}-{(months - 1) % 12 + 1:02d}"
+    return monthly.segments_of(research.cycles(spark, "2024-05", last))
+
+
+_MONTH = 31 * 1440
+
+
 @query("proto_monthly")
 def _monthly_research(spark, sf):
-    """Policies that leave out a family each, trained and judged on the periods before each test period; the chosen ones'
-    results there. Linear models stand for boosted trees, as there are 24 fits."""
-    bars, segments, length = _monthly_parts(spark, sf)
-    families = {f: list(sheet_of(f).outs) for f in _POLICY_FAMILIES}
+    """Research over calendar months: the full set v3b and the set without each of its families, judged on the three
+    months before each test month; then the set without all families that are better left out, and with each of them
+    added back; the chosen ones' results in the test months. All fits come from one scan of the matrix."""
+    bars, months = _month_bars(spark, sf)
+    families = {f: list(sheet_of(f).outs) for f in SETS["v3b"]}
+    target = lab.entry_labels(bars, (60,)).select("symbol", "minute", F.col("target_entry_net_bps_long_H60").alias("target"))
+    with Work(spark, "monthly") as work:
+        df = work.write(models.joined(matrix.build(bars, SETS["v3b"]), target, "target"))
+        paths = work.write(simulate.path_stats(bars, HOLD))
+        _, _, tested = monthly.linear_research(df, families, "target", _month_segments(spark, months), paths, work, _MONTH, 60, 0.9, 0.0, 50, HOLD, COOLDOWN, min_count=1, min_active=1)
+        return kept(tested, "monthly")
+
+
+_FIT_PARTS = {"fast": "ret_15m_bps", "slow": "ret_60m_bps"}
+_FITS_SQL = f"""WITH {DENSE_SQL}, n AS (SELECT max(minute) + 1 AS n FROM bars), d AS (SELECT greatest(8, n // 40000 + 1) AS months, n FROM n),
+len AS (SELECT months, CAST(ceil(n * 1e0 / months) AS BIGINT) AS len FROM d),
+first AS (SELECT k, CAST(epoch(CAST(DATE '2024-01-01' + to_months(CAST(k AS INTEGER)) AS TIMESTAMP)) AS BIGINT) // 60 AS start FROM (SELECT unnest(range(0, months)) AS k FROM len)),
+moved AS (SELECT f.start + b.minute % len AS minute, b.open, b.close, lag(close, 15) OVER (ORDER BY b.minute) AS c15, lag(close, 60) OVER (ORDER BY b.minute) AS c60 FROM bars b, len JOIN first f ON f.k = b.minute // len),
+rows AS (SELECT b.minute, coalesce({_ln('b.c15', 'b.close')}, 0) AS a, coalesce({_ln('b.c60', 'b.close')}, 0) AS b, {_ln('x1.open', 'x61.open', 1, 15)} AS y FROM moved b LEFT JOIN moved x1 ON x1.minute = b.minute + 1 LEFT JOIN moved x61 ON x61.minute = b.minute + 61),
+stat AS (SELECT k, avg(a) AS ma, avg(b) AS mb, avg(y) AS my, sqrt(avg(a * a) - avg(a) * avg(a)) AS sa, sqrt(avg(b * b) - avg(b) * avg(b)) AS sb, avg(a * b) - avg(a) * avg(b) AS cab, avg(a * y) - avg(a) * avg(y) AS cay, avg(b * y) - avg(b) * avg(y) AS cby
+  FROM first JOIN rows ON minute >= start - {_MONTH} AND minute < start AND minute + 61 < start WHERE k >= 1 AND y IS NOT NULL GROUP BY k),
+z AS (SELECT *, cab / (sa * sb) AS r, cay / sa AS p, cby / sb AS q, 1.001e0 AS one FROM stat),
+w AS (SELECT k, 'all_full' AS policy, (one * p - r * q) / (one * one - r * r) / sa AS w_fast, (one * q - r * p) / (one * one - r * r) / sb AS w_slow, ma, mb, my FROM z
+  UNION ALL SELECT k, 'all_minus_slow', p / one / sa, 0e0, ma, mb, my FROM z UNION ALL SELECT k, 'all_minus_fast', 0e0, q / one / sb, ma, mb, my FROM z)
+SELECT strftime(DATE '2024-01-01' + to_months(CAST(k AS INTEGER)), '%Y-%m') AS month, policy, {_r('intercept', 'w_fast', 'w_slow')} FROM (SELECT *, my - w_fast * ma - w_slow * mb AS intercept FROM w)"""
+
+
+@query("proto_monthly_fits", _FITS_SQL)
+def _monthly_fits(spark, sf):
+    """The models of each month by policy, from one scan."""
+    bars, months = _month_bars(spark, sf)
     target = lab.entry_labels(bars, (60,)).select("symbol", "minute", F.col("target_entry_net_bps_long_H60").alias("target"))
-    df = models.joined(matrix.build(bars, _POLICY_FAMILIES), target, "target").persist()
-    wanted = monthly.policies(families, drops=(("price",), ("volume",)))
-    scored, past = monthly.predictions(df, wanted, "target", segments, train_minutes=length, label_minutes=60, fit=models.fit_linear)
-    results = monthly.evaluate(scored, past, simulate.path_stats(bars, HOLD), 0.9, 0.0, 50, HOLD, COOLDOWN)
-    _, _, tested = monthly.select(results, {p: k for k, p in enumerate(wanted)}, min_count=1, min_active=1)
-    return tested
+    df = with_sheet(bars, sheet_of("return_path")).join(target, ["symbol", "minute"])
+    units = monthly.units_of(_month_segments(spark, months), _MONTH, 60, -1)
+    wanted = monthly.policies({n: [c] for n, c in _FIT_PARTS.items()})
+    with Work(spark, "fits") as work:
+        sums = moments.gather(df, list(_FIT_PARTS.values()), "target", [u.train for u in units.values()], work)
+        fits = sums.fit({u.name: (u.train, wanted) for u in units.values()})
+        start = F.timestamp_seconds(F.split_part("name", F.lit("_"), F.lit(1)).cast("long") * 60)
+        weights = [F.col("weights")[k].alias(f"w_{n}") for k, n in enumerate(_FIT_PARTS)]
+        return kept(rounded(fits.select(F.date_format(start, "yyyy-MM").alias("month"), "policy", "intercept", *weights)), "fits")
 
 
 @query(

@@ -6,8 +6,11 @@ whole minutes since the epoch.
 
 from __future__ import annotations
 
+import csv
 import re
+from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,6 +29,8 @@ ALIASES = {
     "close": ("close", "c", "close_price"),
     "volume": ("volume", "v", "vol", "base_volume"),
 }
+#: Where a row stands in the input.
+POSITION = "input_pos"
 GLOB = "*.{csv,csv.gz,txt,txt.gz,parquet,pq}"
 
 
@@ -69,10 +74,12 @@ def parsed_time(df: DataFrame, column: str = "timestamp") -> DataFrame:
     return df.withColumn(column, F.timestamp_micros((c.cast("decimal(38,0)") * 1_000_000 / int(per_second)).cast("long")))
 
 
-def normalize(df: DataFrame, *, symbol: str = "series", drop_duplicates: bool = False, keep_extra: bool = False) -> DataFrame:
+def normalize(df: DataFrame, *, symbol: str = "series", drop_duplicates: bool = False, keep_extra: bool = False, sort: bool = False) -> DataFrame:
     """Bars from a raw table. Required columns must be there; numbers that do not parse become NULL, as does NaN.
 
-    Nothing is filled or repaired. With drop_duplicates, of rows with one timestamp the last of the input stays.
+    Nothing is filled or repaired. With drop_duplicates, of rows with one timestamp the last of the input stays: by
+    input_pos where there is one (see positioned), else by the order that Spark reads the rows in. With sort, rows come
+    in order of symbol and time, and of input_pos where times are equal. input_pos stays.
     """
     raw = renamed(df)
     if missing := [c for c in CANONICAL if c not in raw.columns]:
@@ -83,10 +90,40 @@ def normalize(df: DataFrame, *, symbol: str = "series", drop_duplicates: bool =
     if "symbol" not in raw.columns:
         raw = raw.withColumn("symbol", F.lit(symbol))
     if drop_duplicates:
-        last = Window.partitionBy("symbol", "timestamp").orderBy(F.monotonically_increasing_id().desc())
+        order = F.col(POSITION) if POSITION in raw.columns else F.monotonically_increasing_id()
+        last = Window.partitionBy("symbol", "timestamp").orderBy(order.desc())
         raw = raw.withColumn("__n", F.row_number().over(last)).where("__n = 1").drop("__n")
-    extra = [c for c in raw.columns if c not in CANONICAL and c != "symbol"] if keep_extra else []
-    return raw.select("symbol", F.col("timestamp").alias("ts"), F.floor(F.unix_timestamp("timestamp") / 60).cast("long").alias("minute"), *CANONICAL[1:], *extra)
+    extra = [c for c in raw.columns if c not in CANONICAL and c != "symbol" and (keep_extra or c == POSITION)]
+    out = raw.select("symbol", F.col("timestamp").alias("ts"), F.floor(F.unix_timestamp("timestamp") / 60).cast("long").alias("minute"), *CANONICAL[1:], *extra)
+    return out.orderBy("symbol", "ts", *[c for c in (POSITION,) if c in out.columns]) if sort else out
+
+
+def positioned(df: DataFrame, rows: str | None = None) -> DataFrame:
+    """df, as a reader gives it, with input_pos: (file, block, row), a total order of its rows that stays with them
+    however they are dealt out later. rows names what numbers a block's rows; by default the order they are read in."""
+    row = F.monotonically_increasing_id() if rows is None else F.col(rows)
+    return df.withColumn(POSITION, F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), row.alias("row")))
+
+
+def layouts(spark: SparkSession, path: str, glob: str = "*.{csv,csv.gz,txt,txt.gz}") -> dict[tuple[str, ...], list[str]]:
+    """Text files below a path by layout: the names of their header, or () for the kline layout without one.
+
+    One aggregate takes each file's first line. A file whose first line has the required columns is headed; else it must
+    have as many fields as the kline layout, or what was wrong with the header is raised, for the first such file. The
+    driver gets a line for each file, as it has listed them all to read them; empty files have no layout.
+    """
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path)
+    lines = positioned(lines).select("value", POSITION)
+    first = lines.groupBy(F.col(POSITION)["file"].alias("file")).agg(F.min_by("value", POSITION).alias("line"))
+    out: dict[tuple[str, ...], list[str]] = {}
+    for r in first.orderBy("file").collect():
+        names = next(csv.reader([r["line"].lstrip("\ufeff")]), [])
+        kinds = spark.createDataFrame([], ", ".join(f"`{i}` string" for i in range(len(names)))).toDF(*names) if names and len(set(map(clean_name, names))) == len(names) else None
+        missing = [c for c in CANONICAL if kinds is None or c not in renamed(kinds).columns]
+        if missing and len(names) != len(KLINE.split(",")):
+            raise SchemaError(f"{r['file']}: missing columns: {missing}")
+        out.setdefault(() if missing else tuple(names), []).append(r["file"])
+    return out
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
@@ -102,29 +139,31 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return plain
 
 
-def read_bars(spark: SparkSession, path: str, **options) -> DataFrame:
-    """Bars of a file, or of all files below a folder (Parquet and CSV apart, united by name)."""
+def read_bars(spark: SparkSession, path: str, *, drop_duplicates: bool = False, sort: bool = False, position: bool = False, **options) -> DataFrame:
+    """Bars of a file, or of all files below a folder: Parquet, and CSV of any layouts, each read in one go and united by
+    name. options are those of normalize(); with position, rows keep their input_pos."""
     parts = []
-    for kind in ("parquet", "csv"):
-        glob = "*.{parquet,pq}" if kind == "parquet" else "*.{csv,csv.gz,txt,txt.gz}"
-        reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob)
-        try:
-            part = reader.parquet(path) if kind == "parquet" else reader.option("header", True).csv(path)
-        except Exception as e:  # no file of this kind
-            if "UNABLE_TO_INFER_SCHEMA" in str(e) or "PATH_NOT_FOUND" in str(e):
-                continue
+    reader = spark.read.option("recursiveFileLookup", True)
+    try:
+        part = reader.option("pathGlobFilter", "*.{parquet,pq}").parquet(path)
+        parts += [positioned(part, "_metadata.row_index")] if part.columns else []
+    except AnalysisException as e:  # no file of this kind
+        if not {"UNABLE_TO_INFER_SCHEMA", "PATH_NOT_FOUND"} & {(e.getCondition() or "").split(".")[0]}:
             raise
-        if not part.columns:
-            continue
-        if kind == "csv" and not {c for c in CANONICAL} <= set(renamed(part).columns):
-            part = reader.schema(KLINE).option("header", False).csv(path)
-        parts.append(normalize(part, **options))
+    for names, files in layouts(spark, path).items():
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in names]) if names else KLINE
+        parts.append(positioned(spark.read.schema(schema).option("header", bool(names)).option("enforceSchema", True).csv(files)))
     if not parts:
         raise SchemaError(f"{path}: no bar files")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
-    return out
+    # each layout tells its own unit of time; of rows with one time in several files, the last file's stays
+    bars = [normalize(p, **options) for p in parts]
+    out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), bars)
+    if drop_duplicates:
+        last = Window.partitionBy("symbol", "ts").orderBy(F.col(POSITION).desc())
+        out = out.withColumn("__n", F.row_number().over(last)).where("__n = 1").drop("__n")
+    if sort:
+        out = out.orderBy("symbol", "ts", POSITION)
+    return out if position else out.drop(POSITION)
 
 
 def write_bars(bars: DataFrame, path: str) -> None:
