@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.ranks import averaged, numbered
+
 #: What metrics are told apart by.
 KEYS = ("symbol", "fold")
 INF, NAN = float("inf"), float("nan")
@@ -62,9 +64,7 @@ def bottom_metrics(df: DataFrame, target: str, score: str, quantiles: tuple[floa
 
 def deciles(df: DataFrame, target: str, score: str, order: str, bins: int = 10, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Per fold and bin of equal counts by score (1 lowest): count, means and hit rate. Ties fall by input order."""
-    w = Window.partitionBy(*keys)
-    ranked = df.where(F.col(target).isNotNull() & F.col(score).isNotNull())
-    ranked = ranked.withColumn("__r", F.row_number().over(w.orderBy(score, order))).withColumn("__n", F.count(F.lit(1)).over(w))
+    ranked = numbered(df.where(F.col(target).isNotNull() & F.col(score).isNotNull()), score, order, keys)
     place = F.when(F.col("__n") > 1, F.ceil((F.col("__r") - 1) * bins / (F.col("__n") - 1))).otherwise(1)
     ranked = ranked.withColumn("decile", F.greatest(F.lit(1), place).cast("int"))
     return ranked.groupBy(*keys, "decile").agg(
@@ -77,9 +77,7 @@ def rank_correlation(df: DataFrame, a: str, b: str, keys: tuple[str, ...] = KEYS
     """Spearman's correlation per fold, equal values sharing their average rank."""
     df = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     for c in (a, b):
-        w = Window.partitionBy(*keys)
-        tied = F.count(F.lit(1)).over(Window.partitionBy(*keys, c))
-        df = df.withColumn(f"__{c}", F.rank().over(w.orderBy(c)) + (tied - 1) / 2.0)
+        df = averaged(df, c, f"__{c}", keys)
     return df.groupBy(*keys).agg(F.corr(f"__{a}", f"__{b}").alias("spearman"))
 
 
