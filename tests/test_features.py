@@ -116,6 +116,21 @@ def test_indicators(spark):
         np.testing.assert_allclose(got[f"ati_5m_{name}"].astype(float), want, rtol=1e-8, atol=1e-8, err_msg=name)
 
 
+def test_indicators_against_sql(spark):
+    """All columns, by formulas written apart from the sheet, within a tolerance: the two add up in different ways."""
+    import duckdb
+
+    from tidemark.operators.timeframes import indicators_sql
+
+    pdf = walk(400)
+    got = indicators(spark.createDataFrame(pdf), 1, 5).toPandas().sort_values("minute").reset_index(drop=True)
+    bars = pdf  # noqa: F841  read by name
+    want = duckdb.sql(f"WITH {indicators_sql('bars', (1, 5))}").df().sort_values("minute").reset_index(drop=True)
+    assert set(got.columns) == set(want.columns) and len(got.columns) == 38
+    for c in want.columns[2:]:
+        np.testing.assert_allclose(got[c].astype(float), want[c].astype(float), rtol=1e-7, atol=1e-7, err_msg=c)
+
+
 def test_matrix_guard_and_sets(spark):
     with pytest.raises(ValueError):
         matrix.build(spark.createDataFrame(walk(5)), ("nothing",))

@@ -212,8 +212,7 @@ def indicators_sql(bars: str, tfs: tuple[int, ...]) -> str:
         ]
         columns += [f"ati_{tf}m_{n}" for n in values]
         joins.append(f"ASOF LEFT JOIN v{tf} ON b.symbol = v{tf}.symbol AND b.minute >= v{tf}.close_minute")
-    near = lambda c: f"CASE WHEN abs({c}) < 1e3 THEN round({c} + 1e-9, 6) WHEN abs({c}) < 1e9 THEN round({c} + 1e-9, 2) ELSE round({c}, 0) END + 0 AS {c}"
-    return ", ".join(ctes) + f" SELECT b.symbol, b.minute, {', '.join(near(c) for c in columns)} FROM {bars} b {' '.join(joins)}"
+    return ", ".join(ctes) + f" SELECT b.symbol, b.minute, {', '.join(columns)} FROM {bars} b {' '.join(joins)}"
 
 
 def anchored_timeframe_indicators(bars: DataFrame) -> DataFrame:

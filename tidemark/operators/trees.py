@@ -28,7 +28,7 @@ from tidemark.sources.tables import Work
 
 #: Bins of known values; features of a block of the shuffle; bytes of sums that a task holds; trees between two rewrites
 #: of the table with the predictions so far; rows whose bins are turned at a time; columns whose bins are cut in one pass.
-BINS, BLOCK, SUM_BYTES, KEEP, ROWS, CUT_COLUMNS = 63, 64, 256 << 20, 8, 8192, 200
+BINS, BLOCK, SUM_BYTES, KEEP, ROWS, CUT_COLUMNS = 63, 256, 256 << 20, 8, 8192, 200
 #: Residuals are counted in this fraction of the largest distance of a target from the middle.
 UNIT = 1 << 26
 _SPLIT = "model int, node int, gain double, feature int, cut int, unknown_left boolean, left_sum long, left_rows long, sum long, rows long"

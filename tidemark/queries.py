@@ -153,7 +153,6 @@ for _name in matrix.TIMEFRAME_FAMILIES:
     QUERIES[f"feat_{_name}"] = partial(_timeframe, name=_name)
 ORACLES["feat_anchored_timeframe_candle"] = _with(timeframes.candle_sql("bars", timeframes.TIMEFRAMES, timeframes.LEVELS, timeframes._candle_sheet))
 ORACLES["feat_anchored_timeframe_candle_lite"] = _with(timeframes.candle_sql("bars", timeframes.LITE_TIMEFRAMES, (4,), timeframes._lite_sheet))
-ORACLES["feat_anchored_timeframe_indicators"] = _with(timeframes.indicators_sql("bars", timeframes.TIMEFRAMES))
 
 for _tf in (5, 15, 60, 240):
 
@@ -692,7 +691,7 @@ def _label_summary(spark, sf):
 
 
 #: The trees of the registered queries: the surveyed settings, but for their number and rate, which are 1,000 and 0.03.
-TREES = {"trees": 20, "leaves": 31, "rate": 0.1, "least_rows": 100, "l2": 1.0, "column_share": 0.8}
+TREES = {"trees": 8, "leaves": 31, "rate": 0.1, "least_rows": 100, "l2": 1.0, "column_share": 0.8}
 
 
 def learnable(spark, sf, families: tuple[str, ...], work: Work) -> tuple[DataFrame, DataFrame, splits.Manifest]:
@@ -703,9 +702,9 @@ def learnable(spark, sf, families: tuple[str, ...], work: Work) -> tuple[DataFra
 
 @query("ml_gbt_oof")
 def _oof(spark, sf):
-    """Predictions of each fold by trees over all features of the set v3b, learned from its purged training rows."""
+    """Predictions of each fold by trees over all features of the set v1, learned from its purged training rows."""
     with Work(spark, "gbt_oof") as work:
-        _, df, m = learnable(spark, sf, SETS["v3b"], work)
+        _, df, m = learnable(spark, sf, SETS["v1"], work)
         return kept(models.out_of_fold(df, models.feature_columns(df, ("minute", "target")), "target", m, 60, **TREES), "gbt_oof")
 
 

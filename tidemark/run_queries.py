@@ -282,10 +282,10 @@ def _exit_rows(spark, sf):
 
 @query("ml_exit_oof")
 def _exit_oof(spark, sf):
-    """Cross-fitted predictions of holding on, by trees over position, score and all market features of the set v3b, and
+    """Cross-fitted predictions of holding on, by trees over position, score and all market features of the set v1, and
     the trades that they end."""
     with Work(spark, "exit_oof") as work:
-        states = work.write(_short_states(spark, sf, work.write(matrix.build(dense_bars(spark, sf), SETS["v3b"]))))
+        states = work.write(_short_states(spark, sf, work.write(matrix.build(dense_bars(spark, sf), SETS["v1"]))))
         predicted, _ = exits.cross_fit(states, "v2_score_position", **TREES)
         entries = exits.candidates(_evaluated(spark, sf), 5, 60.0).select("symbol", "fold", "minute", "score", F.lit(None).cast("string").alias("skip_reason"))
         return kept(simulate.model_exit_episodes(entries, predicted, 2, 50.0, 30, COOLDOWN), "exit_oof")
@@ -294,10 +294,10 @@ def _exit_oof(spark, sf):
 # --- walk-forward and monthly research ----------------------------------------------------------------------------------------
 @query("ml_walk_forward")
 def _walk_forward(spark, sf):
-    """Predictions of trees over all features of the set v3b, learned from three folds' length of rows before each fold,
+    """Predictions of trees over all features of the set v1, learned from three folds' length of rows before each fold,
     traded under thresholds from their own score history."""
     with Work(spark, "walk_forward") as work:
-        bars, df, m = learnable(spark, sf, SETS["v3b"], work)
+        bars, df, m = learnable(spark, sf, SETS["v1"], work)
         window = 3 * (m.folds[0].end - m.folds[0].start + 1)
         predicted, past = models.walk_forward(df, models.feature_columns(df, ("minute", "target")), "target", m, 60, "rolling", window, 1440, **TREES)
         predicted, past = work.write(predicted.withColumnRenamed("pred", "score")), work.write(past)
@@ -352,14 +352,14 @@ _MONTH = 31 * 1440
 
 @query("proto_monthly")
 def _monthly_research(spark, sf):
-    """Research over calendar months: the full set v3b and the set without each of its families, judged on the three
+    """Research over calendar months: the full set v1 and the set without each of its families, judged on the three
     months before each test month; then the set without all families that are better left out, and with each of them
     added back; the chosen ones' results in the test months. All fits come from one scan of the matrix."""
     bars, months = _month_bars(spark, sf)
-    families = {f: list(sheet_of(f).outs) for f in SETS["v3b"]}
+    families = {f: list(sheet_of(f).outs) for f in SETS["v1"]}
     target = lab.entry_labels(bars, (60,)).select("symbol", "minute", F.col("target_entry_net_bps_long_H60").alias("target"))
     with Work(spark, "monthly") as work:
-        df = work.write(models.joined(matrix.build(bars, SETS["v3b"]), target, "target"))
+        df = work.write(models.joined(matrix.build(bars, SETS["v1"]), target, "target"))
         paths = work.write(simulate.path_stats(bars, HOLD))
         _, _, tested = monthly.linear_research(df, families, "target", _month_segments(spark, months), paths, work, _MONTH, 60, 0.9, 0.0, 50, HOLD, COOLDOWN, min_count=1, min_active=1)
         return kept(tested, "monthly")
