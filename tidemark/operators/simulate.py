@@ -15,6 +15,8 @@ from tidemark.operators.series import ahead, extremes
 
 #: What trades and scores are told apart by: no series touches another.
 KEYS = ("symbol", "fold")
+#: Days of the spans that trades are found in.
+SPAN_DAYS = 28
 _KINDS = {"double": T.DoubleType(), "long": T.LongType(), "string": T.StringType()}
 
 
@@ -77,33 +79,46 @@ def history_threshold(past: DataFrame, q: float, floor: float, at_least: int, ke
     return per.select(*keys, "n", F.when(F.col("n") < at_least, float("inf")).otherwise(F.greatest("__q", F.lit(floor))).alias("threshold"))
 
 
-def entry_rule(score: Column, threshold: Column, min_score: float | None = None, min_margin: float | None = None, min_ratio: float | None = None) -> Column:
-    """Why a row does not enter, NULL if it does: strictly over the threshold, then the further filters."""
+def entry_rule(score: Column, threshold: Column, min_score: float | Column | None = None, min_margin: float | Column | None = None, min_ratio: float | Column | None = None) -> Column:
+    """Why a row does not enter, NULL if it does: strictly over the threshold, then the further filters. A filter that is
+    a column and NULL asks for nothing."""
     out = F.when(threshold.isNull() | F.isnan(threshold), "threshold_not_ready").when(score.isNull() | ~(score > threshold), "below_threshold")
     if min_score is not None:
         out = out.when(score < min_score, "below_min_score")
     if min_margin is not None:
         out = out.when(score - threshold < min_margin, "below_min_margin")
     if min_ratio is not None:
-        out = out.when(F.coalesce(F.when(threshold > 0, score / threshold) < min_ratio, F.lit(True)), "below_min_ratio")
+        least = F.lit(min_ratio)
+        out = out.when(least.isNotNull() & F.coalesce(F.when(threshold > 0, score / threshold) < least, F.lit(True)), "below_min_ratio")
     return out
 
 
 def path_stats(bars: DataFrame, hold: int, block: int = 1440) -> DataFrame:
     """(symbol, minute, entry_price, exit_price, path_high, path_low) of a trade entered the minute after and held for
     `hold` minutes, the exit minute included; NULL unless every minute of the path has a bar with known prices."""
+    return _paths(bars, (hold,), block).select("symbol", "minute", f"__p{hold}.*")
+
+
+def paths(bars: DataFrame, holds: tuple[int, ...], block: int = 1440) -> DataFrame:
+    """path_stats() of several holds from one sort of the bars, with the hold as a column hold_minutes."""
+    each = [F.struct(F.lit(h).alias("hold_minutes"), f"__p{h}.*") for h in holds]
+    return _paths(bars, holds, block).select("symbol", "minute", F.explode(F.array(*each)).alias("p")).select("symbol", "minute", "p.*")
+
+
+def _paths(bars: DataFrame, holds: tuple[int, ...], block: int) -> DataFrame:
+    """(symbol, minute, __p<hold>): a struct for each hold."""
     day = F.floor(F.col("minute") / block)
-    spread = bars.select("symbol", "minute", "open", "high", "low").withColumn("__day", F.explode(F.sequence(F.floor((F.col("minute") - hold - 1) / block), day)))
+    spread = bars.select("symbol", "minute", "open", "high", "low").withColumn("__day", F.explode(F.sequence(F.floor((F.col("minute") - max(holds) - 1) / block), day)))
     w = Window.partitionBy("symbol", "__day").orderBy("minute")
-    n = hold + 1
-    seen = ahead(spread.withColumn("known", F.col("open")), w, {"known": "min", "high": "max", "low": "min"}, (n,))
-    full = (F.lead("minute", n).over(w) == F.col("minute") + n) & F.lead(f"known_{n}").over(w).isNotNull()
-    out = seen.select(
-        "symbol", "minute", "__day", day.alias("__own"),
-        F.when(full, F.lead("open").over(w)).alias("entry_price"), F.when(full, F.lead("open", n).over(w)).alias("exit_price"),
-        F.when(full, F.lead(f"high_{n}").over(w)).alias("path_high"), F.when(full, F.lead(f"low_{n}").over(w)).alias("path_low"),
-    )
-    return out.where("__day = __own").drop("__day", "__own")
+    seen = ahead(spread.withColumn("known", F.col("open")), w, {"known": "min", "high": "max", "low": "min"}, tuple(h + 1 for h in holds))
+
+    def path(hold: int) -> Column:
+        n = hold + 1
+        full = (F.lead("minute", n).over(w) == F.col("minute") + n) & F.lead(f"known_{n}").over(w).isNotNull()
+        values = {"entry_price": F.lead("open").over(w), "exit_price": F.lead("open", n).over(w), "path_high": F.lead(f"high_{n}").over(w), "path_low": F.lead(f"low_{n}").over(w)}
+        return F.struct(*[F.when(full, c).alias(name) for name, c in values.items()]).alias(f"__p{hold}")
+
+    return seen.select("symbol", "minute", "__day", day.alias("__own"), *map(path, holds)).where("__day = __own").drop("__day", "__own")
 
 
 def _taken(minutes: np.ndarray, gap: int, daily_cap: int | None) -> list[int]:
@@ -120,20 +135,83 @@ def _taken(minutes: np.ndarray, gap: int, daily_cap: int | None) -> list[int]:
     return out
 
 
-def entered(rows: DataFrame, hold: int, block: int, daily_cap: int | None = None, keys: tuple[str, ...] = KEYS) -> DataFrame:
+def _onward(minutes: np.ndarray, gap: int, daily_cap: int | None) -> np.ndarray:
+    """For each candidate: the minute from which a trade may follow, once all trades of the block are done that begin with
+    this one. The candidate is the first of its day to enter. Steps of powers of two, no loop over candidates."""
+    n = len(minutes)
+    then = np.searchsorted(minutes, minutes + gap)
+    last, trips = np.arange(n), np.ones(n, dtype=np.int64)
+    if daily_cap is not None:
+        day = minutes // 1440
+        for _ in range(daily_cap - 1):  # to the last entry of the day
+            on = then[last]
+            more = on < n
+            more[more] = day[on[more]] == day[more]
+            if not more.any():
+                break
+            last, trips = np.where(more, on, last), trips + more
+    free = minutes[last] + gap
+    if daily_cap is not None:
+        free = np.where(trips >= daily_cap, np.maximum(free, (minutes // 1440 + 1) * 1440), free)
+    jump = np.append(np.searchsorted(minutes, free), n)
+    free = np.append(free, -1)
+    while (jump[:n] < n).any():
+        free, jump = np.where(jump < n, free[jump], free), jump[jump]
+    return free[:n]
+
+
+def entered(rows: DataFrame, hold: int | None, block: int, daily_cap: int | None = None, keys: tuple[str, ...] = KEYS, days: int = SPAN_DAYS) -> DataFrame:
     """The rows (keys, minute, skip_reason, entry_price, exit_price, ...) that enter a trade.
 
     Rows of a group are taken in order of time. A row enters if its rule says so, its path is complete, the last trade's
     exit lies `block` minutes back, and the day's cap is not reached; only an entry changes the state. So all rows but
     the candidates are gone before the one loop that is not relational, which jumps from entry to entry.
-    """
-    ready = rows.where(F.col("skip_reason").isNull() & F.col("entry_price").isNotNull() & F.col("exit_price").isNotNull())
 
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+    No task holds a group. Spans of `days` days are worked on apart: each first tells, for every minute that it may
+    become free at, when the next span becomes free; that depends on its first hold + block + 1 minutes only. Such
+    short tables are put together along the group, and then each span runs from the minute it is known to be free at. With
+    hold None, each group has its own, in a column hold_minutes. A row without a minute does not enter; of rows of one
+    minute, one does. A cap below 1 lets nothing enter.
+    """
+    ready = rows.where(F.col("skip_reason").isNull() & F.col("entry_price").isNotNull() & F.col("exit_price").isNotNull() & F.col("minute").isNotNull())
+    if daily_cap is not None and daily_cap < 1:
+        return ready.limit(0)
+    if hold is not None:
+        days = max(days, (1 + hold + block) // 1440 + 1)
+        span = F.lit(days * 1440)
+    else:
+        span = F.greatest(F.lit(days), F.floor((1 + F.col("hold_minutes") + block) / 1440) + 1) * 1440
+    spans = ready.withColumn("__span", (F.floor(F.col("minute") / span) * span).cast("long"))
+    by = [*keys, "__span"]
+
+    def gap(pdf: pd.DataFrame) -> int:
+        return 1 + block + (hold if hold is not None else int(pdf["hold_minutes"].iloc[0]))
+
+    def tell(pdf: pd.DataFrame) -> pd.DataFrame:
+        minutes = np.unique(pdf["minute"].to_numpy(dtype=np.int64))
+        start, g = int(pdf["__span"].iloc[0]), gap(pdf)
+        n = min(len(minutes), int(np.searchsorted(minutes, start + g)) + 1)
+        return pdf.iloc[:1][by].assign(__first=[minutes[:n].tolist()], __free=[_onward(minutes, g, daily_cap)[:n].tolist()])
+
+    def along(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, free, out = pdf.sort_values("__span"), None, []
+        for start, first, onward in zip(pdf["__span"], pdf["__first"], pdf["__free"]):
+            free = start if free is None else max(free, start)
+            out.append(free)
+            at = int(np.searchsorted(first, free))
+            free = onward[at] if at < len(first) else free
+        return pdf[by].assign(__from=out)
+
+    def work(pdf: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("minute", kind="stable")
-        return pdf.iloc[_taken(pdf["minute"].to_numpy(), 1 + hold + block, daily_cap)]
+        pdf = pdf[pdf["minute"] >= known["__from"].iloc[0]]
+        return pdf.iloc[_taken(pdf["minute"].to_numpy(), gap(pdf), daily_cap)].drop(columns="__span") if len(pdf) else pdf.drop(columns="__span")
 
-    return ready.groupBy(*keys).applyInPandas(work, ready.schema)
+    kinds = spans.select(*by).schema
+    told = spans.groupBy(*by).applyInPandas(tell, T.StructType([*kinds, T.StructField("__first", T.ArrayType(T.LongType())), T.StructField("__free", T.ArrayType(T.LongType()))]))
+    starts = told.groupBy(*keys).applyInPandas(along, T.StructType([*kinds, T.StructField("__from", T.LongType())]))
+    # the spans' rows are shuffled alike for both uses, so that Spark shuffles them once
+    return spans.groupBy(*by).cogroup(starts.groupBy(*by)).applyInPandas(work, ready.schema)
 
 
 def fixed_hold(rows: DataFrame, hold: int, block: int, daily_cap: int | None = None, keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -174,18 +252,20 @@ def total_skipped(counts: DataFrame) -> DataFrame:
     return counts.groupBy("decision").agg(F.sum("rows").alias("rows"))
 
 
-def fixed_hold_episodes(trades: DataFrame, hold: int, side: str = "long", cost: float = 15.0, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """Returns and excursions, in basis points, of the rows of entered()."""
+def fixed_hold_episodes(trades: DataFrame, hold: int | None, side: str = "long", cost: float = 15.0, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """Returns and excursions, in basis points, of the rows of entered(); with hold None, each has its own in a
+    column hold_minutes."""
     s = side_sign(side)
     p, x = F.col("entry_price"), F.col("exit_price")
     gross = s * F.ln(x / p) * 1e4
     up, down = F.ln(F.col("path_high") / p) * 1e4, F.ln(F.col("path_low") / p) * 1e4
     best, worst = (up, down) if s > 0 else (-down, -up)
     entry = F.col("minute")
-    name = F.concat(F.lit(f"fixed_{side}_H{hold}_"), F.date_format(F.timestamp_seconds(entry * 60), "yyyyMMdd'T'HHmmss'Z'"))
+    held = F.lit(hold) if hold is not None else F.col("hold_minutes")
+    name = F.concat(F.lit(f"fixed_{side}_H"), held.cast("string"), F.lit("_"), F.date_format(F.timestamp_seconds(entry * 60), "yyyyMMdd'T'HHmmss'Z'"))
     return trades.select(
         *keys, name.alias("episode_id"), F.lit(side).alias("side"), entry.alias("entry_minute"), (entry + 1).alias("entry_exec_minute"),
-        (entry + 1 + hold).alias("exit_exec_minute"), F.lit("fixed_hold").alias("exit_reason"), F.col("score").alias("entry_score"), F.lit(hold).alias("hold_minutes"),
+        (entry + 1 + held).alias("exit_exec_minute"), F.lit("fixed_hold").alias("exit_reason"), F.col("score").alias("entry_score"), held.alias("hold_minutes"),
         F.lit(float(cost)).alias("roundtrip_cost_bps"), p.alias("entry_price"), x.alias("exit_price"), gross.alias("gross_pl_bps"), (gross - cost).alias("net_pl_bps"),
         best.alias("mfe_bps"), worst.alias("mae_bps"), (best - gross).alias("giveback_bps"),
     )

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.metrics import episode_metrics
-from tidemark.operators.simulate import KEYS, entered, entry_rule, fixed_hold_episodes, history_threshold, rolling_quantile
+from tidemark.operators.simulate import KEYS, entered, entry_rule, fixed_hold_episodes, history_threshold, paths, rolling_quantile
 
 FAIL_PENALTY = 1_000_000.0
 #: Rows of a grid or of folds that are broadcast.
@@ -80,6 +80,36 @@ def sweep(scored: DataFrame, paths: DataFrame, grid: DataFrame, hold: int, block
     return episode_metrics(episodes, folds, keys)
 
 
+def policy_sweep(scored: DataFrame, bars: DataFrame, grid: DataFrame, block: int, side: str = "long", daily_cap: int | None = None) -> DataFrame:
+    """Fold metrics of every row of a grid (params, threshold, hold_minutes, min_score, min_margin, min_ratio) in one job.
+
+    A filter that is NULL asks for nothing. Paths of all holds come from one sort of the bars, and meet only rows that
+    their policy's rule lets in. Every (params, fold) is in the result, without trades too. A grid of no rows, or that
+    names a params twice, is an error; so are more than FEW different holds, which the driver reads.
+    """
+    holds = [r[0] for r in grid.select("hold_minutes").distinct().limit(FEW + 1).collect()]
+    if not holds or len(holds) > FEW or None in holds or not grid.groupBy("params").count().where("count > 1").isEmpty():
+        raise ValueError("a grid needs rows, a hold for each, and names that differ")
+    least = grid.agg(F.min(F.greatest("threshold", F.coalesce("min_score", "threshold"))).alias("least"))
+    rows = scored.join(F.broadcast(least)).where(F.col("score") >= F.col("least")).drop("least").join(few(grid))
+    rule = entry_rule(F.col("score"), F.col("threshold"), *[F.col(c) for c in ("min_score", "min_margin", "min_ratio")])
+    rows = rows.withColumn("skip_reason", rule).where("skip_reason IS NULL").join(paths(bars, tuple(sorted(holds))), ["symbol", "minute", "hold_minutes"])
+    keys = ("params", *KEYS)
+    trades = fixed_hold_episodes(entered(rows, None, block, daily_cap, keys), None, side, keys=keys)
+    return episode_metrics(trades, grid.select("params").join(few(scored.select(*KEYS).distinct())), keys)
+
+
+def policy_grid(spark: SparkSession, thresholds: tuple[float, ...], holds: tuple[int, ...], min_scores: tuple[float | None, ...] = (None,), min_margins: tuple[float | None, ...] = (None,), min_ratios: tuple[float | None, ...] = (None,)) -> DataFrame:
+    """All combinations as a grid for policy_sweep(), named t<threshold>_h<hold> and, where asked for, _s, _m and _r."""
+    axes = {"threshold": ("double", thresholds), "hold_minutes": ("int", holds), "min_score": ("double", min_scores), "min_margin": ("double", min_margins), "min_ratio": ("double", min_ratios)}
+    out = spark.range(1)
+    for name, (kind, values) in axes.items():
+        out = out.withColumn(name, F.explode(F.array(*[F.lit(v).cast(kind) for v in values])))
+    text = lambda c: F.regexp_replace(F.col(c).cast("string"), r"\.0$", "")
+    parts = [F.concat(F.lit(tag), text(c)) for tag, c in zip("thsmr", axes)]
+    return out.select(F.concat_ws("_", *parts).alias("params"), *axes)
+
+
 def rolling_sweep(
     scored: DataFrame, paths: DataFrame, windows: tuple[int, ...], quantiles: tuple[float, ...], floors: tuple[float, ...], at_least: Callable[[int], int], hold: int, block: int, **filters: float
 ) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import labels as lab
 from tidemark.operators import metrics as met
-from tidemark.operators import models, quality, simulate, splits, timeframes
+from tidemark.operators import fold_tables, models, quality, simulate, splits, timeframes
 from tidemark.operators.families import FAMILIES, sheet_of
 from tidemark.operators.series import indexed, resampled, with_sheet
 from tidemark.plans import matrix, research
@@ -367,6 +367,32 @@ def _walk(spark, sf):
     return rows.groupBy("fold", "mode").agg(F.count(F.lit(1)).alias("rows"), F.min("minute").alias("first_minute"), F.max("minute").alias("last_minute"))
 
 
+def _fold_table_sql() -> str:
+    return f"""WITH {DENSE_SQL}, {GAPPY_SQL}, rows AS (SELECT 'dense' AS symbol, minute FROM bars UNION ALL SELECT 'gappy', minute FROM gappy),
+    extents AS (SELECT symbol, min(minute) AS first, max(minute) AS last, CASE symbol WHEN 'dense' THEN 5 ELSE 7 END AS k FROM rows GROUP BY symbol),
+    cuts AS (SELECT symbol, first, k, unnest(range(0, k)) AS i, last - first + 1 AS n FROM extents),
+    folds AS (SELECT symbol, 'fold_0' || CAST(i + 1 AS VARCHAR) AS fold, first, first + n * (4 * k) // (10 * k) - 1 AS trained, first + n * (4 * k + 5 * i) // (10 * k) AS a, first + n * (4 * k + 5 * i + 5) // (10 * k) - 1 AS b FROM cuts),
+    tagged AS (SELECT f.symbol, f.fold, r.minute, unnest(CASE WHEN r.minute BETWEEN a AND b THEN ['eval'] ELSE list_concat(
+      CASE WHEN r.minute <= trained AND NOT (r.minute <= b AND r.minute + 121 >= a) AND NOT (r.minute > b AND r.minute <= b + 30) THEN ['train'] ELSE [] END,
+      CASE WHEN r.minute <= trained AND r.minute + 121 < a THEN ['fixed'] ELSE [] END, CASE WHEN r.minute + 121 < a THEN ['expanding'] ELSE [] END,
+      CASE WHEN r.minute >= a - 2000 AND r.minute + 121 < a THEN ['rolling'] ELSE [] END, CASE WHEN r.minute >= a - 1440 AND r.minute < a THEN ['history'] ELSE [] END) END) AS role
+      FROM rows r JOIN folds f ON r.symbol = f.symbol)
+    SELECT symbol, fold, role, count(*) AS rows, min(minute) AS first_minute, max(minute) AS last_minute FROM tagged GROUP BY symbol, fold, role"""
+
+
+@query("split_fold_table", _fold_table_sql())
+def _fold_table(spark, sf):
+    """Two symbols of their own extents, with five and with seven folds."""
+    each = [df.select(F.lit(s).alias("symbol"), "minute") for s, df in (("dense", dense_bars(spark, sf)), ("gappy", gappy_bars(spark, sf)))]
+    rows = each[0].unionByName(each[1])
+    extents = rows.groupBy("symbol").agg(F.min("minute").alias("first"), F.max("minute").alias("last")).withColumn("folds", F.when(F.col("symbol") == "dense", 5).otherwise(7))
+    folds = fold_tables.checked(fold_tables.even(extents, 30))
+    ranges = fold_tables.evaluated(folds)
+    for more in (fold_tables.purged(folds, 120), fold_tables.walk_forward(folds, 120, 2000), fold_tables.history(folds, 1440)):
+        ranges = ranges.unionByName(more)
+    return fold_tables.met(rows, ranges).groupBy("symbol", "fold", "role").agg(F.count(F.lit(1)).alias("rows"), F.min("minute").alias("first_minute"), F.max("minute").alias("last_minute"))
+
+
 # --- thresholds and trades ----------------------------------------------------------------------------------------
 _WINDOW, _Q, _LEAST = 720, 0.9, 120
 
@@ -426,13 +452,13 @@ def _episodes(spark, sf, threshold: float = 20.0, side: str = "long") -> DataFra
     return simulate.fixed_hold_episodes(simulate.entered(_ruled(spark, sf, threshold), HOLD, COOLDOWN), HOLD, side)
 
 
-def _sim_sql(threshold: float | str, name: str, source: str = "scored") -> str:
+def _sim_sql(threshold: float | str, name: str, source: str = "scored", hold: int = HOLD) -> str:
     """The greedy picks of each fold: the next candidate at least hold + 1 + cooldown minutes after the last."""
     return f"""cand_{name} AS (SELECT s.fold, s.minute, s.score, e.open AS p, x.open AS x,
-      (SELECT max(high) FROM bars h WHERE h.minute BETWEEN s.minute + 1 AND s.minute + {HOLD + 1}) AS up, (SELECT min(low) FROM bars h WHERE h.minute BETWEEN s.minute + 1 AND s.minute + {HOLD + 1}) AS down
-      FROM {source} s JOIN bars e ON e.minute = s.minute + 1 JOIN bars x ON x.minute = s.minute + {HOLD + 1} WHERE s.score > {threshold}),
+      (SELECT max(high) FROM bars h WHERE h.minute BETWEEN s.minute + 1 AND s.minute + {hold + 1}) AS up, (SELECT min(low) FROM bars h WHERE h.minute BETWEEN s.minute + 1 AND s.minute + {hold + 1}) AS down
+      FROM {source} s JOIN bars e ON e.minute = s.minute + 1 JOIN bars x ON x.minute = s.minute + {hold + 1} WHERE s.score > {threshold}),
     pick_{name}(fold, minute) AS (SELECT fold, min(minute) FROM cand_{name} GROUP BY fold
-      UNION ALL SELECT p.fold, (SELECT min(c.minute) FROM cand_{name} c WHERE c.fold = p.fold AND c.minute >= p.minute + {1 + HOLD + COOLDOWN}) FROM pick_{name} p WHERE p.minute IS NOT NULL),
+      UNION ALL SELECT p.fold, (SELECT min(c.minute) FROM cand_{name} c WHERE c.fold = p.fold AND c.minute >= p.minute + {1 + hold + COOLDOWN}) FROM pick_{name} p WHERE p.minute IS NOT NULL),
     eps_{name} AS (SELECT c.*, ln(x / p) * 1e4 AS gross FROM cand_{name} c JOIN pick_{name} k ON k.fold = c.fold AND k.minute = c.minute)"""
 
 

@@ -234,6 +234,37 @@ def _rolling_sweep(spark, sf):
     return rounded(out.select("params", "fold", "episode_count", *_METRIC_NAMES))
 
 
+_POLICIES = ((0.0, 20.0, 40.0), (30, 60), (None, 30.0), (None, 10.0), (None, 1.5))
+
+
+def _policies_sql() -> str:
+    values = [", ".join("NULL" if v is None else num(v) for v in axis) for axis in _POLICIES]
+    text = lambda tag, c: f"coalesce('_{tag}' || regexp_replace(CAST({c} AS VARCHAR), '[.]0$', ''), '')"
+    name = "'t' || regexp_replace(CAST(thr AS VARCHAR), '[.]0$', '') || '_h' || CAST(hold AS VARCHAR) || " + " || ".join(text(t, c) for t, c in (("s", "ms"), ("m", "mm"), ("r", "mr")))
+    axes = [f"(SELECT unnest([{v}]) AS {c})" for v, c in zip(values, ("thr", "hold", "ms", "mm", "mr"))]
+    axes = [a.replace("unnest([", "CAST(unnest([").replace("])", f"]) AS {'INTEGER' if c == 'hold' else 'DOUBLE'})") for a, c in zip(axes, ("thr", "hold", "ms", "mm", "mr"))]
+    parts = [f"{_SCORED}, grid AS (SELECT *, {name} AS params FROM {', '.join(axes)})"]
+    for h in _POLICIES[1]:
+        lets = "(ms IS NULL OR score >= ms) AND (mm IS NULL OR score - thr >= mm) AND (mr IS NULL OR (thr > 0 AND score / thr >= mr))"
+        parts.append(f"tagged_{h} AS (SELECT params || '|' || fold AS fold, minute, score, thr FROM scored, grid WHERE hold = {h} AND score > thr AND {lets})")
+        parts.append(f"every_{h} AS (SELECT DISTINCT params || '|' || fold AS fold FROM scored, grid WHERE hold = {h})")
+        parts.append(_sim_sql("s.thr", f"h{h}", f"tagged_{h}", h))
+    return ", ".join(parts)
+
+
+def _policy_metrics_sql() -> str:
+    of = lambda h: _METRIC_SQL.replace("(SELECT DISTINCT fold FROM scored)", f"every_{h}").replace("eps_a", f"eps_h{h}").replace(f"{HOLD}e0", f"{h}e0")
+    return "SELECT split_part(fold, '|', 1) AS params, split_part(fold, '|', 2) AS fold, * EXCLUDE (fold) FROM (" + " UNION ALL ".join(map(of, _POLICIES[1])) + ")"
+
+
+@query("sweep_score_filters", _recursive(_wrap(_policy_metrics_sql(), ("params", "fold", "episode_count"), _METRIC_NAMES, _policies_sql())))
+def _policy_sweep(spark, sf):
+    """Thresholds, holds, least scores, margins and ratios, all together."""
+    bars, scored, _ = _scored(spark, sf)
+    out = research.policy_sweep(scored.where("fold IS NOT NULL"), bars, research.policy_grid(spark, *_POLICIES), COOLDOWN)
+    return rounded(out.select("params", "fold", "episode_count", *_METRIC_NAMES))
+
+
 # --- exit models ------------------------------------------------------------------------------------------------------------
 @query(
     "flt_entry_candidates",
