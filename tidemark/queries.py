@@ -777,3 +777,32 @@ def _stream(spark, sf):
     out = closed_bars(e.withColumn("ts", F.col("ts").cast("timestamp")).select("ts", "event_id", "value"), 60)
     minute = lambda c: F.floor(F.unix_timestamp(c) / 60).cast("long")
     return rounded(out.select(minute("start").alias("start_minute"), minute("end").alias("end_minute"), *_BARS))
+
+
+_FRAMES, _ROLLED = (5, 60), (15,)
+
+
+def _stream_sql() -> str:
+    rolled = [f"CASE WHEN count(close) OVER w{n} = {n} THEN {f}(close) OVER w{n} END AS close_{name}_{n}" for n in _ROLLED for name, f in (("mean", "avg"), ("max", "max"), ("min", "min"))]
+    over = ", ".join(f"w{n} AS (PARTITION BY symbol ORDER BY minute ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)" for n in _ROLLED)
+    bars = [f"f{k} AS (SELECT symbol, minute // {k} AS bucket, arg_min(open, minute) AS open, max(high) AS high, min(low) AS low, arg_max(close, minute) AS close, sum(volume) AS volume FROM given GROUP BY 1, 2)" for k in _FRAMES]
+    closed = [f"round(f{k}.{c}, 6) + 0 AS m{k}_{c}" for k in _FRAMES for c in _BARS]
+    joins = " ".join(f"ASOF LEFT JOIN f{k} ON r.symbol = f{k}.symbol AND r.minute // {k} > f{k}.bucket" for k in _FRAMES)
+    names = [*_BARS, *[f"close_{f}_{n}" for n in _ROLLED for f in ("mean", "max", "min")]]
+    return f"""WITH e AS (SELECT event_type AS symbol, CAST(floor(epoch(ts) / 60) AS BIGINT) AS minute, value, CAST(json_extract(props, '$.k') AS DOUBLE) AS k, ts FROM events),
+    given AS (SELECT symbol, minute, value AS open, value AS high, value AS low, value AS close, k AS volume FROM e
+      WHERE minute * 60000 <= (SELECT epoch_ms(max(ts)) FROM events) - 600000 QUALIFY row_number() OVER (PARTITION BY symbol, minute ORDER BY value DESC NULLS LAST, k DESC NULLS LAST) = 1),
+    {", ".join(bars)}, r AS (SELECT *, {", ".join(rolled)} FROM given WINDOW {over})
+    SELECT r.symbol, r.minute, {", ".join(f"round(r.{c}, 6) + 0 AS {c}" for c in names)}, {", ".join(closed)} FROM r {joins}"""
+
+
+@query("stream_aligned_features", _stream_sql())
+def _stream_features(spark, sf):
+    """The events as a stream, a series for each type; what has come out by the end of the table."""
+    from tidemark.streaming import features
+
+    # a pattern may name a file or a folder, where a stream's plain path must be a folder
+    events = spark.readStream.schema(spark.read.parquet(f"{sf}/events.parquet").schema).parquet(f"{sf}/events.parque[t]")
+    at, value = F.col("ts").cast("timestamp"), [F.col("value").alias(c) for c in _BARS[:4]]
+    bars = events.select(F.col("event_type").alias("symbol"), at.alias("ts"), F.floor(F.unix_timestamp(at) / 60).cast("long").alias("minute"), *value, F.get_json_object("props", "$.k").cast("double").alias("volume"))
+    return rounded(features.until_now(features.features(bars, _FRAMES, _ROLLED)))
