@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.metrics import KEYS, bottom_metrics, prediction_metrics, rank_correlation
+from tidemark.operators.metrics import KEYS, bottom_metrics, deciles, episode_metrics, prediction_metrics, rank_correlation, summarized
 from tidemark.plans.feature_sets import FeatureSpec
+from tidemark.sources.bars import POSITION, positioned
 
 #: Weights of the robust score of top-quantile means.
 ROBUST_WEIGHTS = {
@@ -102,9 +103,13 @@ def fallback_score(mean_net: Column, worst_net: Column, episodes: Column, least:
 
 
 def baseline_deltas(df: DataFrame, baseline: str, metrics: list[str], keys: tuple[str, ...] = ("side", "horizon_minutes"), variant: str = "variant") -> DataFrame:
-    """df with each metric's difference from the baseline variant's of the same keys; without keys, from its one row."""
-    base = df.where(F.col(variant) == baseline).select(*keys, *[F.col(m).alias(f"baseline_{m}") for m in metrics])
-    out = df.join(base, list(keys), "left") if keys else df.join(F.broadcast(base.limit(1)), how="left")
+    """df with each metric's difference from the baseline variant's of the same keys; without keys, from its one row. A
+    baseline that has several rows is an error."""
+    base = df.where(F.col(variant) == baseline)
+    if not (base.groupBy(*keys).count() if keys else base.agg(F.count(F.lit(1)).alias("count"))).where("count > 1").isEmpty():
+        raise ValueError(f"the baseline {baseline} stands twice")
+    base = base.select(*keys, *[F.col(m).alias(f"baseline_{m}") for m in metrics])
+    out = df.join(base, list(keys), "left") if keys else df.join(F.broadcast(base), how="left")
     return out.withColumns({f"delta_vs_{baseline}_{m}": F.col(m) - F.col(f"baseline_{m}") for m in metrics})
 
 
@@ -119,16 +124,45 @@ def split_rows(roles: DataFrame, folds: DataFrame) -> DataFrame:
 
 
 # --- files --------------------------------------------------------------------------------------------------------------
+def _found(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """(source_file) of all files of a name below a folder. No content is read."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", name).load(root).select(F.col("_metadata.file_path").alias("source_file"))
+
+
+def _lines(spark: SparkSession, root: str, name: str) -> DataFrame:
+    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name).option("ignoreCorruptFiles", True)
+    return positioned(reader.text(root)).where(F.length(F.trim("value")) > 0).select("value", POSITION)
+
+
 def collect_runs(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """All CSV files of one name below a folder, columns by name, with source_file and source_run_dir. Malformed and
-    unreadable files do not stop the others."""
-    reader = spark.read.option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", name).option("ignoreCorruptFiles", True).option("enforceSchema", False)
-    files = [r["f"] for r in spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", name).load(root).select(F.col("path").alias("f")).collect()]
-    parts = [reader.csv(f).withColumn("source_file", F.col("_metadata.file_path")) for f in sorted(files)]
-    if not parts:
+    """All CSV files of one name below a folder, columns by name, as strings, with source_file and source_run_dir.
+
+    One scan finds the files' headers, and one reads their rows, however many files and layouts there are: a row's cells are
+    taken by its own file's header. Only the different column names reach the driver. Cells that a row has not are NULL,
+    those beyond the header go; of columns alike in a header the first counts. Columns of a file named as the two sources
+    are left out. Unreadable files do not stop the others, see unread_runs(); empty ones count as not there. No cell holds
+    a line break.
+    """
+    if _found(spark, root, name).isEmpty():
         raise FileNotFoundError(f"no {name} below {root}")
-    out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    return out.withColumn("source_run_dir", F.regexp_extract("source_file", "^(.*)/[^/]*$", 1))
+    lines = _lines(spark, root, name)
+    file = F.col(POSITION)["file"].alias("source_file")
+    headers = lines.groupBy(file).agg(F.min(POSITION).alias("__at"), F.regexp_replace(F.min_by("value", POSITION), "^\\ufeff", "").alias("__header"))
+    width = headers.agg(F.max(F.size(F.split("__header", ",")))).first()[0] or 1
+    kinds = ", ".join(f"c{i} string" for i in range(width))
+    cells = lambda c: F.array(*[F.from_csv(c, kinds)[f"c{i}"] for i in range(width)])
+    headers = headers.withColumn("__names", F.transform(cells(F.col("__header")), lambda n: F.trim(n)))
+    named = headers.select("source_file", F.posexplode("__names").alias("at", "name")).where("name <> '' AND name NOT IN ('source_file', 'source_run_dir')")
+    names = [r["name"] for r in named.groupBy("name").agg(F.min("at").alias("at")).orderBy("at", "name").collect()]
+    rows = lines.withColumn("source_file", file).join(headers, "source_file").where(F.col(POSITION) != F.col("__at")).withColumn("__cells", cells(F.col("value")))
+    values = [F.get("__cells", (F.array_position("__names", n) - 1).cast("int")).alias(n) for n in names]
+    return rows.select(*values, "source_file", F.regexp_extract("source_file", "^(.*)/[^/]*$", 1).alias("source_run_dir"))
+
+
+def unread_runs(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """(source_file) of the files, not empty, that collect_runs() finds no line in, as they cannot be read."""
+    read = _lines(spark, root, name).select(F.col(POSITION)["file"].alias("source_file")).distinct()
+    return _found(spark, root, name).join(read, "source_file", "left_anti")
 
 
 def run_summaries(spark: SparkSession, root: str, name: str = "summary.json") -> DataFrame:
@@ -157,6 +191,20 @@ def write_report(path: str, tables: dict[str, DataFrame], by: dict[str, str] | N
         (writer.partitionBy(by[name]) if by and name in by else writer).parquet(f"{path.rstrip('/')}/{name}")
 
 
+def prediction_report(predictions: DataFrame, target: str, pred: str = "pred", order: str = "minute", of_exits: bool = False, keys: tuple[str, ...] = KEYS) -> dict[str, DataFrame]:
+    """The tables of a report on predictions, for write_report(): metrics and deciles of each fold, the predictions, and mean
+    and worst of the metrics over folds. Exit models have rank correlation and bottom quantiles too."""
+    folds = exit_fold_metrics(predictions, target, pred, keys) if of_exits else prediction_metrics(predictions, target, pred, keys=keys)
+    return {"fold_metrics": folds, "score_deciles": deciles(predictions, target, pred, order, keys=keys), "predictions_valid": predictions, "summary_metrics": summarized(folds)}
+
+
+def episode_report(episodes: DataFrame, folds: DataFrame, skips: DataFrame | None = None, keys: tuple[str, ...] = KEYS) -> dict[str, DataFrame]:
+    """The tables of a report on trades: the trades, metrics of each row of keys in `folds`, mean and worst of them over folds,
+    and why rows did not enter, where that is known."""
+    metrics = episode_metrics(episodes, folds, keys)
+    return {"episodes": episodes, "fold_metrics": metrics, "summary_metrics": summarized(metrics), **({"skipped": skips} if skips is not None else {})}
+
+
 def snapshot(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(path, length, sha256) of files: what a run was made from."""
     return spark.read.format("binaryFile").load(paths).select("path", "length", F.sha2("content", 256).alias("sha256"))

@@ -154,3 +154,24 @@ def recent(rows: DataFrame, n: int, keys: tuple[str, ...] = KEYS, order: Column
         return rows.orderBy(F.desc(order) if isinstance(order, str) else order).limit(n)
     w = Window.partitionBy(*keys).orderBy(F.desc(order) if isinstance(order, str) else order)
     return rows.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= n).drop("__n")
+
+
+def slug(value: Column) -> Column:
+    """A number as part of a name: 20 for 20.0, 0p5 for 0.5, m1 for -1."""
+    return F.translate(F.regexp_replace(value.cast("string"), r"\.0$", ""), "-.", "mp")
+
+
+def downstream(entries: DataFrame, lookaheads: tuple[int, ...], feature_sets: tuple[str, ...], thresholds: tuple[float, ...], tail_thresholds: tuple[float, ...], holds: tuple[float, ...], root: str = "runs") -> DataFrame:
+    """What runs follow from chosen entry sets (selected_key, entry_oof_path, features_path), one row each: every look-ahead,
+    exit feature set, entry threshold (others for sets of the tail) and hold threshold, with names and folders. Exit
+    models are shared by runs of one exit_run_id."""
+    each = lambda values, kind: F.explode(F.array(*[F.lit(v).cast(kind) for v in values]))
+    own = F.when(F.contains("selected_key", F.lit("tail")), F.array(*[F.lit(float(t)) for t in tail_thresholds])).otherwise(F.array(*[F.lit(float(t)) for t in thresholds]))
+    out = entries.select("selected_key", "entry_oof_path", "features_path", each(lookaheads, "int").alias("exit_lookahead_minutes"))
+    out = out.withColumn("exit_feature_set", each(feature_sets, "string")).withColumn("entry_threshold_bps", F.explode(own)).withColumn("hold_threshold_bps", each(holds, "double"))
+    key = F.concat("selected_key", F.lit("_K"), F.col("exit_lookahead_minutes").cast("string"))
+    run = F.concat(F.lit("selected_long_H120_"), key, F.lit("_"), "exit_feature_set")
+    out = out.withColumn("exit_dataset_dir", F.concat(F.lit(f"{root}/exit_dataset/exit_long_H120_"), key)).withColumn("exit_run_id", F.concat(F.lit("exit_"), run))
+    name = F.concat(F.lit("episode_"), run, F.lit("_entryThr"), slug(F.col("entry_threshold_bps")), F.lit("_holdThr"), slug(F.col("hold_threshold_bps")))
+    out = out.withColumn("exit_predictions_path", F.concat(F.lit(f"{root}/exit/"), "exit_run_id", F.lit("/predictions_valid.parquet")))
+    return out.withColumn("episode_run_id", name).withColumn("episode_run_dir", F.concat(F.lit(f"{root}/episodes/"), name))
