@@ -49,6 +49,13 @@ def at_offset(bars: DataFrame, offsets: dict[str, int], price: str = "open") ->
     return bars.join(got, ["symbol", "minute"], "left")
 
 
+def log_bps(to: Column, from_: Column) -> Column:
+    """Log ratio of two prices in basis points, by IEEE arithmetic: a price of 0 gives an infinity, two of them NaN, where
+    Spark's own would raise or give NULL."""
+    ratio = F.when(from_ == 0, to * F.lit(float("inf"))).otherwise(to / from_)
+    return F.when(ratio == 0, F.lit(float("-inf"))).otherwise(F.ln(ratio)) * 1e4
+
+
 def net_return_bps(entry: Column, exit_: Column, side: str, cost: float = COST_BPS) -> Column:
     return F.when((entry > 0) & (exit_ > 0), side_sign(side) * F.ln(exit_ / entry) * 1e4 - cost)
 

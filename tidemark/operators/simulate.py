@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.operators.labels import side_sign
+from tidemark.operators.labels import log_bps, side_sign
 from tidemark.operators.series import ahead, extremes
 
 #: What trades and scores are told apart by: no series touches another.
@@ -257,8 +257,8 @@ def fixed_hold_episodes(trades: DataFrame, hold: int | None, side: str = "long",
     column hold_minutes."""
     s = side_sign(side)
     p, x = F.col("entry_price"), F.col("exit_price")
-    gross = s * F.ln(x / p) * 1e4
-    up, down = F.ln(F.col("path_high") / p) * 1e4, F.ln(F.col("path_low") / p) * 1e4
+    gross = s * log_bps(x, p)
+    up, down = log_bps(F.col("path_high"), p), log_bps(F.col("path_low"), p)
     best, worst = (up, down) if s > 0 else (-down, -up)
     entry = F.col("minute")
     held = F.lit(hold) if hold is not None else F.col("hold_minutes")
@@ -305,7 +305,7 @@ def exit_positions(
     at = ["symbol", "current_minute"]
     score = scores.select("symbol", F.col("minute").alias("current_minute"), F.col("score").alias("current_score"))
     out = seen.join(score, at, "left")
-    bps = lambda a, b: s * F.ln(a / b) * 1e4
+    bps = lambda a, b: s * log_bps(a, b)
     p = F.col("entry_price")
     best, worst = ("path_high", "path_low") if s > 0 else ("path_low", "path_high")
     out = out.select(
