@@ -2,7 +2,9 @@
 
 import math
 
-from tidemark.operators import simulate
+from pyspark.sql import functions as F
+
+from tidemark.operators import simulate, trees
 
 INF = float("inf")
 
@@ -36,3 +38,11 @@ def test_episodes_over_zero_prices(spark):
     assert b["gross_pl_bps"] == b["mfe_bps"] == INF and math.isnan(b["mae_bps"]) and math.isnan(b["giveback_bps"])
     short = simulate.fixed_hold_episodes(rows, 60, "short").orderBy("entry_minute").first()
     assert short["gross_pl_bps"] == INF and short["mfe_bps"] == INF and math.isnan(short["giveback_bps"])
+
+
+def test_infinite_targets_train_nothing(spark):
+    rows = [(float(i), float(i % 2)) for i in range(400)] + [(3.0, INF), (4.0, -INF), (5.0, math.nan)]
+    df = spark.createDataFrame(rows, "x double, y double").withColumn("part", (F.col("x") % 2))
+    forest = trees.grow(df, ["x", "part"], "y", trees=3, leaves=4, rate=1.0)
+    pred = [r["pred"] for r in forest.predict(df).collect()]
+    assert all(map(math.isfinite, pred)) and all(abs(p - r[1]) < 0.05 for p, r in zip(pred[:400], rows))

@@ -287,7 +287,7 @@ def grow(
 ) -> Forest:
     """Boosted trees for squared error, one model for each condition of `models` on the rows that it is true for.
 
-    Rows without a target train nothing; a model without rows, or with no rows at all, predicts 0. column_share is the
+    Rows without a finite target train nothing; a model without rows, or with no rows at all, predicts 0. column_share is the
     part of the columns that each tree may use, drawn by seed. Bins are cut by the quantiles of all rows that train any
     model. df is read three times; columns may hold NULL or NaN, which are unknown.
     """
@@ -296,7 +296,8 @@ def grow(
     if not columns or not 1 < bins < 256:
         raise ValueError("trees need columns, and 2 to 255 bins")
     names, width = list(models), len(columns)
-    y = F.nullif(F.col(f"`{target}`").cast("double"), F.lit(float("nan")))
+    y = F.col(f"`{target}`").cast("double")
+    y = F.when(F.abs(y) < float("inf"), y)
     member = [F.coalesce(c, F.lit(False)) for c in models.values()]
     rows = df.where(y.isNotNull()).select(y.alias("__y"), F.array(*member).alias("__m"), *[F.col(f"`{c}`") for c in columns]).where(F.exists("__m", lambda m: m))
     forest = Forest(columns, edges(rows, columns, bins), {m: 0.0 for m in names}, {m: [] for m in names})
