@@ -87,3 +87,17 @@ def test_late_and_repeated_rows(spark, tmp_path):
     ]
     got = streamed(spark, tmp_path, batches)
     assert plain(got) == plain(batch(spark, [*(r for m, r in rows.items() if m != 125), again]))
+
+
+def test_greatest_of_a_minute_over_parts_of_a_micro_batch(spark, tmp_path):
+    """Rows reach a task in parts of so many records; those of a minute lie far apart."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rng, old = random.Random(2), spark.conf.get(key)
+    many = [[bar(rng, "x", m) for m in range(100, 160)] for _ in range(3)]
+    best = [max(rows, key=lambda r: [-1.0 if v is None else v for v in r[3:]]) for rows in zip(*many)]
+    spark.conf.set(key, "7")
+    try:
+        got = streamed(spark, tmp_path, [sum(many, []), [bar(rng, "x", 400)]])
+    finally:
+        spark.conf.set(key, old)
+    assert plain(got) == plain(batch(spark, best))

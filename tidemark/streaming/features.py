@@ -77,13 +77,13 @@ class Aligned(StatefulProcessor):
         self.closed = handle.getListState("closed", f"frame int, {BAR}")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        given = self.given.get()
-        for pdf in rows:
-            if given is not None:
-                pdf = pdf[pdf["minute"] > given[0]]
-            if len(pdf):
-                self.waiting.appendList(_tuples(pdf.sort_values(["minute", *VALUES], na_position="first")[["minute", *VALUES]]))
-                self.handle.registerTimer(int(pdf["minute"].min()) * 60_000)
+        given, parts = self.given.get(), []
+        for pdf in rows:  # a micro-batch comes in several parts, and a minute's rows may lie in more than one
+            parts.append(_greatest(pdf if given is None else pdf[pdf["minute"] > given[0]]))
+        pdf = _greatest(pd.concat(parts)) if parts else ()
+        if len(pdf):
+            self.waiting.appendList(_tuples(pdf))
+            self.handle.registerTimer(int(pdf["minute"].min()) * 60_000)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -136,6 +136,11 @@ class Aligned(StatefulProcessor):
         return out
 
 
+def _greatest(rows: pd.DataFrame) -> pd.DataFrame:
+    """One row for each minute, in order of time: the greatest by its values, an unknown one being least."""
+    return rows[["minute", *VALUES]].sort_values(["minute", *VALUES], na_position="first").drop_duplicates("minute", keep="last")
+
+
 def _frame(rows) -> pd.DataFrame:
     out = pd.DataFrame(list(rows), columns=["minute", *VALUES])
     return out.astype({"minute": "int64", **{c: "float64" for c in VALUES}})
