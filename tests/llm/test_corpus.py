@@ -769,3 +769,16 @@ def test_stages_keep_columns(spark, tmp_path):
         if k == 1:
             assert {r["doc_id"] for r in docs_.collect()} == set(range(30))
     assert docs_.count() > 0
+
+
+def test_hot_windows_are_joined_once_for_each_text(spark, monkeypatch):
+    """Runs of hot windows meet the texts' keys as one row for each text, however many runs there are."""
+    monkeypatch.setattr(repeats, "MOST_RUNS", 0)
+    seen, by_key = [], window_dedup.by_key
+    monkeypatch.setattr(window_dedup, "by_key", lambda texts, found: seen.append((found, found.columns)) or by_key(texts, found))
+    line = "all rights of this and that are kept by those who have them now "
+    rows = [(i, " ".join(f"{line}{k}x{i}" for k in range(6))) for i in range(1, 5)]
+    _, cut = window_dedup.dedup(docs(spark, rows))
+    assert {r["first_id"]: r["n_removed"] for r in cut.collect()} == {i: n for i, _, n, _ in brute_windows(rows, 13)}
+    found = next(f for f, columns in seen if "start" in columns or "runs" in columns)
+    assert found.count() == found.select("owner").distinct().count() > 0

@@ -186,7 +186,10 @@ def _hot_windows(texts: DataFrame, found: DataFrame, window: int) -> DataFrame:
     hot = by_key(texts, found.where(F.size("many") > 0).select("owner", "many"))
     chosen = texts.join(hot, "key").select(text_number(), "first_id", "text", "many")
     rows = map_arrow(chosen, lambda b: repeats.string_rows(parts(b), True), repeats.STRINGS)
-    return by_key(texts, repeats.repeated_strings(rows, True).where("later")).select("key", "start", "stop")
+    later = repeats.repeated_strings(rows, True).where("later")
+    # a text's runs come together before the texts' keys are looked up: one row for each text is joined, not one for each run
+    runs = later.groupBy("owner").agg(F.collect_set(F.struct("start", "stop")).alias("runs"))
+    return by_key(texts, runs).select("key", F.inline("runs"))
 
 
 def _cut(part: pa.RecordBatch, window: int) -> pa.RecordBatch:
