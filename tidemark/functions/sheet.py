@@ -1,42 +1,42 @@
 """A sheet of named expressions over ordered rows, laid out in as few passes as their windows allow.
 
-Each name is defined once, whoever needs it. A definition lies one layer above the names it uses; a layer is one
-projection, and all its windows share one partitioning and order, so that one sort serves the whole sheet.
-
-A moving statistic has two forms. In SQL it is a window function, which says what it means. Spark would evaluate such a
-frame anew for each row, so that there it is put together from statistics of shorter runs of rows: two runs of k rows
-make one of 2k, and runs of powers of two make any other. Sums, spreads and products add up pairwise, without
-cancellation; the cost of a row does not grow with the window. A run with an unknown value is unknown.
+Each name is defined once, whoever needs it. Definitions are scalar expressions of other names, or moving statistics of
+one. Scalars are Spark projections. Moving statistics that need no other one are one pass over chunks of rows, which hold
+the rows before them that their windows reach (`functions/moving.py`); statistics of statistics are a further pass over the
+same chunks where they lie. A pass takes along only what is needed after it, so that a task holds one chunk, however many
+windows there are.
+
+In SQL a moving statistic is a window function, which says what it means. Spark would evaluate such a frame anew for each
+row, and keep the rows of a partition in one buffer for every layer of windows.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import partial
 
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+
+from tidemark.functions.moving import Move, added, ewm_reach, inputs
 
 _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
 _BACK = re.compile(r"BETWEEN (\d+) PRECEDING|lag\(\w+, (\d+)\)")
 
 
-def _split(n: int) -> tuple[int, int]:
-    """The runs that one of n rows is made of: halves, or all but the last power of two and that."""
-    low = n & -n
-    return (n // 2, n // 2) if low == n else (n - low, low)
-
-
 @dataclass
 class Sheet:
-    """order: the window of a series for Spark; sql_order: for the checking engine, which needs no chunks."""
+    """chunk: what tells chunks of a series apart for Spark; sql_order: for the checking engine, which needs no chunks."""
 
     base: tuple[str, ...]
-    order: str = "PARTITION BY symbol, chunk ORDER BY minute"
+    chunk: tuple[str, ...] = ("symbol", "chunk")
+    order: str = "minute"
     sql_order: str = "PARTITION BY symbol ORDER BY minute"
     text: dict[str, str] = field(default_factory=dict)
     outs: dict[str, str] = field(default_factory=dict)
     look: dict[str, int] = field(default_factory=dict)
-    runs: dict[str, str] = field(default_factory=dict)
+    moves: dict[str, Move] = field(default_factory=dict)
 
     def let(self, name: str, sql: str) -> str:
         """Define an intermediate name, once."""
@@ -59,81 +59,35 @@ class Sheet:
         """f of the n values of x that end `before` rows back; NULL unless all n are known."""
         frame = self.over(n - 1 + before, before)
         small = lambda v: f"CASE WHEN {v} < 1e-9 THEN 0e0 ELSE {v} END" if f.startswith("stddev") else v  # noqa: E731  of equal values, but for rounding
-        name = f"{f}_{x}_{n}" + (f"_b{before}" if before else "")
-        if f in ("max", "min"):
-            run = self._extreme(f, x, n)
-        elif f.startswith("stddev"):
-            run = f"sqrt({self._spread(x, x, n)} / {n - (f == 'stddev_samp')}e0)"
-        else:
-            run = self._sum(x, n) if f == "sum" else f"{self._sum(x, n)} / {n}e0"
-        if before:
-            run = f"lag({self._run(f'run_{f}_{x}_{n}', run)}, {before}) OVER (@ORDER)"
-        elif f.startswith("stddev"):
-            run = self._run(f"run_{f}_{x}_{n}", run)
-        self.runs[name] = small(run) if not before else small(self._run(f"run_{name}", run))
-        return self.let(name, f"CASE WHEN count({x}) {frame} = {n} THEN {small(f'{f}({x}) {frame}')} END")
-
-    def _run(self, name: str, sql: str) -> str:
-        self.runs.setdefault(name, sql)
-        return name
+        return self._move(f"{f}_{x}_{n}" + (f"_b{before}" if before else ""), ("roll", f, x, n, before), f"CASE WHEN count({x}) {frame} = {n} THEN {small(f'{f}({x}) {frame}')} END")
 
-    def _sum(self, x: str, n: int) -> str:
-        if n == 1:
-            return x
-        a, b = _split(n)
-        return self._run(f"run_sum_{x}_{n}", f"{self._sum(x, a)} + {self._back(self._sum(x, b), a)}")
-
-    def _spread(self, y: str, x: str, n: int) -> str:
-        """Sum of the products of n values' distances from their means: two runs' own, and that of their means."""
-        if n == 1:
-            return self._run(f"run_spread_{y}_{x}_1", f"CASE WHEN {y} IS NOT NULL AND {x} IS NOT NULL THEN 0e0 END")
-        a, b = _split(n)
-        apart = []
-        for v in dict.fromkeys((y, x)):
-            apart.append(self._run(f"run_apart_{v}_{n}", f"{self._sum(v, a)} / {a}e0 - {self._back(self._sum(v, b), a)} / {b}e0"))
-        return self._run(
-            f"run_spread_{y}_{x}_{n}", f"{self._spread(y, x, a)} + {self._back(self._spread(y, x, b), a)} + {apart[0]} * {apart[-1]} * {a * b / n!r}e0"
-        )
-
-    def _extreme(self, f: str, x: str, n: int) -> str:
-        """Largest or smallest of n values; runs may overlap."""
-        if n == 1:
-            return x
-        k = 1 << (n - 1).bit_length() - 1  # the largest power of two below n
-        a, b = self._extreme(f, x, k), self._back(self._extreme(f, x, k), n - k)
-        return self._run(f"run_{f}_{x}_{n}", f"CASE WHEN {a} IS NOT NULL AND {b} IS NOT NULL THEN {'greatest' if f == 'max' else 'least'}({a}, {b}) END")
-
-    @staticmethod
-    def _back(name: str, k: int) -> str:
-        return f"lag({name}, {k}) OVER (@ORDER)"
+    def _move(self, name: str, move: Move, sql: str) -> str:
+        self.moves.setdefault(name, move)
+        return self.let(name, sql)
 
     def pair(self, f: str, y: str, x: str, n: int) -> str:
         """f(y, x), such as corr or regr_slope, of n rows in which both are known."""
         frame = self.over(n - 1, 0)
         both = self.let(f"has_{y}_{x}", f"CASE WHEN {y} IS NOT NULL AND {x} IS NOT NULL THEN 1 END")
-        name = f"{f}_{y}_{x}_{n}"
-        yx, xx = self._spread(y, x, n), self._spread(x, x, n)
-        if f == "regr_slope":
-            self.runs[name] = f"CASE WHEN {xx} <> 0 THEN {yx} / {xx} END"
-        elif f == "corr":
-            yy = self._spread(y, y, n)
-            self.runs[name] = f"CASE WHEN {xx} > 0 AND {yy} > 0 THEN {yx} / sqrt({xx} * {yy}) END"
-        else:
+        if f not in ("regr_slope", "corr"):
             raise ValueError(f)
-        return self.let(name, f"CASE WHEN count({both}) {frame} = {n} THEN {f}({y}, {x}) {frame} END")
+        return self._move(f"{f}_{y}_{x}_{n}", ("pair", f, y, x, n), f"CASE WHEN count({both}) {frame} = {n} THEN {f}({y}, {x}) {frame} END")
 
     def since(self, f: str, x: str, n: int) -> str:
         """Rows since the first place of the largest (max) or smallest (min) of the n last values of x."""
         frame = self.over(n - 1, 0)
         place = "-idx" if f == "max" else "idx"
         got = f"({f}(@PAIR({x}, {place})) {frame}).b"
-        name = f"since_{f}_{x}_{n}"
-        placed = self._run(f"placed_{f}_{x}", f"CASE WHEN {x} IS NOT NULL THEN struct({x} AS a, {place} AS b) END")
-        self.runs[name] = f"cast(idx {'+' if f == 'max' else '-'} {self._extreme(f, placed, n)}.b AS double)"
-        return self.let(name, f"CASE WHEN count({x}) {frame} = {n} THEN cast(idx {'+' if f == 'max' else '-'} {got} AS double) END")
+        return self._move(f"since_{f}_{x}_{n}", ("since", f, x, n), f"CASE WHEN count({x}) {frame} = {n} THEN cast(idx {'+' if f == 'max' else '-'} {got} AS double) END")
 
     def lag(self, x: str, k: int = 1) -> str:
-        return self.let(f"lag_{x}_{k}", f"lag({x}, {k}) OVER (@ORDER)")
+        return self._move(f"lag_{x}_{k}", ("lag", x, k), f"lag({x}, {k}) OVER (@ORDER)")
+
+    def ewm(self, x: str, span: int) -> str:
+        """Exponential mean of x since its first known value, y = (1 - a) y' + a x, a = 2 / (span + 1); not for sql()."""
+        name = self._move(f"ewm_{x}_{span}", ("ewm", x, span), x)
+        self.look[name] = ewm_reach(span) + self.look.get(x, 0)
+        return name
 
     def layers(self, text: dict[str, str]) -> list[list[str]]:
         """The names that the result needs, by the number of projections they lie above the base."""
@@ -151,20 +105,51 @@ class Sheet:
         """Rows before a row that its values may depend on, through windows of windows."""
         return max([self.look[n] for n in self.outs], default=0)
 
+    def uses(self, name: str) -> set[str]:
+        """The names that a definition is made from."""
+        got = inputs(self.moves[name]) if name in self.moves else set(_NAME.findall(self.text[name]))
+        return {n for n in got if n != name and (n in self.text or n in self.base)}
+
+    def steps(self) -> list[tuple[list[list[str]], list[str]]]:
+        """What the result needs, pass by pass: projections of scalars, each by layers, and the moves after them."""
+        at: dict[str, tuple[int, int]] = {n: (0, 0) for n in self.base}
+
+        def of(name: str) -> tuple[int, int]:
+            if name not in at:
+                before = [of(n) for n in self.uses(name)]
+                turn = max([t for t, _ in before], default=0)
+                at[name] = (turn + 1, 0) if name in self.moves else (turn, 1 + max([k for t, k in before if t == turn], default=0))
+            return at[name]
+
+        last = max([of(n)[0] for n in self.outs], default=0)
+        named = [n for n in self.text if n in at and n not in self.base]
+        out = []
+        for turn in range(last + 1):
+            layers = max([k for t, k in at.values() if t == turn], default=0)
+            scalars = [[n for n in named if at[n] == (turn, k)] for k in range(1, layers + 1)]
+            out.append((scalars, [n for n in named if n in self.moves and at[n][0] == turn + 1]))
+        return out
+
     def apply(self, df: DataFrame, keep: tuple[str, ...]) -> DataFrame:
-        """df with the columns `keep` and those of the sheet. df has the base columns and a chunk."""
-        text = {**self.text, **self.runs}
-        layers = self.layers(text)
-        last: dict[str, int] = {n: len(layers) for n in (*keep, *self.outs)}
-        for k, names in enumerate(layers):
+        """df with the columns `keep` and those of the sheet. df has the base columns and, if anything moves, a chunk."""
+        steps = self.steps()
+        blocks = [(kind, names) for scalars, moves in steps for kind, names in (*(("scalars", x) for x in scalars), ("moves", moves)) if names]
+        last = {n: len(blocks) for n in (*keep, *self.outs)}
+        for k, (_, names) in enumerate(blocks):
             for n in names:
-                last |= {m: max(k, last.get(m, 0)) for m in set(_NAME.findall(text[n]))}
-        stay = [c for c in df.columns if c in keep or c in last or c in ("symbol", "chunk", "minute")]
-        for k, names in enumerate(layers):
-            # what no later layer needs is not carried on
-            stay = [c for c in stay if last.get(c, -1) >= k or c in ("symbol", "chunk", "minute")]
-            df = df.selectExpr(*stay, *[f"{text[n].replace('@ORDER', self.order)} AS {n}" for n in names])
-            stay += names
+                last |= {m: max(k, last.get(m, 0)) for m in self.uses(n)}
+        if any(kind == "moves" for kind, _ in blocks):
+            wanted = {c for c in df.columns if c in last or c in (*self.chunk, self.order)}
+            df = df.select(*[c for c in df.columns if c in wanted]).repartition(*self.chunk).sortWithinPartitions(*self.chunk, self.order)
+        later = lambda k: [c for c in df.columns if last.get(c, -1) > k or (c in self.chunk and any(kind == "moves" for kind, _ in blocks[k + 1 :]))]
+        for k, (kind, names) in enumerate(blocks):
+            stay = later(k)
+            if kind == "scalars":
+                df = df.selectExpr(*stay, *[f"{self.text[n]} AS {n}" for n in names])
+            else:
+                moves = {n: self.moves[n] for n in names}
+                types = [T.StructField(n, df.schema[m[1]].dataType if m[0] == "lag" else T.DoubleType()) for n, m in moves.items()]
+                df = df.mapInArrow(partial(added, moves=moves, keys=self.chunk, stay=stay), T.StructType([*[df.schema[c] for c in stay], *types]))
         return df.select(*keep, *self.outs)
 
     def sql(self, source: str, keep: tuple[str, ...], rounded: int | None = 6) -> str:

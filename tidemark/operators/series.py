@@ -28,12 +28,8 @@ def indexed(bars: DataFrame) -> DataFrame:
     before = Window.partitionBy("symbol").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("__before", F.coalesce(F.sum("__rows").over(before), F.lit(0))).drop("__rows")
     inside = Window.partitionBy("symbol", "__block").orderBy("minute")
-    return (
-        blocked.withColumn("__n", F.row_number().over(inside))
-        .join(counts, ["symbol", "__block"])
-        .withColumn("idx", (F.col("__before") + F.col("__n")).cast("long"))
-        .drop("__block", "__n", "__before")
-    )
+    joined = blocked.join(counts, ["symbol", "__block"])
+    return joined.withColumn("idx", (F.col("__before") + F.row_number().over(inside)).cast("long")).drop("__block", "__before")
 
 
 def chunked(bars: DataFrame, halo: int, chunk: int = CHUNK) -> DataFrame:
