@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.ranks import averaged, numbered
+from tidemark.operators.ranks import quantiles as exact_quantiles
 
 #: What metrics are told apart by.
 KEYS = ("symbol", "fold")
@@ -19,8 +20,8 @@ def name_of(q: float) -> str:
 
 
 def with_thresholds(df: DataFrame, score: str, quantiles: tuple[float, ...], keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """df with thr_<q>: the exact quantiles of score within keys, from one aggregate that is joined back."""
-    per = df.groupBy(*keys).agg(F.percentile(score, F.array(*[F.lit(q) for q in quantiles])).alias("__q"))
+    """df with thr_<q>: the exact quantiles of score within keys, joined back. df is read three times."""
+    per = exact_quantiles(df, score, quantiles, keys)
     per = per.select(*keys, *[F.col("__q")[i].alias(f"thr_{name_of(q)}") for i, q in enumerate(quantiles)])
     return df.join(per, list(keys))
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.metrics import KEYS, bottom_metrics, deciles, episode_metrics, prediction_metrics, rank_correlation, summarized
+from tidemark.operators.ranks import quantiles
 from tidemark.plans.feature_sets import FeatureSpec
 from tidemark.sources.bars import POSITION, positioned
 
@@ -40,10 +41,13 @@ def mostly_null(rates: DataFrame, limit: float = 0.95) -> DataFrame:
 # --- predictions ------------------------------------------------------------------------------------------------------
 def oof_summary(predictions: DataFrame, target: str, pred: str = "pred", keys: tuple[str, ...] = ("run_id", "side", "horizon_minutes")) -> DataFrame:
     """Per run: rows, folds, mean and 95 % quantile of the prediction, mean of the target and how often it is positive."""
-    return predictions.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("rows"), F.count_distinct("fold").alias("fold_count"), F.avg(pred).alias("pred_mean_bps"), F.percentile(pred, 0.95).alias("pred_p95_bps"),
+    per = predictions.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("rows"), F.count_distinct("fold").alias("fold_count"), F.avg(pred).alias("pred_mean_bps"),
         F.avg(target).alias("target_mean_bps"), F.avg(F.coalesce((F.col(target) > 0).cast("double"), F.lit(0.0))).alias("target_gt0_rate"),
     )
+    high = quantiles(predictions, pred, (0.95,), keys).select(*[F.col(k).alias(f"__of_{k}") for k in keys], F.col("__q")[0].alias("pred_p95_bps"))
+    whole = per.join(high, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__of_{k}")) for k in keys]), "left")
+    return whole.select(*keys, "rows", "fold_count", "pred_mean_bps", "pred_p95_bps", "target_mean_bps", "target_gt0_rate")
 
 
 def exit_fold_metrics(df: DataFrame, target: str, pred: str, keys: tuple[str, ...] = KEYS) -> DataFrame:

@@ -30,6 +30,7 @@ def _grid(spark, sf) -> DataFrame:
     bars, scored, _ = _scored(spark, sf)
     names = [f"target_entry_net_bps_{s}_H{h}" for s in _SIDES for h in lab.HORIZONS]
     rows = scored.where("fold IS NOT NULL").drop("target").join(lab.entry_labels(bars), ["symbol", "minute"])
+    rows = kept(rows.select("symbol", "minute", "fold", "score", *names), "grid")  # read once for each look at a quantile
     long = rows.select("symbol", "minute", "fold", "score", *names).unpivot(["symbol", "minute", "fold", "score"], names, "name", "target")
     side, horizon = (F.split_part("name", F.lit("_"), F.lit(k)) for k in (5, 6))
     horizon = F.substring(horizon, 2, 9).cast("int")
@@ -88,7 +89,7 @@ run AS (SELECT run_id, side, horizon_minutes, {', '.join(f"avg(a{n}) AS mean_top
 )
 def _compare(spark, sf):
     """Runs against one run, and against the shortest horizon of their side."""
-    runs = _run_metrics(spark, sf)
+    runs = kept(_run_metrics(spark, sf), "runs")  # a row for each run, which comparisons read several times
     runs = runs.withColumn("robust_score", reports.robust_score(runs.columns)).withColumn("variant", F.col("horizon_minutes").cast("string"))
     first = reports.baseline_deltas(runs, "long_h60", _RUN_NAMES, (), "run_id").drop(*[f"baseline_{c}" for c in _RUN_NAMES])
     return rounded(reports.baseline_deltas(first, "60", _RUN_NAMES, ("side",), "variant").drop("variant", *[f"baseline_{c}" for c in _RUN_NAMES]))
