@@ -63,3 +63,37 @@ def test_rounding_by_columns(spark):
     got = [r["x"] for r in got.collect()]
     assert got == [near(v) for v in x] and math.copysign(1, got[1]) == 1
     assert math.isnan(queries.rounded(spark.range(1).select(F.lit(math.nan).alias("x")), nudge=1e-9).first()["x"])
+
+
+def test_passes_but_the_last_are_narrow(spark):
+    """What only the result needs is worked out in the last pass, instead of going through all of them."""
+    s = sheet_of(*SETS["v3b"])
+    *early, last, _ = [len(moves) for _, moves in s.steps()]
+    assert sum(early) < 50 < last
+    df = spark.range(1).selectExpr("'x' AS symbol", "0 AS chunk", "true AS own", "id AS minute", "id AS idx", *[f"1e0 AS {c}" for c in BASE[3:]])
+    widths = [len(n) for n in _passes(s.apply(df, ("symbol", "minute"), "own"))]
+    assert max(widths[:-1]) < 100, widths
+
+
+def _passes(df):
+    """The columns that leave each pass, first pass first."""
+    out, plan = [], df._jdf.queryExecution().analyzed()
+    while plan.children().size():
+        if plan.nodeName() == "MapInArrow":
+            out.append([plan.output().apply(i).name() for i in range(plan.output().size())])
+        plan = plan.children().head()
+    return out[::-1]
+
+
+def test_only_own_rows_leave_the_last_pass(spark):
+    df = spark.range(8).selectExpr("'x' AS symbol", "0 AS chunk", "id >= 3 AS own", "id AS minute", "cast(id AS double) AS close")
+    s = Sheet(("symbol", "minute", "close"))
+    s.out("m", s.roll("sum", s.let("before", s.lag("close")), 2))
+    assert [tuple(r) for r in s.apply(df, ("minute",), "own").orderBy("minute").collect()] == [(k, 2.0 * k - 3) for k in range(3, 8)]
+    s = Sheet(("symbol", "minute", "close"))
+    s.out("twice", "2 * close")
+    assert s.apply(df, ("minute",), "own").count() == 5
+    rows = pa.record_batch({"symbol": ["a"] * 900, "x": np.arange(900.0)})
+    wide = {f"l{k}": ("lag", "x", k) for k in range(1, 999)}
+    sizes = [b.num_rows for b in added(iter([rows]), wide, ("symbol",), ["symbol", "x"])]
+    assert sum(sizes) == 900 and max(sizes) * 1000 <= 400_000
