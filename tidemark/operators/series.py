@@ -7,14 +7,19 @@ take along the rows before them that their windows need (the halo), and windows
 from __future__ import annotations
 
 import math
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tidemark.functions.moving import seen
 from tidemark.functions.sheet import Sheet
 
 #: Rows of a chunk without its halo, and minutes of the blocks that rows are counted in.
 CHUNK, BLOCK = 4_000, 1440
+#: Minutes of a span, about, in which rows of all timeframes meet.
+SPAN = 4 * BLOCK
 #: Periods of a chunk of the series that the last closed bar is carried along.
 CARRY = 5_000
 #: Rows of a chunk of exponential means at most, and decimal digits that a power of their weights may reach.
@@ -122,6 +127,59 @@ def last_closed(bars: DataFrame, closed: DataFrame, minutes: int, columns: list[
     return out.select(*bars.columns, *[F.col("__row")[c].alias(c) for c in columns])
 
 
+def _span(tfs: tuple[int, ...]) -> int:
+    """Minutes of a span: no period of any timeframe lies in two."""
+    whole = math.lcm(*tfs)
+    return whole * max(1, SPAN // whole)
+
+
+def resampled_to_all(bars: DataFrame, tfs: tuple[int, ...]) -> DataFrame:
+    """Closed bars of all timeframes as resampled() has them, of bars with one row a minute: (symbol, minute, open, ...),
+    one series for each, whose symbol is <symbol>|<tf> and whose minute the number of the period. Minute rows are shuffled
+    once, by spans that periods do not cross. Kept, as numbering the rows reads them more than once."""
+    spans = bars.where("symbol IS NOT NULL").select("symbol", "minute", "open", "high", "low", "close", "volume", F.floor(F.col("minute") / _span(tfs)).alias("__span"))
+    rows = spans.repartition("symbol", "__span").withColumn("tf", F.explode(F.array(*[F.lit(tf) for tf in tfs])))
+    known = {c: F.when(F.col(c).isNotNull(), F.col("minute")) for c in ("open", "close")}
+    out = rows.groupBy("symbol", "__span", "tf", F.floor(F.col("minute") / F.col("tf")).cast("long").alias("bucket")).agg(
+        F.min_by("open", known["open"]).alias("open"),
+        F.max("high").alias("high"),
+        F.min("low").alias("low"),
+        F.max_by("close", known["close"]).alias("close"),
+        F.sum("volume").alias("volume"),
+    )
+    out = out.where("open IS NOT NULL AND high IS NOT NULL AND low IS NOT NULL AND close IS NOT NULL")
+    return out.select(F.concat_ws("|", "symbol", "tf").alias("symbol"), F.col("bucket").alias("minute"), "open", "high", "low", "close", "volume").persist()
+
+
+def last_closed_of_all(rows: DataFrame, keep: tuple[str, ...], closed: DataFrame, values: DataFrame, tfs: tuple[int, ...], names: tuple[str, ...]) -> DataFrame:
+    """(symbol, minute, keep..., t<tf>_<name>...): rows with the columns `names` of the last bar of each timeframe that had
+    closed by the row's minute, as last_closed() has it. closed is what resampled_to_all() gives, values has the same rows.
+
+    Minute rows and closed bars meet in spans of time, all timeframes at once, so that each is shuffled once, whatever the
+    number of columns; joined one timeframe after the other, rows would carry the earlier ones' columns. The last bar
+    before a span goes along with it; which that is, a look at the ends of the spans tells. keep and names are doubles.
+    """
+    span = _span(tfs)
+    at = lambda df: df.select(
+        F.regexp_replace("symbol", "[|][0-9]+$", "").alias("symbol"), F.substring_index("symbol", "|", -1).cast("int").alias("tf"), *[c for c in df.columns if c != "symbol"]
+    ).withColumn("minute", (F.col("minute") + 1) * F.col("tf")).withColumn("__span", F.floor(F.col("minute") / span))
+    ends = at(closed.select("symbol", "minute")).groupBy("symbol", "tf", "__span").agg(F.max("minute").alias("__end"))
+    there = rows.select("symbol", F.floor(F.col("minute") / span).alias("__span")).distinct().select("symbol", F.explode(F.array(*[F.lit(tf) for tf in tfs])).alias("tf"), "__span")
+    earlier = Window.partitionBy("symbol", "tf").orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)
+    sent = there.withColumn("__there", F.lit(True)).join(ends, ["symbol", "tf", "__span"], "full").withColumn("minute", F.last("__end", ignorenulls=True).over(earlier))
+    sent = sent.where("__there AND minute IS NOT NULL").groupBy("symbol", "tf", "minute").agg(F.collect_list("__span").alias("__to"))
+    bars = at(values).join(sent, ["symbol", "tf", "minute"], "left")
+    bars = bars.withColumn("__span", F.explode(F.when(F.col("__to").isNull(), F.array("__span")).otherwise(F.concat(F.array("__span"), "__to"))))
+    width = max(len(keep), len(names))
+    slots = lambda own: [(F.col(own[i]) if i < len(own) else F.lit(None)).cast("double").alias(f"v{i}") for i in range(width)]
+    minutes = rows.select("symbol", F.lit(0).alias("tf"), "minute", F.floor(F.col("minute") / span).alias("__span"), *slots(keep))
+    both = minutes.unionByName(bars.select("symbol", "tf", "minute", "__span", *slots(names)))
+    both = both.repartition("symbol", "__span").sortWithinPartitions("__span", "symbol", "tf", "minute")
+    out = [f"t{tf}_{n}" for tf in tfs for n in names]
+    schema = T.StructType([rows.schema["symbol"], rows.schema["minute"], *[T.StructField(c, T.DoubleType()) for c in (*keep, *out)]])
+    return both.mapInArrow(partial(seen, tfs=tfs, keep=len(keep), wanted=len(names), names=schema.names), schema)
+
+
 def ewm(df: DataFrame, value: str, spans: dict[str, int], chunk: int = EWM_CHUNK) -> DataFrame:
     """df (symbol, idx, ...) with exponential means of a column without NULLs: y = (1 - a) y' + a x, a = 2 / (span + 1),
     starting from the first value; unknown before `span` values.

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tidemark.functions.sheet import Sheet
 from tidemark.functions.sqltext import bps, div, flag, log1p, position
-from tidemark.operators.series import ewm, indexed, last_closed, resampled, with_sheet
+from tidemark.operators.series import last_closed_of_all, resampled_to_all, with_sheet
 
 #: Timeframes in minutes, and numbers of closed bars whose extremes are levels.
 TIMEFRAMES, LITE_TIMEFRAMES, LEVELS = (1, 5, 15, 60, 240), (5, 15, 60, 240), (4, 12)
@@ -28,14 +25,6 @@ def _level_sheet(levels: tuple[int, ...]) -> Sheet:
     return s
 
 
-def _with_levels(rows: DataFrame, bars: DataFrame, tf: int, levels: tuple[int, ...]) -> DataFrame:
-    """rows with the last closed bar of the timeframe (t<tf>_h_*) and levels of the bars before it (t<tf>_p*)."""
-    sheet = _level_sheet(levels)
-    closed = with_sheet(resampled(bars, tf).withColumn("minute", F.col("bucket")), sheet, ("symbol", "minute"))
-    named = {c: f"t{tf}_{c}" for c in sheet.outs}
-    return last_closed(rows, closed.withColumnsRenamed(named | {"minute": "bucket"}), tf, list(named.values()), bars)
-
-
 def _candle(s: Sheet, p: str, own: bool) -> dict[str, str]:
     o, h, l, c, v = (x if own else f"h_{x}" for x in OHLCV)
     return {
@@ -86,13 +75,13 @@ def _lite_sheet(tf: int) -> Sheet:
 
 
 def _per_timeframe(bars: DataFrame, tfs: tuple[int, ...], levels: tuple[int, ...], sheet_of) -> DataFrame:
-    """Features of all timeframes: closed bars join on their periods, which are few; minute rows never join minute rows."""
-    out, names = bars, []
-    for tf in tfs:
-        out = _with_levels(out, bars, tf, levels)
+    """Features of all timeframes: closed bars and levels of the bars before them, then what minute rows see of them."""
+    levelled, names = _level_sheet(levels), []
+    closed = resampled_to_all(bars, tfs)
+    out = last_closed_of_all(bars, OHLCV, closed, with_sheet(closed, levelled), tfs, tuple(levelled.outs))
     for tf in tfs:
         sheet = sheet_of(tf)
-        own = {f"t{tf}_{c}": c for c in _level_sheet(levels).outs}
+        own = {f"t{tf}_{c}": c for c in levelled.outs}
         out = sheet.apply(out.withColumnsRenamed(own), tuple(c for c in out.columns if c not in own))
         names += sheet.outs
     return out.select("symbol", "minute", *names)
@@ -129,7 +118,11 @@ def candle_sql(bars: str, tfs: tuple[int, ...], levels: tuple[int, ...], sheet_o
 
 
 def _indicator_sheet() -> Sheet:
-    s = Sheet((*_BASE, "ema10", "ema20", "ema50", "macd", "macd_signal"))
+    s = Sheet(_BASE)
+    for n in (10, 20, 50):
+        s.let(f"ema{n}", f"CASE WHEN idx >= {n} THEN {s.ewm('close', n)} END")
+    s.let("macd", f"CASE WHEN idx >= 26 THEN {s.ewm('close', 12)} - {s.ewm('close', 26)} END")
+    s.let("macd_signal", f"CASE WHEN idx >= 34 THEN {s.ewm('macd', 9)} END")
     for n in (10, 20, 50):
         s.out(f"ema{n}_dist_bps", bps("close", f"ema{n}"))
         s.out(f"ema{n}_slope_bps", bps(f"ema{n}", s.lag(f"ema{n}")))
@@ -156,30 +149,10 @@ def _indicator_sheet() -> Sheet:
 
 
 def indicators(bars: DataFrame, *tfs: int) -> DataFrame:
-    """Moving averages, ATR, RSI, Bollinger bands and MACD of the last closed bar of each timeframe.
-
-    The closed bars of all timeframes are series of one table, so that numbering, means and windows run once.
-    """
-    parts = [
-        resampled(bars, tf).select(F.concat_ws("|", "symbol", F.lit(tf)).alias("symbol"), F.col("bucket").alias("minute"), *OHLCV) for tf in tfs
-    ]
-    # what is read more than once is kept: rows are closed bars, a fraction of the minutes but for the one-minute series
-    closed = indexed(reduce(DataFrame.unionByName, parts)).persist()
-    means = ewm(closed, "close", {"ema10": 10, "ema20": 20, "ema50": 50, "fast": 12, "slow": 26}).persist()
-    macd = means.where("fast IS NOT NULL AND slow IS NOT NULL").select("symbol", (F.col("idx") - 25).alias("idx"), (F.col("fast") - F.col("slow")).alias("macd"))
-    signal = ewm(macd, "macd", {"macd_signal": 9}).withColumn("idx", F.col("idx") + 25)
-    whole = means.join(signal, ["symbol", "idx"], "left").drop("idx", "fast", "slow")
-    sheet = _indicator_sheet()
-    values = with_sheet(whole, sheet, ("symbol", "minute")).persist()  # read once for each timeframe
-    out = bars.select("symbol", "minute")
-    for tf in tfs:
-        names = [f"ati_{tf}m_{c}" for c in sheet.outs]
-        own = values.where(F.col("symbol").endswith(f"|{tf}")).select(
-            F.regexp_replace("symbol", "[|][0-9]+$", "").alias("symbol"),
-            F.col("minute").alias("bucket"), *[F.col(c).alias(n) for c, n in zip(sheet.outs, names)],
-        )
-        out = last_closed(out, own, tf, names, bars)
-    return out
+    """Moving averages, ATR, RSI, Bollinger bands and MACD of the last closed bar of each timeframe."""
+    sheet, closed = _indicator_sheet(), resampled_to_all(bars, tfs)
+    out = last_closed_of_all(bars, (), closed, with_sheet(closed, sheet), tfs, tuple(sheet.outs))
+    return out.withColumnsRenamed({f"t{tf}_{c}": f"ati_{tf}m_{c}" for tf in tfs for c in sheet.outs})
 
 
 def indicators_sql(bars: str, tfs: tuple[int, ...]) -> str:
