@@ -109,3 +109,22 @@ def test_sums_are_exact_ones_rounded_once():
     m = Moves(pa.table({"x": [1.0, math.inf, 2.0, -math.inf, 1e308, 1e308, 3.0]}))
     assert str(m.of(("roll", "sum", "x", 2, 0)).to_pylist()) == str([None, math.inf, math.inf, -math.inf, -math.inf, math.inf, 1e308])
     assert math.isnan(m.of(("roll", "sum", "x", 4, 0))[3].as_py())
+
+
+def test_means_that_are_compared_add_up_as_the_sql_does():
+    """Means that tie in decimals, told apart by their last bit: as the SQL has them, wherever a chunk begins."""
+    import duckdb
+
+    x = np.random.default_rng(4).integers(9000, 9020, 9000) / 100
+    db = duckdb.connect()
+    db.register("t", pa.table({"i": np.arange(len(x)), "x": x}))
+    for n in (15, 16, 60, 240, 720, 4500):
+        want = db.execute(f"SELECT avg(x) OVER (ORDER BY i ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS m FROM t ORDER BY i").fetchnumpy()["m"]
+        for start in (0, 17, 4099):
+            m = Moves(pa.table({"x": x[start:], "idx": np.arange(start + 1, len(x) + 1)}))
+            got = m.of(("mean", "x", n))
+            assert got.null_count == min(n - 1, len(got))
+            assert got.to_numpy(zero_copy_only=False)[n - 1 :].tolist() == want[start + n - 1 :].tolist(), (n, start)
+    # the family that compares them does so, alone and in a matrix
+    for s in (sheet_of("trend_regime"), sheet_of(*SETS["v3b"])):
+        assert s.moves["avg_close_720"] == s.moves["avg_close_15"][:2] + (720,) == ("mean", "close", 720)

@@ -61,6 +61,12 @@ class Sheet:
         small = lambda v: f"CASE WHEN {v} < 1e-9 THEN 0e0 ELSE {v} END" if f.startswith("stddev") else v  # noqa: E731  of equal values, but for rounding
         return self._move(f"{f}_{x}_{n}" + (f"_b{before}" if before else ""), ("roll", f, x, n, before), f"CASE WHEN count({x}) {frame} = {n} THEN {small(f'{f}({x}) {frame}')} END")
 
+    def mean(self, x: str, n: int) -> str:
+        """roll("avg", x, n) of a base column, for means that are held against each other: added up as the SQL adds them."""
+        name = self.roll("avg", x, n)
+        self.moves[name] = ("mean", x, n)
+        return name
+
     def _move(self, name: str, move: Move, sql: str) -> str:
         self.moves.setdefault(name, move)
         return self.let(name, sql)

@@ -137,7 +137,7 @@ def acceleration(s: Sheet) -> None:
 def trend_regime(s: Sheet) -> None:
     _common(s)
     s.let("up", flag("r1 > 0"))
-    ma = {n: s.roll("avg", "close", n) for n in (15, 30, 60, 120, 240, 480, 720)}
+    ma = {n: s.mean("close", n) for n in (15, 30, 60, 120, 240, 480, 720)}
     for n in ma:
         s.out(f"trend_regime_close_vs_ma_{n}m_bps", bps("close", ma[n]))
         s.out(f"trend_regime_slope_{n}m_bps_per_min", _slope(s, n))
