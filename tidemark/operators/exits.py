@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import trees
 from tidemark.operators.simulate import KEYS
+from tidemark.sources.tables import Work
 
 TARGET = "target_exit_hold_delta_bps"
 #: What is known of a position and of its score, and what no model may learn from.
@@ -83,23 +84,27 @@ def fold_rows(states: DataFrame, fold: str, target: str = TARGET) -> tuple[DataF
     return others.join(own.select("episode_id").distinct(), "episode_id", "left_anti"), own
 
 
-def cross_fit(states: DataFrame, feature_set: str, target: str = TARGET, **params) -> tuple[DataFrame, DataFrame]:
-    """(predictions, importances): each fold's states predicted by a model of the others' without any of its trades. An
-    empty side is an error. All folds' models grow in the same jobs; params are those of trees.grow()."""
+def cross_fit(states: DataFrame, feature_set: str, target: str = TARGET, keep: list[str] | None = None, **params) -> tuple[DataFrame, DataFrame]:
+    """(predictions, importances): each fold's states (or their columns to keep) predicted by a model of the others' without
+    any of its trades. An empty side is an error. All folds' models grow in the same jobs; params are those of
+    trees.grow()."""
     validate(states, target)
     columns = feature_columns(states, feature_set, target)
     known = states.where(F.col(target).isNotNull())
-    trades = known.groupBy("episode_id").agg(F.collect_set("fold").alias("__folds"))  # as many folds as a trade is in
-    rows = known.join(trades, "episode_id")
-    folds = sorted(r["fold"] for r in states.select("fold").distinct().collect())
-    masks = {f: ~F.array_contains("__folds", f) for f in folds}
-    counts = rows.agg(*[F.struct(F.count_if(masks[f]).alias("train"), F.count_if(F.col("fold") == f).alias("own")).alias(f"f{k}") for k, f in enumerate(folds)]).first()
-    for f, n in zip(folds, counts):
-        if not n["train"] or not n["own"]:
-            raise ValueError(f"{f}: no rows to train on or to evaluate")
-    forest = trees.grow(rows, columns, target, masks, **params)
+    with Work(states.sparkSession, "cross_fit") as work:
+        # few trades are in several folds: their table is small, and states need not be shuffled to meet it
+        per = known.where("episode_id IS NOT NULL").groupBy("episode_id").agg(F.collect_set("fold").alias("__folds"))  # as many folds as a trade is in
+        shared = work.write(per.where("size(__folds) > 1"))
+        rows = known.where("episode_id IS NOT NULL").join(shared, "episode_id", "left").withColumn("__folds", F.coalesce("__folds", F.array("fold")))
+        folds = sorted(r["fold"] for r in states.select("fold").distinct().collect())
+        masks = {f: ~F.array_contains("__folds", f) for f in folds}
+        counts = rows.agg(*[F.struct(F.count_if(masks[f]).alias("train"), F.count_if(F.col("fold") == f).alias("own")).alias(f"f{k}") for k, f in enumerate(folds)]).first()
+        for f, n in zip(folds, counts):
+            if not n["train"] or not n["own"]:
+                raise ValueError(f"{f}: no rows to train on or to evaluate")
+        forest = trees.grow(rows, columns, target, masks, **params)
     gains = forest.importance(states.sparkSession).withColumnRenamed("model", "fold")
-    return forest.predict(known, F.col("fold")), gains
+    return forest.predict(known, F.col("fold"), keep), gains
 
 
 def last_states(states: DataFrame) -> DataFrame:

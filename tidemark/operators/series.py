@@ -45,11 +45,14 @@ def chunked(bars: DataFrame, halo: int, chunk: int = CHUNK) -> DataFrame:
     return out.withColumn("own", F.col("chunk") == F.col("__own")).drop("__own")
 
 
-def with_sheet(bars: DataFrame, sheet: Sheet, keep: tuple[str, ...] = ("symbol", "minute"), chunk: int = CHUNK) -> DataFrame:
-    """The sheet's columns for each bar. Values are those of one window over the whole series: the halo covers the
-    longest chain of windows."""
+def with_sheet(bars: DataFrame, sheet: Sheet, keep: tuple[str, ...] = ("symbol", "minute"), chunk: int = CHUNK, only: Column | None = None) -> DataFrame:
+    """The sheet's columns for each bar, or for those that `only` is true for. Values are those of one window over the
+    whole series: the halo covers the longest chain of windows."""
     halo = sheet.depth()
-    return sheet.apply(chunked(indexed(bars), halo, max(chunk, 4 * halo)), keep, "own")
+    rows = chunked(indexed(bars), halo, max(chunk, 4 * halo))
+    if only is not None:
+        rows = rows.withColumn("own", F.col("own") & F.coalesce(only, F.lit(False)))
+    return sheet.apply(rows, keep, "own")
 
 
 def ahead(df: DataFrame, window: WindowSpec, columns: dict[str, str], counts: tuple[int, ...]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -317,6 +317,18 @@ def exit_positions(
     return out if features is None else out.join(features.withColumnRenamed("minute", "current_minute"), at)
 
 
+def with_market(states: DataFrame, bars: DataFrame, matrix: Callable[[DataFrame, str, Column], DataFrame]) -> DataFrame:
+    """exit_positions() with the features of their minutes, as its join has them. matrix(bars, carried, only) gives
+    (symbol, minute, features..., carried) of bars. States go along with their minute's bar, so that only bars and states
+    are shuffled, never features, and features of other minutes are not worked out to the end."""
+    own = [c for c in states.columns if c not in ("symbol", "current_minute")]
+    per = states.groupBy("symbol", F.col("current_minute").alias("minute")).agg(F.collect_list(F.struct(*own)).alias("__states"))
+    out = matrix(bars.join(per, ["symbol", "minute"], "left"), "__states", F.col("__states").isNotNull())
+    features = [c for c in out.columns if c not in ("symbol", "minute", "__states")]
+    out = out.select("symbol", F.col("minute").alias("current_minute"), F.explode("__states").alias("__state"), *features)
+    return out.select("symbol", "current_minute", "__state.*", *features)
+
+
 def states_without(states: DataFrame, features: DataFrame) -> DataFrame:
     """(symbol, fold, missing_market_features): states whose current minute has no features, by fold."""
     known = features.select("symbol", F.col("minute").alias("current_minute"))

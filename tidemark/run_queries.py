@@ -283,9 +283,9 @@ _SHORT_SQL = """SELECT s.fold, s.minute AS entry_minute, s.minute + a.age AS cur
         JOIN LATERAL (SELECT max(high) AS up, min(low) AS down FROM bars b WHERE b.minute BETWEEN s.minute + 1 AND s.minute + a.age) h ON true WHERE s.score > 60 AND s.minute % 5 = 0"""
 
 
-def _short_states(spark, sf, market: DataFrame | None = None) -> DataFrame:
+def _short_states(spark, sf) -> DataFrame:
     bars, scored, _ = _scored(spark, sf)
-    return simulate.exit_positions(bars, exits.candidates(scored, 5, 60.0), scored, 5, 30, 15, "short", market)
+    return simulate.exit_positions(bars, exits.candidates(scored, 5, 60.0), scored, 5, 30, 15, "short")
 
 
 @query("ds_exit_positions_short", _wrap(_SHORT_SQL, ("fold", "entry_minute", "current_minute", "age_minutes"), _POSITION_NAMES))
@@ -317,8 +317,10 @@ def _exit_oof(spark, sf):
     """Cross-fitted predictions of holding on, by trees over position, score and all market features of the set v1, and
     the trades that they end."""
     with Work(spark, "exit_oof") as work:
-        states = work.write(_short_states(spark, sf, work.write(matrix.build(dense_bars(spark, sf), SETS["v1"]))))
-        predicted, _ = exits.cross_fit(states, "v2_score_position", **TREES)
+        market = lambda bars, carried, only: matrix.build(bars, SETS["v1"], (carried,), only)
+        states = work.write(simulate.with_market(work.write(_short_states(spark, sf)), dense_bars(spark, sf), market))
+        walked = ["symbol", "fold", "entry_minute", "age_minutes", "mae_since_entry_bps", "unrealized_pl_bps"]
+        predicted, _ = exits.cross_fit(states, "v2_score_position", keep=walked, **TREES)
         entries = exits.candidates(_evaluated(spark, sf), 5, 60.0).select("symbol", "fold", "minute", "score", F.lit(None).cast("string").alias("skip_reason"))
         return kept(simulate.model_exit_episodes(entries, predicted, 2, 50.0, 30, COOLDOWN), "exit_oof")
 
