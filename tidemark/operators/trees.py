@@ -27,8 +27,12 @@ from pyspark.sql import types as T
 from tidemark.sources.tables import Work
 
 #: Bins of known values; features of a block of the shuffle; bytes of sums that a task holds; trees between two rewrites
-#: of the table with the predictions so far; rows whose bins are turned at a time; columns whose bins are cut in one pass.
-BINS, BLOCK, SUM_BYTES, KEEP, ROWS, CUT_COLUMNS = 63, 256, 256 << 20, 8, 8192, 200
+#: of the table with the predictions so far; rows whose bins are turned at a time.
+BINS, BLOCK, SUM_BYTES, KEEP, ROWS = 63, 256, 256 << 20, 4, 8192
+#: Values that a task sorts at a time to cut bins, and points of a column that it keeps of them.
+CUT_CELLS, POINTS = 1 << 24, 20_000
+#: A row counts as this in a sum of residuals of ROWS rows, which are below half of it: one sum tells both.
+ROW = 1 << 39
 #: Residuals are counted in this fraction of the largest distance of a target from the middle.
 UNIT = 1 << 26
 _SPLIT = "model int, node int, gain double, feature int, cut int, unknown_left boolean, left_sum long, left_rows long, sum long, rows long"
@@ -49,14 +53,18 @@ class Tree:
 
     def leaves(self, codes: np.ndarray) -> np.ndarray:
         """The leaf that each row of bins ends in."""
-        node, rows = np.zeros(len(codes), np.int64), np.arange(len(codes))
-        while len(rows):
-            at = node[rows]
-            rows, at = rows[self.feature[at] >= 0], at[self.feature[at] >= 0]
-            code = codes[rows, self.feature[at]]
-            left = np.where(code == 0, self.unknown_left[at], code <= self.cut[at])
-            node[rows] = np.where(left, self.left[at], self.right[at])
-        return node
+        out, open_ = np.zeros(len(codes), np.int64), [(0, np.arange(len(codes)))]
+        while open_:
+            node, rows = open_.pop()
+            if self.feature[node] < 0 or not len(rows):
+                out[rows] = node
+                continue
+            code = codes[:, self.feature[node]].take(rows)
+            left = code <= self.cut[node]
+            if not self.unknown_left[node]:
+                left &= code != 0
+            open_ += [(self.left[node], rows[left]), (self.right[node], rows[~left])]
+        return out
 
 
 @dataclass
@@ -96,11 +104,13 @@ class Forest:
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 codes = self.codes(_matrix(batch.column(batch.num_columns - 1), len(self.columns)))
-                names = batch.column(batch.num_columns - 2).to_pylist()
+                names = batch.column(batch.num_columns - 2).dictionary_encode()
+                kinds, of = names.dictionary.to_pylist(), names.indices.fill_null(-1).to_numpy()
                 pred = np.full(batch.num_rows, np.nan)
-                for m in set(names) & set(self.trees):
-                    own = np.flatnonzero([n == m for n in names])
-                    pred[own] = self.score(codes[own], m)
+                for k, m in enumerate(kinds):
+                    if m in self.trees:
+                        own = np.flatnonzero(of == k)
+                        pred[own] = self.score(codes[own], m)
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(pred, from_pandas=True)], names=[*keep, "pred"])
 
         return rows.mapInArrow(work, schema)
@@ -156,14 +166,56 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 
 
 def edges(df: DataFrame, columns: list[str], bins: int = BINS) -> list[np.ndarray]:
-    """Upper ends of the bins of each column but its last: quantiles of the known values, each once."""
-    shares, out = F.array(*[F.lit(k / bins) for k in range(1, bins)]), []
-    for at in range(0, len(columns), CUT_COLUMNS):
-        some = columns[at : at + CUT_COLUMNS]
-        known = [F.nullif(F.col(f"`{c}`").cast("double"), F.lit(float("nan"))) for c in some]
-        row = df.agg(*[F.struct(F.percentile_approx(x, shares, 10_000).alias("q"), F.max(x).alias("m")).alias(f"c{j}") for j, x in enumerate(known)]).first()
-        out += [np.array(sorted({q for q in (x["q"] or ()) if q < x["m"]})) for x in row]
-    return out
+    """Upper ends of the bins of each column but its last: quantiles of the known values, each once.
+
+    Tasks sort some rows' values at a time and send every n-th, POINTS of a column or all if they are fewer, so that a
+    quantile's rank is off by one in POINTS at most. A column's points are put together apart from those of others:
+    no task holds all columns.
+    """
+    width = len(columns)
+    size = max(POINTS, CUT_CELLS // width)
+
+    def points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            values = np.concatenate(held)
+            held.clear()
+            for at in range(0, width, 16):
+                out = []
+                for j in range(at, min(at + 16, width)):
+                    x = values[:, j]
+                    x = np.sort(x[~np.isnan(x)])
+                    step = max(1, -(-len(x) // POINTS))
+                    if len(x):
+                        out.append((j, len(x), step, np.append(x[step - 1 : -1 : step], x[-1]).tobytes()))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names=["column", "n", "step", "points"])
+
+        for batch in batches:
+            values = _matrix(batch.column(0), width)
+            for at in range(0, len(values), size):
+                held.append(values[at : at + size])
+                count += len(held[-1])
+                if count >= size:
+                    yield from sent()
+                    count = 0
+        if held:
+            yield from sent()
+
+    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = [np.frombuffer(p) for p in pdf["points"]]
+        rows = [np.append(np.full(len(p) - 1, step), n - step * (len(p) - 1)) for p, n, step in zip(x, pdf["n"], pdf["step"])]
+        x, rows = np.concatenate(x), np.concatenate(rows)
+        order = np.argsort(x, kind="stable")
+        x, to = x[order], np.cumsum(rows[order])
+        at = np.searchsorted(to, np.ceil(np.arange(1, bins) / bins * to[-1]))
+        return pd.DataFrame({"column": [pdf["column"].iloc[0]], "edges": [np.unique(x[at][x[at] < x[-1]]).tolist()]})
+
+    x = F.array(*[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(float("nan"))) for c in columns])
+    sent = df.select(x.alias("x")).mapInArrow(points, "column int, n long, step long, points binary")
+    found = {r["column"]: r["edges"] for r in sent.groupBy("column").applyInPandas(cut, "column int, edges array<double>").collect()}
+    return [np.array(found.get(j, ()), float) for j in range(width)]
 
 
 class _Growth:
@@ -373,28 +425,35 @@ def _start(table: DataFrame, names: list[str]) -> tuple[float, list[tuple[int, i
     return scale, [got.get(k, (0, 0)) for k in range(len(names))]
 
 
-def _margins(batch: pa.RecordBatch, since: list[list[Tree]]) -> tuple[np.ndarray, np.ndarray]:
-    """(codes, predictions without the constants): what the table holds and the trees that came since."""
-    codes, margin = _unpacked(batch.column(2), np.uint8), _unpacked(batch.column(3), np.float64)
-    if any(since):
-        margin = margin.copy()
-        for k, own in enumerate(since):
-            for tree in own:
-                margin[:, k] += tree.value[tree.leaves(codes)]
-    return codes, margin
-
-
 def _with_margins(table: DataFrame, since: list[list[Tree]]) -> DataFrame:
+    """The table with the predictions of the trees that came since."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], _packed(_margins(batch, since)[1])], names=batch.schema.names)
+            codes, margin = _unpacked(batch.column(2), np.uint8), _unpacked(batch.column(3), np.float64).copy()
+            for k, own in enumerate(since):
+                for tree in own:
+                    margin[:, k] += tree.value[tree.leaves(codes)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], _packed(margin)], names=batch.schema.names)
 
     return table.mapInArrow(work, table.schema)
 
 
-def _residuals(batch: pa.RecordBatch, since: list[list[Tree]], constants: np.ndarray, scale: float) -> tuple[np.ndarray, np.ndarray]:
-    codes, margin = _margins(batch, since)
-    return codes, np.rint((batch.column(0).to_numpy()[:, None] - constants - margin) * scale).astype(np.int64)
+def _histograms(own: np.ndarray, slot: np.ndarray, r: np.ndarray, nodes: int, bins: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sums, rows) of whole residuals by (feature, node, bin), of ROWS rows at most; own are the rows' bins by feature."""
+    base, size = slot * (bins + 1), nodes * (bins + 1)
+    shape = (len(own), nodes, bins + 1)
+    if np.abs(r).sum() < ROW // 2:  # as it nearly always is: sums stay below 2**53, where floating point is exact
+        both, weight = np.empty((len(own), size)), r + ROW
+        for j in range(len(own)):
+            both[j] = np.bincount(base + own[j], weight, size)
+        both = both.astype(np.int64)
+        rows = both + ROW // 2 >> 39
+        return (both - (rows << 39)).reshape(shape), rows.reshape(shape)
+    sums, rows = np.empty((len(own), size), np.int64), np.empty((len(own), size), np.int64)
+    for j in range(len(own)):
+        sums[j], rows[j] = np.bincount(base + own[j], r, size), np.bincount(base + own[j], minlength=size)
+    return sums.reshape(shape), rows.reshape(shape)
 
 
 def _splits(
@@ -412,25 +471,26 @@ def _splits(
         slots[k][nodes] = np.arange(len(nodes))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = {k: np.zeros((len(nodes), len(some[k]), bins + 1, 2), np.int64) for k, nodes in order.items()}
+        held = {k: np.zeros((2, len(some[k]), len(nodes), bins + 1), np.int64) for k, nodes in order.items()}
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(at, ROWS)
-                codes, residual = _residuals(batch, since, constants, scale)
-                member = _unpacked(batch.column(1), np.uint8)
+                y, member = batch.column(0).to_numpy(), _unpacked(batch.column(1), np.uint8)
+                codes, margin = _unpacked(batch.column(2), np.uint8), _unpacked(batch.column(3), np.float64)
                 for k, sums in held.items():
                     rows = np.flatnonzero(member[:, k])
-                    slot = slots[k][trees[k].leaves(codes[rows])]
-                    rows, slot = rows[slot >= 0], slot[slot >= 0]
+                    near = np.asfortranarray(codes[rows])  # by columns
+                    slot = slots[k][trees[k].leaves(near)]
+                    if (inside := slot >= 0).sum() < len(rows):
+                        rows, slot, near = rows[inside], slot[inside], near.T[:, inside].T
                     if not len(rows):
                         continue
-                    r, own = residual[rows, k].astype(np.float64), np.ascontiguousarray(codes[rows][:, some[k]].T)
-                    base, size = slot * (bins + 1), len(sums) * (bins + 1)
-                    for j in range(len(own)):
-                        place = base + own[j]
-                        # a batch's sums stay below 2**53, where floating point is exact
-                        sums[:, j, :, 0] += np.bincount(place, r, size).astype(np.int64).reshape(-1, bins + 1)
-                        sums[:, j, :, 1] += np.bincount(place, minlength=size).reshape(-1, bins + 1)
+                    so_far = margin[rows, k]
+                    for tree in since[k]:
+                        so_far = so_far + tree.value[tree.leaves(near)]
+                    residual = np.rint((y[rows] - constants[k] - so_far) * scale)
+                    sums += _histograms(near.T[some[k]], slot, residual, len(order[k]), bins)
+        held = {k: np.moveaxis(x, (0, 2), (3, 0)) for k, x in held.items()}  # node, feature, bin, (sum, rows)
         out = [(k, i, b, held[k][s, b : b + BLOCK].tobytes()) for k, nodes in order.items() for s, i in enumerate(nodes) for b in range(0, len(some[k]), BLOCK)]
         for at in range(0, len(out), 64):
             part = list(zip(*out[at : at + 64]))

@@ -743,7 +743,7 @@ TREES = {"trees": 8, "leaves": 31, "rate": 0.1, "least_rows": 100, "l2": 1.0, "c
 def learnable(spark, sf, families: tuple[str, ...], work: Work) -> tuple[DataFrame, DataFrame, splits.Manifest]:
     """(bars, features and target as a table, manifest)."""
     bars, scored, m = _scored(spark, sf)
-    return bars, work.write(matrix.build(models.labelled(bars, scored, "target"), families, ("target",))), m
+    return bars, work.write(matrix.build(models.labelled(bars, scored, "target"), families, ("target",)), distinct=True), m
 
 
 @query("ml_gbt_oof")

@@ -318,7 +318,7 @@ def _exit_oof(spark, sf):
     the trades that they end."""
     with Work(spark, "exit_oof") as work:
         market = lambda bars, carried, only: matrix.build(bars, SETS["v1"], (carried,), only)
-        states = work.write(simulate.with_market(work.write(_short_states(spark, sf)), dense_bars(spark, sf), market))
+        states = work.write(simulate.with_market(work.write(_short_states(spark, sf)), dense_bars(spark, sf), market), distinct=True)
         walked = ["symbol", "fold", "entry_minute", "age_minutes", "mae_since_entry_bps", "unrealized_pl_bps"]
         predicted, _ = exits.cross_fit(states, "v2_score_position", keep=walked, **TREES)
         entries = exits.candidates(_evaluated(spark, sf), 5, 60.0).select("symbol", "fold", "minute", "score", F.lit(None).cast("string").alias("skip_reason"))
@@ -393,7 +393,7 @@ def _monthly_research(spark, sf):
     families = {f: list(sheet_of(f).outs) for f in SETS["v1"]}
     target = lab.entry_labels(bars, (60,)).select("symbol", "minute", F.col("target_entry_net_bps_long_H60").alias("target"))
     with Work(spark, "monthly") as work:
-        df = work.write(matrix.build(models.labelled(bars, target, "target"), SETS["v1"], ("target",)))
+        df = work.write(matrix.build(models.labelled(bars, target, "target"), SETS["v1"], ("target",)), distinct=True)
         paths = work.write(simulate.path_stats(bars, HOLD))
         _, _, tested = monthly.linear_research(df, families, "target", _month_segments(spark, months), paths, work, _MONTH, 60, 0.9, 0.0, 50, HOLD, COOLDOWN, min_count=1, min_active=1)
         return kept(tested, "monthly")

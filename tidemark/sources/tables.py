@@ -39,10 +39,11 @@ class Work:
     def __exit__(self, *_: object) -> None:
         self._drop(self.folder)
 
-    def write(self, df: DataFrame, instead: DataFrame | None = None) -> DataFrame:
-        """df as read back from where it now stands. `instead` is an earlier table of this work, which goes."""
+    def write(self, df: DataFrame, instead: DataFrame | None = None, distinct: bool = False) -> DataFrame:
+        """df as read back from where it now stands. `instead` is an earlier table of this work, which goes. distinct: of
+        wide tables of doubles, for which looking for repeated values costs more than it saves."""
         path, schema = f"{self.folder}/{self.count}", df.schema
-        df.write.parquet(path)
+        df.write.option("parquet.enable.dictionary", not distinct).parquet(path)
         if instead is not None:
             self._drop(f"{self.folder}/{self.count - 1}")
         self.count += 1
